@@ -65,6 +65,10 @@ select root_id, path, doc_id, k, up,
        || case when k % 10 = 2 then '## Source Snapshot' || chr(10) || 'raw copy' || chr(10) || chr(10) || '## Outline' || chr(10) || '- one' || chr(10) || chr(10)
                || '## Summary' || chr(10) || left(replace(text, chr(10), ' '), cast(40 + 20 * (k % 5) as int)) || chr(10) || chr(10) else '' end
        || case when k % 10 = 0 then {sections} else '' end
+       || case when k % 10 = 1 then '| 产品模块 | 产品能力 | 对应 Repo | 入口 |' || chr(10) || '| --- | :---: | --- | --- |' || chr(10)
+               || '| ' || up || ' | 数据权限 ' || translate(left(split_part(text, chr(10), 1), 40), '|`', '') || ' | ' || lower(up) || '-team-' || cast(k % 13 as string) || ' | src/App' || cast(doc_id as string) || 'Service.java |' || chr(10)
+               || '| other | 导出 | web | `repos/' || lower(up) || '-team-' || cast((k + 2) % 13 as string) || '/src/b.java` |' || chr(10)
+               || '| short row |' || chr(10) || chr(10) else '' end
        || '[[page-' || cast(doc_id + 20 as string) || '|next page]] and [again](page-' || cast(doc_id + 200 as string) || '.md#part)' || chr(10)
        || '[up](' || repeat('../', cast(length(path) - length(replace(path, '/', '')) as int)) || 'concepts/' || up || '/page-' || cast(doc_id - doc_id % 200 + 120 + doc_id % 20 as string) || '.md)' || chr(10)
        || '[rooted](entities/product/modules/' || up || '/page-' || cast(doc_id - doc_id % 200 + 140 + doc_id % 20 as string) || '.md) and [[missing ' || cast(doc_id % 50 as string) || ']]' || chr(10)
@@ -122,6 +126,12 @@ where (cast(substr(source, 4) as bigint) + {j}) % 6 <> 5"""
     for j, name in enumerate(ROOT_FILES)
 )
 
+ROOT_REPOS = """
+select distinct root_id, lower(up) || '-team-' || cast(k % 13 as string) as repo_id, 'repos/' || lower(up) || '-team-' || cast(k % 13 as string) as path,
+       'https://git.example/' || up || case when k % 2 = 0 then '/the' else '/and' end as remote
+from ({page_base}) b
+"""
+
 # Repositories: a host is a repository, a page is a file.
 REPO_FILES = """
 select host as repo_id, 'repos/' || host as repo_path, page_id,
@@ -155,13 +165,14 @@ from {documents} where doc_id % 11 <> 0
 # Source code derived from the order tables: a customer is a view, a nation an API module and a controller,
 # a supplier a service interface with an implementation.
 CODE_FILES = """
-select 'repos/web' as repo_id, 'repos/web/src/views/n' || cast(c_nationkey as string) || '/C' || cast(c_custkey as string) || '.vue' as path,
+select 'repos/web' as repo_id, 'repos/web/src/views/C' || cast(c_custkey as string) || '.vue' as path,
        'import Base from "../Base.vue"' || chr(10) || 'import helper from "@/util/h' || cast(c_custkey % 7 as string) || '"' || chr(10)
-       || 'import next from "./C' || cast(c_custkey + 25 as string) || '.vue"' || chr(10)
+       || 'import left from "./C' || cast(2 * c_custkey as string) || '.vue"' || chr(10)
+       || 'import right from "./sub/../C' || cast(2 * c_custkey + 1 as string) || '"' || chr(10)
        || 'this.$api.n' || cast(c_nationkey as string) || '.get' || cast(c_custkey % 3 as string) || '()' || chr(10) as content
 from {customer}
 union all
-select 'repos/web', 'repos/web/src/views/Base.vue', 'export default {{}}' || chr(10) from (select count(*) as n from {nation}) x
+select 'repos/web', 'repos/web/src/Base.vue', 'export default {{}}' || chr(10) from (select count(*) as n from {nation}) x
 union all
 select 'repos/web', 'repos/web/src/util/h' || cast(n_nationkey as string) || '.js', 'export const h = 1' || chr(10) from {nation}
 union all
@@ -181,11 +192,17 @@ select 'repos/app', 'repos/app/src/main/java/Supplier' || cast(s_suppkey as stri
        'public interface Supplier' || cast(s_suppkey as string) || 'Service {{ }}' || chr(10) from {supplier}
 union all
 select 'repos/app', 'repos/app/src/main/java/impl/Supplier' || cast(s_suppkey as string) || 'ServiceImpl.java',
-       'import com.acme.Supplier' || cast(s_suppkey + 25 as string) || 'Service;' || chr(10) || 'import java.util.List;' || chr(10)
+       'import com.acme.Supplier' || cast(2 * s_suppkey + 1 as string) || 'Service;' || chr(10) || 'import java.util.List;' || chr(10)
        || 'public class Supplier' || cast(s_suppkey as string) || 'ServiceImpl implements Supplier' || cast(s_suppkey as string) || 'Service {{ }}' || chr(10)
 from {supplier}
 """
 
+CODE_BATCHES = """
+select 'B' || cast(n_nationkey as string) as batch_id, n_nationkey as n,
+       'repos/web/src/views/C' || cast(n_nationkey + 1 as string) || '.vue:1' as seed, 'repos/app/src/main/java/Missing.java' as other
+from {nation}
+"""
+
 # A labelled document is a finding about a batch (its source); the evidence are the documents of the source.
 EVIDENCE_RANGES = """
 select source as batch_id, 'E-' || source || '-' || cast(doc_id as string) as evidence_id, 'docs/d' || cast(doc_id as string) || '.txt' as path,
@@ -241,6 +258,23 @@ def _claims() -> str:
     return "' || " + " || ".join(parts) + " || '"
 
 
+# A labelled document asks for changes: a request document with a shard table and an output table.
+CHANGE_REQUESTS = """
+select 'r' || cast(d.doc_id as string) as request_id, d.doc_id, d.source as root_id,
+  case when d.doc_id % 9 <> 4 then '# Knowledge Manager 维护请求' else '# other' end || chr(10) || '- knowledge_id: ' || d.source || chr(10) || '- team_run_id: run-' || cast(d.doc_id % 50 as string) || chr(10)
+  || '- manifest: handoff/manifest.json' || chr(10) || chr(10)
+  || '| 分片 | 主题 | 来源批次 |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || '| handoff/shards/H1.md | ' || translate(left(split_part(d.text, chr(10), 1), 24), '|`', '') || ' | B1-x |' || chr(10)
+  || case when l.quality = 1 then '| handoff/shards/H2.md | ' || translate(left(replace(d.text, chr(10), ' '), 12), '|`', '') || ' | B2-y |' || chr(10) else '' end || chr(10)
+  || '| 分片 | 来源摘要页 | 来源摘要蓝图 |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || '| handoff/shards/H1.md | wiki/sources/code/team-runs/r' || cast(d.doc_id % 3 as string) || '.md | handoff/source/H1.md |' || chr(10) || chr(10)
+  || case when d.doc_id % 2 = 0 then '| 分片 | 来源摘要页 | 主正式代码页 | 备选候选页 | 知识层级 | 落页蓝图 |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10)
+       || '| handoff/shards/H1.md | wiki/s1.md | wiki/entities/code/features/data-policy_' || cast(d.doc_id % 40 as string) || '.md | 无 | feature_implementation | handoff/b1.md<br>handoff/b2.md |' || chr(10)
+     else '| 分片 | Source summary | 候选正式代码页 | 知识层级 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+       || '| handoff/shards/H1.md | wiki/s1.md | wiki/entities/code/modules/map.md, wiki/entities/code/features/f' || cast(d.doc_id % 40 as string) || '.md | code_map |' || chr(10) end as text
+from {documents} d join {labels} l on d.doc_id = l.doc_id
+"""
+
 PLAN_BATCHES = """
 select source as batch_id, 's' || source as slug, n_docs, cast(substr(source, 4) as bigint) as n
 from (select source, count(*) as n_docs from {documents} group by source) x
