@@ -14,6 +14,14 @@ CJK = "一-鿿"
 CJK_TEXT = "[㐀-鿿]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` mentions it.
+
+    Without it every mention copies the whole expression into the plan, and nested copies multiply.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     return F.trim(value, F.lit(WHITESPACE))
 
@@ -42,9 +50,12 @@ def ends_with_any(value: Column, suffixes) -> Column:
 
 def lines_of(value: Column) -> Column:
     """Lines of a text; a break at the very end does not open another line."""
-    parts = F.split(value, LINE_BREAK)
-    last_is_empty = F.element_at(parts, -1) == ""
-    return F.when(last_is_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(value, LINE_BREAK),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 def grams(value: Column, size: int) -> Column:
@@ -124,11 +135,6 @@ def has_cjk(value: Column) -> Column:
     return value.rlike(CJK_TEXT)
 
 
-def struct_array_distinct_text(values: Column) -> Column:
-    """Ordered distinct of a string array without empty entries."""
-    return F.filter(F.array_distinct(values), lambda v: v != "")
-
-
 def joined(values: Column) -> Column:
     """Array to text, for reports and comparisons."""
     return F.array_join(values, "|")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import (
-    any_of, collapse_spaces, contains_any, drop_prefix, file_stem, has_cjk, lines_of, slashes, strings, strip,
+    any_of, collapse_spaces, contains_any, file_stem, has_cjk, let, lines_of, slashes, strings, strip,
 )
 
 
@@ -18,13 +18,15 @@ def front_matter_end(text: Column) -> Column:
 
 
 def front_matter_block(text: Column) -> Column:
-    end = front_matter_end(text)
-    return F.when(end > 0, F.substring(text, F.lit(5), end - 5)).otherwise(F.lit(""))
+    return let(
+        front_matter_end(text), lambda end: F.when(end > 0, F.substring(text, F.lit(5), end - 5)).otherwise(F.lit(""))
+    )
 
 
 def body_text(text: Column) -> Column:
-    end = front_matter_end(text)
-    return F.when(end > 0, F.substring(text, end + 5, F.char_length(text))).otherwise(text)
+    return let(
+        front_matter_end(text), lambda end: F.when(end > 0, F.substring(text, end + 5, F.char_length(text))).otherwise(text)
+    )
 
 
 def front_matter(text: Column) -> Column:
@@ -37,9 +39,16 @@ def front_matter(text: Column) -> Column:
             strip(F.substring(line, F.locate(":", line) + 1, F.char_length(line))).alias("v"),
         ),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, values)
+
+    def last_values(found: Column) -> Column:
+        return let(
+            F.array_distinct(F.transform(found, lambda p: p["k"])),
+            lambda keys: F.map_from_arrays(
+                keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda p: p["k"] == k), -1)["v"])
+            ),
+        )
+
+    return let(pairs, last_values)
 
 
 def _unquote(value: Column) -> Column:
@@ -52,9 +61,16 @@ def is_list_value(raw: Column) -> Column:
 
 def list_value(raw: Column) -> Column:
     """``[a, "b"]`` -> array; null when the value is not a bracketed list."""
-    inner = strip(F.substring(raw, F.lit(2), F.char_length(raw) - 2))
-    items = F.transform(F.split(inner, ","), lambda v: _unquote(strip(v)))
-    return F.when(is_list_value(raw), F.when(inner == "", strings([])).otherwise(items))
+
+    def items(value: Column) -> Column:
+        inner = strip(F.substring(value, F.lit(2), F.char_length(value) - 2))
+        split = let(
+            inner,
+            lambda text: F.when(text == "", strings([])).otherwise(F.transform(F.split(text, ","), lambda v: _unquote(strip(v)))),
+        )
+        return F.when(is_list_value(value), split)
+
+    return let(raw, items)
 
 
 def scalar_value(raw: Column) -> Column:
@@ -91,16 +107,21 @@ def sections(content: Column) -> Column:
     """ARRAY<STRUCT<heading, body>> of the ``## `` sections in order; a repeated heading keeps its first
     place and its last body."""
     marked = F.regexp_replace(content, r"(?Umd)^##\s+(.+?)\s*$", "\u0001$1\u0002")
-    parts = F.split(marked, "\u0001")
-    pieces = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.struct(
-            strip(F.substring_index(p, "\u0002", 1)).alias("heading"),
-            strip(F.substring(p, F.locate("\u0002", p) + 1, F.char_length(p))).alias("body"),
-        ),
-    )
-    headings = F.array_distinct(F.transform(pieces, lambda p: p["heading"]))
-    return F.transform(headings, lambda h: F.element_at(F.filter(pieces, lambda p: p["heading"] == h), -1))
+
+    def pieces(parts: Column) -> Column:
+        return F.transform(
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            lambda p: F.struct(
+                strip(F.substring_index(p, "\u0002", 1)).alias("heading"),
+                strip(F.substring(p, F.locate("\u0002", p) + 1, F.char_length(p))).alias("body"),
+            ),
+        )
+
+    def last_bodies(found: Column) -> Column:
+        headings = F.array_distinct(F.transform(found, lambda p: p["heading"]))
+        return F.transform(headings, lambda h: F.element_at(F.filter(found, lambda p: p["heading"] == h), -1))
+
+    return let(let(F.split(marked, "\u0001"), pieces), last_bodies)
 
 
 def has_section(body: Column, heading: Column | str) -> Column:
@@ -110,9 +131,12 @@ def has_section(body: Column, heading: Column | str) -> Column:
 def section_text(body: Column, heading: Column | str) -> Column:
     """Text from the first ``## heading`` (as a substring) to the next section."""
     marker = F.concat(F.lit("## "), heading if isinstance(heading, Column) else F.lit(heading))
-    at = F.instr(body, marker)
-    rest = F.substring(body, at + F.char_length(marker), F.char_length(body))
-    return F.when(at == 0, F.lit("")).otherwise(strip(F.substring_index(rest, "\n## ", 1)))
+    return let(
+        F.instr(body, marker),
+        lambda at: F.when(at == 0, F.lit("")).otherwise(
+            strip(F.substring_index(F.substring(body, at + F.char_length(marker), F.char_length(body)), "\n## ", 1))
+        ),
+    )
 
 
 def normalized_section(text: Column) -> Column:
@@ -124,26 +148,27 @@ def normalized_section(text: Column) -> Column:
 
 # ---- predicates over section and page texts ----------------------------------------------------------------
 def lint_code_locator(text: Column) -> Column:
-    return any_of([
-        text.rlike("(?U)" + V.LOCATOR_PATH_PATTERN), text.rlike("`" + V.ENDPOINT_PATTERN + "`"),
-        text.rlike("(?U)" + V.LOCATOR_CLASS_PATTERN),
-    ])
+    return let(text, lambda t: any_of([
+        t.rlike("(?U)" + V.LOCATOR_PATH_PATTERN), t.rlike("`" + V.ENDPOINT_PATTERN + "`"),
+        t.rlike("(?U)" + V.LOCATOR_CLASS_PATTERN),
+    ]))
 
 
 def profile_code_locator(text: Column) -> Column:
-    return any_of([
-        text.rlike("(?U)" + V.LOCATOR_PATH_PATTERN), text.rlike(V.ENDPOINT_PATTERN),
-        text.rlike("(?U)" + V.LOCATOR_CLASS_PATTERN),
-    ])
+    return let(text, lambda t: any_of([
+        t.rlike("(?U)" + V.LOCATOR_PATH_PATTERN), t.rlike(V.ENDPOINT_PATTERN),
+        t.rlike("(?U)" + V.LOCATOR_CLASS_PATTERN),
+    ]))
 
 
 def lint_placeholder(text: Column) -> Column:
-    stripped = F.regexp_replace(text, r"(?Umd)^\s*[-*]\s*", "")
-    packed = F.lower(F.regexp_replace(stripped, r"(?U)\s+", ""))
-    return (
-        (packed == "")
-        | contains_any(packed, [p.lower() for p in V.LINT_PLACEHOLDERS])
-        | stripped.rlike(r"(?i)(?<![A-Za-z0-9_/.-])(?:TODO|TBD)(?![A-Za-z0-9_/.-])")
+    def packed_is_placeholder(packed: Column) -> Column:
+        return (packed == "") | contains_any(packed, [p.lower() for p in V.LINT_PLACEHOLDERS])
+
+    return let(
+        F.regexp_replace(text, r"(?Umd)^\s*[-*]\s*", ""),
+        lambda stripped: let(F.lower(F.regexp_replace(stripped, r"(?U)\s+", "")), packed_is_placeholder)
+        | stripped.rlike(r"(?i)(?<![A-Za-z0-9_/.-])(?:TODO|TBD)(?![A-Za-z0-9_/.-])"),
     )
 
 
@@ -185,11 +210,12 @@ def markdown_value(text: Column, key: str) -> Column:
 
 def file_reference(ref: Column) -> Column:
     """``path:start-end`` -> STRUCT<path, first, last>; null when it is not a valid reference."""
-    path = slashes(F.regexp_extract(ref, r"(?s)^(.*):([^:]*)$", 1))
-    span = F.regexp_extract(ref, r"(?s)^(.*):([^:]*)$", 2)
-    first = F.regexp_extract(span, r"^\s*\+?(\d+)\s*-\s*\+?(\d+)\s*$", 1).try_cast("bigint")
-    last = F.regexp_extract(span, r"^\s*\+?(\d+)\s*-\s*\+?(\d+)\s*$", 2).try_cast("bigint")
-    return F.when((first >= 1) & (last >= first), F.struct(path.alias("path"), first.alias("first"), last.alias("last")))
+    shape = r"(?s)^(.*):\s*\+?(\d+)\s*-\s*\+?(\d+)\s*$"
+    parsed = F.struct(
+        slashes(F.regexp_extract(ref, shape, 1)).alias("path"), F.regexp_extract(ref, shape, 2).try_cast("bigint").alias("first"),
+        F.regexp_extract(ref, shape, 3).try_cast("bigint").alias("last"),
+    )
+    return let(parsed, lambda p: F.when((p["first"] >= 1) & (p["last"] >= p["first"]), p))
 
 
 # ---- English sentences in Chinese documents ------------------------------------------------------------------
@@ -201,13 +227,17 @@ def is_language_neutral(line: Column) -> Column:
 
 
 def human_part(line: Column) -> Column:
-    plain = F.regexp_replace(line, "`[^`]*`", "")
-    wide = strip(F.substring(plain, F.locate("：", plain) + 1, F.char_length(plain)))
-    narrow = strip(F.substring(plain, F.locate(":", plain) + 1, F.char_length(plain)))
-    suffix = (
-        F.when(~has_cjk(plain), plain).when(plain.contains("："), wide).when(plain.contains(":"), narrow).otherwise(F.lit(""))
-    )
-    return F.when(suffix != "", suffix).otherwise(plain)
+    def after(text: Column, mark: str) -> Column:
+        return strip(F.substring(text, F.locate(mark, text) + 1, F.char_length(text)))
+
+    def labelled(plain: Column) -> Column:
+        suffix = (
+            F.when(~has_cjk(plain), plain).when(plain.contains("："), after(plain, "：")).when(plain.contains(":"), after(plain, ":"))
+            .otherwise(F.lit(""))
+        )
+        return let(suffix, lambda v: F.when(v != "", v).otherwise(plain))
+
+    return let(F.regexp_replace(line, "`[^`]*`", ""), labelled)
 
 
 def is_english_sentence(text: Column) -> Column:
@@ -249,14 +279,16 @@ def english_lines(documents: DataFrame, key: list[str], text: str) -> DataFrame:
 
 # ---- code anchors ----------------------------------------------------------------------------------------------
 def is_searchable_endpoint(value: Column) -> Column:
-    trimmed = F.rtrim(strip(value), F.lit("/"))
-    lowered = F.lower(trimmed)
-    parts = F.filter(F.split(lowered, "/"), lambda p: p != "")
-    internal = any_of(lowered.startswith(p) for p in V.ENDPOINT_INTERNAL_PREFIXES)
-    return (
-        value.startswith("/") & ~strip(value).endswith("/") & (trimmed != "") & ~trimmed.isin(V.ENDPOINT_ROOT_NAMES)
-        & ~trimmed.contains(".") & ~internal & ~F.arrays_overlap(parts, strings(V.ENDPOINT_PATH_MARKERS)) & (F.size(parts) >= 2)
-    )
+    def searchable(trimmed: Column) -> Column:
+        lowered = F.lower(trimmed)
+        parts = F.filter(F.split(lowered, "/"), lambda p: p != "")
+        internal = any_of(lowered.startswith(p) for p in V.ENDPOINT_INTERNAL_PREFIXES)
+        return (
+            (trimmed != "") & ~trimmed.isin(V.ENDPOINT_ROOT_NAMES) & ~trimmed.contains(".") & ~internal
+            & ~F.arrays_overlap(parts, strings(V.ENDPOINT_PATH_MARKERS)) & (F.size(parts) >= 2)
+        )
+
+    return value.startswith("/") & ~strip(value).endswith("/") & let(F.rtrim(strip(value), F.lit("/")), searchable)
 
 
 def trim_anchor(value: Column) -> Column:
@@ -280,17 +312,20 @@ def anchor_values(content: Column) -> Column:
 
 def normalized_code_path(value: Column) -> Column:
     """Code path named in a page; empty when it is a pattern, a lock file or too generic."""
-    v = F.trim(strip(slashes(value)), F.lit(V.ANCHOR_TRIM_CHARACTERS))
-    v = (
-        F.when(v.contains(".../"), F.ltrim(F.substring(v, F.locate(".../", v) + 4, F.char_length(v)), F.lit("/")))
-        .when(v.contains("..."), F.element_at(F.split(v, "/"), -1))
-        .otherwise(v)
-    )
-    name = F.lower(F.element_at(F.split(v, "/"), -1))
-    drop = (
-        v.contains("*") | name.isin(V.LOCK_FILE_NAMES) | (~v.contains("/") & F.lower(v).isin(V.GENERIC_FILE_NAMES))
-    )
-    return F.when(drop, F.lit("")).otherwise(v)
+
+    def shortened(v: Column) -> Column:
+        return (
+            F.when(v.contains(".../"), F.ltrim(F.substring(v, F.locate(".../", v) + 4, F.char_length(v)), F.lit("/")))
+            .when(v.contains("..."), F.element_at(F.split(v, "/"), -1))
+            .otherwise(v)
+        )
+
+    def kept(v: Column) -> Column:
+        name = F.lower(F.element_at(F.split(v, "/"), -1))
+        drop = v.contains("*") | name.isin(V.LOCK_FILE_NAMES) | (~v.contains("/") & F.lower(v).isin(V.GENERIC_FILE_NAMES))
+        return F.when(drop, F.lit("")).otherwise(v)
+
+    return let(let(F.trim(strip(slashes(value)), F.lit(V.ANCHOR_TRIM_CHARACTERS)), shortened), kept)
 
 
 def code_paths(content: Column) -> Column:

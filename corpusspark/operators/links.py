@@ -136,16 +136,22 @@ def broken_links(expansion: DataFrame) -> DataFrame:
     return expansion.where("dst is null").select("query_id", "root_id", "src", "target")
 
 
-def broken_wikilinks(pages: DataFrame) -> DataFrame:
-    """Wikilinks of a whole corpus whose stem and title are unknown in their root."""
-    checked = pages.where(~F.element_at(F.split("repo_path", "/"), -1).isin(V.EXEMPT_PAGE_NAMES))
-    named = strip(F.substring_index(F.col("target"), "|", 1))
-    links = extract_links(checked, "text").where("link_type = 'wikilink'").select(
-        "root_id", F.col("src").alias("path"), "target", named.alias("_title"),
-        file_stem(F.rtrim(named, F.lit("/"))).alias("_stem"),
+def wikilink_targets(text: Column) -> Column:
+    """Distinct wikilink targets of a text."""
+    inner = F.transform(F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(0)), lambda raw: F.substring(raw, F.lit(3), F.char_length(raw) - 4))
+    return F.array_distinct(F.transform(inner, lambda v: strip(F.substring_index(strip(v), "|", 1))))
+
+
+def broken_wikilinks(facts: DataFrame) -> DataFrame:
+    """Wikilinks of a whole corpus whose stem and title are unknown in their root.
+
+    ``facts``: root_id, repo_path, title, exempt, wikilinks (targets).
+    """
+    links = facts.where("not exempt").select("root_id", F.col("repo_path").alias("path"), F.explode("wikilinks").alias("target")).select(
+        "root_id", "path", "target", F.col("target").alias("_title"), file_stem(F.rtrim("target", F.lit("/"))).alias("_stem")
     )
-    stems = pages.select("root_id", file_stem(F.col("repo_path")).alias("_stem")).distinct()
-    titles = pages.select("root_id", F.col("title").alias("_title")).distinct()
+    stems = facts.select("root_id", file_stem(F.col("repo_path")).alias("_stem")).distinct()
+    titles = facts.select("root_id", F.col("title").alias("_title")).distinct()
     return (
         links.join(stems, ["root_id", "_stem"], "left_anti")
         .join(titles, ["root_id", "_title"], "left_anti")

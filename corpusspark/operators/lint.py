@@ -9,6 +9,7 @@ from ..functions import fixed_values as V
 from ..functions.text import any_of, canonical_path, file_name, slashes, strings
 from . import extract, links
 from .quality import CODE_FEATURES, union
+from ..session import cut_lineage
 from .search_strings import contained
 
 ISSUE = ["root_id", "severity", "code", "path", "detail"]
@@ -20,54 +21,60 @@ def _rows(df: DataFrame, code, path: Column | str, detail: Column | str | None =
                      (as_column(detail) if detail is not None else F.lit(None).cast("string")).alias("detail"))
 
 
-def checked(pages: DataFrame) -> DataFrame:
-    return pages.where(~file_name(F.col("repo_path")).isin(V.EXEMPT_PAGE_NAMES))
+def page_facts(pages: DataFrame) -> DataFrame:
+    """What lint needs to know of a page, from one scan of the corpus: rule violations, wikilinks, traces.
 
-
-def page_issues(pages: DataFrame) -> DataFrame:
-    """Rules that need nothing but the page: one pass, no shuffle."""
+    The texts stay behind; the narrow rows are written once and every other rule reads those.
+    """
     feature = F.col("repo_path").startswith(CODE_FEATURES)
     body = F.col("body")
 
-    def issue(condition: Column, code: Column | str, detail: Column | str | None = None) -> Column:
+    def issue(condition: Column, code: Column | str, detail: str | None = None) -> Column:
         return F.when(
             condition,
-            F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"),
-                     (F.lit(detail) if not isinstance(detail, Column) else detail).cast("string").alias("detail")),
+            F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(detail).cast("string").alias("detail")),
         )
 
-    fields = [issue(~F.map_contains_key("meta", f), "frontmatter_field_missing", f) for f in V.REQUIRED_FRONT_MATTER]
-    sections = [
-        issue(
-            feature & (~extract.has_section(body, h) | extract.lint_placeholder(extract.section_text(body, h))),
-            F.when(extract.has_section(body, h), "code_feature_section_not_substantive").otherwise("code_feature_required_section_missing"),
-            h,
+    def section_issue(heading: str) -> Column:
+        present = extract.has_section(body, heading)
+        empty = extract.lint_placeholder(extract.section_text(body, heading))
+        return F.when(feature & ~present, issue(F.lit(True), "code_feature_required_section_missing", heading)).when(
+            feature, issue(empty, "code_feature_section_not_substantive", heading)
         )
-        for h in V.CODE_FEATURE_REQUIRED_HEADINGS
-    ]
-    others = [
+
+    traces = F.filter(F.coalesce("sources", strings([])), extract.is_run_trace)
+    rules = [issue(~F.map_contains_key("meta", f), "frontmatter_field_missing", f) for f in V.REQUIRED_FRONT_MATTER]
+    rules += [section_issue(h) for h in V.CODE_FEATURE_REQUIRED_HEADINGS]
+    rules += [
         issue(extract.is_thin_source(F.col("repo_path"), F.col("declared_type"), body), "source_summary_too_thin"),
         issue(feature & ~extract.lint_code_locator(extract.section_text(body, V.CODE_LOCATION_SECTION)), "code_feature_code_locator_missing"),
-        issue(feature & ~F.coalesce(F.exists("sources", extract.is_run_trace), F.lit(False)), "code_feature_source_trace_missing"),
+        issue(feature & (F.size(traces) == 0), "code_feature_source_trace_missing"),
     ]
-    found = checked(pages).select("root_id", "repo_path", F.inline(F.array_compact(F.array(*fields, *sections, *others))))
+    facts = pages.select(
+        "root_id", "path", "repo_path", "title", file_name(F.col("repo_path")).isin(V.EXEMPT_PAGE_NAMES).alias("exempt"),
+        F.array_compact(F.array(*rules)).alias("issues"), links.wikilink_targets(F.col("text")).alias("wikilinks"),
+        F.when(feature, F.transform(traces, extract.normalized_source)).otherwise(strings([])).alias("traces"),
+        ((F.col("path") == "schema.md") & F.col("text").contains("Code Knowledge")).alias("code_schema"),
+    )
+    return cut_lineage(facts)
+
+
+def page_issues(facts: DataFrame) -> DataFrame:
+    found = facts.where("not exempt").select("root_id", "repo_path", F.inline("issues"))
     return _rows(found, F.col("code"), F.col("repo_path"), F.col("detail"))
 
 
-def missing_summaries(pages: DataFrame, files: DataFrame) -> DataFrame:
+def missing_summaries(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Code-run summaries that a code feature page names but that do not exist."""
-    features = checked(pages).where(F.col("repo_path").startswith(CODE_FEATURES))
-    normalized = extract.normalized_source(F.col("item"))
-    named = features.select("root_id", "repo_path", F.explode("sources").alias("item")).where(extract.is_run_trace(F.col("item"))).select(
-        "root_id", "repo_path", normalized.alias("source"),
-        canonical_path(F.when(normalized.startswith("wiki/"), normalized).otherwise(F.concat(F.lit("wiki/"), normalized))).alias("path"),
-    )
-    gone = named.join(files.select("root_id", "path").distinct(), ["root_id", "path"], "left_anti")
+    named = facts.where("not exempt").select("root_id", "repo_path", F.explode("traces").alias("source"))
+    full = F.when(F.col("source").startswith("wiki/"), F.col("source")).otherwise(F.concat(F.lit("wiki/"), "source"))
+    located = named.withColumn("path", canonical_path(full))
+    gone = located.join(files.select("root_id", "path").distinct(), ["root_id", "path"], "left_anti")
     return _rows(gone, "code_feature_source_summary_missing", F.col("repo_path"), F.col("source"))
 
 
-def wikilink_issues(pages: DataFrame) -> DataFrame:
-    return _rows(links.broken_wikilinks(pages), "broken_wikilink", F.col("path"), F.col("target"))
+def wikilink_issues(facts: DataFrame) -> DataFrame:
+    return _rows(links.broken_wikilinks(facts), "broken_wikilink", F.col("path"), F.col("target"))
 
 
 def named_in_index(pages: DataFrame, index_lines: DataFrame, entries: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def named_in_index(pages: DataFrame, index_lines: DataFrame, entries: DataFrame)
 
 
 def index_issues(pages: DataFrame, named: DataFrame) -> DataFrame:
-    missing = checked(pages).select("root_id", "path", "repo_path").join(named, ["root_id", "path"], "left_anti")
+    missing = pages.where("not exempt").select("root_id", "path", "repo_path").join(named, ["root_id", "path"], "left_anti")
     return _rows(missing, "index_entry_missing", F.col("repo_path"))
 
 
@@ -120,7 +127,7 @@ def structure_issues(roots: DataFrame, files: DataFrame) -> DataFrame:
 
 def readiness_issues(code_roots: DataFrame, pages: DataFrame, named: DataFrame, entries: DataFrame) -> DataFrame:
     """Rules of code roots: schema page, code pages, their index entries and actionable index summaries."""
-    schema = pages.where("path = 'schema.md'").where(F.col("text").contains("Code Knowledge")).select("root_id").distinct()
+    schema = pages.where("code_schema").select("root_id").distinct()
     code = pages.where(
         any_of(F.col("repo_path").startswith(f"wiki/entities/code/{kind}/") for kind in ("features", "modules"))
     ).select("root_id", "path", "repo_path")
@@ -145,12 +152,13 @@ def lint(roots: DataFrame, pages: DataFrame, index_lines: DataFrame, entries: Da
     """All issues of the enabled roots.  Readiness rules apply to roots with ``has_workspace``."""
     enabled = roots.where("enabled")
     keep = lambda df: df.join(enabled.select("root_id"), "root_id", "left_semi")
-    pages, index_lines, entries = keep(pages), keep(index_lines), keep(entries)
-    named = named_in_index(pages, index_lines, entries)
+    index_lines, entries = keep(index_lines), keep(entries)
+    facts = page_facts(keep(pages))
+    named = cut_lineage(named_in_index(facts, index_lines, entries))
     return union([
-        root_path_issues(enabled, files), page_issues(pages), missing_summaries(pages, files), wikilink_issues(pages),
-        index_issues(pages, named), relation_issues(enabled, files),
-        readiness_issues(enabled.where("has_workspace"), pages, named, entries),
+        root_path_issues(enabled, files), page_issues(facts), missing_summaries(facts, files), wikilink_issues(facts),
+        index_issues(facts, named), relation_issues(enabled, files),
+        readiness_issues(enabled.where("has_workspace"), facts, named, entries),
     ])
 
 

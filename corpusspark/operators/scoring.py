@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.sizing import lookup_join
 from ..functions.terms import boundary_keys
-from ..functions.text import contains_any, drop_suffix, index_path, repo_path, strings, strip, struct_array_distinct_text
+from ..functions.text import contains_any, drop_suffix, index_path, let, repo_path, strings, strip
 from .search_strings import contained
 
 FLAG_COLUMNS = ["wants_code_knowledge", "wants_code_navigation", "wants_runtime_boundary", "wants_source",
@@ -23,7 +23,10 @@ CLASS_COLUMNS = ["c_features", "c_modules", "c_code_feature", "c_code_module", "
 
 # ---- page roles -----------------------------------------------------------------------------------
 def page_role(path: Column) -> Column:
-    p = index_path(path)
+    return let(index_path(path), _role_of_index_path)
+
+
+def _role_of_index_path(p: Column) -> Column:
     return (
         F.when(p.startswith("sources/"), "source")
         .when(p.contains("/data-dictionary/"), "data_dictionary")
