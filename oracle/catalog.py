@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import pages as p
 from . import retrieval as r
 
 ORACLES: dict[str, str] = {
@@ -17,4 +18,20 @@ ORACLES: dict[str, str] = {
     "evidence_budget": r.EVIDENCE,
     "omitted_reasons": r.OMITTED,
     "coverage_proof": r.COVERAGE,
+    "page_extract": p.PAGE_EXTRACT,
+    "page_predicates": p.PAGE_PREDICATES,
+    "index_parse": p.INDEX_PARSE,
+    "source_statuses": p.SOURCE_STATUSES,
+    "lint_issues": p.LINT_ISSUES,
+    "lint_summary": p.LINT_SUMMARY,
+    "structure_issues": p.STRUCTURE,
+    "english_lines": p.ENGLISH,
+    "language_summary": p.LANGUAGES,
+    "listed_files": p.LISTED,
+    "entrypoints": p.ENTRYPOINTS,
+    "candidate_modules": p.MODULES,
+    "snapshot_diff": p.DIFF,
+    "changed_files": p.CHANGED,
+    "reference_edges": p.EDGES,
+    "closure_reach": p.CLOSURE,
 }
