@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import findings as f
 from . import pages as p
 from . import retrieval as r
 
@@ -34,4 +35,22 @@ ORACLES: dict[str, str] = {
     "changed_files": p.CHANGED,
     "reference_edges": p.EDGES,
     "closure_reach": p.CLOSURE,
+    "finding_field_issues": f.FIELD_ISSUES,
+    "ref_range_check": f.REF_CHECK,
+    "claim_contract": f.CLAIMS,
+    "layer_specific": f.LAYERS,
+    "target_and_context_issues": f.TARGET_CONTEXT,
+    "bundle_consistency": f.BUNDLE,
+    "plan_issues": f.PLAN,
+    "batch_acceptance": f.ACCEPT,
+    "batch_completion": f.COMPLETION,
+    "batch_rollup": f.ROLLUP,
+    "target_pages": f.TARGETS,
+    "duplicate_bodies": f.DUPLICATES,
+    "acceptance_issues": f.ACCEPTANCE,
+    "request_descriptors": f.REQUESTS,
+    "request_outputs": f.OUTPUTS,
+    "reconcile_queries": f.STRINGS,
+    "maintenance_materials": f.MATERIALS,
+    "run_ledger": f.LEDGER,
 }
