@@ -127,9 +127,9 @@ where (cast(substr(source, 4) as bigint) + {j}) % 6 <> 5"""
 )
 
 ROOT_REPOS = """
-select distinct root_id, lower(up) || '-team-' || cast(k % 13 as string) as repo_id, 'repos/' || lower(up) || '-team-' || cast(k % 13 as string) as path,
-       'https://git.example/' || up || case when k % 2 = 0 then '/the' else '/and' end as remote
-from ({page_base}) b
+select root_id, lower(up) || '-team-' || cast(k % 13 as string) as repo_id, 'repos/' || lower(up) || '-team-' || cast(k % 13 as string) as path,
+       max('https://git.example/' || up || case when k % 2 = 0 then '/the' else '/and' end) as remote
+from ({page_base}) b group by root_id, lower(up) || '-team-' || cast(k % 13 as string), 'repos/' || lower(up) || '-team-' || cast(k % 13 as string)
 """
 
 # Repositories: a host is a repository, a page is a file.
@@ -297,7 +297,10 @@ def duckdb_sql(name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table.  A file too small to be split is spread over the cores; larger inputs stay as read."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -305,8 +308,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = globals()[name.upper()]
     if "{page_base}" in text:
         text += PAGE_BASE
-    used = [t for t in TABLES if "{" + t + "}" in text]
-    return spark.sql(sql_text(name, {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in used}))
+    views = {}
+    for source in (t for t in TABLES if "{" + t + "}" in text):
+        views[source] = "corpusspark_" + source
+        read(spark, sf_dir, source).createOrReplaceTempView(views[source])
+    return spark.sql(sql_text(name, views))
 
 
 MODEL_TABLES = [n.lower() for n in list(globals()) if re.fullmatch(r"[A-Z_]+", n) and n not in ("TABLES", "MODEL_TABLES", "ROOT_FILES")]

@@ -21,6 +21,7 @@ from .inventory import language
 from .quality import union
 
 REF = ["src", "dst", "kind", "symbol"]
+MERGE_LEVELS = 25  # levels kept as single tables before they are rewritten as one
 
 
 def _has_suffix(suffixes: list[str]) -> Column:
@@ -342,26 +343,30 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
         files.where(_has_suffix(V.FRONTEND_SUFFIXES)).select("path", F.explode(api_calls(F.col("content"))).alias("c"))
         .select("path", F.col("c.method").alias("symbol")).distinct()
     )
+    # Only front-end files that name an endpoint at all take part in the per-turn step.
+    endpoint_files = cut_lineage(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")))
     order = W.partitionBy("batch_id").orderBy("o")
     frontier = cut_lineage(
         seeds.join(known, "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
         .withColumn("seq", F.row_number().over(order).cast("long")).select("batch_id", "path", "seq", F.lit(0).alias("level"))
     )
-    visited, steps = frontier, []
+    levels, steps = [frontier], []
     # Symbols of the seed files are known from the start (seq 0).
     called = frontier.join(symbols, "path").select("batch_id", "symbol", F.lit(0).cast("long").alias("first_seq"))
-    focus = cut_lineage(called.groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
+    focus = cut_lineage(called.distinct())
     level = 0
     while True:
-        fresh = frontier.join(symbols, "path").select("batch_id", "symbol", F.col("seq").alias("first_seq"))
-        focus = cut_lineage(focus.unionByName(fresh).groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
+        if level > 0:
+            fresh = frontier.join(symbols, "path").select("batch_id", "symbol", F.col("seq").alias("first_seq"))
+            focus = cut_lineage(focus.unionByName(fresh).groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
         plain = frontier.join(refs, frontier["path"] == refs["src"]).select("batch_id", "seq", *REF, "ref_pos")
-        focused = focused_endpoint_refs(frontier, files, index.by_endpoint, focus)
+        focused = focused_endpoint_refs(frontier, endpoint_files, index.by_endpoint, focus)
         step = cut_lineage(plain.unionByName(focused))
         steps.append(step.select("batch_id", *REF))
+        visited = union(levels).select("batch_id", "path", "seq")
         found = (
             step.groupBy("batch_id", F.col("dst").alias("path")).agg(F.min(F.struct("seq", "ref_pos")).alias("o"))
-            .join(visited.select("batch_id", "path"), ["batch_id", "path"], "left_anti")
+            .join(visited, ["batch_id", "path"], "left_anti")
             .join(known, "path", "left_semi")
         )
         last = visited.groupBy("batch_id").agg(F.max("seq").alias("last_seq"))
@@ -374,13 +379,15 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
             break
         if level >= max_levels:
             raise RuntimeError(f"closure still grows after {max_levels} levels")
-        visited = cut_lineage(visited.unionByName(frontier))
-    return Closure(visited, cut_lineage(union(steps)))
+        levels.append(frontier)
+        if len(levels) >= MERGE_LEVELS:
+            levels, steps = [cut_lineage(union(levels))], [cut_lineage(union(steps))]
+    return Closure(cut_lineage(union(levels)), cut_lineage(union(steps)))
 
 
 def focused_endpoint_refs(frontier: DataFrame, files: DataFrame, by_endpoint: DataFrame, focus: DataFrame) -> DataFrame:
     """Endpoint references of the frontier files, inside the exports focused when their turn comes."""
-    source = frontier.join(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")), "path")
+    source = frontier.join(files, "path")
     blocks = source.select(
         "batch_id", "path", "seq", F.posexplode(F.concat(
             F.array(F.struct(F.lit(None).cast("string").alias("symbol"), F.col("content").alias("text"))),

@@ -742,3 +742,9 @@ def source_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("root_id"),
         F.concat(F.lit("raw/imports/"), F.regexp_replace(name, r"\.html$", ""), F.when(F.col("page_id") % 2 == 0, F.lit("-3")).otherwise(F.lit("")), F.lit(".html")).alias("path"))
     return sinks.register_sources(incoming, existing, model(spark, sf_dir, "roots"))
+
+
+def forget_stages() -> None:
+    """Drop the stages kept for this session, so that the next query computes its own."""
+    for kept in (_retrieval, _quality, _closure, _reconciliation):
+        kept.cache_clear()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import findings as f
 from . import pages as p
+from . import quality as q
 from . import retrieval as r
 
 ORACLES: dict[str, str] = {
@@ -53,4 +54,14 @@ ORACLES: dict[str, str] = {
     "reconcile_queries": f.STRINGS,
     "maintenance_materials": f.MATERIALS,
     "run_ledger": f.LEDGER,
+    "evidence_gaps": q.GAPS,
+    "topic_coverage": q.TOPICS,
+    "root_confidence": q.ROOT_CONFIDENCE,
+    "query_review": q.REVIEW,
+    "review_scope": q.SCOPE,
+    "code_map_matches": q.MATCHES,
+    "repo_targets": q.TARGETS,
+    "reconcile_candidates": q.RECONCILE,
+    "reconcile_titles": q.TITLES,
+    "reconcile_confidence": q.CONFIDENCE,
 }

@@ -19,33 +19,23 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
-def needed(sql: str, seen: dict[str, None]) -> None:
-    for name in CTES:
-        if name not in seen and re.search(rf"\b{name}\b", sql):
-            seen[name] = None
-            needed(CTES[name], seen)
-
-
-def ordered(names) -> list[str]:
+def query(sql: str, override: dict[str, str] | None = None) -> str:
+    """The statement with every common table expression it needs; ``override`` swaps some of them."""
+    known = {**CTES, **(override or {})}
+    pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")\b")
     done: list[str] = []
 
     def visit(name: str) -> None:
         if name in done:
             return
-        for other in CTES:
-            if other != name and re.search(rf"\b{other}\b", CTES[name]):
+        for other in dict.fromkeys(pattern.findall(known[name])):
+            if other != name:
                 visit(other)
         done.append(name)
 
-    for name in names:
+    for name in dict.fromkeys(pattern.findall(sql)):
         visit(name)
-    return done
-
-
-def query(sql: str) -> str:
-    seen: dict[str, None] = {}
-    needed(sql, seen)
-    parts = [f"{name} as materialized ({CTES[name].strip()})" for name in ordered(seen)]
+    parts = [f"{name} as materialized ({known[name].strip()})" for name in done]
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + sql.strip()
 
 
