@@ -16,7 +16,7 @@ from ..functions import fixed_values as V
 from ..functions.text import (
     any_of, canonical_path, ends_with_any, file_stem, file_suffix, lines_of, parent_path, slashes, strings, strip,
 )
-from ..session import cut_lineage
+from ..session import checkpointed, cut_lineage
 from .inventory import language
 from .quality import union
 
@@ -337,31 +337,31 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
     turn, with the focus symbols known when the file's turn comes; all other references are computed once.
     """
     files = index.files.select("path", "content").dropDuplicates(["path"])
-    known = cut_lineage(files.select("path"))
-    refs = cut_lineage(static_refs(index))
-    symbols = cut_lineage(
+    known = checkpointed(files.select("path"))
+    refs = checkpointed(static_refs(index))
+    symbols = checkpointed(
         files.where(_has_suffix(V.FRONTEND_SUFFIXES)).select("path", F.explode(api_calls(F.col("content"))).alias("c"))
         .select("path", F.col("c.method").alias("symbol")).distinct()
     )
     # Only front-end files that name an endpoint at all take part in the per-turn step.
-    endpoint_files = cut_lineage(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")))
+    endpoint_files = checkpointed(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")))
     order = W.partitionBy("batch_id").orderBy("o")
-    frontier = cut_lineage(
+    frontier = checkpointed(
         seeds.join(known, "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
         .withColumn("seq", F.row_number().over(order).cast("long")).select("batch_id", "path", "seq", F.lit(0).alias("level"))
     )
     levels, steps = [frontier], []
     # Symbols of the seed files are known from the start (seq 0).
     called = frontier.join(symbols, "path").select("batch_id", "symbol", F.lit(0).cast("long").alias("first_seq"))
-    focus = cut_lineage(called.distinct())
+    focus = checkpointed(called.distinct())
     level = 0
     while True:
         if level > 0:
             fresh = frontier.join(symbols, "path").select("batch_id", "symbol", F.col("seq").alias("first_seq"))
-            focus = cut_lineage(focus.unionByName(fresh).groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
+            focus = checkpointed(focus.unionByName(fresh).groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
         plain = frontier.join(refs, frontier["path"] == refs["src"]).select("batch_id", "seq", *REF, "ref_pos")
         focused = focused_endpoint_refs(frontier, endpoint_files, index.by_endpoint, focus)
-        step = cut_lineage(plain.unionByName(focused))
+        step = checkpointed(plain.unionByName(focused))
         steps.append(step.select("batch_id", *REF))
         visited = union(levels).select("batch_id", "path", "seq")
         found = (
@@ -371,7 +371,7 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
         )
         last = visited.groupBy("batch_id").agg(F.max("seq").alias("last_seq"))
         level += 1
-        frontier = cut_lineage(
+        frontier = checkpointed(
             found.join(last, "batch_id").select(
                 "batch_id", "path", (F.col("last_seq") + F.row_number().over(order)).alias("seq"), F.lit(level).alias("level"))
         )
@@ -381,7 +381,7 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
             raise RuntimeError(f"closure still grows after {max_levels} levels")
         levels.append(frontier)
         if len(levels) >= MERGE_LEVELS:
-            levels, steps = [cut_lineage(union(levels))], [cut_lineage(union(steps))]
+            levels, steps = [checkpointed(union(levels))], [checkpointed(union(steps))]
     return Closure(cut_lineage(union(levels)), cut_lineage(union(steps)))
 
 

@@ -51,3 +51,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint for the small state of a loop turn."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
