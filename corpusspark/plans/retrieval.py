@@ -27,9 +27,14 @@ class Retrieval:
     candidate_limit: int = V.CANDIDATE_LIMIT
     link_limit: int = V.LINK_LIMIT
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """The index entries as a narrow table: aliases, scoring and the final lookup all read it."""
+        return cut_lineage(self.entries)
+
     @cached_property
     def aliases(self) -> DataFrame:
-        return cut_lineage(scoring.module_aliases(self.entries))
+        return cut_lineage(scoring.module_aliases(self.index))
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -40,7 +45,7 @@ class Retrieval:
 
     @cached_property
     def top(self) -> DataFrame:
-        return cut_lineage(scoring.top_candidates(self.entries, self.targets, self.aliases, self.candidate_limit))
+        return cut_lineage(scoring.top_candidates(self.index, self.targets, self.aliases, self.candidate_limit))
 
     @cached_property
     def index_candidates(self) -> DataFrame:
