@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.numbering import numbered
 from ..functions.text import (
     any_of, canonical_path, ends_with_any, file_stem, file_suffix, lines_of, parent_path, slashes, strings, strip,
 )
@@ -345,10 +346,9 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
     )
     # Only front-end files that name an endpoint at all take part in the per-turn step.
     endpoint_files = checkpointed(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")))
-    order = W.partitionBy("batch_id").orderBy("o")
+    first = seeds.join(known, "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
     frontier = checkpointed(
-        seeds.join(known, "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
-        .withColumn("seq", F.row_number().over(order).cast("long")).select("batch_id", "path", "seq", F.lit(0).alias("level"))
+        numbered(first, ["batch_id"], "o", "seq").select("batch_id", "path", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("level"))
     )
     levels, steps = [frontier], []
     # Symbols of the seed files are known from the start (seq 0).
@@ -372,8 +372,8 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
         last = visited.groupBy("batch_id").agg(F.max("seq").alias("last_seq"))
         level += 1
         frontier = checkpointed(
-            found.join(last, "batch_id").select(
-                "batch_id", "path", (F.col("last_seq") + F.row_number().over(order)).alias("seq"), F.lit(level).alias("level"))
+            numbered(found, ["batch_id"], "o", "no").join(last, "batch_id").select(
+                "batch_id", "path", (F.col("last_seq") + F.col("no")).alias("seq"), F.lit(level).alias("level"))
         )
         if frontier.isEmpty():
             break

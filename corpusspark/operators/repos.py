@@ -178,9 +178,10 @@ def repo_targets(plans: DataFrame, bundle: DataFrame, rows: DataFrame, repos: Da
         .when(F.col("word_score") > 0, "module_or_term_match").when(F.col("path_score") > 0, "evidence_code_path_match")
         .otherwise("code_snapshot_fallback")
     )
-    group = W.partitionBy(*GROUP)
-    scored = scored.withColumn("best", F.max("score").over(group)).where("best <= 0 or score > 0")
-    ranked = scored.withColumn("target_no", F.row_number().over(group.orderBy(F.desc("score"), "repo_id")))
+    # The best score is an aggregate with a partial step; the window after it is cut to the limit per task.
+    best = scored.groupBy(*GROUP).agg(F.max("score").alias("best"))
+    scored = scored.join(best, GROUP).where("best <= 0 or score > 0")
+    ranked = scored.withColumn("target_no", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("score"), "repo_id")))
     return ranked.where(F.col("target_no") <= limit).select(*GROUP, "target_no", "repo_id", "score", reason.alias("selection_reason"))
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.numbering import numbered
 from ..functions.sizing import lookup_join
 from ..functions.text import slashes, strings, strip
 from .quality import union
@@ -76,8 +76,7 @@ def target_pages(findings: DataFrame) -> DataFrame:
         F.lit("primary").alias("kind"),
     )
     firsts = candidates.unionByName(primary).groupBy("batch", "kind", "page").agg(F.min(F.struct("pos", "i")).alias("o"))
-    numbered = F.row_number().over(W.partitionBy("batch", "kind").orderBy("o"))
-    return firsts.select("batch", "kind", numbered.alias("page_no"), "page")
+    return numbered(firsts, ["batch", "kind"], "o", "page_no").select("batch", "kind", F.col("page_no").cast("int").alias("page_no"), "page")
 
 
 def batch_rollup(findings: DataFrame) -> DataFrame:

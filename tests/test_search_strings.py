@@ -23,3 +23,16 @@ def test_lookup_join_salts_a_hot_key(spark):
     small = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
     for rows in (10, 0):
         assert sizing.lookup_join(big, small, ["k"], "left", rows=rows, spread=["id"]).where("v is not null").count() == 335
+
+
+def test_numbered_spans_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from corpusspark.functions.numbering import numbered
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), (F.col("id") * 7919 % 3001).alias("o"))
+    got = {(r["g"], r["o"]): r["n"] for r in numbered(rows, ["g"], "o", "n").collect()}
+    order = {}
+    for g, o in sorted(got):
+        order[g] = order.get(g, 0) + 1
+        assert got[(g, o)] == order[g]
