@@ -66,15 +66,15 @@ def test_provided_plan_and_single_member(spark):
 
 
 def test_only_the_index_is_searched_and_links_are_followed(spark):
-    files = {"concepts/flow.md": "see [[codex-agent]] and [[gone]] and [c](../entities/codex-agent.md#x)", "entities/codex-agent.md": "secretword"}
+    files = {"concepts/flow.md": "see [[helper-agent]] and [[gone]] and [c](../entities/helper-agent.md#x)", "entities/helper-agent.md": "secretword"}
     pages, entries = corpus(spark, "kb", files, ["- [Agentic Workflow](concepts/flow.md) - how agents work"])
     r = Retrieval(roots_of(spark, ("kb", "kb", "/kb", True, "read_only", 1)), entries, log(spark, "Agentic Workflow", "secretword", "?!"), pages)
     assert {(t["query_id"], t["path"]) for t in r.top.collect()} == {("q0", "concepts/flow.md")}
     assert r.top.first()["score20"] == (60 + 2 * 25) * 4
     links = {(e["target"], e["dst"]) for e in r.expansion.collect()}
-    assert links == {("codex-agent", "wiki/entities/codex-agent.md"), ("gone", None), ("../entities/codex-agent.md", "wiki/entities/codex-agent.md")}
+    assert links == {("helper-agent", "wiki/entities/helper-agent.md"), ("gone", None), ("../entities/helper-agent.md", "wiki/entities/helper-agent.md")}
     linked = r.candidates.where("source <> 'index.md'").first()
-    assert linked["path"] == "wiki/entities/codex-agent.md" and linked["score20"] == 330
+    assert linked["path"] == "wiki/entities/helper-agent.md" and linked["score20"] == 330
 
 
 def test_module_without_pages_falls_back_to_the_map(spark):
