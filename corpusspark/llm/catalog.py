@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, shards, url_reputation, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,113 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(body) DESC, doc_id)
 """
+
+
+@register
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@register
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES).drop("bad_bound")
+
+
+def _strength_sql(n: str, k: str, kk: str, nn: str, c: str) -> str:
+    mu = f"({k}::DOUBLE / {n})"
+    noise = f"({mu} * (1 - {mu}))"
+    room = f"({n} - {nn} / {n} - ({c} - 1))"
+    rho = f"(({kk} - {k} * {mu} - {noise} * ({c} - 1)) / ({noise} * {room}))"
+    held = f"greatest(least({rho}, 0.5::DOUBLE), 1.0::DOUBLE / 10001)"
+    return f"CASE WHEN {c} > 2 AND {n} > 0 AND {noise} > 0 AND {room} > 0 THEN (1 - {held}) / {held} ELSE 10.0::DOUBLE END"
+
+
+_SUMS = "coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(k), 0)::BIGINT AS k, sum(CASE WHEN n > 0 THEN k::DOUBLE * k / n ELSE 0 END) AS kk, sum(n::DOUBLE * n) AS nn, count(CASE WHEN n > 0 THEN 1 END) AS c"
+_TWO = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
+
+ORACLES["op6_host_reputation"] = f"""
+WITH parsed AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), '{url_reputation.UPPER}', '{url_reputation.LOWER}'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1, 's'), '') AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)),
+outcomes AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k FROM parsed LEFT JOIN outcomes ON page_id = doc_id GROUP BY host),
+named AS (
+  SELECT host, n, k, list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')) AS p FROM counted),
+hosts AS (
+  SELECT host, n, k, CASE WHEN two IN ({_TWO}) THEN two ELSE p[1] END AS suffix,
+         CASE WHEN two IN ({_TWO}) AND len(p) > 2 THEN p[3] || '.' || two ELSE two END AS domain
+  FROM (SELECT *, CASE WHEN len(p) > 1 THEN p[2] || '.' || p[1] ELSE p[1] END AS two FROM named)),
+domains AS (SELECT domain, suffix, {_SUMS} FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, {_SUMS} FROM domains GROUP BY suffix),
+whole AS (SELECT {_SUMS} FROM suffixes),
+tops AS (
+  SELECT s.suffix, {_strength_sql('s.n', 's.k', 's.kk', 's.nn', 's.c')} AS domain_strength,
+         (s.k + (w.k + 1) / (w.n + 2)::DOUBLE * w.m) / (s.n + w.m) AS suffix_mean
+  FROM suffixes s, (SELECT *, {_strength_sql('n', 'k', 'kk', 'nn', 'c')} AS m FROM whole) w),
+middle AS (
+  SELECT d.domain, (d.k + suffix_mean * domain_strength) / (d.n + domain_strength) AS mean, {_strength_sql('d.n', 'd.k', 'd.kk', 'd.nn', 'd.c')} AS m
+  FROM domains d JOIN tops USING (suffix)),
+scored AS (
+  SELECT host, n, k, k + mean * m AS a, n - k + (1 - mean) * m AS b FROM hosts JOIN middle USING (domain)),
+judged AS (
+  SELECT host, n, k, a / (a + b) - {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {url_reputation.MAX_BAD} AS bad FROM scored),
+rules(action, h, p) AS (VALUES {", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)}),
+ruled AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+  FROM (SELECT DISTINCT host, path FROM parsed) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict, n AS host_labelled, k AS host_bad
+FROM parsed JOIN judged USING (host) LEFT JOIN ruled USING (host, path)
+"""
+
+
+@register
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rates = mixing.source_rates(docs)
+    return mixing.replicate(docs.select("doc_id", "source"), rates)
+
+
+ORACLES["op7_poisson_mix"] = """
+WITH sizes AS (
+  SELECT coalesce(source, '') AS s, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY 1),
+rates AS (
+  SELECT s, CASE WHEN chars > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM sizes WHERE chars > 0) * (SELECT sum(chars) FROM sizes)::DOUBLE / chars ELSE 0 END AS rate
+  FROM sizes),
+steps AS (
+  SELECT s, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS upto
+  FROM (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT + 1)) AS k FROM rates WHERE rate > 0)),
+lists AS (SELECT s, list(upto ORDER BY upto) AS upto FROM steps GROUP BY s),
+drawn AS (
+  SELECT doc_id, source, coalesce(source, '') AS s, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+counted AS (
+  SELECT doc_id, source, len(list_filter(upto, lambda c: c <= u))::INT AS copies FROM drawn JOIN lists USING (s)),
+many AS (SELECT doc_id, source, copies, unnest(range(1, copies + 1))::INT AS copy FROM counted WHERE copies > 0)
+SELECT doc_id, source, copy, copies,
+       ('0x' || substr(md5('order0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 15))::BIGINT AS order_key
+FROM many
+"""
+
+
+@register
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+_CHARS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INT >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+ORACLES["op10_warc"] = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT h, max(page_id) AS first_id FROM hashed GROUP BY h)
+SELECT page_id, payload_bytes, {_CHARS} AS payload_digest,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, true AS digest_ok
+FROM hashed JOIN firsts USING (h)
+"""

@@ -55,9 +55,9 @@ def ranked(df: DataFrame, order: list[str | Column], rank: str = "rank") -> Data
     )
 
 
-def uniform(*keys: Column) -> Column:
+def uniform(*keys: Column | str) -> Column:
     """A reproducible number in [0, 1) from the keys: 52 bits of their MD5."""
-    text = F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
+    text = F.concat_ws(":", *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("null")) for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
