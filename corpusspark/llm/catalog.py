@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, shards, url_reputation, warc
+from . import exact_dedup, language_id, mixing, piece_sampling, shards, url_reputation, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,13 @@ SELECT page_id, payload_bytes, {_CHARS} AS payload_digest,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to, true AS digest_ok
 FROM hashed JOIN firsts USING (h)
 """
+
+
+@register
+def op8_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.digests(table(spark, sf_dir, "documents"))

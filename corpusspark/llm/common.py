@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -46,9 +46,8 @@ def ranked(df: DataFrame, order: list[str | Column], rank: str = "rank") -> Data
     )
     part, inner = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = place.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = cut_lineage(counts.alias("a").join(
-        counts.select(F.col("_part").alias("_p"), F.col("_n").alias("_m")).alias("b"), F.expr("_p < _part"), "left"
-    ).groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before")))  # a row per partition of the table
+    order_of = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition of the table
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(order_of), F.lit(0)).alias("_before"))
     return (
         place.withColumn("_part", part).join(F.broadcast(before), "_part")
         .withColumn(rank, F.col("_before") + inner).drop("_part", "_place", "_before")
@@ -67,6 +66,3 @@ def base32_sha1(column: Column) -> Column:
     groups = [F.lpad(F.conv(F.substring(digest, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
-
-def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])

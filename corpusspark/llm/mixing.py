@@ -32,9 +32,9 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, repetition:
         wanted = weights.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
         weighed = sizes.join(wanted, "source", "left").fillna(0.0, ["weight"])
     weighed = weighed.withColumn("weight", F.when(F.col("chars") > 0, F.col("weight")).otherwise(0.0))
-    whole = weighed.agg(F.sum("chars").alias("_all"), F.sum("weight").alias("_w"))  # a single row
-    rate = F.lit(repetition) * F.col("weight") / F.col("_w") * F.col("_all") / F.col("chars")
-    return weighed.crossJoin(F.broadcast(whole)).select("source", "rows", "chars", F.coalesce(F.when(F.col("weight") > 0, rate), F.lit(0.0)).alias("rate"))
+    chars, weight = weighed.agg(F.sum("chars"), F.sum("weight")).first()
+    rate = F.lit(repetition) * F.col("weight") / F.lit(weight or 1.0) * F.lit(chars or 0) / F.col("chars")
+    return weighed.select("source", "rows", "chars", F.coalesce(F.when(F.col("weight") > 0, rate), F.lit(0.0)).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:

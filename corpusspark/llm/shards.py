@@ -42,7 +42,7 @@ def propagate(members: DataFrame, loads: DataFrame, total: int, shards: int, rou
     capacity = total / shards * (1 + SLACK) + 1
     for turn in range(rounds):
         votes = members.groupBy("group", "piece", "shard").agg(F.count("*").alias("n"))
-        best = F.max(F.struct("n", F.xxhash64("group", "piece", "shard").alias("h"), F.col("shard").alias("s")))  # ties: hashed
+        best = F.max(F.struct("n", F.xxhash64("group", "piece", "shard", F.lit(turn)).alias("h"), F.col("shard").alias("s")))  # ties: another choice each round
         wishes = cut_lineage(votes.groupBy("group", "piece").agg(best.alias("b"), F.collect_list(F.struct("shard", "n")).alias("now")).select(
             "group", "piece", F.col("b.s").alias("to"), "now"))  # at most one entry per shard
         demand = [tuple(r) for r in wishes.select("to", F.explode("now").alias("v")).filter("v.shard <> to").groupBy("v.shard", "to").agg(

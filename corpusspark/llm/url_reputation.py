@@ -79,10 +79,10 @@ def reputations(hosts: DataFrame, z: float = Z) -> DataFrame:
     hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
     domains = cut_lineage(_sums(hosts, "domain", "suffix").withColumn("host_strength", _strength()).withColumnRenamed("members", "hosts"))
     suffixes = _sums(domains.select("suffix", "n", "k"), "suffix").withColumn("domain_strength", _strength()).withColumnRenamed("members", "domains")
-    whole = _sums(suffixes.select("n", "k")).select(
-        F.coalesce((F.col("k") + 1) / (F.col("n") + 2), F.lit(0.5)).alias("mean0"), _strength().alias("suffix_strength"))
-    tops = cut_lineage(suffixes.crossJoin(F.broadcast(whole))  # a single row
-                       .withColumn("suffix_mean", _posterior("mean0", "suffix_strength")).select("suffix", "suffix_mean", "domain_strength", "domains"))
+    mean, strength = _sums(suffixes.select("n", "k")).select(
+        F.coalesce((F.col("k") + 1) / (F.col("n") + 2), F.lit(0.5)), _strength()).first()
+    tops = cut_lineage(suffixes.withColumn("_mean", F.lit(mean)).withColumn("_strength", F.lit(strength)).withColumn(
+        "suffix_mean", _posterior("_mean", "_strength")).select("suffix", "suffix_mean", "domain_strength", "domains"))
     n_hosts, n_domains = hosts.count(), domains.count()
     middle = join_groups(domains, tops, "suffix", "domains", n_domains).withColumn(
         "domain_mean", _posterior("suffix_mean", "domain_strength")).select("domain", "domain_mean", "host_strength", F.col("hosts").alias("_hosts"))
