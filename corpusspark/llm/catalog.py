@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, piece_sampling, shards, url_reputation, warc
+from . import exact_dedup, html_extract, language_id, mixing, piece_sampling, shards, url_reputation, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ def op8_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.digests(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
