@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, mixing, piece_sampling, shards, url_reputation, warc
+from . import exact_dedup, html_extract, language_id, mixing, nearest, piece_sampling, shards, url_reputation, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +158,8 @@ def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
