@@ -1,19 +1,22 @@
 """WARC archives with the index first.
 
-The index (file, offset, length, url, digest per record) follows from narrow columns alone: which record is a response
-or a revisit, how long its headers are, and where it stands among its archive's records.  Then Spark's text writer
-writes the archives: a row is a record without its end, the line separator is the end (two CRLF), so attempts that fail
-leave nothing behind and any file system works.  Selected records are read by sorted byte ranges, neighbours together.
+Which record is a response or a revisit follows from narrow columns alone.  Records then go to their archives in one
+shuffle and are written as gzip members, one per record; each writing task returns its part of the index (archive,
+offset, length, url, digest), which is a table of its own.  Reading starts from the index: selected records are sorted
+by archive and offset, and neighbours are fetched by one byte range.  Every attempt writes files of its own name, and
+the index holds those of the attempts that counted, so lost executors cost nothing but an unused file.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 from uuid import uuid4
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,7 +27,9 @@ from .common import base32_sha1, join_groups
 
 END = "\r\n\r\n"
 #: Bytes of payload per archive, bytes read per task, and the gap and size up to which ranges are read together.
-ARCHIVE_BYTES, TASK_BYTES, GAP_BYTES, RANGE_BYTES = 32 << 20, 8 << 20, 64 << 10, 4 << 20
+ARCHIVE_BYTES, TASK_BYTES, GAP_BYTES, RANGE_BYTES = 256 << 20, 8 << 20, 64 << 10, 4 << 20
+#: gzip level.
+LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, digest_ok boolean"
 
@@ -48,46 +53,73 @@ def headers(date: str = DATE) -> Column:
         block.cast("string"), F.lit(END), http)
 
 
-def plan_records(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
-    """The index but for the archives' names: page_id, url, digest, type, refers_to, archive number, offset and length.
+def plan_records(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record, without the payloads.
 
     Of equal payloads the largest page_id is the response (null ids only where there is no other); the rest revisit it.
     Rows of the same page_id and payload are responses both.  Null html is an empty payload.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    narrow = cut_lineage(pages.select("page_id", "url", F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest")))
-    total, size = narrow.agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+    narrow = cut_lineage(pages.select("page_id", F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest")))
+    total = narrow.count()
     groups = cut_lineage(narrow.groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")))
     alone = F.coalesce(F.col("page_id") == F.col("_first"), F.col("_first").isNull())
-    typed = join_groups(narrow, groups, "payload_digest", "_n", total).select(
-        "page_id", "url", "payload_bytes", "payload_digest", F.when(alone, "response").otherwise("revisit").alias("record_type"),
-        F.when(~alone, F.col("_first")).alias("refers_to"))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    archives = max(-(-size // archive_bytes), min(parts, -(-total // 64)), 1)  # enough for every task to have one
-    placed = typed.withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int")).withColumn(
-        "length", (F.octet_length(headers(date)) + F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")) + len(END)).cast("long"))
-    order = W.partitionBy("archive").orderBy(*_order()).rowsBetween(W.unboundedPreceding, -1)
-    return cut_lineage(placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))))
-
-
-def _order() -> list[Column]:
-    return [F.col("page_id").asc_nulls_first(), F.col("payload_digest"), F.col("url").asc_nulls_first()]
+    return cut_lineage(join_groups(narrow, groups, "payload_digest", "_n", total).select(
+        "page_id", "payload_bytes", "payload_digest", F.when(alone, "response").otherwise("revisit").alias("record_type"),
+        F.when(~alone, F.col("_first")).alias("refers_to")))
+
+
+def _writer(folder: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inside = _filesystem(folder)
+        path, out, now, offset = "", None, None, 0
+        for batch in batches:
+            rows: list[tuple] = []
+            for archive, page, url, digest, head, payload in zip(*[batch.column(c).to_pylist() for c in ("archive", "page_id", "url", "payload_digest", "head", "payload")], strict=True):
+                if archive != now:
+                    if out:
+                        out.close()
+                    name = f"archive-{archive:06d}-{uuid4().hex}.warc.gz"
+                    out, path, now, offset = fs.open_output_stream(f"{inside}/{name}", compression=None), f"{folder}/{name}", archive, 0
+                member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                blob = member.compress((head + payload + END).encode("utf-8", "surrogatepass")) + member.flush()
+                out.write(blob)
+                rows.append((path, offset, len(blob), page, url, digest))
+                offset += len(blob)
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, INDEX_TYPES, strict=True)], INDEX_NAMES)
+        if out:
+            out.close()
+
+    return write
+
+
+INDEX_NAMES = ["path", "offset", "length", "page_id", "url", "payload_digest"]
+INDEX_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
-    """Writes ``folder``/archive=N/part-*.txt and returns the index with each record's file as ``path``."""
-    plan = plan_records(pages, archive_bytes, date)
+    """Writes ``folder``/archive-*.warc.gz and returns the index: path, offset, length, page_id, url, payload_digest.
+
+    Decisions and texts meet by one shuffle to the archives: within an archive a decision stands before its records.
+    """
+    plan = plan_records(pages)
+    total, size = plan.agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    archives = max(-(-size // archive_bytes), min(parts, -(-total // 64)), 1)  # enough for every task to have one
     html = F.coalesce(F.col("html"), F.lit(""))
-    texts = pages.select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), html.alias("_html"), base32_sha1(html).alias("_digest"))
-    once = plan.dropDuplicates(["page_id", "payload_digest"]).select("page_id", "payload_digest", "payload_bytes", "record_type", "refers_to", "archive")
-    rows = texts.join(once, F.col("_page").eqNullSafe(F.col("page_id")) & (F.col("_digest") == F.col("payload_digest"))).withColumn("url", F.col("_url"))
-    record = F.concat(headers(date), F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("_html")))
-    archives = plan.agg(F.coalesce(F.max("archive"), F.lit(0))).first()[0] + 1
-    (rows.repartition(archives, "archive").sortWithinPartitions("archive", *_order()).select(record.alias("value"), "archive")
-     .write.partitionBy("archive").option("lineSep", END).text(folder))
-    spark = pages.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "archive")  # names only
-    return plan.join(files, "archive")
+    texts = pages.select("page_id", "url", html.alias("html"), base32_sha1(html).alias("payload_digest"), F.lit(1).alias("_side"))
+    once = plan.filter("record_type = 'revisit'").dropDuplicates(["page_id", "payload_digest"]).select("page_id", "payload_digest", "refers_to", F.lit(0).alias("_side"))
+    both = texts.unionByName(once, allowMissingColumns=True).withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int"))
+    same = W.partitionBy("archive", "page_id", "payload_digest").orderBy("_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = both.repartition(archives, "archive").withColumn("_decided", F.first("_side").over(same)).withColumn("refers_to", F.first("refers_to").over(same))
+    rows = met.filter("_side = 1").withColumn("record_type", F.when(F.col("_decided") == 0, "revisit").otherwise("response")).withColumn(
+        "payload_bytes", F.octet_length("html").cast("long"))
+    payload = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("html"))
+    ready = rows.select("archive", "page_id", "url", "payload_digest", headers(date).alias("head"), payload.alias("payload")).sortWithinPartitions("archive", "page_id", "payload_digest")
+    fs, inside = _filesystem(folder)
+    fs.create_dir(inside, recursive=True)
+    return cut_lineage(ready.mapInArrow(_writer(folder), "path string, offset long, length long, page_id long, url string, payload_digest string"))
 
 
 def _parse(blob: bytes) -> tuple:
@@ -102,10 +134,10 @@ def _parse(blob: bytes) -> tuple:
     return None if page == "null" else int(page), names["WARC-Target-URI"], size, digest, names["WARC-Type"], None if refers == "null" else int(refers), right
 
 
-def _open(path: str):
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """For paths with any scheme that Arrow knows (file, hdfs, s3, gs, ...); Hadoop writes file:/a where Arrow wants file:///a."""
     scheme, _, rest = path.partition(":")
-    fs, inside = pafs.FileSystem.from_uri(path if rest.startswith("//") else f"{scheme}://{rest}")
-    return fs.open_input_file(inside)
+    return pafs.FileSystem.from_uri(path if rest.startswith("//") or not rest else f"{scheme}://{rest}")
 
 
 def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,9 +151,10 @@ def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while j < len(rows) and rows[j][0] == path and rows[j][1] - end <= GAP_BYTES and rows[j][1] + rows[j][2] - start <= RANGE_BYTES:
                 end = max(end, rows[j][1] + rows[j][2])
                 j += 1
-            with _open(path) as f:
+            fs, inside = _filesystem(path)
+            with fs.open_input_file(inside) as f:
                 blob = f.read_at(end - start, start)
-            out += [(*_parse(blob[o - start:o - start + n]), path, o, n) for _, o, n in rows[i:j]]
+            out += [(*_parse(zlib.decompress(blob[o - start : o - start + n], 31)), path, o, n) for _, o, n in rows[i:j]]
             i = j
         frame = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", "archive", "offset", "length"], dtype=object)
         for c in ("page_id", "refers_to"):
