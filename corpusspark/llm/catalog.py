@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, mixing, nearest, piece_sampling, shards, url_reputation, warc
+from . import exact_dedup, html_extract, language_id, mixing, near_copies, nearest, piece_sampling, shards, url_reputation, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,8 @@ def op2_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
+@register
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copy_classes(table(spark, sf_dir, "documents"))
