@@ -124,7 +124,7 @@ def model_of(counted: pd.DataFrame) -> Model:
     for b in range(code.shape[1]):
         weights[:, b] = np.log(dist[code[:, b] > 0].mean(0)) - np.log(dist[code[:, b] < 0].mean(0))
     margin = np.abs(dist @ weights)
-    weights /= np.maximum(margin.mean(0), 1e-9)
+    weights /= np.maximum(margin.mean(0), 1e-9) if len(langs) else 1.0
     trust = margin / np.maximum(margin.sum(1, keepdims=True), 1e-9)
     return Model(langs, code, weights.astype(np.float32), trust)
 

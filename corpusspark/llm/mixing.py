@@ -33,7 +33,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, repetition:
         weighed = sizes.join(wanted, "source", "left").fillna(0.0, ["weight"])
     weighed = weighed.withColumn("weight", F.when(F.col("chars") > 0, F.col("weight")).otherwise(0.0))
     chars, weight = weighed.agg(F.sum("chars"), F.sum("weight")).first()
-    rate = F.lit(repetition) * F.col("weight") / F.lit(weight or 1.0) * F.lit(chars or 0) / F.col("chars")
+    rate = F.lit(repetition) * F.col("weight") / F.lit(weight or 1.0) * F.try_divide(F.lit(chars or 0), F.col("chars"))
     return weighed.select("source", "rows", "chars", F.coalesce(F.when(F.col("weight") > 0, rate), F.lit(0.0)).alias("rate"))
 
 

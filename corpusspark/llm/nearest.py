@@ -136,13 +136,26 @@ def _cell(codes: Codes, keep: int):
     return run
 
 
+def _answers(codes: Codes, reps: DataFrame, queries: DataFrame, ids: DataFrame, k: int, blocks: int, groups: int) -> DataFrame:
+    """(query_key, vec_id, score): the k + 1 nearest rows within the radius of each different query vector."""
+    place = lambda n, salt, key: F.pmod(F.xxhash64(F.lit(salt), key), F.lit(n)).cast("int")
+    index = reps.select("key", "rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), place(blocks, 1, "key").alias("b"))
+    asked = queries.select("query_key", "vector", place(groups, 2, "query_key").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    found = index.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(_cell(codes, k + 1), "query_key string, key string, rep long, score double")
+    best = W.partitionBy("query_key").orderBy(F.desc("score"), "rep")
+    classes = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n", "rep")
+    # equal vectors share their answer: at most k + 1 classes of at most k + 1 ids, cut to k + 1 before the queries' own ids
+    answer = W.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
+    return cut_lineage(classes.join(ids, "key").withColumn("n", F.row_number().over(answer)).filter(F.col("n") <= k + 1).drop("n", "key"))
+
+
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, nearest first, ties to the smaller id.
 
     ``is_query``: condition on ``vectors`` naming the queries.  A query's own id is no candidate.  Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do those without an id or of another length than
-    most; rows that repeat id and vector count once.  Fewer than k candidates: all that are found.  Few or equal vectors
-    (no more than k + 1 different ones) are all retrieved: the radius then covers every code.
+    most; rows that repeat id and vector count once.  Queries that find fewer than k ask again with wider radii, so fewer
+    rows mean that there are no more candidates.
     """
     value = F.col(vector_col)
     sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
@@ -160,20 +173,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     longest = reps.select(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     sample = reps.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("vector").toPandas()
     codes = learn(_matrix(sample["vector"]), longest, k=k)
-    if count <= k + 1:
-        codes.radius, codes.shares = BITS, _shares(BITS, BITS // PART)
-    blocks, groups = -(-count // INDEX_BLOCK), max(1, -(-asked // QUERY_BLOCK))
-    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(n)).cast("int")
-    index = reps.select("key", "rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), place(blocks, 1).alias("b"))
-    queries = reps.filter("query").select(F.col("key").alias("query_key"), "vector", place(groups, 2).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    found = index.groupBy("b", "g").cogroup(queries.groupBy("b", "g")).applyInPandas(_cell(codes, k + 1), "query_key string, key string, rep long, score double")
-    best = W.partitionBy("query_key").orderBy(F.desc("score"), "rep")
-    classes = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n", "rep")
+    blocks = -(-count // INDEX_BLOCK)
     members = W.partitionBy("key").orderBy("id")
     ids = rows.dropDuplicates(["id", "key"]).withColumn("n", F.row_number().over(members)).filter(F.col("n") <= k + 1).select("key", F.col("id").alias("vec_id"))
-    # equal vectors share their answer: at most k + 1 classes of at most k + 1 ids, cut to k + 1 before the queries' own ids
-    answer = W.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    answers = cut_lineage(classes.join(ids, "key").withColumn("n", F.row_number().over(answer)).filter(F.col("n") <= k + 1).drop("n", "key"))
+    ids = cut_lineage(ids)
+    enough = min(k + 1, ids.count())
+    queries, answers = reps.filter("query").select(F.col("key").alias("query_key"), "vector"), None
+    while asked:
+        found = _answers(codes, reps, queries, ids, k, blocks, max(1, -(-asked // QUERY_BLOCK)))
+        full = found.groupBy("query_key").count().filter(F.col("count") >= (0 if codes.radius >= BITS else enough)).select("query_key")
+        done = found.join(full, "query_key", "left_semi")
+        answers = done if answers is None else answers.unionByName(done)
+        queries = cut_lineage(queries.join(full, "query_key", "left_anti"))  # far from all others: again with a wider radius
+        asked = 0 if codes.radius >= BITS else queries.count()
+        codes.radius = min(BITS, codes.radius + BITS // 8)
+        codes.shares = _shares(codes.radius, BITS // PART)
+    if answers is None:
+        return vectors.sparkSession.createDataFrame([], schema)
     whose = rows.filter("query").select(F.col("id").alias("query_id"), F.col("key").alias("query_key")).distinct()
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return whose.join(answers, "query_key").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SHARPNESS = 1.0
+SHARPNESS = 0.3
 #: Characters sampled at once; nodes of different words a task keeps before it starts its table anew.
 SLICE, NODES = 1 << 20, 3_000_000
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")

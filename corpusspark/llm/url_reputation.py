@@ -53,19 +53,20 @@ def rule_match(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 def _strength() -> Column:
     """Beta prior strength from members with n outcomes of which k are bad: sums n, k, k*k/n, n*n and member count c."""
-    mu = F.col("k") / F.col("n")
+    over = F.try_divide
+    mu = over(F.col("k"), F.col("n"))
     spread = F.col("kk") - F.col("k") * mu
     noise = mu * (1 - mu)
-    rho = (spread - noise * (F.col("c") - 1)) / (noise * (F.col("n") - F.col("nn") / F.col("n") - (F.col("c") - 1)))
-    good = (F.col("c") > 2) & (noise > 0) & (F.col("n") - F.col("nn") / F.col("n") - (F.col("c") - 1) > 0)
+    room = F.col("n") - over(F.col("nn"), F.col("n")) - (F.col("c") - 1)
+    rho = over(spread - noise * (F.col("c") - 1), noise * room)
     held = F.greatest(F.least(rho, F.lit(1 / (1 + LEAST))), F.lit(1 / (1 + MOST)))
-    return F.when(good, (1 - held) / held).otherwise(F.lit(STRENGTH))
+    return F.when((F.col("c") > 2) & (noise > 0) & (room > 0), (1 - held) / held).otherwise(F.lit(STRENGTH))
 
 
 def _sums(members: DataFrame, *keys: str) -> DataFrame:
     """Members' outcomes, of those that have any, summed per key; rows counts the members."""
     return members.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.when(F.col("n") > 0, F.col("k") * F.col("k") / F.col("n")).otherwise(0.0)).alias("kk"),
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.coalesce(F.try_divide(F.col("k") * F.col("k"), F.col("n")), F.lit(0.0))).alias("kk"),
         F.sum((F.col("n") * F.col("n")).cast("double")).alias("nn"), F.count(F.when(F.col("n") > 0, 1)).alias("c"), F.count("*").alias("members"))
 
 
