@@ -20,8 +20,8 @@ PAGE_BASE = """
 select doc_id, source as root_id, k, up,
        prefix || up || '/' || case when k % 20 = 1 then 'repository-map-' else 'page-' end || cast(doc_id as string) || '.md' as path,
        trim(case when k % 3 = 0 then up || ' ' else '' end
-            || translate(left(split_part(text, chr(10), 1), 50), '[]()|#`:"<>', '') || ' ' || cast(doc_id as string)) as title,
-       trim(left(translate(replace(text, chr(10), ' '), '[]()|#`<>', ''), 120))
+            || translate(split_part(text, chr(10), 1), '[]()|#`:"<>', '') || ' ' || cast(doc_id as string)) as title,
+       trim(translate(replace(text, chr(10), ' '), '[]()|#`<>', ''))
             || case when k % 4 = 0 then ' src/main/' || up || 'Service.java' else '' end
             || case when k % 7 = 5 then ' 运行时 消费边界' else '' end as summary,
        text
@@ -42,6 +42,7 @@ select root_id, case when n % 5 = 4 then 'code ' || root_id else 'kb ' || root_i
 from (select distinct source as root_id, cast(substr(source, 4) as bigint) as n from {documents}) r
 """
 
+# The pages left out of the index (every other hundred of those under queries/) are the case of the rule for unindexed pages.
 INDEX_LINES = """
 select root_id, cast(doc_id as bigint) as entry_pos, '- [' || title || '](' || path || ') — ' || summary as line
 from ({page_base}) b where k % 10 <> 9 or k % 20 = 9
@@ -63,10 +64,10 @@ select root_id, path, doc_id, k, up,
                      when 1 then 'sources: []' || chr(10) when 2 then '' else 'sources: [raw/b.md]' || chr(10) end
        || '---' || chr(10) || '# ' || title || chr(10) || chr(10) || text || chr(10) || chr(10)
        || case when k % 10 = 2 then '## Source Snapshot' || chr(10) || 'raw copy' || chr(10) || chr(10) || '## Outline' || chr(10) || '- one' || chr(10) || chr(10)
-               || '## Summary' || chr(10) || left(replace(text, chr(10), ' '), cast(40 + 20 * (k % 5) as int)) || chr(10) || chr(10) else '' end
+               || '## Summary' || chr(10) || case when k % 5 < 2 then 'short' else replace(text, chr(10), ' ') end || chr(10) || chr(10) else '' end
        || case when k % 10 = 0 then {sections} else '' end
        || case when k % 10 = 1 then '| 产品模块 | 产品能力 | 对应 Repo | 入口 |' || chr(10) || '| --- | :---: | --- | --- |' || chr(10)
-               || '| ' || up || ' | 数据权限 ' || translate(left(split_part(text, chr(10), 1), 40), '|`', '') || ' | ' || lower(up) || '-team-' || cast(k % 13 as string) || ' | src/App' || cast(doc_id as string) || 'Service.java |' || chr(10)
+               || '| ' || up || ' | 数据权限 ' || translate(split_part(text, chr(10), 1), '|`', '') || ' | ' || lower(up) || '-team-' || cast(k % 13 as string) || ' | src/App' || cast(doc_id as string) || 'Service.java |' || chr(10)
                || '| other | 导出 | web | `repos/' || lower(up) || '-team-' || cast((k + 2) % 13 as string) || '/src/b.java` |' || chr(10)
                || '| short row |' || chr(10) || chr(10) else '' end
        || '[[page-' || cast(doc_id + 20 as string) || '|next page]] and [again](page-' || cast(doc_id + 200 as string) || '.md#part)' || chr(10)
@@ -84,7 +85,7 @@ def _sections() -> str:
     for j, heading in enumerate(CODE_FEATURE_REQUIRED_HEADINGS):
         body = (
             f"case when (k + {j}) % 7 = 2 then '- 待补充' when (k + {j}) % 7 = 3 then '- see src/main/' || up || '/Doc' || cast(doc_id as string) "
-            f"|| 'Service.java' when (k + {j}) % 7 = 4 then '- short' else '- ' || left(replace(text, chr(10), ' '), 60) end"
+            f"|| 'Service.java' when (k + {j}) % 7 = 4 then '- short' else '- ' || replace(text, chr(10), ' ') end"
         )
         parts.append(f"case when (k + {j}) % 11 <> 0 then '## {heading}' || chr(10) || {body} || chr(10) || chr(10) else '' end")
     return "(" + " || ".join(parts) + ")"
@@ -93,7 +94,7 @@ def _sections() -> str:
 # Benchmark items as a query log; the suffix makes every intent, operator and selection rule occur.
 QUERIES = """
 select 'q' || cast(item_id as string) as query_id,
-       case when item_id % 24 in (17, 23) then '' else split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) end
+       case when item_id % 24 in (17, 23) then '' else text end
        || case item_id % 24 when 17 then '代码 如何实现' when 23 then '代码 有哪些' when 13 then ' 新增 导出 风险'
             else case item_id % 12 when 0 then '' when 1 then ' 代码' when 2 then ' EN 有哪些能力' when 3 then ' 原文' when 4 then ' FR 有几个应用'
             when 5 then ' 支持哪些事件类型' when 6 then ' 代码地图 哪个仓库' when 7 then ' 如何实现 运行时 生效' when 8 then ' field dictionary'
@@ -107,11 +108,11 @@ select 'q' || cast(item_id as string) as query_id,
 from {benchmark}
 """
 
-# User turns as a second query log, for the text features that need no retrieval.
+# Turns of conversations as a second query log, for the text features that need no retrieval.
 USER_QUERIES = """
 select cast(conv_id as string) || '-' || cast(turn as string) as query_id,
        text || case turn % 4 when 0 then ' 用户想改数据权限策略导出' when 1 then '' when 2 then ' 有哪些应用类型 API' else ' submodule 支撑任务中心现状' end as query
-from {conversations} where role = 'user'
+from {conversations}
 """
 
 ROOT_FILES = [
@@ -153,7 +154,7 @@ select cast(o_custkey as string) as repo_id, 'repos/c' || cast(o_custkey as stri
 from {orders} group by o_custkey
 """
 
-# Two versions of the documents as files of two commits.
+# Two versions of the documents as files of two commits; those that the current one lacks are the deleted files.
 FILE_VERSIONS = """
 select 'previous' as version, source as repo_id, 'd' || cast(doc_id as string) || '.txt' as path, text as content from {documents}
 union all
@@ -215,6 +216,7 @@ select d.source as batch_id, 'F-' || cast(d.doc_id as string) as finding_id, d.d
   '{{"finding_id": "F-' || cast(d.doc_id as string) || '", "batch_id": "' || d.source || '", "kind": "doc", '
   || case when d.doc_id % 6 <> 1 then '"title": "' || case when d.doc_id % 5 = 0 then 'plain title' else '文档 ' || cast(d.doc_id as string) end || '", ' else '' end
   || '"current_state": "' || case when d.doc_id % 8 = 0 then 'english only' else '现状' end || '", '
+  || case d.doc_id % 14 when 3 then '"repairs": [{{"rationale": "fix it", "confidence": 0.5}}], ' when 9 then '"notes": ["english note", {{"reason": "nested reason"}}, ["not a field"]], ' else '' end
   || '"knowledge_level": "' || case d.doc_id % 4 when 0 then 'code_map' when 1 then 'feature_implementation' when 2 then 'coding_playbook' else 'other_level' end || '", '
   || '"confidence": ' || case when d.doc_id % 9 = 0 then '1.5' when d.doc_id % 9 = 4 then '"high"' else '0.' || cast(5 + l.quality * 4 as string) end || ', '
   || '"evidence_refs": ["E-' || d.source || '-' || cast(d.doc_id as string) || '", "docs/d' || cast(d.doc_id as string) || '.txt:1-' || cast(1 + d.doc_id % 12 as string) || '", "docs/d'
@@ -264,8 +266,8 @@ select 'r' || cast(d.doc_id as string) as request_id, d.doc_id, d.source as root
   case when d.doc_id % 9 <> 4 then '# Knowledge Manager 维护请求' else '# other' end || chr(10) || '- knowledge_id: ' || d.source || chr(10) || '- team_run_id: run-' || cast(d.doc_id % 50 as string) || chr(10)
   || '- manifest: handoff/manifest.json' || chr(10) || chr(10)
   || '| 分片 | 主题 | 来源批次 |' || chr(10) || '| --- | --- | --- |' || chr(10)
-  || '| handoff/shards/H1.md | ' || translate(left(split_part(d.text, chr(10), 1), 24), '|`', '') || ' | B1-x |' || chr(10)
-  || case when l.quality = 1 then '| handoff/shards/H2.md | ' || translate(left(replace(d.text, chr(10), ' '), 12), '|`', '') || ' | B2-y |' || chr(10) else '' end || chr(10)
+  || '| handoff/shards/H1.md | ' || translate(split_part(d.text, chr(10), 1), '|`', '') || ' | B1-x |' || chr(10)
+  || case when l.quality = 1 then '| handoff/shards/H2.md | ' || translate(replace(d.text, chr(10), ' '), '|`', '') || ' | B2-y |' || chr(10) else '' end || chr(10)
   || '| 分片 | 来源摘要页 | 来源摘要蓝图 |' || chr(10) || '| --- | --- | --- |' || chr(10)
   || '| handoff/shards/H1.md | wiki/sources/code/team-runs/r' || cast(d.doc_id % 3 as string) || '.md | handoff/source/H1.md |' || chr(10) || chr(10)
   || case when d.doc_id % 2 = 0 then '| 分片 | 来源摘要页 | 主正式代码页 | 备选候选页 | 知识层级 | 落页蓝图 |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10)
@@ -297,10 +299,8 @@ def duckdb_sql(name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table.  A file too small to be split is spread over the cores; larger inputs stay as read."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, number: str, limit: int | None) -> DataFrame:
+    """Rows whose ``number`` is at most ``limit``; all rows without one."""
+    return df if limit is None else df.where(F.col(number) <= limit)
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when the table has at most ``rows`` rows of ``size`` bytes together; reads no further than that many rows."""
+    bytes_of = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    count, taken = df.limit(rows + 1).agg(F.count("*"), F.coalesce(bytes_of, F.lit(0))).first()
+    return count <= rows and taken <= size
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",

@@ -69,7 +69,8 @@ def field_issues(findings: DataFrame) -> DataFrame:
 
     has = lambda k: F.array_contains("keys", k)
     raw = lambda k: F.get_json_object("line", f"$.{k}")
-    number = F.regexp_extract("line", r'"confidence"\s*:\s*(-?[0-9][0-9.eE+-]*)', 1).try_cast("double")
+    given = F.try_variant_get(F.try_parse_json("line"), "$.confidence", "variant")
+    number = F.when(F.schema_of_variant(given).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(given, "$", "double"))
     marks = [mark(~has(k), "finding_field_missing", k) for k in V.FINDING_FIELDS]
     marks += [
         mark((F.col("knowledge_level") != "") & ~F.col("knowledge_level").isin(V.KNOWLEDGE_LEVELS), "invalid_knowledge_level", F.col("knowledge_level")),
@@ -180,23 +181,40 @@ def coding_context_issues(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     ])
 
 
-def language_issues(findings: DataFrame) -> DataFrame:
-    """Texts for people without a Chinese character, one row per text."""
-    single = [
-        F.struct(F.lit(k).alias("field"), F.lit(None).cast("int").alias("idx"), F.col(k).alias("value")) for k in ("title", "current_state")
-    ]
+def _nesting(line: Column) -> Column:
+    """How deep objects and lists stand in each other."""
+    brackets = F.regexp_extract_all(F.regexp_replace(line, r'"(?:[^"\\\\]|\\\\.)*"', ""), F.lit(r"[\[\]{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda a: a["most"])
 
-    def listed(k: str) -> Column:
-        detail = lambda v: F.when(v.startswith("{"), F.coalesce(F.get_json_object(v, "$.detail"), F.lit(""))).otherwise(v)
-        return F.transform(
-            F.coalesce(F.col(k), strings([])),
-            lambda v, i: F.struct(F.lit(k).alias("field"), i.cast("int").alias("idx"), detail(v).alias("value")),
-        )
-
-    lists = [listed(k) for k in ("design_implications", "blocking_gaps", "non_blocking_gaps", "exploration_hints")]
-    texts = findings.select("batch_id", "finding_id", F.inline(F.concat(F.array(*single), *lists)))
-    bad = texts.where((strip(F.coalesce("value", F.lit(""))) != "") & ~has_cjk(F.coalesce("value", F.lit(""))))
-    return issues(bad, "human_text_not_chinese", F.col("field"), F.col("idx"))
+
+def human_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, value): every text of the JSON column ``line`` that is the value of a field for people, or an element
+    of such a field's list, at any depth.  One explosion per level; the number of levels comes from the data."""
+    spark = rows.sparkSession
+    depth = rows.agg(F.max(_nesting(F.col("line")))).first()[0] or 0
+    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json("line").alias("v"), F.lit(False).alias("human"))
+    names, kept = ", ".join(f"'{n}'" for n in V.HUMAN_TEXT_FIELDS), ", ".join(keys)
+    found = []
+    for _ in range(depth):
+        level = spark.sql(f"""
+            SELECT {kept}, CASE WHEN e.key IS NULL THEN path || '[' || e.pos || ']' WHEN path = '' THEN e.key ELSE path || '.' || e.key END AS path,
+                   e.value AS v, CASE WHEN e.key IS NULL THEN human AND NOT startswith(schema_of_variant(e.value), 'ARRAY') ELSE e.key IN ({names}) END AS human
+            FROM (SELECT * FROM {{level}} WHERE v IS NOT NULL AND schema_of_variant(v) RLIKE '^(ARRAY|OBJECT)') w, LATERAL variant_explode(w.v) e""", level=level)
+        found.append(level.where("human AND schema_of_variant(v) = 'STRING'").select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value")))
+    empty = rows.where(F.lit(False)).select(*keys, F.lit("").alias("path"), F.lit("").alias("value"))
+    return union([empty, *found])
+
+
+def language_issues(findings: DataFrame) -> DataFrame:
+    """Texts for people without a Chinese character, one row per text with its place in the finding."""
+    texts = human_texts(findings.select("batch_id", "finding_id", "line"), ["batch_id", "finding_id"])
+    return issues(texts.where((strip(F.col("value")) != "") & ~has_cjk(F.col("value"))), "human_text_not_chinese", F.col("path"))
 
 
 def finding_issues(findings: DataFrame, ranges: DataFrame) -> DataFrame:

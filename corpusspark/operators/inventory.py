@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.sizing import at_most
 from ..functions.text import any_of, contains_any, file_name, file_suffix, lines_of, strip
 
 
@@ -47,14 +48,14 @@ def is_config_file(path: Column) -> Column:
     return name.isin(V.CONFIG_FILE_NAMES) | name.startswith("config.") | name.startswith("settings.")
 
 
-def listed_files(files: DataFrame, limit: int = V.LISTED_FILE_LIMIT) -> DataFrame:
-    """(repo_id, kind, file_no, path): the first dependency and configuration files of every repository."""
+def listed_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo_id, kind, file_no, path): dependency and configuration files of every repository, in path order."""
     kinds = F.array_compact(F.array(
         F.when(is_dependency_file(F.col("path")), F.lit("dependency")), F.when(is_config_file(F.col("path")), F.lit("config"))
     ))
     found = files.select("repo_id", "path", F.explode(kinds).alias("kind"))
     order = W.partitionBy("repo_id", "kind").orderBy("path")
-    return found.withColumn("file_no", F.row_number().over(order)).where(F.col("file_no") <= limit)
+    return at_most(found.withColumn("file_no", F.row_number().over(order)), "file_no", limit)
 
 
 def nearest_symbol(lines: Column, line_no: Column, reach: int = 18) -> Column:
@@ -70,8 +71,8 @@ def nearest_symbol(lines: Column, line_no: Column, reach: int = 18) -> Column:
     return F.coalesce(name, F.lit(""))
 
 
-def entrypoints(files: DataFrame, limit: int = V.ENTRYPOINT_FILE_LIMIT) -> DataFrame:
-    """First entrypoint line of a file, for the first ``limit`` such files of every repository.
+def entrypoints(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """First entrypoint line of a file, for every such file of a repository (``limit``: only the first).
 
     Lines are handled inside the row, so the only shuffle carries one short row per file with a hit.
     """
@@ -82,13 +83,13 @@ def entrypoints(files: DataFrame, limit: int = V.ENTRYPOINT_FILE_LIMIT) -> DataF
     ).where("line > 0")
     found = marked.select("repo_id", "path", "line", nearest_symbol(F.col("lines"), F.col("line")).alias("symbol"))
     order = W.partitionBy("repo_id").orderBy("path")
-    return found.withColumn("entry_no", F.row_number().over(order)).where(F.col("entry_no") <= limit)
+    return at_most(found.withColumn("entry_no", F.row_number().over(order)), "entry_no", limit)
 
 
-def candidate_modules(files: DataFrame, modules: int = V.MODULE_LIMIT, per_module: int = V.MODULE_FILE_LIMIT) -> DataFrame:
+def candidate_modules(files: DataFrame, modules: int | None = None, per_module: int | None = None) -> DataFrame:
     """(repo_id, module_no, module, paths): first two path parts below the repository.
 
-    The cuts run as windows before anything is collected, so a list never exceeds ``per_module``.
+    ``modules`` and ``per_module`` cut by windows before anything is collected; by default all are listed.
     """
     inner = F.substring("path", F.char_length("repo_path") + 2, F.char_length("path"))
     parts = F.split(inner, "/")
@@ -96,9 +97,9 @@ def candidate_modules(files: DataFrame, modules: int = V.MODULE_LIMIT, per_modul
         "repo_id", "path", F.array_join(F.slice(parts, 1, 2), "/").alias("module")
     )
     names = keyed.select("repo_id", "module").distinct()
-    ranked = names.withColumn("module_no", F.row_number().over(W.partitionBy("repo_id").orderBy("module"))).where(F.col("module_no") <= modules)
+    ranked = at_most(names.withColumn("module_no", F.row_number().over(W.partitionBy("repo_id").orderBy("module"))), "module_no", modules)
     in_module = W.partitionBy("repo_id", "module").orderBy("path")
-    firsts = keyed.distinct().withColumn("rn", F.row_number().over(in_module)).where(F.col("rn") <= per_module)
+    firsts = at_most(keyed.distinct().withColumn("rn", F.row_number().over(in_module)), "rn", per_module)
     return firsts.join(ranked, ["repo_id", "module"]).groupBy("repo_id", "module_no", "module").agg(
         F.array_sort(F.collect_list("path")).alias("paths")
     )

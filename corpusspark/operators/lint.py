@@ -85,9 +85,9 @@ def named_in_index(pages: DataFrame, index_lines: DataFrame, entries: DataFrame)
     paths = pages.select("root_id", "path").distinct()
     linked = paths.join(entries.select("root_id", "path").distinct(), ["root_id", "path"], "left_semi")
     rest = paths.join(linked, ["root_id", "path"], "left_anti")
-    needles = rest.select(F.col("path").alias("needle"))
+    needles = rest.select("root_id", F.col("path").alias("needle"))
     lines = index_lines.where("line <> ''").select("root_id", "line")
-    inside = contained(needles, lines, "line").select("root_id", F.col("needle").alias("path")).distinct()
+    inside = contained(needles, lines, "line", ["root_id"]).select("root_id", F.col("needle").alias("path")).distinct()
     return linked.unionByName(rest.join(inside, ["root_id", "path"], "left_semi"))
 
 

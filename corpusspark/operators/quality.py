@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.sizing import at_most
 from ..functions.terms import is_strong_topic_term
 from ..functions.text import any_of, canonical_path, contains_any, strings
 from . import extract
@@ -244,7 +245,7 @@ def profile_gaps(context: DataFrame, bundle: DataFrame, coverage: DataFrame, tra
                  reason="code_or_prd_query_has_no_specific_business_topic"),
         gap_rows(rest.where("n_feature_pages = 0"), **base, gap_no=2, code="profile_code_feature_evidence_missing"),
         gap_rows(rest.where("n_feature_pages > 0 and not covered"), **base, gap_no=3, code="profile_query_topic_not_covered",
-                 topic_terms=F.slice("topic_terms", 1, 12),
+                 topic_terms=F.col("topic_terms"),
                  reason="selected_code_feature_page_does_not_cover_query_specific_topic"),
         gap_rows(per_page.where("not coalesce(has_trace, false)"), **base, gap_no=4, path=F.col("path"),
                  code="profile_code_feature_source_trace_missing"),
@@ -276,7 +277,7 @@ def code_gaps(targets: DataFrame, context: DataFrame, bundle: DataFrame, coverag
     module = plans.where(F.size("modules") > 0).join(covered, GROUP, "left_anti")
     base = {"query_id": F.col("query_id"), "stage": 1, "severity": "major"}
     return union([
-        gap_rows(topic, **base, gap_no=0, code="query_topic_not_covered", topic_terms=F.slice("topic_terms", 1, 12),
+        gap_rows(topic, **base, gap_no=0, code="query_topic_not_covered", topic_terms=F.col("topic_terms"),
                  reason="selected_code_feature_pages_do_not_cover_query_topic"),
         gap_rows(module, **base, gap_no=1, root_id=F.col("root_id"), code="query_module_not_covered", modules=F.col("modules"),
                  reason="query_requested_module_but_selected_code_feature_pages_do_not_match_module"),
@@ -348,8 +349,8 @@ def review(context: DataFrame, gaps: DataFrame, quality: DataFrame, targets: Dat
     )
 
 
-def review_scope(candidates: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` rows per query, roots by priority, then by position."""
+def review_scope(candidates: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows per query in review order: roots by priority, then by position; ``limit`` keeps the first."""
     order = W.partitionBy("query_id").orderBy(F.desc("priority"), "root_id", "pos")
     ranked = candidates.join(targets.select(*GROUP, "priority"), GROUP).withColumn("review_pos", F.row_number().over(order))
-    return ranked.where(F.col("review_pos") <= limit).drop("priority")
+    return at_most(ranked, "review_pos", limit).drop("priority")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.sizing import at_most
 from ..functions.terms import is_strong_topic_term
 from ..functions.text import contains_any, drop_prefix, slashes, strings
 from . import extract
@@ -62,7 +63,7 @@ def row_relevance(terms: Column, modules: Column) -> Column:
     return F.when((topic_points > 0) & ~blocked, module_points + topic_points).otherwise(0)
 
 
-def code_map_matches(bundle: DataFrame, rows: DataFrame, asks: DataFrame, key: list[str], limit: int = V.CODE_MAP_MATCH_LIMIT) -> DataFrame:
+def code_map_matches(bundle: DataFrame, rows: DataFrame, asks: DataFrame, key: list[str], limit: int | None = None) -> DataFrame:
     """Best code-map rows per ask.  ``asks``: key columns (with query_id), terms, ask_modules."""
     held = bundle.where("content is not null").select(
         "query_id", F.col("root_id").alias("page_root"), F.col("path").alias("page_path")
@@ -72,7 +73,7 @@ def code_map_matches(bundle: DataFrame, rows: DataFrame, asks: DataFrame, key: l
         .withColumn("relevance", row_relevance(F.col("terms"), F.col("ask_modules"))).where("relevance > 0")
     )
     order = W.partitionBy(*key).orderBy(F.desc("relevance"), "page_path", "row_index", "page_root")
-    return scored.withColumn("match_no", F.row_number().over(order)).where(F.col("match_no") <= limit)
+    return at_most(scored.withColumn("match_no", F.row_number().over(order)), "match_no", limit)
 
 
 # ---- repositories ---------------------------------------------------------------------------------------------
@@ -132,11 +133,11 @@ def page_path_counts(bundle: DataFrame) -> DataFrame:
         "page_root", "page_path", "value").agg(F.count("*").alias("n"))
 
 
-def repo_targets(plans: DataFrame, bundle: DataFrame, rows: DataFrame, repos: DataFrame, limit: int = V.REPO_TARGET_LIMIT) -> DataFrame:
+def repo_targets(plans: DataFrame, bundle: DataFrame, rows: DataFrame, repos: DataFrame, limit: int | None = None) -> DataFrame:
     """Best repositories per query and code root, with score and reason.
 
     ``plans``: query_id, root_id, terms, ask_modules (lower case).  Only repositories with a hit are scored;
-    the first ``limit`` repositories of the root stand in when there is no positive score.
+    the repositories of the root (the first ``limit``) stand in when there is no positive score.
     """
     held = bundle.where("content is not null").select(
         "query_id", F.col("root_id").alias("page_root"), F.col("path").alias("page_path")
@@ -157,10 +158,10 @@ def repo_targets(plans: DataFrame, bundle: DataFrame, rows: DataFrame, repos: Da
         plans.select(*GROUP, F.explode(F.transform("terms", F.lower)).alias("needle"), F.lit(2).alias("w"))
     ).where("needle <> ''")
     texts = repos.select("root_id", "repo_id", F.lower(F.concat_ws(" ", "repo_id", "path", F.coalesce("remote", F.lit("")))).alias("repo_text"))
-    worded = contained(words, texts, "repo_text").select("root_id", "repo_id", "needle").join(words, ["root_id", "needle"]).groupBy(
+    worded = contained(words, texts, "repo_text", ["root_id"]).select("root_id", "repo_id", "needle").join(words, ["root_id", "needle"]).groupBy(
         *GROUP, "repo_id").agg(F.sum("w").alias("word_score"))
     first = W.partitionBy("root_id").orderBy("repo_id")
-    stand_in = repos.select("root_id", "repo_id").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit).drop("rn")
+    stand_in = at_most(repos.select("root_id", "repo_id").withColumn("rn", F.row_number().over(first)), "rn", limit).drop("rn")
     default = plans.join(stand_in, "root_id").select(
         *GROUP, "repo_id", ((F.size("ask_modules") == 0) & (F.size("terms") == 0)).cast("long").alias("base")
     )
@@ -182,18 +183,18 @@ def repo_targets(plans: DataFrame, bundle: DataFrame, rows: DataFrame, repos: Da
     best = scored.groupBy(*GROUP).agg(F.max("score").alias("best"))
     scored = scored.join(best, GROUP).where("best <= 0 or score > 0")
     ranked = scored.withColumn("target_no", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("score"), "repo_id")))
-    return ranked.where(F.col("target_no") <= limit).select(*GROUP, "target_no", "repo_id", "score", reason.alias("selection_reason"))
+    return at_most(ranked, "target_no", limit).select(*GROUP, "target_no", "repo_id", "score", reason.alias("selection_reason"))
 
 
 # ---- anchors ------------------------------------------------------------------------------------------------------
-def code_anchors(bundle: DataFrame, matches: DataFrame, targets: DataFrame, limit: int = V.ANCHOR_LIMIT) -> DataFrame:
+def code_anchors(bundle: DataFrame, matches: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
     """Anchors per query: paths of the matched code-map rows first, then anchors of the evidence pages.
 
     A page adds at most ``limit`` distinct anchors to a list of ``limit``, so cutting each page there is exact.
     """
     found = bundle.where("content is not null")
     per_page = found.select("root_id", "path", "content").dropDuplicates(["root_id", "path"]).select(
-        "root_id", "path", F.posexplode(F.slice(extract.anchor_values(F.col("content")), 1, limit)).alias("anchor_pos", "a")
+        "root_id", "path", F.posexplode(extract.anchor_values(F.col("content")) if limit is None else F.slice(extract.anchor_values(F.col("content")), 1, limit)).alias("anchor_pos", "a")
     )
     ordered = found.select("query_id", "root_id", "path", "evidence_pos").join(
         targets.select("query_id", "root_id", "priority"), GROUP
@@ -202,8 +203,9 @@ def code_anchors(bundle: DataFrame, matches: DataFrame, targets: DataFrame, limi
     firsts = (
         ordered.join(per_page, ["root_id", "path"]).groupBy("query_id", "a.kind", "a.value")
         .agg(F.min_by("path", rank).alias("evidence_page"), F.min(rank).alias("o"))
-        .withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("o"))).where(F.col("rn") <= limit)
+        .withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("o")))
     )
+    firsts = at_most(firsts, "rn", limit)
     has_match = matches.select("query_id", F.lit(True).alias("has_match")).distinct()
     fallback = (
         firsts.join(has_match, "query_id", "left")
@@ -220,7 +222,7 @@ def code_anchors(bundle: DataFrame, matches: DataFrame, targets: DataFrame, limi
     order = F.struct("step", "a", "b")
     distinct = both.groupBy("query_id", "kind", "value").agg(F.min_by("evidence_page", order).alias("evidence_page"), F.min(order).alias("o"))
     numbered = distinct.withColumn("anchor_no", F.row_number().over(W.partitionBy("query_id").orderBy("o")))
-    return numbered.where(F.col("anchor_no") <= limit).select("query_id", "anchor_no", "kind", "value", "evidence_page")
+    return at_most(numbered, "anchor_no", limit).select("query_id", "anchor_no", "kind", "value", "evidence_page")
 
 
 def explorations(context: DataFrame, plans: DataFrame, matches: DataFrame, anchors: DataFrame, targets: DataFrame) -> DataFrame:
@@ -236,7 +238,7 @@ def explorations(context: DataFrame, plans: DataFrame, matches: DataFrame, ancho
         joined = joined.join(part, "query_id", "left")
     status = F.when(F.col("n_repos").isNull(), "none").when(F.col("matched"), "matched").otherwise("snapshot_fallback")
     return joined.select(
-        "query_id", F.lit(True).alias("enabled"), F.slice("topic_terms", 1, V.EXPLORATION_TERM_LIMIT).alias("query_terms"), "modules",
+        "query_id", F.lit(True).alias("enabled"), F.col("topic_terms").alias("query_terms"), "modules",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repos", "n_matches", "n_anchors")], status.alias("repo_target_status"),
         (F.size("profiles") > 0).alias("must_execute_before_final"),
     )

@@ -235,9 +235,10 @@ def top_candidates(entries: DataFrame, targets: DataFrame, aliases: DataFrame,
         + F.when(F.col("in_path"), F.when(F.coalesce("is_module", F.lit(False)), V.W_MODULE_TOKEN_PATH).otherwise(V.W_TOKEN_PATH)).otherwise(0)
     )
     by_query = lookup_join(hits, needles, ["needle"], spread=["root_id", "entry_pos"])
-    scored = by_query.groupBy("query_id", "root_id", "entry_pos", "path", *CLASS_COLUMNS).agg(F.sum(weight).alias("words"))
-
     flags = targets.select("query_id", "root_id", "k", *FLAG_COLUMNS)
+    asked = by_query.join(flags.select("query_id", "root_id"), ["query_id", "root_id"], "left_semi")
+    scored = asked.groupBy("query_id", "root_id", "entry_pos", "path", *CLASS_COLUMNS).agg(F.sum(weight).alias("words"))
+
     priors = flags.join(best_by_prior(classified, targets, longest), ["root_id", *FLAG_COLUMNS]).withColumn("words", F.lit(0).cast("long"))
     word_rows = scored.join(flags, ["query_id", "root_id"])
     columns = ["query_id", "root_id", "entry_pos", "path", "k", *CLASS_COLUMNS, *FLAG_COLUMNS, "words"]

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import BROADCAST_ROWS, SALTS
+from ..functions.sizing import BROADCAST_ROWS, SALTS, fits
 from ..functions.text import grams
+from ..session import cut_lineage
 
 GRAM = 3
 
 
-def anchors(needles: DataFrame) -> DataFrame:
+def anchors(needles: DataFrame, same: list[str]) -> DataFrame:
     """One piece of at most three characters per search string, the one the fewest strings share."""
     size = F.least(F.char_length("needle"), F.lit(GRAM))
     pieces = needles.select(
-        "needle",
+        *same, "needle",
         F.explode(
             F.array_distinct(
                 F.transform(
@@ -28,30 +29,33 @@ def anchors(needles: DataFrame) -> DataFrame:
     sharing = pieces.groupBy("gram").agg(F.count("*").alias("n"))
     return (
         pieces.join(sharing, "gram")
-        .groupBy("needle")
+        .groupBy(*same, "needle")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
 
 
-def contained(needles: DataFrame, texts: DataFrame, text: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contained(needles: DataFrame, texts: DataFrame, text: str, same: list[str] | None = None,
+              broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``texts`` with each distinct ``needle`` that the column ``text`` contains.
 
-    ``needles`` has one non-empty string column ``needle``.  While the search strings fit into memory
-    (their number is checked) the texts are not shuffled at all; beyond that both sides are shuffled on
-    (piece, salt), where the salt spreads the texts that share a frequent piece.
+    ``needles`` has a non-empty string column ``needle`` and the columns ``same``, which must equal those of the text's
+    row.  Only (same, hash of the text, piece) is exploded and, when the search strings do not fit into memory (their
+    rows and bytes are checked), shuffled by (same, piece, salt).  Texts are read again for the pairs that share a
+    piece, where the exact test decides.
     """
-    needles = needles.select("needle").where(F.char_length("needle") > 0).distinct()
-    stats = needles.agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_set(F.least(F.char_length("needle"), F.lit(GRAM)))).alias("sizes"),
-    ).first()
-    keyed = anchors(needles)
-    pieces = F.array_distinct(F.concat(*[grams(F.col(text), s) for s in stats["sizes"] or [GRAM]]))
-    exploded = texts.withColumn("gram", F.explode(pieces))
-    if stats["n"] <= broadcast_rows:
-        pairs = exploded.join(F.broadcast(keyed), "gram")
+    same = same or []
+    needles = needles.select(*same, "needle").where(F.char_length("needle") > 0).distinct()
+    sizes = needles.agg(F.array_sort(F.collect_set(F.least(F.char_length("needle"), F.lit(GRAM))))).first()[0]
+    keyed = cut_lineage(anchors(needles, same))
+    code = F.xxhash64(F.col(text))
+    pieces = F.array_distinct(F.concat(*[grams(F.col(text), s) for s in sizes or [GRAM]]))
+    exploded = texts.select(*same, code.alias("_code"), F.explode(pieces).alias("gram"))
+    if fits(keyed, broadcast_rows):
+        pairs = exploded.join(F.broadcast(keyed), [*same, "gram"])
     else:
-        salted = exploded.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        salted = exploded.withColumn("_salt", F.pmod("_code", F.lit(SALTS)).cast("int"))
         copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = salted.join(copies, ["gram", "_salt"]).drop("_salt")
-    return pairs.where(F.col(text).contains(F.col("needle"))).drop("gram")
+        pairs = salted.join(copies, [*same, "gram", "_salt"])
+    pairs = pairs.select(*same, "_code", "needle").distinct()
+    found = texts.withColumn("_code", code).join(pairs, [*same, "_code"])
+    return found.where(F.col(text).contains(F.col("needle"))).select(*texts.columns, "needle")

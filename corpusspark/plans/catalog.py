@@ -209,7 +209,7 @@ class Quality:
     def plans(self) -> DataFrame:
         """Code plans: query_id, root_id, terms, modules in lower case."""
         return self.run.targets.where("is_code_root and wants_code_knowledge").select(
-            "query_id", "root_id", F.slice("topic_terms", 1, V.EXPLORATION_TERM_LIMIT).alias("terms"),
+            "query_id", "root_id", F.col("topic_terms").alias("terms"),
             F.transform("modules", F.lower).alias("ask_modules"), "priority",
         )
 
@@ -271,10 +271,10 @@ def query_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def review_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First candidates and first omitted candidates per query, across roots."""
+    """Candidates and omitted candidates per query in review order, across roots."""
     r = retrieval(spark, sf_dir)
-    cut = lambda df, kind, n: quality.review_scope(df.select("query_id", "root_id", "pos", "path", "score20"), r.targets, n).withColumn("kind", F.lit(kind))
-    return cut(r.candidates, "candidate", V.REVIEW_CANDIDATE_LIMIT).unionByName(cut(r.omitted, "omitted", V.REVIEW_OMITTED_LIMIT)).select(
+    scope = lambda df, kind: quality.review_scope(df.select("query_id", "root_id", "pos", "path", "score20"), r.targets).withColumn("kind", F.lit(kind))
+    return scope(r.candidates, "candidate").unionByName(scope(r.omitted, "omitted")).select(
         "query_id", "kind", "review_pos", "root_id", "path", "score20")
 
 

@@ -74,7 +74,10 @@ union all select batch_id, finding_id, 'coding_context_evidence_missing', field,
 union all select batch_id, finding_id, 'invalid_coding_context_evidence_ref', field || '=' || ref, null from ({bad_refs('x_context_refs')}) b
 union all select batch_id, finding_id, 'human_text_not_chinese', 'title', null from x_find where list_contains(keys, 'title') and not regexp_matches(json_extract_string(j, '$.title'), '{CJK}')
 union all select batch_id, finding_id, 'human_text_not_chinese', 'current_state', null from x_find where not regexp_matches(json_extract_string(j, '$.current_state'), '{CJK}')
-union all select batch_id, finding_id, 'human_text_not_chinese', 'non_blocking_gaps', 0 from x_find where json_array_length(j, '$.non_blocking_gaps') > 0""")
+union all select batch_id, finding_id, 'human_text_not_chinese', 'non_blocking_gaps[0].detail', null from x_find where json_array_length(j, '$.non_blocking_gaps') > 0
+union all select batch_id, finding_id, 'human_text_not_chinese', 'coding_context.reuse_points[0].summary', null from x_find
+union all select batch_id, finding_id, 'human_text_not_chinese', 'repairs[0].rationale', null from x_find where finding_pos % 14 = 3
+union all select batch_id, finding_id, 'human_text_not_chinese', unnest(['notes[0]', 'notes[1].reason']), null from x_find where finding_pos % 14 = 9""")
 cte("x_b", "select n.*, f.needs from m_plan_batches n join (select batch_id, bool_or(level in ('feature_implementation', 'coding_playbook')) as needs from x_find group by batch_id) f using (batch_id)")
 BUNDLE = query("""
 select batch_id, '' as finding_id, 'evidence_closure_missing' as code, cast(null as varchar) as item, cast(null as int) as idx from x_b where needs and n % 5 = 3
@@ -136,7 +139,7 @@ union all select batch_id, finding_id, 'verified_finding_coverage_claims_missing
 # ---- change requests: values from the rows the documents were made of ------------------------------------------------------
 cte("x_req", """
 select 'r' || d.doc_id as request_id, d.doc_id, d.source as root_id, c.text, l.quality, d.doc_id % 9 <> 4 as detected,
-  trim(translate(left(split_part(d.text, chr(10), 1), 24), '|`', '')) as topic1, trim(translate(left(replace(d.text, chr(10), ' '), 12), '|`', '')) as topic2,
+  trim(translate(split_part(d.text, chr(10), 1), '|`', '')) as topic1, trim(translate(replace(d.text, chr(10), ' '), '|`', '')) as topic2,
   case when d.doc_id % 2 = 0 then ['wiki/entities/code/features/data-policy_' || (d.doc_id % 40) || '.md'] else ['wiki/entities/code/modules/map.md', 'wiki/entities/code/features/f' || (d.doc_id % 40) || '.md'] end as pages
 from documents d join labels l on d.doc_id = l.doc_id join m_change_requests c on c.doc_id = d.doc_id""")
 REQUESTS = query("""

@@ -120,7 +120,7 @@ from (select repo_id, {LANG} as lang, count(*) as n from x_files group by all) c
 cte("x_listed", f"""
 select repo_id, 'dependency' as kind, path from x_files where name in ({', '.join(lit(n) for n in V.DEPENDENCY_FILE_NAMES)}) or name like '%_.csproj'
 union all select repo_id, 'config', path from x_files where name in ({', '.join(lit(n) for n in V.CONFIG_FILE_NAMES)}) or starts_with(name, 'config.') or starts_with(name, 'settings.')""")
-LISTED = query("select * from (select repo_id, kind, cast(row_number() over (partition by repo_id, kind order by path) as int) as file_no, path from x_listed) x where file_no <= 50")
+LISTED = query("select * from (select repo_id, kind, cast(row_number() over (partition by repo_id, kind order by path) as int) as file_no, path from x_listed) x")
 SUFFIXES = "(" + " or ".join(f"lower(path) like '%{s}'" for s in V.ENTRYPOINT_SUFFIXES) + ")"
 cte("x_lines", f"""
 select repo_id, path, generate_subscripts(l, 1) as no, unnest(l) as line from (select repo_id, path, string_split(content, chr(10)) as l from x_files where {SUFFIXES}) s""")
@@ -132,14 +132,14 @@ select e.repo_id, e.path, arg_max(trim(l.line), l.no) as line from x_entry e joi
 where {has_any('l.line', V.SYMBOL_MARKERS)} group by e.repo_id, e.path""")
 MARK = "case " + " ".join(f"when contains(s.line, '{m}') then trim(split_part(split_part(substr(s.line, instr(s.line, '{m}') + {len(m)}), '(', 1), '{{', 1))" for m in V.SYMBOL_MARKERS) + " else '' end"
 ENTRYPOINTS = query(f"""
-select e.repo_id, e.entry_no, e.path, cast(e.no as int) as line, {MARK} as symbol from x_entry e left join x_symbol s on s.repo_id = e.repo_id and s.path = e.path where entry_no <= 100""")
+select e.repo_id, e.entry_no, e.path, cast(e.no as int) as line, {MARK} as symbol from x_entry e left join x_symbol s on s.repo_id = e.repo_id and s.path = e.path""")
 cte("x_modules", """
 select repo_id, path, split_part(inner_path, '/', 1) || '/' || split_part(inner_path, '/', 2) as module
 from (select repo_id, path, substr(path, length(repo_path) + 2) as inner_path from x_files) i where contains(inner_path, '/')""")
 MODULES = query("""
 select repo_id, cast(module_no as int) as module_no, module, string_agg(path, '|' order by path) as paths from (
   select *, dense_rank() over (partition by repo_id order by module) as module_no, row_number() over (partition by repo_id, module order by path) as rn from (select distinct repo_id, path, module from x_modules) d) r
-where module_no <= 30 and rn <= 20 group by all""")
+group by all""")
 DIFF = query("select repo_id, path, coalesce(previous_commit, '') as previous_commit, current_commit from m_snapshots where coalesce(previous_commit, '') <> current_commit")
 CHANGED = query("""
 select coalesce(p.repo_id, c.repo_id) as repo_id, coalesce(p.path, c.path) as path, case when p.path is null then 'added' when c.path is null then 'removed' else 'modified' end as change

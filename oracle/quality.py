@@ -61,7 +61,7 @@ from (select q.query_id, (select count(*) from x_bundle b where b.query_id = q.q
 TOPICS = query("select query_id, n_pages, n_feature_pages, cast(n_terms as int) as n_terms, n_matched, covered from x_topics")
 cte("x_plans", "select t.* from x_targets t join m_roots r on r.root_id = t.root_id and r.is_code_root where t.wants_code_knowledge")
 cte("x_plans2", "select * from x_plans where query_id not in (select query_id from x_plans where wants_code_navigation)")
-TERMS12 = "array_to_string(topic_terms[1:12], '|')"
+TERMS12 = "array_to_string(topic_terms, '|')"
 cte("x_code_gaps", " union ".join([
     gap("(select q.* from x_qctx q join x_topics c using (query_id) where q.query_id in (select query_id from x_plans2) and c.n_feature_pages > 0 and c.n_terms > 0 and not c.covered) t", "'query_topic_not_covered'", root="null",
         topic_terms=TERMS12, reason="'selected_code_feature_pages_do_not_cover_query_topic'"),
@@ -146,13 +146,12 @@ from (select *, {BLOCKS} as blocks from x_review2) b""")
 SCOPE = query("""
 select query_id, kind, cast(review_pos as int) as review_pos, root_id, path, cast(score20 as bigint) as score20 from (
   select c.*, row_number() over (partition by c.query_id, kind order by r.priority desc, c.root_id, c.pos) as review_pos from (
-    select query_id, root_id, pos, path, score20, 'candidate' as kind from x_merged union all select query_id, root_id, pos, path, score20, 'omitted' from x_omitted) c join m_roots r on r.root_id = c.root_id) d
-where review_pos <= case kind when 'candidate' then 16 else 12 end""")
+    select query_id, root_id, pos, path, score20, 'candidate' as kind from x_merged union all select query_id, root_id, pos, path, score20, 'omitted' from x_omitted) c join m_roots r on r.root_id = c.root_id) d""")
 
 # ---- code maps: the table rows are known from the pages they were written into ---------------------------------------------------------
 cte("x_map_rows", r"""
 select root_id as page_root, repo_path as page_path, i as row_index, pm as product_module, cap as capability, rt as repo_text, pm || ' ' || cap || ' ' || rt || ' ' || en as row_values, pth
-from (select root_id, repo_path, 1 as i, up as pm, trim('数据权限 ' || translate(left(split_part(base, chr(10), 1), 40), '|`', '')) as cap, lower(up) || '-team-' || (k % 13) as rt, 'src/App' || doc_id || 'Service.java' as en, 'src/App' || doc_id || 'Service.java' as pth
+from (select root_id, repo_path, 1 as i, up as pm, trim('数据权限 ' || translate(split_part(base, chr(10), 1), '|`', '')) as cap, lower(up) || '-team-' || (k % 13) as rt, 'src/App' || doc_id || 'Service.java' as en, 'src/App' || doc_id || 'Service.java' as pth
       from (select m.*, d.text as base from x_fm m join documents d using (doc_id)) z where k % 10 = 1
       union all select root_id, repo_path, 2, 'other', '导出', 'web', '`repos/' || lower(up) || '-team-' || ((k + 2) % 13) || '/src/b.java`', 'repos/' || lower(up) || '-team-' || ((k + 2) % 13) || '/src/b.java' from x_fm where k % 10 = 1) r""")
 STRONG4 = f"(regexp_full_match(w, '{CJK_RUN}') and length(w) >= 4)"
@@ -169,13 +168,13 @@ select * from (select *, row_number() over (partition by {keys} order by relevan
     lateral (select coalesce(mp0, 0) as mp, list_filter(used, lambda w: contains(lower(row_values), w) or (w = '数据权限' and (contains(lower(row_values), '访问管控') or contains(lower(row_values), '访问控制')))) as hit) h,
     lateral (select coalesce(list_sum(list_transform(hit, lambda w: case when length(w) >= 6 then 12 when length(w) >= 4 then 7 else 3 end)), 0) as tp) t,
     lateral (select a0.page_root, a0.page_path, a0.row_index, a0.product_module, a0.repo_text, a0.row_values, a0.pth) m, lateral (select {', '.join('a0.' + k.strip() for k in keys.split(','))}) a
-  where tp > 0 and not (len(list_filter(used, lambda w: {STRONG4})) > 0 and len(list_filter(hit, lambda w: {STRONG4})) = 0 and len(hit) < 2)) s) r where match_no <= 8"""
+  where tp > 0 and not (len(list_filter(used, lambda w: {STRONG4})) > 0 and len(list_filter(hit, lambda w: {STRONG4})) = 0 and len(hit) < 2)) s) r"""
 
 
-cte("x_asks", "select query_id, any_value(topic_terms[1:12]) as terms, flatten(list(list_transform(modules, lambda m: lower(m)))) as ask_modules from x_plans group by query_id")
+cte("x_asks", "select query_id, any_value(topic_terms) as terms, flatten(list(list_transform(modules, lambda m: lower(m)))) as ask_modules from x_plans group by query_id")
 cte("x_matches", matches("x_asks", "query_id"))
 MATCHES = query("select query_id, cast(match_no as int) as match_no, page_root, page_path, cast(row_index as int) as row_index, cast(relevance as int) as relevance, product_module, repo_text from x_matches")
-cte("x_pasks", "select query_id, root_id, topic_terms[1:12] as terms, list_transform(modules, lambda m: lower(m)) as ask_modules from x_plans")
+cte("x_pasks", "select query_id, root_id, topic_terms as terms, list_transform(modules, lambda m: lower(m)) as ask_modules from x_plans")
 cte("x_pmatches", matches("x_pasks", "query_id, root_id"))
 cte("x_page_paths", r"""
 select query_id, path, rtrim(p, '.,;:') as p from (select b.query_id, b.root_id, b.path, unnest(regexp_extract_all(b.content, '[\w./-]+[.](?:java|kt|js|jsx|ts|tsx|vue|py|go|xml|yml|yaml|json|sql)\b')) as p from x_fpages b) u""")
@@ -190,7 +189,7 @@ from x_pasks a join (select root_id, repo_id, path, max(remote) as remote from m
 TARGETS = query("""
 select query_id, root_id, cast(target_no as int) as target_no, repo_id, cast(score as bigint) as score, case when score <= 0 then 'code_snapshot_fallback' when map_score > 0 then 'evidence_code_map_match' when word_score > 0 then 'module_or_term_match' when path_score > 0 then 'evidence_code_path_match' else 'code_snapshot_fallback' end as selection_reason
 from (select *, row_number() over (partition by query_id, root_id order by score desc, repo_id) as target_no, max(score) over (partition by query_id, root_id) as best from (
-  select *, case when map_score + path_score + word_score > 0 then map_score + path_score + word_score when bare then 1 else 0 end as score from x_repo_scores) s) t where target_no <= 8 and (best <= 0 or score > 0)""")
+  select *, case when map_score + path_score + word_score > 0 then map_score + path_score + word_score when bare then 1 else 0 end as score from x_repo_scores) s) t where (best <= 0 or score > 0)""")
 
 # ---- reconciliation: the same retrieval over the search strings of the requests --------------------------------------------------------------
 LOG = """
