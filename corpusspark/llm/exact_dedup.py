@@ -1,6 +1,6 @@
 """Exact deduplication in two passes over a Bloom filter; DataFrame functions only.
 
-Pass 1 sets ``HASHES`` slots per row and keeps the slots that two or more rows set: the Bloom filter of possibly
+Pass 1 sets two slots per row and keeps the slots that two or more rows set: the Bloom filter of possibly
 repeated texts, as bitmaps of 32,768 slots.  Pass 2 tests every row against it.  A row with a slot that no other
 row set is unique for certain and passes straight through; only the others are shuffled and compared exactly.
 The filter has 16 slots per row, never more than ``max_slots``: its broadcast is bounded by ``max_slots / 8``
@@ -14,10 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .bloom import MAX_SLOTS, slot_filter, slots_for, with_flag
 from .common import free_name, join_groups
 
-HASHES = 2
-MAX_SLOTS = 1 << 30
 #: The characters that do not count: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -27,37 +26,9 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _slot(code: Column, i: int, slots: int) -> Column:
-    """1 .. slots."""
-    return F.pmod(F.xxhash64(code, F.lit(i)), F.lit(slots)) + F.lit(1)
-
-
-def slots_for(rows: int, max_slots: int = MAX_SLOTS) -> int:
-    return min(max_slots, max(1 << 15, 1 << (16 * rows - 1).bit_length()))
-
-
 def repeated_filter(codes: DataFrame, code: str, slots: int) -> DataFrame:
-    """Pass 1: (bucket, bits) of the slots that at least two rows set.  Copies meet in partial counts before the shuffle."""
-    each = F.explode(F.array_distinct(F.array(*[_slot(F.col(code), i, slots) for i in range(HASHES)])))
-    twice = codes.select(each.alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-
-
-def with_flag(rows: DataFrame, code: str, bits: DataFrame, slots: int, flag: str) -> DataFrame:
-    """Pass 2: marks rows whose slots are all in the filter; no shuffle, the filter's size is bounded by ``slots``."""
-    out, tests = rows, []
-    for i in range(HASHES):
-        bucket, found, at = f"_bucket{i}", f"_bits{i}", F.bitmap_bit_position(_slot(F.col(code), i, slots))
-        side = bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(found))
-        out = out.withColumn(bucket, F.bitmap_bucket_number(_slot(F.col(code), i, slots))).join(F.broadcast(side), bucket, "left")
-        byte = F.conv(F.hex(F.substring(F.col(found), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        mask = F.call_function("shiftleft", F.lit(1), F.pmod(at, F.lit(8)).cast("int"))
-        tests.append(F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)))
-    both = tests[0]
-    for t in tests[1:]:
-        both = both & t
-    return out.withColumn(flag, both).select(*rows.columns, flag)
+    """Pass 1: the filter of the slots that at least two rows set."""
+    return slot_filter(codes, code, slots, 2)
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:

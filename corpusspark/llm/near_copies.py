@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .bloom import slot_filter, slots_for, with_flag
 from .common import free_name, join_groups
 from .components import smallest_in_component
 
@@ -318,10 +319,11 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = laid.join(entries.select("key", "rep", "sketch"), "key").repartition("cell").sortWithinPartitions("cell")
     columns = "key binary, cell long, tree int, side int, cross boolean, rep long, sketch binary"
     needed = cut_lineage(first.select("key", "cell", "tree", "side", "cross", "rep", "sketch").mapInArrow(_named(length, least), columns))
-    texts = rows.withColumnRenamed("doc_id", "rep")
-    wanted = needed.select("rep").distinct()
-    found = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"]), "left_semi")
-    joined = needed.join(found.withColumnRenamed("rep", "_rep"), F.col("rep").eqNullSafe(F.col("_rep"))).drop("_rep")
+    # only texts that are needed are shuffled: a filter of bounded size says which may be, the join decides
+    slots = slots_for(needed.count())
+    bits = cut_lineage(slot_filter(needed.select("rep").distinct(), "rep", slots))
+    texts = with_flag(rows.withColumnRenamed("doc_id", "_rep"), "_rep", bits, slots, "_maybe").filter("_maybe").drop("_maybe")
+    joined = needed.join(texts, F.col("rep").eqNullSafe(F.col("_rep"))).drop("_rep")
     second = joined.repartition("cell").sortWithinPartitions("cell", "key")
     linked = cut_lineage(second.select("key", "cell", "tree", "side", "cross", "sketch", "text").mapInArrow(
         _verified(length, least, threshold), "key binary, root binary, links long"))
@@ -344,9 +346,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat an id are cut to the first of the smallest class by text; rows with a null id stay, as no class
     can name them.
     """
-    classes = near_copy_classes(docs, id_col, text_col, threshold)
-    kept = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("c")).filter("c = doc_id").select(F.col("doc_id").alias("_kept"))
-    place = free_name(docs, "_place")
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    first = named.withColumn(place, F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))).filter(F.col(place) == 1).drop(place)
-    return first.unionByName(docs.filter(F.col(id_col).isNull()))
+    classes = near_copy_classes(docs, id_col, text_col, threshold).filter("doc_id IS NOT NULL")
+    decided = classes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min("class_id").alias("_class"))
+    decided = cut_lineage(decided.filter("_n > 1 OR _class <> _id"))  # all other rows stay without a shuffle
+    slots = slots_for(decided.count())
+    flag, place = free_name(docs, "_maybe"), free_name(docs, "_place")
+    marked = with_flag(docs, id_col, cut_lineage(slot_filter(decided, "_id", slots)), slots, flag)
+    straight = marked.filter(~F.col(flag) | F.col(id_col).isNull()).select(*docs.columns)
+    checked = marked.filter(F.col(flag) & F.col(id_col).isNotNull()).drop(flag).join(decided, F.col(id_col) == F.col("_id"), "left")
+    kept = checked.filter("_id IS NULL OR _class = _id").drop("_id", "_n", "_class")
+    once = W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    return straight.unionByName(kept.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).drop(place))
