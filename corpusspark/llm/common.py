@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +56,13 @@ def ranked(df: DataFrame, order: list[str | Column], rank: str = "rank") -> Data
     )
 
 
+def trim_memory() -> None:
+    """Gives freed memory back to the system where the C library can; idle Python workers would keep it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def uniform(*keys: Column | str) -> Column:
     """A reproducible number in [0, 1) from the keys: 52 bits of their MD5."""
     text = F.concat_ws(":", *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("null")) for k in keys])

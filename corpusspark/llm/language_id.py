@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim_memory
+
 BUCKETS = 1 << 13
 NGRAMS = (2, 3, 4)
 #: Characters of text handled at once, fixed-point factor of counts, smoothing, sharpness of the score, least lead.
@@ -61,7 +63,7 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         if size and size + len(t) > SLICE:
             yield start, i
             start, size = i, 0
-        size += len(t) + 64
+        size += len(t) + 4096  # a row of counts costs about as much
     if start < len(texts):
         yield start, len(texts)
 
@@ -77,6 +79,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for lang in set(langs[a:b]):
                 sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 sums[lang] += weighed[langs[a:b] == lang].sum(0)
+    trim_memory()
     for lang, s in sums.items():
         at = np.flatnonzero(s)
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": s[at]})
@@ -161,6 +164,7 @@ def _predictor(model: Model):
             out = batch.drop(columns=["text"])
             out["lang_pred"], out["lang_second"], out["score"], out["ambiguous"] = lang, second, score, unsure
             yield out
+        trim_memory()
 
     return predict
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bloom import slot_filter, slots_for, with_flag
-from .common import free_name, join_groups
+from .common import free_name, join_groups, trim_memory
 from .components import smallest_in_component
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -134,6 +134,8 @@ def _sketch(size: int):
                 keys += [set_key(s) for s in sets]
                 sketches += [next(signed) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "key", "sketch"])
+        del known
+        trim_memory()
 
     return run
 
@@ -273,6 +275,9 @@ def _verified(length: int, least: int, threshold: float):
             at = np.flatnonzero(links).tolist()
             yield pa.RecordBatch.from_arrays([
                 pa.array([keys[r] for r in at], pa.binary()), pa.array([keys[top(r)] for r in at], pa.binary()), pa.array(links[at], pa.int64())], ["key", "root", "links"])
+            del sets, keys
+        del known
+        trim_memory()
 
     return run
 

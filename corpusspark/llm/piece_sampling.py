@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trim_memory
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 0.3
-#: Characters sampled at once; nodes of different words a task keeps before it starts its table anew.
-SLICE, NODES = 1 << 20, 3_000_000
+#: Characters sampled at once, characters of new words filtered at once, and nodes of different words a task keeps
+#: before it starts its table anew.
+SLICE, CHUNK, NODES = 1 << 18, 1 << 17, 3_000_000
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _BLANK = "▁"
 
@@ -121,10 +124,17 @@ class Words(dict):
     def flat(self) -> dict[str, np.ndarray]:
         """base and length per word; per edge upto (node + cumulative posterior, increasing over all), start place and
         piece (an id, or -1 - row of ``strings``)."""
+        parts, run, size = [self.tables], [], 0
+        for i, word in enumerate(self.waiting):
+            run.append(word)
+            size += len(word)
+            if size > CHUNK or i == len(self.waiting) - 1:
+                new = self._filter(run)
+                parts.append({n: new[n].astype(t.dtype) for n, t in self.tables.items()})
+                self.nodes += size
+                run, size = [], 0
         if self.waiting:
-            new = self._filter(self.waiting)
-            self.tables = {n: np.concatenate([t, new[n].astype(t.dtype)]) for n, t in self.tables.items()}
-            self.nodes += int(new["length"].sum())
+            self.tables = {n: np.concatenate([p[n] for p in parts]) for n in self.tables}
             self.waiting = []
         return self.tables
 
@@ -281,6 +291,8 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", ids_c
             ids = [x for _, x in _encoded(words, batch.column(key_col).to_pylist(), texts, seed)]
             lists = pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids_col])
+        del words
+        trim_memory()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -317,6 +329,8 @@ def digests(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", seed
                             decode_ids(pieces.raw, ids.tolist()) == text))
             done = pd.DataFrame(out, columns=["n_chars", "n_pieces", "ids_crc32", "text_crc32", "lossless"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), done], axis=1)
+        del words
+        trim_memory()
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInPandas(run, f"doc_id {kind}, n_chars long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")
