@@ -200,7 +200,7 @@ from {supplier}
 
 CODE_BATCHES = """
 select 'B' || cast(n_nationkey as string) as batch_id, n_nationkey as n,
-       'repos/web/src/views/C' || cast(n_nationkey + 1 as string) || '.vue:1' as seed, 'repos/app/src/main/java/Missing.java' as other
+       'repos/web/src/views/C' || cast(n_nationkey + 1 as string) || '.vue:1' as seed, case when n_nationkey % 3 <> 0 then 'repos/app/src/main/java/Missing.java' end as other
 from {nation}
 """
 

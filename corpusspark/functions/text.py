@@ -59,14 +59,11 @@ def lines_of(value: Column) -> Column:
 
 
 def grams(value: Column, size: int) -> Column:
-    """All substrings of one length, left to right."""
-    return F.when(
-        F.char_length(value) >= size,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length(value) - (size - 1), F.lit(1))),
-            lambda i: F.substring(value, i, F.lit(size)),
-        ),
-    ).otherwise(strings([]))
+    """All substrings of one length, left to right.  The text is split into characters once: work grows with its length."""
+    chars = F.split(value, "")
+    shifted = [F.slice(chars, k + 1, F.greatest(F.size(chars) - (size - 1), F.lit(1))) for k in range(size)]
+    joined_up = F.transform(F.arrays_zip(*[s.alias(f"c{k}") for k, s in enumerate(shifted)]), lambda z: F.concat(*[z[f"c{k}"] for k in range(size)]))
+    return F.when(F.char_length(value) >= size, joined_up).otherwise(strings([]))
 
 
 def slashes(path: Column) -> Column:

@@ -327,10 +327,29 @@ def batch_repositories(batches: DataFrame, seeds: DataFrame, repos: DataFrame) -
     return found.unionByName(guessed)
 
 
-def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Closure:
+def file_owners(paths: DataFrame, repos: DataFrame) -> DataFrame:
+    """(path, owner): the longest registered repository path that a file lies in."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "/").alias("repo_path")))
+    return (
+        paths.select("path", F.inline(folders)).join(repos.select(F.col("path").alias("repo_path")).distinct(), "repo_path")
+        .groupBy("path").agg(F.max_by("repo_path", "n").alias("owner"))
+    )
+
+
+def in_scope(step: DataFrame, owners: DataFrame, scope: DataFrame) -> DataFrame:
+    """References whose target lies in a repository of their batch, and relative imports, which need no index."""
+    allowed = scope.select("batch_id", F.col("repo_path").alias("owner"), F.lit(True).alias("_allowed")).distinct()
+    placed = step.join(owners.withColumnRenamed("path", "dst"), "dst", "left").join(allowed, ["batch_id", "owner"], "left")
+    return placed.where((F.col("kind") == "js_relative_import") | F.coalesce("_allowed", F.lit(False))).select(*step.columns)
+
+
+def closure(index: CodeIndex, seeds: DataFrame, max_levels: int | None = None, scope: DataFrame | None = None,
+            repos: DataFrame | None = None) -> Closure:
     """Breadth-first closure of the references of many batches at once.
 
-    ``seeds``: batch_id, path, seed_no.  One loop turn follows the references of the files found last; the
+    ``seeds``: batch_id, path, seed_no.  ``scope`` (batch_id, repo_path) and ``repos`` (name, path) keep a batch inside
+    its repositories; without them all files are open to every batch.  ``max_levels`` ends a longer loop by an error.  One loop turn follows the references of the files found last; the
     turn's state is written to the checkpoint folder, so plans stay small and lost executors cost one turn.
     Only the number of new files of a turn comes to the driver.
 
@@ -345,6 +364,8 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
         .select("path", F.col("c.method").alias("symbol")).distinct()
     )
     # Only front-end files that name an endpoint at all take part in the per-turn step.
+    owners = checkpointed(file_owners(known, repos)) if scope is not None else None
+    scope = checkpointed(scope) if scope is not None else None
     endpoint_files = checkpointed(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")))
     first = seeds.join(known, "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
     frontier = checkpointed(
@@ -361,7 +382,8 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
             focus = checkpointed(focus.unionByName(fresh).groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
         plain = frontier.join(refs, frontier["path"] == refs["src"]).select("batch_id", "seq", *REF, "ref_pos")
         focused = focused_endpoint_refs(frontier, endpoint_files, index.by_endpoint, focus)
-        step = checkpointed(plain.unionByName(focused))
+        step = plain.unionByName(focused)
+        step = checkpointed(in_scope(step, owners, scope) if scope is not None else step)
         steps.append(step.select("batch_id", *REF))
         visited = union(levels).select("batch_id", "path", "seq")
         found = (
@@ -377,7 +399,7 @@ def closure(index: CodeIndex, seeds: DataFrame, max_levels: int = 10_000) -> Clo
         )
         if frontier.isEmpty():
             break
-        if level >= max_levels:
+        if max_levels is not None and level >= max_levels:
             raise RuntimeError(f"closure still grows after {max_levels} levels")
         levels.append(frontier)
         if len(levels) >= MERGE_LEVELS:
@@ -430,13 +452,8 @@ def repository_of(path: Column) -> Column:
 
 def evidence_rows(c: Closure, files: DataFrame, repos: DataFrame) -> DataFrame:
     """Evidence ids, repository (longest registered prefix), language, line range and hash of visited files."""
-    parts = F.split("path", "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "/").alias("repo_path")))
     visited = c.nodes.select("path").distinct()
-    owner = (
-        visited.select("path", F.inline(folders)).join(repos.select(F.col("path").alias("repo_path")).distinct(), "repo_path")
-        .groupBy("path").agg(F.max_by("repo_path", "n").alias("owner"))
-    )
+    owner = file_owners(visited, repos)
     lines = lines_of(F.col("content"))
     text = F.array_join(lines, "\n")
     described = files.select("path", "content").dropDuplicates(["path"]).join(visited, "path", "left_semi").select(

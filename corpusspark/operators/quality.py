@@ -322,7 +322,7 @@ def review(context: DataFrame, gaps: DataFrame, quality: DataFrame, targets: Dat
     order = targets.select(*GROUP, "priority")
     ranked = gaps.where(F.col("code").isin(V.REVIEW_GAP_CODES)).join(order, GROUP, "left")
     firsts = ranked.groupBy("query_id", "code").agg(
-        F.min(F.struct("stage", (-F.coalesce("priority", F.lit(0))).alias("p"), "gap_no")).alias("o")
+        F.min(F.struct("stage", F.when(F.col("stage") == 0, -F.coalesce("priority", F.lit(0))).otherwise(0).alias("p"), "gap_no")).alias("o")
     )
     codes = firsts.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("o", "code"))), lambda x: x["code"]).alias("codes"),

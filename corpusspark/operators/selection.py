@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import drop_prefix, strings
-from .scoring import is_code_feature, is_code_module, is_repository_map, page_modules, page_role
+from .scoring import is_code_feature, is_code_module, is_repository_map, page_modules, page_role, repo_path
 
 GROUP = ["query_id", "root_id"]
 
@@ -319,10 +319,18 @@ def omitted_candidates(merged: DataFrame, evidence: DataFrame, targets: DataFram
     return c.select(*GROUP, "pos", "path", "title", "score20", "page_role", "module", "signals", reason.alias("reason"))
 
 
-def coverage_proof(merged: DataFrame, evidence: DataFrame, targets: DataFrame) -> DataFrame:
-    """Owner and member pages of every collection query, and which members are evidence."""
+def coverage_proof(merged: DataFrame, evidence: DataFrame, targets: DataFrame, index_modules: DataFrame) -> DataFrame:
+    """Owner and member pages of every collection query, and which members are evidence.
+
+    Owners and members come from the whole index (``index_modules``: root_id, path, page_modules) and the candidates,
+    so that the candidate limit hides none; pages that are no candidates stand last, with score 0.
+    """
     plans = targets.where("is_collection").select(*GROUP, "operator", "scope", "subject")
     c = merged.join(plans, GROUP).where((F.col("scope") != "") & F.array_contains("page_modules", F.col("scope")))
+    listed = index_modules.select("root_id", "path", F.explode("page_modules").alias("scope")).where("scope <> ''").join(plans, ["root_id", "scope"]).select(
+        *GROUP, "operator", "scope", "subject", repo_path(F.col("path")).alias("path"), page_role(F.col("path")).alias("page_role"), F.lit(0).cast("long").alias("score20"))
+    names = [*GROUP, "operator", "scope", "subject", "path", "page_role"]
+    c = c.select(*names, F.col("score20").cast("long").alias("score20")).unionByName(listed).groupBy(*names).agg(F.max("score20").alias("score20"))
     c = c.where(F.col("page_role").isin("module", "feature")).join(
         evidence.select(*GROUP, "path", F.lit(True).alias("in_evidence")), [*GROUP, "path"], "left"
     )

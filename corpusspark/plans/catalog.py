@@ -442,8 +442,13 @@ def code_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def _closure(application: str, spark: SparkSession, sf_dir: str) -> closure.Closure:
-    index = closure.build_index(model(spark, sf_dir, "code_files"))
-    return closure.closure(index, closure.seed_files(code_batches(spark, sf_dir)))
+    files, batches = model(spark, sf_dir, "code_files"), code_batches(spark, sf_dir)
+    repos, seeds = code_repositories(files), closure.seed_files(batches)
+    return closure.closure(closure.build_index(files), seeds, scope=closure.batch_repositories(batches, seeds, repos), repos=repos)
+
+
+def code_repositories(files: DataFrame) -> DataFrame:
+    return files.select(F.substring_index("repo_id", "/", -1).alias("name"), F.col("repo_id").alias("path")).distinct()
 
 
 def closure_of(spark: SparkSession, sf_dir: str) -> closure.Closure:
@@ -466,8 +471,8 @@ def closure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def closure_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence rows of every batch."""
-    owners = spark.createDataFrame([("repos/web",), ("repos/app",)], "path string")
-    return closure.evidence_rows(closure_of(spark, sf_dir), model(spark, sf_dir, "code_files"), owners)
+    files = model(spark, sf_dir, "code_files")
+    return closure.evidence_rows(closure_of(spark, sf_dir), files, code_repositories(files))
 
 
 # ---- findings ----------------------------------------------------------------------------------------------------------------

@@ -74,4 +74,5 @@ class Retrieval:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return selection.coverage_proof(self.candidates, self.evidence, self.targets)
+        modules = scoring.page_modules(self.index.select("root_id", "path", "title", "summary").distinct(), self.aliases)
+        return selection.coverage_proof(self.candidates, self.evidence, self.targets, modules)

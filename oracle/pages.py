@@ -168,7 +168,7 @@ EDGES = query("select src, dst, kind, symbol from x_edges union all select src,
 cte("x_seed", "select batch_id, split_part(seed, ':', 1) as path from m_code_batches")
 
 def closure_sql() -> str:
-    """Levels of a breadth-first walk; a walk that returns to a file adds no new (batch, file, level <= 40) row."""
+    """Levels of a breadth-first walk (these references have no cycle); batches that name only repos/web stay there."""
     base = query("select 1 from x_edges, x_seed, m_code_files")
     ctes = base[base.index("with ") + 5 : base.rindex("select 1 from")]
     return f"""with recursive {ctes.rstrip()},
@@ -176,7 +176,8 @@ x_nodes as materialized (select distinct path from m_code_files),
 x_walk as (
   select s.batch_id, s.path, 0 as level from x_seed s join x_nodes n on n.path = s.path
   union
-  select w.batch_id, e.dst, w.level + 1 from x_walk w join x_edges e on e.src = w.path where w.level < 40)
+  select w.batch_id, e.dst, w.level + 1 from x_walk w join x_edges e on e.src = w.path join m_code_batches b on b.batch_id = w.batch_id
+  where b.other is not null or starts_with(e.dst, 'repos/web/'))
 select batch_id, path, cast(min(level) as int) as level from x_walk group by batch_id, path"""
 
 

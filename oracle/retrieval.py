@@ -423,12 +423,17 @@ select c.query_id, c.root_id, c.pos, c.path, c.title, c.score20, c.page_role, co
 from x_ectx c left join x_evidence e on e.query_id = c.query_id and e.root_id = c.root_id and e.path = c.path
 where c.source = 'index.md' and e.path is null""")
 OMITTED = query("select query_id, root_id, pos, path, cast(score20 as bigint) as score20, page_role, module, reason from x_omitted")
-cte("x_coverage", """
+cte("x_coverage", f"""
 select t.query_id, t.root_id, t.operator, t.scope, t.subject,
   coalesce(list(c.path order by c.score20 desc, c.path) filter (c.page_role = 'module'), []) as owner_pages,
   coalesce(list(c.path order by c.score20 desc, c.path) filter (c.page_role = 'feature'), []) as member_paths,
   coalesce(list(c.path order by c.score20 desc, c.path) filter (c.page_role = 'feature' and e.path is not null), []) as evidence_member_paths
-from x_targets t left join x_ectx c on c.query_id = t.query_id and c.root_id = t.root_id and c.ms and c.page_role in ('module', 'feature')
+from x_targets t left join (
+  select query_id, root_id, path, page_role, max(score20) as score20 from (
+    select query_id, root_id, path, page_role, score20 from x_ectx where ms and page_role in ('module', 'feature')
+    union all
+    select t.query_id, t.root_id, 'wiki/' || m.path, {role_of('m.path')} as page_role, 0 from x_targets t join x_page_modules m on m.root_id = t.root_id and t.scope <> '' and list_contains(m.page_modules, t.scope)) u
+  where page_role in ('module', 'feature') group by all) c on c.query_id = t.query_id and c.root_id = t.root_id
 left join x_evidence e on e.query_id = c.query_id and e.root_id = c.root_id and e.path = c.path
 where t.is_collection group by all""")
 COVERAGE = query("""
