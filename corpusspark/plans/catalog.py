@@ -16,7 +16,7 @@ from ..functions.text import joined, strings
 from ..operators import (
     closure, extract, findings, inventory, links, lint, quality, query_features, reconcile, repos, rollup, scoring,
 )
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, data_stamp, ensure_checkpoint_dir
 from ..sources import scan, sinks
 from ..streaming import jobs
 from .retrieval import Retrieval
@@ -49,13 +49,13 @@ def new_retrieval(spark: SparkSession, sf_dir: str) -> Retrieval:
 
 
 @lru_cache(maxsize=4)
-def _retrieval(application: str, spark: SparkSession, sf_dir: str) -> Retrieval:
+def _retrieval(application: str, stamp: int, spark: SparkSession, sf_dir: str) -> Retrieval:
     return new_retrieval(spark, sf_dir)
 
 
 def retrieval(spark: SparkSession, sf_dir: str) -> Retrieval:
     """One retrieval job per session and data set: its written stages serve every query that reads them."""
-    return _retrieval(spark.sparkContext.applicationId, spark, sf_dir)
+    return _retrieval(spark.sparkContext.applicationId, data_stamp(spark, sf_dir), spark, sf_dir)
 
 
 def text_of(*names: str) -> list[Column]:
@@ -230,12 +230,12 @@ class Quality:
 
 
 @lru_cache(maxsize=4)
-def _quality(application: str, spark: SparkSession, sf_dir: str) -> Quality:
+def _quality(application: str, stamp: int, spark: SparkSession, sf_dir: str) -> Quality:
     return Quality(retrieval(spark, sf_dir), pages(spark, sf_dir), model(spark, sf_dir, "files_present"))
 
 
 def quality_of(spark: SparkSession, sf_dir: str) -> Quality:
-    return _quality(spark.sparkContext.applicationId, spark, sf_dir)
+    return _quality(spark.sparkContext.applicationId, data_stamp(spark, sf_dir), spark, sf_dir)
 
 
 @register
@@ -441,7 +441,7 @@ def code_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def _closure(application: str, spark: SparkSession, sf_dir: str) -> closure.Closure:
+def _closure(application: str, stamp: int, spark: SparkSession, sf_dir: str) -> closure.Closure:
     files, batches = model(spark, sf_dir, "code_files"), code_batches(spark, sf_dir)
     repos, seeds = code_repositories(files), closure.seed_files(batches)
     return closure.closure(closure.build_index(files), seeds, scope=closure.batch_repositories(batches, seeds, repos), repos=repos)
@@ -452,7 +452,7 @@ def code_repositories(files: DataFrame) -> DataFrame:
 
 
 def closure_of(spark: SparkSession, sf_dir: str) -> closure.Closure:
-    return _closure(spark.sparkContext.applicationId, spark, sf_dir)
+    return _closure(spark.sparkContext.applicationId, data_stamp(spark, sf_dir), spark, sf_dir)
 
 
 @register
@@ -669,12 +669,12 @@ class Reconciliation:
 
 
 @lru_cache(maxsize=4)
-def _reconciliation(application: str, spark: SparkSession, sf_dir: str) -> Reconciliation:
+def _reconciliation(application: str, stamp: int, spark: SparkSession, sf_dir: str) -> Reconciliation:
     return Reconciliation(model(spark, sf_dir, "change_requests"), model(spark, sf_dir, "roots"), entries(spark, sf_dir))
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> Reconciliation:
-    return _reconciliation(spark.sparkContext.applicationId, spark, sf_dir)
+    return _reconciliation(spark.sparkContext.applicationId, data_stamp(spark, sf_dir), spark, sf_dir)
 
 
 @register

@@ -35,11 +35,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             context.setCheckpointDir(named)
         return
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(os.environ.get("CORPUSSPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="corpusspark-"))
 
 
+def data_stamp(spark: SparkSession, folder: str) -> int:
+    """Changes when a file of the folder is added, removed or rewritten: stages kept for it are then built anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the checkpoint folder and go on from there.
 
