@@ -56,6 +56,13 @@ def ranked(df: DataFrame, order: list[str | Column], rank: str = "rank") -> Data
     )
 
 
+def small_batches(batches, rows: int = 512):
+    """Arrow batches cut to a few hundred rows, so that what a task holds as Python objects stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def trim_memory() -> None:
     """Gives freed memory back to the system where the C library can; idle Python workers would keep it."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bloom import slot_filter, slots_for, with_flag
-from .common import free_name, join_groups, trim_memory
+from .common import free_name, join_groups, small_batches, trim_memory
 from .components import smallest_in_component
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -123,7 +123,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             keys: list[bytes | None] = []
             sketches: list[bytes | None] = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trim_memory
+from .common import small_batches, trim_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 0.3
@@ -286,7 +286,7 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", ids_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(_pieces(model.value, sharpness))
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(text_col).to_pylist()
             ids = [x for _, x in _encoded(words, batch.column(key_col).to_pylist(), texts, seed)]
             lists = pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
