@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,7 +133,8 @@ def _sketch(size: int):
                 signed = iter([row.tobytes() for row in signatures(found, size)] if found else [])
                 keys += [set_key(s) for s in sets]
                 sketches += [next(signed) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "digest", "key", "sketch"])
         del known
         trim_memory()
 
@@ -295,23 +296,25 @@ def _by_cell(cells: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]])
         yield i[a:b], j[a:b]
 
 
-def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                      recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies per row of ``docs``.
+def _digest(text: Column) -> Column:
+    """What stands for a text, letter by letter."""
+    return F.unhex(F.sha2(text, 256))
 
-    Two texts are linked when the Jaccard similarity of their sets of five-word runs is at least ``threshold``; classes
-    are what links connect, class_id is the smallest doc_id.  n_links counts the other different sets that are linked
-    with the row's, n_copies the rows with an equal set.  Texts without words (null, empty, blanks) are linked with
-    nothing and are classes of their own, with class_id = doc_id.  Null ids take part; they are no class_id unless the
-    class has no other.  Repeated rows are copies.
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, best, size, n_links, n_copies) per row with words, and the doc_id of every other row.
+
+    best (u, doc_id, digest) is the class's first row: the smallest id, null ids last, then the smallest digest.  size
+    counts the class's rows.
     """
     length = prefix_length(threshold, recall=recall)
     size, deviation = TREES * length, (threshold * (1 - threshold) / (TREES * length)) ** 0.5
     least = int(np.ceil((threshold - SPARE * deviation) * size))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut_lineage(rows.mapInArrow(_sketch(size), "doc_id long, key binary, sketch binary"))
+    sketched = cut_lineage(rows.withColumn("digest", _digest(F.col("text"))).mapInArrow(_sketch(size), "doc_id long, digest binary, key binary, sketch binary"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "digest"))
     entries = cut_lineage(sketched.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies")))
+        first_row.alias("best"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies")))
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     met = entries.select("key", "sketch", tree).select(
         "key", "tree", F.xxhash64("tree", F.expr(f"substring(sketch, tree * {length} + 1, {length})")).alias("bucket"))
@@ -321,28 +324,45 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     laid = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "tree", "side", (F.col("side") != F.col("other")).alias("cross"), "key")
     # the two blocks of a cell mark their own rows: a pair of different blocks is cross in both, a block alone in neither
-    first = laid.join(entries.select("key", "rep", "sketch"), "key").repartition("cell").sortWithinPartitions("cell")
-    columns = "key binary, cell long, tree int, side int, cross boolean, rep long, sketch binary"
-    needed = cut_lineage(first.select("key", "cell", "tree", "side", "cross", "rep", "sketch").mapInArrow(_named(length, least), columns))
-    # only texts that are needed are shuffled: a filter of bounded size says which may be, the join decides
-    slots = slots_for(needed.count())
-    bits = cut_lineage(slot_filter(needed.select("rep").distinct(), "rep", slots))
-    texts = with_flag(rows.withColumnRenamed("doc_id", "_rep"), "_rep", bits, slots, "_maybe").filter("_maybe").drop("_maybe")
-    joined = needed.join(texts, F.col("rep").eqNullSafe(F.col("_rep"))).drop("_rep")
+    first = laid.join(entries.select("key", "sketch"), "key").repartition("cell").sortWithinPartitions("cell")
+    columns = "key binary, cell long, tree int, side int, cross boolean, sketch binary"
+    needed = cut_lineage(first.select("key", "cell", "tree", "side", "cross", "sketch").mapInArrow(_named(length, least), columns))
+    # an entry's text is found by its digest, one text per digest; only texts that are needed are shuffled: a filter of
+    # bounded size says which may be, the join decides
+    wanted = cut_lineage(needed.select("key").distinct().join(entries.select("key", F.col("best.digest").alias("digest")), "key"))
+    slots = slots_for(wanted.count())
+    bits = cut_lineage(slot_filter(wanted, "digest", slots))
+    maybe = with_flag(rows.filter("text IS NOT NULL").select(_digest(F.col("text")).alias("digest"), "text"), "digest", bits, slots, "_maybe").filter("_maybe")
+    texts = maybe.groupBy("digest").agg(F.first("text").alias("text"))
+    joined = needed.join(wanted, "key").join(texts, "digest")
     second = joined.repartition("cell").sortWithinPartitions("cell", "key")
     linked = cut_lineage(second.select("key", "cell", "tree", "side", "cross", "sketch", "text").mapInArrow(
         _verified(length, least, threshold), "key binary, root binary, links long"))
     totals = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     roots = smallest_in_component(linked.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
-    known = entries.select("key", "rep", "n_copies").join(totals, "key", "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn(
+    known = entries.select("key", "best", "n_copies").join(totals, "key", "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
     known = cut_lineage(known.withColumn("n_links", F.coalesce("n_links", F.lit(0))))
     total, n_entries = sketched.count(), known.count()
-    classes = cut_lineage(known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("_entries")))
-    final = cut_lineage(join_groups(known, classes, "root", "_entries", n_entries).select("key", "class_id", "n_links", "n_copies"))
-    alone = sketched.filter("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    worded = sketched.filter("key IS NOT NULL").select("doc_id", "key")
-    return join_groups(worded, final, "key", "n_copies", total).select("doc_id", "class_id", "n_links", "n_copies").unionByName(alone)
+    classes = cut_lineage(known.groupBy("root").agg(F.min("best").alias("best"), F.sum("n_copies").alias("size"), F.count("*").alias("_entries")))
+    final = cut_lineage(join_groups(known.drop("best"), classes, "root", "_entries", n_entries).select("key", "best", "size", "n_links", "n_copies"))
+    worded = sketched.filter("key IS NOT NULL").select("doc_id", "digest", "key")
+    return join_groups(worded, final, "key", "n_copies", total).drop("key"), sketched.filter("key IS NULL").select("doc_id")
+
+
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                      recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies per row of ``docs``.
+
+    Two texts are linked when the Jaccard similarity of their sets of five-word runs is at least ``threshold``; classes
+    are what links connect, class_id is the smallest doc_id.  n_links counts the other different sets that are linked
+    with the row's, n_copies the rows with an equal set.  Texts without words (null, empty, blanks) are linked with
+    nothing and are classes of their own, with class_id = doc_id.  Null ids take part; they are no class_id unless the
+    class has no other.  Repeated rows are copies; an id may stand for different texts.
+    """
+    worded, others = _classified(docs, id_col, text_col, threshold, recall)
+    alone = others.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return worded.select("doc_id", F.col("best.doc_id").alias("class_id"), "n_links", "n_copies").unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -142,6 +142,27 @@ def test_near_copies_match_all_pairs(docs, no_docs):
     assert near_copies.near_copy_classes(no_docs).count() == 0
 
 
+def near_texts():
+    """(base, a near copy, an unrelated text), 100 words each."""
+    rng = random.Random(21)
+    base = words(rng, 100).split()
+    return " ".join(base), " ".join([*base[:-1], "end"]), words(rng, 100)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """Texts are compared as themselves, once each, whatever ids they stand under."""
+    base, near, other = near_texts()
+    rows = [(1, base), (1, base), (1, base), (2, near), (9, other), (9, near + " tail"), (None, other), (None, base + " more"), (None, words(random.Random(2), 90))]
+    sets = [shingles(t) for _, t in rows]
+    found = near_copies.near_copy_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = []
+    for (i, _), s in zip(rows, sets, strict=True):
+        links = {frozenset(o) for o in sets if o != s and len(s & o) >= 0.8 * len(s | o)}
+        one = len(s & sets[0]) >= 0.8 * len(s | sets[0])
+        expected.append((i, 1 if one else 9 if s == sets[4] else None, len(links), sets.count(s)))
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+
+
 def test_near_copies_in_blocks(docs, monkeypatch):
     """A group over several blocks has the same links: only the layout changes."""
     monkeypatch.setattr(near_copies, "BLOCK", 5)
