@@ -34,6 +34,8 @@ BLOCK = 256
 #: Signatures are compared with this many standard deviations to spare before the exact test.
 SPARE = 5.0
 SLICE, KNOWN_WORDS, PAIRS = 1 << 20, 400_000, 1 << 16
+#: A text with a word: a character that str.split keeps.
+WORDED = "[^" + "".join(f"\\u{c:04x}" for c in range(1 << 16) if chr(c).isspace()) + "]"
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(64)], np.uint64)
 
@@ -366,19 +368,24 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class stays, with all its columns: that of the smallest id.
+    """One row of each class stays, with all its columns: that of the smallest id, null ids last, then by digest of the text.
 
-    Rows that repeat an id are cut to the first of the smallest class by text; rows with a null id stay, as no class
-    can name them.
+    Rows are told apart by id and text: rows that repeat an id with texts of different classes are rows of those
+    classes, and of rows that repeat both one stays.  Rows without words are no copies and all stay.
     """
-    classes = near_copy_classes(docs, id_col, text_col, threshold).filter("doc_id IS NOT NULL")
-    decided = classes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min("class_id").alias("_class"))
-    decided = cut_lineage(decided.filter("_n > 1 OR _class <> _id"))  # all other rows stay without a shuffle
+    worded, _ = _classified(docs, id_col, text_col, threshold, RECALL)
+    code, flag, place = free_name(docs, "_code"), free_name(docs, "_maybe"), free_name(docs, "_place")
+
+    def named(i: Column, digest: Column) -> Column:
+        return F.concat_ws(":", F.hex(digest), F.coalesce(i.cast("long").cast("string"), F.lit("null")))
+
+    several = worded.filter("size > 1").select(
+        named(F.col("doc_id"), F.col("digest")).alias(code), (named(F.col("doc_id"), F.col("digest")) != named(F.col("best.doc_id"), F.col("best.digest"))).alias("_drop"))
+    decided = cut_lineage(several.groupBy(code).agg(F.max("_drop").alias("_drop"), F.count("*").alias("_n")).filter("_drop OR _n > 1"))  # all other rows stay without a shuffle
     slots = slots_for(decided.count())
-    flag, place = free_name(docs, "_maybe"), free_name(docs, "_place")
-    marked = with_flag(docs, id_col, cut_lineage(slot_filter(decided, "_id", slots)), slots, flag)
-    straight = marked.filter(~F.col(flag) | F.col(id_col).isNull()).select(*docs.columns)
-    checked = marked.filter(F.col(flag) & F.col(id_col).isNotNull()).drop(flag).join(decided, F.col(id_col) == F.col("_id"), "left")
-    kept = checked.filter("_id IS NULL OR _class = _id").drop("_id", "_n", "_class")
-    once = W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    return straight.unionByName(kept.withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1).drop(place))
+    marked = with_flag(docs.withColumn(code, named(F.col(id_col), _digest(F.col(text_col)))), code, cut_lineage(slot_filter(decided, code, slots)), slots, flag)
+    maybe = F.col(flag) & F.coalesce(F.col(text_col).rlike(WORDED), F.lit(False))
+    straight = marked.filter(~maybe).select(*docs.columns)
+    # rows of one id and text are in one class, so the first stands for all before anything is joined
+    once = marked.filter(maybe).withColumn(place, F.row_number().over(W.partitionBy(code).orderBy(code))).filter(F.col(place) == 1)
+    return straight.unionByName(once.join(decided.filter("_drop").select(code), code, "left_anti").select(*docs.columns))

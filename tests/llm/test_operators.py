@@ -182,6 +182,18 @@ def test_drop_near_copies(docs, no_docs):
     assert near_copies.drop_near_copies(no_docs).count() == 0
 
 
+def test_drop_near_copies_decides_per_row(spark):
+    """Clean rows stay under a repeated id; null ids take part; rows without words stay."""
+    base, near, other = near_texts()
+    lone, third = words(random.Random(3), 90), words(random.Random(4), 90)
+    rows = [(3, base), (5, near), (5, other), (5, lone), (5, lone), (6, other + " x"), (None, base + " more"), (None, third), (None, third + " y"), (None, None),
+            (7, " \u2003"), (7, " \u2003"), (8, ""), (8, "")]
+    kept = [tuple(r) for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    expected = [(3, base), (5, other), (5, lone), (None, None), (7, " \u2003"), (7, " \u2003"), (8, ""), (8, "")]
+    assert sorted(map(repr, (r for r in kept if r[0] is not None or r[1] is None))) == sorted(map(repr, expected))
+    assert len([r for r in kept if r[0] is None and r[1] in (third, third + " y")]) == 1 and len(kept) == len(expected) + 1
+
+
 def test_prefix_shortens_to_the_target():
     assert near_copies.prefix_length(0.8, 32, 10, 0.9999) == 6
     assert 1 - (1 - 0.8**7) ** 32 < 0.9999 <= 1 - (1 - 0.8**6) ** 32
