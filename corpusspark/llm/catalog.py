@@ -99,9 +99,9 @@ FROM parsed JOIN judged USING (host) LEFT JOIN ruled USING (host, path)
 
 @register
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rates = mixing.source_rates(docs)
-    return mixing.replicate(docs.select("doc_id", "source"), rates)
+    """Whole documents are replicated and shuffled; each copy's text is checked where it arrives."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.checked_mixture(docs, mixing.source_rates(docs)).select("doc_id", "source", "copy", "copies", "order_key")
 
 
 ORACLES["op7_poisson_mix"] = """

@@ -63,3 +63,18 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0, id_col: str = "d
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string"))), 1, 15), 16, 10).cast("long")
     out = many.select(*docs.columns, copy, copies, key.alias(order))
     return out.repartitionByRange(order, id_col, copy).sortWithinPartitions(order, id_col, copy)
+
+
+def checked_mixture(docs: DataFrame, rates: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source",
+                    text_col: str = "text") -> DataFrame:
+    """:func:`replicate` of the whole rows; a copy whose text differs in length or checksum from what was sent ends the job.
+
+    The order column is read through that test, so no reader of it can leave the texts out of the shuffle.
+    """
+    sent = free_name(docs, "_sent")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.struct(F.char_length(text), F.crc32(text.cast("binary")))
+    out = replicate(docs.withColumn(sent, digest), rates, seed, id_col, source_col)
+    order = out.columns[-1]
+    fault = F.raise_error(F.concat(F.lit("text of a copy differs from what was sent: "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    return out.withColumn(order, F.when(F.col(sent) == digest, F.col(order)).otherwise(fault.cast("long"))).drop(sent)

@@ -353,6 +353,15 @@ def test_poisson_counts_follow_the_rates(spark):
     assert {r.source for r in mixing.replicate(table, mixing.source_rates(table, weights)).select("source").distinct().collect()} == {"hot"}
 
 
+def test_mixture_query_moves_whole_texts(spark):
+    """The text is among the columns of the shuffle that orders the copies, and its check follows that shuffle."""
+    plan = catalog.QUERIES["op7_poisson_mix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "RepartitionByExpression":
+        plan = plan.children().head()
+    names = plan.output().mkString(",")
+    assert re.search(r"\btext#", names) and "order_key" in names
+
+
 def test_languages_are_learned(spark):
     rng = random.Random(8)
     stems = {"aa": ["the", "and", "ing"], "bb": ["ung", "sch", "der"], "cc": ["eau", "oix", "que"], "dd": ["ción", "ños", "las"]}
