@@ -24,8 +24,12 @@ TRAINING_PAGES = 480
 BUCKETS, STEPS, RATE, DECAY = 1 << 12, 150, 0.2, 1e-3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text of the page.
-OPAQUE = frozenset("script style title textarea noscript iframe template svg math object select noembed noframes xmp canvas audio video".split())
+#: Their content is never text of the page.  Raw text goes on to its closing tag or the end of the page ...
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
+#: ... the others are elements: what closes an element around them ends them too.
+OPAQUE = frozenset("template svg math object select canvas audio video".split())
+#: Without a closing tag these have no content of their own that could be told from the page's.
+EMBEDDED = frozenset("object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 #: An opening tag on the left ends an open element on the right.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -35,7 +39,8 @@ HOLDS = frozenset("ul ol dl table article section nav aside main header footer f
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in OPAQUE}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in RAW}
+_EMBEDDED_END = re.compile(rf"</({'|'.join(sorted(EMBEDDED))})(?=[\s/>])", re.I)
 
 
 @dataclass
@@ -56,9 +61,11 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     parts: list[str] = []
-    state = {"above": (), "linked": 0}
+    state = {"above": (), "linked": 0, "hidden": False}
 
     def add(raw: str) -> None:
+        if state["hidden"] and any(tag in OPAQUE for tag, _ in stack):
+            return
         text = html.unescape(raw) if "&" in raw else raw
         if not parts or not any(p.strip() for p in parts):
             state["above"] = tuple(x for tag, names in stack for x in (tag, *names))
@@ -83,6 +90,9 @@ def blocks_of(page: str) -> list[Block]:
                 return
 
     at = 0
+    last = {tag: -1 for tag in EMBEDDED}  # where the page closes such an element for the last time
+    for m in _EMBEDDED_END.finditer(page):
+        last[m[1].lower()] = m.start()
     while True:
         m = _TAG.search(page, at)
         if not m:
@@ -105,14 +115,18 @@ def blocks_of(page: str) -> list[Block]:
                 close(("p",), HOLDS)
             else:
                 close((tag,), frozenset())
-        elif tag in OPAQUE:
-            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
+        elif tag in RAW:
+            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea") and not any(t in ("svg", "math") for t, _ in stack):
                 at = _END[tag].search(page, at).start()
+        elif tag in OPAQUE:
+            if not attributes.endswith("/") and (tag not in EMBEDDED or last[tag] >= at):
+                state["hidden"] = True
+                stack.append((tag, ()))
         elif tag not in VOID and not (attributes.endswith("/") and tag in INLINE):
             if tag not in INLINE:
-                close(("p",), HOLDS)
+                close(("p",), HOLDS | OPAQUE)
                 if tag in ENDS:
-                    close(ENDS[tag], HOLDS - {"div"} if tag not in ("tr", "td", "th") else frozenset(["table"]))
+                    close(ENDS[tag], HOLDS - {"div"} | OPAQUE if tag not in ("tr", "td", "th") else frozenset(["table"]) | OPAQUE)
             stack.append((tag, _names(attributes) if attributes else ()))
     if at < len(page):
         add(page[at:])

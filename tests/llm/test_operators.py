@@ -273,6 +273,16 @@ def test_blocks_and_main_text():
     assert right / total > 0.97
 
 
+def test_unclosed_embedded_elements_keep_the_page():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    for tag in ("select", "template", "svg", "math"):
+        assert texts(f"<article><p>One</p><div><{tag}><g>hidden</div><p>Two</p></article><p>Three</p>") == ["One", "Two", "Three"]
+    for tag in ("video", "audio", "canvas", "object"):
+        assert texts(f"<article><p>One</p><{tag} src=x><p>Two</p></article><p>Three</p>") == ["One", "Two", "Three"]
+        assert texts(f"<div><{tag}><p>hidden</div><p>Two</p><{tag}>x</{tag}><p>Three</p>") == ["Two", "Three"]
+    assert texts("<p>One<object><p>hidden</p>more</object>Two<svg><title/><path/></svg><p>Three") == ["One", "Two", "Three"]
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(2)
     for _ in range(20):
