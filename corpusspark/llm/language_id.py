@@ -24,6 +24,8 @@ BUCKETS = 1 << 13
 NGRAMS = (2, 3, 4)
 #: Characters of text handled at once, fixed-point factor of counts, smoothing, sharpness of the score, least lead.
 SLICE, FIXED, SMOOTH, SHARP, LEAD = 1 << 20, 1 << 16, 0.5, 4.0, 0.25
+#: Texts farther from all codewords than the farthest clean labelled text, and this much more, fit no language.
+SLACK = 1.05
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of the lower-cased UTF-8 text: ASCII letters and all of longer characters stay, the rest is a blank.
@@ -132,14 +134,18 @@ def model_of(counted: pd.DataFrame) -> Model:
     return Model(langs, code, weights.astype(np.float32), trust)
 
 
+def losses(model: Model, counts: np.ndarray) -> np.ndarray:
+    """(rows, languages): the weighed loss of each row of counts against each codeword; 1 is what no evidence costs."""
+    f = (counts.astype(np.float32) @ model.weights) / np.maximum(counts.sum(1), 1)[:, None]
+    return np.stack([(np.exp(-np.clip(f * c, -4, 4)) * t).sum(1) for c, t in zip(model.code, model.trust, strict=True)], 1)
+
+
 def decode(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(best, second, score, ambiguous) per row of counts."""
     n = len(counts)
-    total = np.maximum(counts.sum(1), 1)
     if len(model.langs) < 2:
         return np.zeros(n, int), np.zeros(n, int), np.ones(n), np.zeros(n, bool)
-    f = (counts.astype(np.float32) @ model.weights) / total[:, None]
-    loss = np.stack([(np.exp(-np.clip(f * c, -4, 4)) * t).sum(1) for c, t in zip(model.code, model.trust, strict=True)], 1)
+    loss = losses(model, counts)
     order = np.argsort(loss, 1, kind="stable")
     best, second = order[:, 0], order[:, 1]
     lead = np.take_along_axis(loss, second[:, None], 1)[:, 0] - np.take_along_axis(loss, best[:, None], 1)[:, 0]
@@ -187,13 +193,51 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
         _predictor(model), f"doc_id {kind}, held_out boolean, lang_pred string, lang_second string, score double, ambiguous boolean")
 
 
+def _nearest(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(loss of the nearest codeword, its language) per text; texts without a letter have infinity and -1."""
+    far, lang = np.full(len(texts), np.inf), np.full(len(texts), -1)
+    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    if len(model.langs) < 2:  # nothing to be told apart, nothing to be far from
+        far[known] = 0.0
+        return far, lang
+    used = [texts[i] for i in known]
+    for a, b in slices(used):
+        loss = losses(model, gram_counts(used[a:b]))
+        far[known[a:b]], lang[known[a:b]] = loss.min(1), loss.argmin(1)
+    return far, lang
+
+
+def farthest_clean(rows: DataFrame, model: Model) -> float:
+    """The largest loss among all rows (text, lang), held out or not, that decode to their own lang; infinity without any."""
+
+    def worst(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = -np.inf
+        names = np.array([*model.langs, None], object)
+        for batch in batches:
+            far, lang = _nearest(model, batch["text"].tolist())
+            clean = far[(names[lang] == batch["lang"].to_numpy()) & np.isfinite(far)]
+            most = max(most, clean.max(initial=-np.inf))
+        trim_memory()
+        if np.isfinite(most):
+            yield pd.DataFrame({"far": [most]})
+
+    found = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInPandas(worst, "far double").agg(F.max("far")).first()[0]
+    return np.inf if found is None else found
+
+
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """The rows whose language is found, with all their columns; `und` rows go.  A null-safe model of the same split."""
+    """The rows that fit a learned language, with all their columns.
+
+    Texts without a letter go, and texts whose nearest codeword is farther than that of any clean labelled row
+    (:func:`farthest_clean`, with ``SLACK``).  When fewer than two languages could be learned, only the former go.
+    """
     rows = docs.select(is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(rows.filter(~F.col("held_out")))
+    limit = SLACK * farthest_clean(rows, model) if len(model.langs) > 1 else np.inf
 
-    @F.pandas_udf("string")
-    def language(text: pd.Series) -> pd.Series:
-        return next(iter(_predictor(model)(iter([pd.DataFrame({"text": text})]))))["lang_pred"]
+    @F.pandas_udf("boolean")
+    def fits(text: pd.Series) -> pd.Series:
+        far, _ = _nearest(model, text.tolist())
+        return pd.Series(np.isfinite(far) & (far <= limit))
 
-    return docs.filter(language(F.col(text_col)) != UNDETERMINED)
+    return docs.filter(fits(F.col(text_col)))

@@ -393,6 +393,18 @@ def test_languages_are_learned(spark):
     assert kept.columns == table.columns and kept.count() == len(rows) - 3
 
 
+def test_texts_of_no_language_go(spark):
+    """Encoded junk goes, every clean row stays; without labels nothing but letterless texts goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").filter("text IS NOT NULL")
+    rng = random.Random(4)
+    junk = [(10**9 + i, base64.b64encode(rng.randbytes(600)).decode(), None) for i in range(40)] + [(2 * 10**9, "12 !", None)]
+    both = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    kept = {r.doc_id for r in language_id.keep_identified(both).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+    unlabelled = both.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_identified(unlabelled).count() == both.count() - 1
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 6, 12, 40):
         code = language_id.codewords(k)
