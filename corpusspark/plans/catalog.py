@@ -105,7 +105,10 @@ def page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best index entries of every query in every searched root."""
+    """The best index entries of every query in every searched root.
+
+    The model index leaves out 5% of the documents (adapters.py), which no query on it can return.
+    """
     return retrieval(spark, sf_dir).top.select("query_id", "root_id", "pos", "path", "title", "score20")
 
 
@@ -143,7 +146,10 @@ def link_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence under the budget."""
+    """Evidence under the budget.
+
+    The model index leaves out 5% of the documents (adapters.py), which no query on it can return.
+    """
     return retrieval(spark, sf_dir).evidence.select(
         "query_id", "root_id", "evidence_pos", "path", "page_role", "module", "score20", "evidence_role", "selection_reason"
     )
