@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, mixing, near_copies, nearest, piece_sampling, shards, url_reputation, warc
+from . import (
+    exact_dedup, hard_negatives, html_extract, language_id, mixing, near_copies, nearest, piece_sampling, shards, spelling, syncmers, url_reputation, warc,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +170,74 @@ def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copy_classes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
+
+
+@register
+def op12_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 byte by byte over a table that follows from the polynomial; near words by deleting or masking one place of each.
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE crc_steps(b, k, c) AS (
+  SELECT b, 0, b::BIGINT FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_steps WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[{spelling.LETTERS}]+')), '{spelling.UPPER}', '{spelling.LOWER}') AS run
+  FROM documents),
+digits AS (SELECT run, hex(encode(id || ':' || run)) AS h FROM runs WHERE length(run) >= 6),
+coded AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM digits, crc_table),
+words AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded)
+  WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+shorter AS (SELECT DISTINCT c.word AS x, c.n AS xn, w.word AS y, w.n AS yn FROM cuts c JOIN words w ON w.word = c.a || c.b),
+near AS (
+  SELECT x, y, yn FROM shorter UNION ALL SELECT y, x, xn FROM shorter
+  UNION ALL SELECT c.word, d.word, d.n FROM cuts c JOIN cuts d ON c.i = d.i AND c.a = d.a AND c.b = d.b AND c.word <> d.word),
+best AS (SELECT x, count(*) AS n_near, first(y ORDER BY yn DESC, encode(y)) AS y, max(yn) AS yn FROM near GROUP BY x),
+told AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN yn >= 5 * n THEN y END AS form, CASE WHEN yn >= 5 * n THEN yn END AS form_n
+  FROM words LEFT JOIN best ON word = x),
+chain(word, here, next) AS (
+  SELECT word, word, form FROM told
+  UNION ALL SELECT c.word, t.word, t.form FROM chain c JOIN told t ON t.word = c.next)
+SELECT t.word, form, here AS root, n, n_near, form_n FROM told t JOIN chain c ON c.word = t.word AND c.next IS NULL
+"""
