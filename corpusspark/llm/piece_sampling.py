@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, trim_memory
+from .common import free_name, small_batches, trim_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 0.3
 #: Characters sampled at once, characters of new words filtered at once, and nodes of different words a task keeps
 #: before it starts its table anew.
-SLICE, CHUNK, NODES = 1 << 18, 1 << 17, 3_000_000
+SLICE, CHUNK, NODES = 1 << 18, 1 << 16, 600_000
 _WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _BLANK = "▁"
 
@@ -134,7 +134,8 @@ class Words(dict):
                 self.nodes += size
                 run, size = [], 0
         if self.waiting:
-            self.tables = {n: np.concatenate([p[n] for p in parts]) for n in self.tables}
+            for n in self.tables:  # one column at a time: the old one goes before the next is copied
+                self.tables[n] = np.concatenate([p.pop(n) if p is not self.tables else p[n] for p in parts])
             self.waiting = []
         return self.tables
 
@@ -276,12 +277,12 @@ def _model_bytes(df: DataFrame, path: str):
 
 def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids", seed: int = 0,
            model_path: str = MODEL, sharpness: float = SHARPNESS) -> DataFrame:
-    """The table with ``ids_col``: a sampled segmentation of each text.  Null texts have null, empty texts no ids.
+    """The table with ``ids_col`` as its last column (underscores in front where the name is taken): a sampled segmentation
+    of each text.  Null texts have null, empty texts no ids.
 
     Rows of one key and text get the same segmentation at any time and in any task; null keys count as 'None'.
     """
-    if ids_col in df.columns:
-        raise ValueError(f"the table has a column {ids_col} already")
+    ids_col = free_name(df, ids_col)
     model = _model_bytes(df, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
