@@ -164,9 +164,16 @@ def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_records(selected: DataFrame) -> DataFrame:
-    """Reads the records of ``selected`` index rows (path, offset, length) back: one task per stretch of an archive."""
-    ranges = selected.select("path", "offset", "length").withColumn("_stretch", F.expr(f"offset DIV {TASK_BYTES}"))
-    return ranges.repartition("path", "_stretch").sortWithinPartitions("path", "offset").select("path", "offset", "length").mapInPandas(_read_ranges, READ_SCHEMA)
+    """Reads the records of ``selected`` index rows (path, offset, length) back.
+
+    The rows are range-partitioned by archive and offset into as many tasks as the bytes to fetch need (``TASK_BYTES``
+    each, and enough for every core), not as the few bytes of the index would: neighbours stay together.
+    """
+    rows, size = selected.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(-(-size // TASK_BYTES), min(parts, -(-rows // 64)), 1)
+    ranges = selected.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset")
+    return ranges.sortWithinPartitions("path", "offset").mapInPandas(_read_ranges, READ_SCHEMA)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
