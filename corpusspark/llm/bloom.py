@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 HASHES = 2
 MAX_SLOTS = 1 << 30
 
@@ -34,7 +36,7 @@ def with_flag(rows: DataFrame, code: str, bits: DataFrame, slots: int, flag: str
     """Marks rows whose slots are all in the filter; no shuffle, the filter's size is bounded by ``slots``."""
     out, tests = rows, []
     for i in range(HASHES):
-        bucket, found, at = f"_bucket{i}", f"_bits{i}", F.bitmap_bit_position(_slot(F.col(code), i, slots))
+        bucket, found, at = free_name(out, f"_bucket{i}"), free_name(out, f"_bits{i}"), F.bitmap_bit_position(_slot(F.col(code), i, slots))
         side = bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(found))
         out = out.withColumn(bucket, F.bitmap_bucket_number(_slot(F.col(code), i, slots))).join(F.broadcast(side), bucket, "left")
         byte = F.conv(F.hex(F.substring(F.col(found), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

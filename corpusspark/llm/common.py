@@ -31,10 +31,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """
     heavy = F.col(size) * F.lit(share) > F.lit(total)
     extra = [c for c in groups.columns if c != key]
-    hot = groups.filter(heavy).select(key, F.struct(*extra).alias("_hot"))
+    found = free_name(rows, "_hot")
+    hot = groups.filter(heavy).select(key, F.struct(*extra).alias(found))
     marked = rows.join(F.broadcast(hot), key, "left")
-    straight = marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in extra])
-    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
+    straight = marked.filter(F.col(found).isNotNull()).select(*rows.columns, *[F.col(found)[c].alias(c) for c in extra])
+    rest = marked.filter(F.col(found).isNull()).select(*rows.columns)
     return straight.unionByName(rest.join(groups.filter(~heavy), key))
 
 
@@ -43,16 +44,17 @@ def ranked(df: DataFrame, order: list[str | Column], rank: str = "rank") -> Data
 
     Rows are range-partitioned, sorted and written; places come from the counts per partition.
     """
+    spot, slot, ahead = free_name(df, "_place"), free_name(df, "_part"), free_name(df, "_before")
     place = cut_lineage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(spot, F.monotonically_increasing_id())
     )
-    part, inner = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = place.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    order_of = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition of the table
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(order_of), F.lit(0)).alias("_before"))
+    part, inner = F.shiftright(spot, 33), F.col(spot).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = place.groupBy(part.alias(slot)).agg(F.count("*").alias("_n"))
+    order_of = W.orderBy(slot).rowsBetween(W.unboundedPreceding, -1)  # a row per partition of the table
+    before = counts.select(slot, F.coalesce(F.sum("_n").over(order_of), F.lit(0)).alias(ahead))
     return (
-        place.withColumn("_part", part).join(F.broadcast(before), "_part")
-        .withColumn(rank, F.col("_before") + inner).drop("_part", "_place", "_before")
+        place.withColumn(slot, part).join(F.broadcast(before), slot)
+        .withColumn(rank, F.col(ahead) + inner).drop(slot, spot, ahead)
     )
 
 
