@@ -1,7 +1,11 @@
 """References between source files and their transitive closure from seed files.
 
-``files``: repo_id, path (below the workspace), content.  Every lookup "is there a file / an endpoint / an
-export of that name" is an equality join; the closure is a loop over levels whose state is a written table.
+``files``: repo_id, path (below the workspace), content.  A file's text is read once: what it names and what it offers
+become one row of facts, and everything after works on facts.  Every lookup "is there a file / an endpoint / an export of
+that name" is an equality join.  The closure is a semi-naive loop over levels: a turn follows the references of the files
+found last.  After a change of files the facts of the changed files are replaced, references are resolved anew from facts,
+and a stored closure is brought up to date by deleting, per batch, what lies behind the first changed level and deriving it
+again (:func:`updated_closure`).
 """
 
 from __future__ import annotations
@@ -17,12 +21,13 @@ from ..functions.numbering import numbered
 from ..functions.text import (
     any_of, canonical_path, ends_with_any, file_stem, file_suffix, lines_of, parent_path, slashes, strings, strip,
 )
-from ..session import checkpointed, cut_lineage
+from ..session import cut_lineage, new_folder
 from .inventory import language
-from .quality import union
+from .search_strings import contained
 
 REF = ["src", "dst", "kind", "symbol"]
-MERGE_LEVELS = 25  # levels kept as single tables before they are rewritten as one
+#: Workspaces of up to this many files number the files of a turn by one window per batch.
+WINDOW_FILES = 1 << 20
 
 
 def _has_suffix(suffixes: list[str]) -> Column:
@@ -37,14 +42,7 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-# ---- the three indexes ----------------------------------------------------------------------------------
-def file_index(files: DataFrame) -> DataFrame:
-    """(stem, path) of source files."""
-    return files.where(_has_suffix(V.FILE_INDEX_SUFFIXES) & _not_below(V.FILE_INDEX_IGNORED)).select(
-        file_stem(F.col("path")).alias("stem"), "path"
-    )
-
-
+# ---- what a file offers ------------------------------------------------------------------------------------
 def normalized_endpoint(value: Column) -> Column:
     v = F.trim(strip(value), F.lit("/"))
     v = F.when(v.contains("://") | v.contains("${"), F.lit("")).otherwise(v)
@@ -59,10 +57,8 @@ def mapping_paths(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(quoted, normalized_endpoint)), lambda v: v != "")
 
 
-def endpoint_index(files: DataFrame) -> DataFrame:
-    """(endpoint, path): mapping paths of controllers, alone and as class path / member path."""
-    controllers = files.where(_has_suffix(V.JVM_SUFFIXES) & _not_below(V.ENDPOINT_INDEX_IGNORED) & F.col("content").contains("Mapping"))
-    text = F.col("content")
+def controller_endpoints(text: Column) -> Column:
+    """Mapping paths of a controller, alone and as class path / member path."""
     head = F.regexp_extract(text, r"(?Us)^(.*?)\b(?:class|interface)\s+\w+", 1)
     has_class = text.rlike(r"(?U)\b(?:class|interface)\s+\w+")
     tail = F.regexp_replace(text, r"(?Us)^.*?\b(?:class|interface)\s+\w+", "")
@@ -75,8 +71,7 @@ def endpoint_index(files: DataFrame) -> DataFrame:
         )
 
     combined = F.flatten(F.transform(bases, lambda b: F.transform(leaves, lambda x: combine(b, x))))
-    tokens = F.array_distinct(F.concat(mapping_paths(text), F.filter(combined, lambda v: v != "")))
-    return controllers.select("path", F.explode(tokens).alias("endpoint"))
+    return F.array_distinct(F.concat(mapping_paths(text), F.filter(combined, lambda v: v != "")))
 
 
 def exported_symbols(text: Column) -> Column:
@@ -88,27 +83,24 @@ def exported_symbols(text: Column) -> Column:
     return F.filter(F.array_distinct(found), lambda s: ~s.isin(V.NON_SYMBOL_WORDS))
 
 
-def api_index(files: DataFrame) -> DataFrame:
-    """(key, path): exports of API modules as ``module.symbol`` and as ``symbol``."""
-    text = F.col("content")
-    in_directory = any_of(F.col("path").contains(d) for d in V.API_MODULE_DIRECTORIES)
+def is_api_module(path: Column, text: Column) -> Column:
+    in_directory = any_of(path.contains(d) for d in V.API_MODULE_DIRECTORIES)
     calls = text.rlike(r"(?U)\b(?:axios|request|\$axios)\s*\(") & text.rlike(r"(?U)\burl\s*:")
-    modules = files.where(_has_suffix(V.API_MODULE_SUFFIXES) & _not_below(V.API_INDEX_IGNORED) & (in_directory | calls))
-    symbols = modules.select("path", file_stem(F.col("path")).alias("module"), F.explode(exported_symbols(text)).alias("symbol"))
-    return symbols.select("path", F.explode(F.array(F.concat_ws(".", "module", "symbol"), F.col("symbol"))).alias("key"))
+    return _has_suffix(V.API_MODULE_SUFFIXES) & _not_below(V.API_INDEX_IGNORED) & (in_directory | calls)
 
 
 # ---- references of front-end files -----------------------------------------------------------------------
 IMPORT = r"from\s+['\"][^'\"]+['\"]|import\s*\(\s*['\"][^'\"]+['\"]\s*\)|import\s+['\"][^'\"]+['\"]"
 
 
-def import_refs(files: DataFrame, all_files: DataFrame) -> DataFrame:
+def import_specs(text: Column) -> Column:
+    return F.transform(_all(text, "(" + IMPORT + ")"), lambda m: F.regexp_extract(m, "['\"]([^'\"]+)['\"]", 1))
+
+
+def import_refs(facts: DataFrame) -> DataFrame:
     """Relative and ``@/`` imports; the first existing extension wins."""
-    source = files.where(_has_suffix(V.FRONTEND_SUFFIXES))
-    specs = F.transform(
-        _all(F.col("content"), "(" + IMPORT + ")"), lambda m: F.regexp_extract(m, "['\"]([^'\"]+)['\"]", 1)
-    )
-    named = source.select(F.col("path").alias("src"), F.posexplode(specs).alias("pos", "symbol"))
+    all_files = facts.select("path")
+    named = facts.select(F.col("path").alias("src"), F.posexplode("imports").alias("pos", "symbol"))
     alias = F.col("symbol").rlike("^~?@/")
     inside = F.concat_ws("/", F.regexp_extract("src", r"^((?:.*/)?src)/", 1), F.regexp_replace("symbol", "^~?@/", ""))
     has_src = F.col("src").rlike(r"(^|/)src/")
@@ -160,9 +152,11 @@ def api_calls(text: Column) -> Column:
     ))
 
 
-def api_refs(files: DataFrame, index: DataFrame) -> DataFrame:
+def api_refs(facts: DataFrame) -> DataFrame:
     """API calls to exporting modules: ``module.method`` first, the bare method otherwise."""
-    calls = files.where(_has_suffix(V.FRONTEND_SUFFIXES)).select(F.col("path").alias("src"), F.posexplode(api_calls(F.col("content"))).alias("pos", "c"))
+    exports = facts.select("path", file_stem(F.col("path")).alias("module"), F.explode("exports").alias("symbol"))
+    index = exports.select("path", F.explode(F.array(F.concat_ws(".", "module", "symbol"), F.col("symbol"))).alias("key"))
+    calls = facts.select(F.col("path").alias("src"), F.posexplode("calls").alias("pos", "c"))
     keys = calls.select("src", "pos", F.posexplode(F.array(F.concat_ws(".", "c.module", "c.method"), F.col("c.method"))).alias("try_no", "key"))
     hits = keys.join(index.select("key", F.col("path").alias("dst")).distinct(), "key")
     best = hits.withColumn("best", F.min("try_no").over(W.partitionBy("src", "pos"))).where("try_no = best")
@@ -185,27 +179,17 @@ def export_blocks(text: Column) -> Column:
     )
 
 
-def endpoint_refs(files: DataFrame, index: DataFrame, focus: DataFrame | None = None) -> DataFrame:
-    """Endpoints named in front-end files -> controllers, by the longest known prefix.
-
-    ``focus`` (src, symbols): exports that count for a file; without a focused export the whole file counts.
-    """
-    source = files.where(_has_suffix(V.FRONTEND_SUFFIXES)).select(F.col("path").alias("src"), "content")
-    if focus is None:
-        text = F.col("content")
-    else:
-        source = source.join(focus, "src", "left")
-        blocks = F.filter(export_blocks(F.col("content")), lambda b: F.array_contains("symbols", b["symbol"]))
-        chosen = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-        text = F.when(F.coalesce(F.size("symbols"), F.lit(0)) == 0, F.col("content")).when(F.size(blocks) > 0, chosen).otherwise(F.col("content"))
-    named = source.select("src", F.posexplode(endpoint_literals(text)).alias("pos", "symbol"))
+def endpoint_targets(facts: DataFrame) -> DataFrame:
+    """(path, block_no, symbol, pos, dst): endpoints named in a front-end file's blocks -> controllers, by the longest
+    known prefix.  Block 0 is the whole file, the others are its exports."""
+    blocks = facts.select("path", F.posexplode("blocks").alias("block_no", "b"))
+    named = blocks.select("path", "block_no", F.posexplode("b.endpoints").alias("pos", "symbol"))
     parts = F.filter(F.split("symbol", "/"), lambda p: p != "")
     tries = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "/").alias("endpoint")))
-    probes = named.select("src", "pos", "symbol", F.inline(tries))
-    hits = probes.join(index.select("endpoint", F.col("path").alias("dst")).distinct(), "endpoint")
-    best = hits.withColumn("longest", F.max("n").over(W.partitionBy("src", "pos"))).where("n = longest")
-    return best.select("src", "dst", F.lit("http_endpoint_to_controller").alias("kind"), "symbol",
-                       F.struct(F.lit(2).alias("step"), F.col("pos").cast("long").alias("pos"), F.col("dst").alias("name")).alias("ref_pos"))
+    index = facts.select(F.col("path").alias("dst"), F.explode("mappings").alias("endpoint")).distinct()
+    hits = named.select("symbol").distinct().select("symbol", F.inline(tries)).join(index, "endpoint")
+    best = hits.withColumn("longest", F.max("n").over(W.partitionBy("symbol"))).where("n = longest").select("symbol", "dst").distinct()
+    return named.join(best, "symbol").select("path", "block_no", "symbol", F.col("pos").cast("long").alias("pos"), "dst")
 
 
 # ---- references of JVM files ---------------------------------------------------------------------------------
@@ -231,9 +215,10 @@ def type_names(text: Column) -> Column:
     return F.filter(names, lambda n: ~n.isin(V.GENERIC_ROLE_NAMES + V.COMMON_TYPE_NAMES))
 
 
-def type_refs(files: DataFrame, index: DataFrame) -> DataFrame:
+def type_refs(facts: DataFrame) -> DataFrame:
     """Type references, and contract -> implementation references by the name inside the file stem."""
-    named = files.where(_has_suffix(V.JVM_SUFFIXES)).select(F.col("path").alias("src"), F.explode(type_names(F.col("content"))).alias("symbol"))
+    named = facts.select(F.col("path").alias("src"), F.explode("types").alias("symbol"))
+    index = facts.where(_has_suffix(V.FILE_INDEX_SUFFIXES) & _not_below(V.FILE_INDEX_IGNORED)).select(file_stem(F.col("path")).alias("stem"), "path")
     jvm = index.where(_has_suffix(V.JVM_SUFFIXES))
 
     def order(rank: str) -> Column:
@@ -241,43 +226,72 @@ def type_refs(files: DataFrame, index: DataFrame) -> DataFrame:
         return F.struct(F.lit(3).alias("step"), F.lit(0).cast("long").alias("pos"), F.concat_ws("\n", "symbol", F.lit(rank), "dst").alias("name")).alias("ref_pos")
 
     direct = named.join(jvm.select(F.col("stem").alias("symbol"), F.col("path").alias("dst")), "symbol").where("src <> dst")
-    # A contract name inside an implementation stem starts and ends at positions of that stem: every piece
-    # of the stem that ends with a role suffix is a possible name.
-    stems = jvm.where(ends_with_any(F.col("stem"), V.IMPLEMENTATION_SUFFIXES))
-    n = F.char_length("stem")
-    pieces = F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(F.col("stem"), i, j - i + 1)),
-    ))
-    contracts = F.array_distinct(F.filter(
-        pieces, lambda p: p.rlike("^[A-Z]") & (p != F.col("stem")) & ends_with_any(p, V.ROLE_SUFFIXES)
-    ))
-    implementations = stems.select(F.col("path").alias("dst"), F.explode(contracts).alias("symbol"))
+    # Contract names that the files use are looked up in every implementation stem in one pass over the stem.
+    contracts = named.where(F.col("symbol").rlike("^[A-Z]") & ends_with_any(F.col("symbol"), V.ROLE_SUFFIXES)).select(F.col("symbol").alias("needle")).distinct()
+    stems = jvm.where(ends_with_any(F.col("stem"), V.IMPLEMENTATION_SUFFIXES)).select("stem", F.col("path").alias("dst"))
+    implementations = contained(contracts, stems, "stem").where("needle <> stem").select("dst", F.col("needle").alias("symbol"))
     implemented = named.join(implementations, "symbol").where("src <> dst")
     return direct.select("src", "dst", F.lit("java_type_reference").alias("kind"), "symbol", order("0")).unionByName(
         implemented.select("src", "dst", F.lit("java_interface_or_contract_implementation").alias("kind"), "symbol", order("1"))
     )
 
 
+# ---- facts and resolved references -----------------------------------------------------------------------------
+def file_facts(files: DataFrame) -> DataFrame:
+    """One row per path: everything a file names (imports, calls, endpoints per export block, types) and offers (mapping
+    paths, exports).  The only step that reads texts."""
+    text, path = F.col("content"), F.col("path")
+    frontend, jvm = _has_suffix(V.FRONTEND_SUFFIXES), _has_suffix(V.JVM_SUFFIXES)
+
+    def only(condition: Column, values: Column, empty: str) -> Column:
+        return F.when(condition, values).otherwise(F.array().cast(empty))
+
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("symbol"), text.alias("text")))
+    blocks = F.transform(F.concat(whole, export_blocks(text)), lambda b: F.struct(b["symbol"].alias("symbol"), endpoint_literals(b["text"]).alias("endpoints")))
+    controller = jvm & _not_below(V.ENDPOINT_INDEX_IGNORED) & text.contains("Mapping")
+    return files.select("path", "content").dropDuplicates(["path"]).select(
+        "path",
+        only(frontend, import_specs(text), "array<string>").alias("imports"),
+        only(frontend, api_calls(text), "array<struct<module:string,method:string>>").alias("calls"),
+        only(frontend & text.rlike("['\"`]/"), blocks, "array<struct<symbol:string,endpoints:array<string>>>").alias("blocks"),
+        only(jvm, type_names(text), "array<string>").alias("types"),
+        only(controller, controller_endpoints(text), "array<string>").alias("mappings"),
+        only(is_api_module(path, text), exported_symbols(text), "array<string>").alias("exports"),
+    )
+
+
 @dataclass(frozen=True)
 class CodeIndex:
-    """The files of a workspace and the three indexes over them."""
+    """The facts of a workspace and the references that follow from them.
+
+    facts: path, imports, calls, blocks, types, mappings, exports      refs: src, dst, kind, symbol, ref_pos
+    endpoints: path, block_no, symbol, pos, dst     blocks: path, block_no, export     symbols: path, symbol (called methods)
+    """
+
+    facts: DataFrame
+    refs: DataFrame
+    endpoints: DataFrame
+    blocks: DataFrame
+    symbols: DataFrame
 
-    files: DataFrame
-    by_stem: DataFrame
-    by_endpoint: DataFrame
-    by_export: DataFrame
+
+def resolved(facts: DataFrame) -> CodeIndex:
+    """References between the files of a table of facts."""
+    refs = import_refs(facts).unionByName(api_refs(facts)).unionByName(type_refs(facts))
+    blocks = facts.select("path", F.posexplode("blocks").alias("block_no", "b")).where("block_no > 0").select("path", "block_no", F.col("b.symbol").alias("export"))
+    symbols = facts.select("path", F.explode("calls").alias("c")).select("path", F.col("c.method").alias("symbol")).distinct()
+    return CodeIndex(facts, cut_lineage(distinct_refs(refs)), cut_lineage(endpoint_targets(facts)), cut_lineage(blocks), cut_lineage(symbols))
 
 
 def build_index(files: DataFrame) -> CodeIndex:
-    return CodeIndex(files, cut_lineage(file_index(files)), cut_lineage(endpoint_index(files)), cut_lineage(api_index(files)))
+    return resolved(cut_lineage(file_facts(files)))
 
 
-def static_refs(index: CodeIndex, files: DataFrame | None = None) -> DataFrame:
-    """References that do not depend on the order of the visit."""
-    source = index.files if files is None else files
-    refs = import_refs(source, index.files).unionByName(api_refs(source, index.by_export)).unionByName(type_refs(source, index.by_stem))
-    return distinct_refs(refs)
+def refreshed_index(index: CodeIndex, changed: DataFrame, files: DataFrame) -> CodeIndex:
+    """The index after ``changed`` (path) files were added, rewritten or removed; only their texts are read from ``files``."""
+    paths = changed.select("path").distinct()
+    kept = index.facts.join(paths, "path", "left_anti")
+    return resolved(cut_lineage(kept.unionByName(file_facts(files.join(paths, "path", "left_semi")))))
 
 
 def distinct_refs(refs: DataFrame) -> DataFrame:
@@ -286,16 +300,27 @@ def distinct_refs(refs: DataFrame) -> DataFrame:
 
 def reference_edges(index: CodeIndex) -> DataFrame:
     """All references of all files (endpoints read from whole files)."""
-    return distinct_refs(static_refs(index).unionByName(endpoint_refs(index.files, index.by_endpoint)))
+    named = index.endpoints.where("block_no = 0").select(F.col("path").alias("src"), "dst", F.lit("http_endpoint_to_controller").alias("kind"), "symbol")
+    return index.refs.select(*REF).unionByName(named.distinct())
 
 
 # ---- closure ----------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Closure:
-    """nodes: batch_id, path, seq, level     edges: batch_id, src, dst, kind, symbol (of visited files)"""
+    """nodes: batch_id, path, seq, level     edges: batch_id, src, dst, kind, symbol (of visited files)
+
+    ``index``, ``owners`` and ``scope`` are what it was derived from.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    index: CodeIndex
+    owners: DataFrame | None = None
+    scope: DataFrame | None = None
+
+
+NODES = "batch_id string, path string, seq long, level int"
+FOCUS = "batch_id string, export string, first_seq long"
 
 
 def seed_files(batches: DataFrame) -> DataFrame:
@@ -337,100 +362,166 @@ def file_owners(paths: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def in_scope(step: DataFrame, owners: DataFrame, scope: DataFrame) -> DataFrame:
+def _placed(refs: DataFrame, owners: DataFrame | None) -> DataFrame:
+    return refs if owners is None else refs.join(owners.withColumnRenamed("path", "dst"), "dst", "left")
+
+
+def _in_scope(step: DataFrame, scope: DataFrame | None) -> DataFrame:
     """References whose target lies in a repository of their batch, and relative imports, which need no index."""
+    if scope is None:
+        return step
     allowed = scope.select("batch_id", F.col("repo_path").alias("owner"), F.lit(True).alias("_allowed")).distinct()
-    placed = step.join(owners.withColumnRenamed("path", "dst"), "dst", "left").join(allowed, ["batch_id", "owner"], "left")
-    return placed.where((F.col("kind") == "js_relative_import") | F.coalesce("_allowed", F.lit(False))).select(*step.columns)
+    return step.join(allowed, ["batch_id", "owner"], "left").where((F.col("kind") == "js_relative_import") | F.coalesce("_allowed", F.lit(False))).drop("_allowed", "owner")
 
 
-def closure(index: CodeIndex, seeds: DataFrame, max_levels: int | None = None, scope: DataFrame | None = None,
-            repos: DataFrame | None = None) -> Closure:
-    """Breadth-first closure of the references of many batches at once.
+@dataclass(frozen=True)
+class _Rules:
+    """The index with the repository of each target, written once per evaluation."""
+
+    refs: DataFrame
+    endpoints: DataFrame
+    blocks: DataFrame
+    symbols: DataFrame
+    scope: DataFrame | None
+    few: bool  # files
+
+    @classmethod
+    def of(cls, index: CodeIndex, owners: DataFrame | None, scope: DataFrame | None) -> _Rules:
+        refs, endpoints = _placed(index.refs, owners), _placed(index.endpoints, owners)
+        if owners is not None:
+            refs, endpoints = cut_lineage(refs), cut_lineage(endpoints)
+        return cls(refs, endpoints, index.blocks, index.symbols, scope, index.facts.count() <= WINDOW_FILES)
+
+    def called(self, nodes: DataFrame) -> DataFrame:
+        """The exports that files call, with the first caller's place; those of the seeds count from the start."""
+        since = F.when(F.col("level") == 0, F.lit(0).cast("long")).otherwise(F.col("seq"))
+        return nodes.join(self.symbols, "path").groupBy("batch_id", F.col("symbol").alias("export")).agg(F.min(since).alias("first_seq"))
+
+    def step(self, nodes: DataFrame, focus: DataFrame) -> DataFrame:
+        """References of ``nodes``: batch_id, seq, level, src, dst, kind, symbol, ref_pos.
+
+        Endpoints of a file count inside the exports that files before it call; without such an export the whole file counts.
+        """
+        place = ["batch_id", "seq", "level"]
+        plain = nodes.join(self.refs, nodes["path"] == self.refs["src"]).drop("path")
+        naming = nodes.join(self.endpoints.select("path").distinct(), "path", "left_semi")
+        hit = naming.join(self.blocks, "path").join(focus, ["batch_id", "export"]).where("first_seq <= seq").select(*place, "path", "block_no").distinct()
+        rest = naming.join(hit.select("batch_id", "path").distinct(), ["batch_id", "path"], "left_anti").select(*place, "path", F.lit(0).alias("block_no"))
+        found = hit.unionByName(rest).join(self.endpoints, ["path", "block_no"])
+        owner = [c for c in ("owner",) if c in found.columns]
+        first = found.groupBy(*place, "path", "symbol", "dst", *owner).agg(F.min(F.col("block_no").cast("long") * 1_000_000 + F.col("pos")).alias("pos"))
+        focused = first.select(
+            *place, F.col("path").alias("src"), "dst", F.lit("http_endpoint_to_controller").alias("kind"), "symbol", *owner,
+            F.struct(F.lit(2).alias("step"), "pos", F.col("dst").alias("name")).alias("ref_pos"))
+        return _in_scope(plain.unionByName(focused), self.scope)
+
+    def number(self, rows: DataFrame, name: str) -> DataFrame:
+        """1, 2, 3 ... per batch by the column ``o``; a batch finds at most as many files as there are."""
+        if self.few:
+            return rows.withColumn(name, F.row_number().over(W.partitionBy("batch_id").orderBy("o")))
+        return numbered(rows, ["batch_id"], "o", name)
+
+
+def _first_level(rules: _Rules, index: CodeIndex, seeds: DataFrame) -> DataFrame:
+    first = seeds.join(index.facts.select("path"), "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
+    return cut_lineage(rules.number(first, "seq").select("batch_id", "path", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("level")))
+
+
+def _derive(rules: _Rules, visited: DataFrame, frontier: DataFrame, max_levels: int | None) -> tuple[DataFrame, DataFrame]:
+    """All nodes that ``frontier`` (the last level of each batch in ``visited``) leads to, and the exports they call.
+
+    Each turn appends its files and their calls to tables in the checkpoint folder and goes on from there, so plans stay
+    small, and lost executors cost one turn.  Only "were there new files" reaches the driver.
+    """
+    spark = visited.sparkSession
+    folder, turn = new_folder(spark, "closure"), 0
+    visited.select("batch_id", "path", "seq", "level").write.parquet(f"{folder}/nodes/turn=0")
+    rules.called(visited).write.parquet(f"{folder}/focus/turn=0")
 
-    ``seeds``: batch_id, path, seed_no.  ``scope`` (batch_id, repo_path) and ``repos`` (name, path) keep a batch inside
-    its repositories; without them all files are open to every batch.  ``max_levels`` ends a longer loop by an error.  One loop turn follows the references of the files found last; the
-    turn's state is written to the checkpoint folder, so plans stay small and lost executors cost one turn.
-    Only the number of new files of a turn comes to the driver.
+    def told(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}").select(*[c.split()[0] for c in schema.split(", ")])
 
-    Endpoints of a file count only inside exports that some file visited so far calls, so they are read per
-    turn, with the focus symbols known when the file's turn comes; all other references are computed once.
-    """
-    files = index.files.select("path", "content").dropDuplicates(["path"])
-    known = checkpointed(files.select("path"))
-    refs = checkpointed(static_refs(index))
-    symbols = checkpointed(
-        files.where(_has_suffix(V.FRONTEND_SUFFIXES)).select("path", F.explode(api_calls(F.col("content"))).alias("c"))
-        .select("path", F.col("c.method").alias("symbol")).distinct()
-    )
-    # Only front-end files that name an endpoint at all take part in the per-turn step.
-    owners = checkpointed(file_owners(known, repos)) if scope is not None else None
-    scope = checkpointed(scope) if scope is not None else None
-    endpoint_files = checkpointed(files.where(_has_suffix(V.FRONTEND_SUFFIXES) & F.col("content").rlike("['\"`]/")))
-    first = seeds.join(known, "path", "left_semi").groupBy("batch_id", "path").agg(F.min("seed_no").alias("o"))
-    frontier = checkpointed(
-        numbered(first, ["batch_id"], "o", "seq").select("batch_id", "path", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("level"))
-    )
-    levels, steps = [frontier], []
-    # Symbols of the seed files are known from the start (seq 0).
-    called = frontier.join(symbols, "path").select("batch_id", "symbol", F.lit(0).cast("long").alias("first_seq"))
-    focus = checkpointed(called.distinct())
-    level = 0
     while True:
-        if level > 0:
-            fresh = frontier.join(symbols, "path").select("batch_id", "symbol", F.col("seq").alias("first_seq"))
-            focus = checkpointed(focus.unionByName(fresh).groupBy("batch_id", "symbol").agg(F.min("first_seq").alias("first_seq")))
-        plain = frontier.join(refs, frontier["path"] == refs["src"]).select("batch_id", "seq", *REF, "ref_pos")
-        focused = focused_endpoint_refs(frontier, endpoint_files, index.by_endpoint, focus)
-        step = plain.unionByName(focused)
-        step = checkpointed(in_scope(step, owners, scope) if scope is not None else step)
-        steps.append(step.select("batch_id", *REF))
-        visited = union(levels).select("batch_id", "path", "seq")
+        step = rules.step(frontier, told("focus", FOCUS))
         found = (
-            step.groupBy("batch_id", F.col("dst").alias("path")).agg(F.min(F.struct("seq", "ref_pos")).alias("o"))
-            .join(visited, ["batch_id", "path"], "left_anti")
-            .join(known, "path", "left_semi")
-        )
-        last = visited.groupBy("batch_id").agg(F.max("seq").alias("last_seq"))
-        level += 1
-        frontier = checkpointed(
-            numbered(found, ["batch_id"], "o", "no").join(last, "batch_id").select(
-                "batch_id", "path", (F.col("last_seq") + F.col("no")).alias("seq"), F.lit(level).alias("level"))
+            step.groupBy("batch_id", F.col("dst").alias("path")).agg(F.min(F.struct("seq", "ref_pos")).alias("o"), F.max("level").alias("level"))
+            .join(told("nodes", NODES).select("batch_id", "path"), ["batch_id", "path"], "left_anti")
         )
+        last = frontier.groupBy("batch_id").agg(F.max("seq").alias("last_seq"))
+        turn += 1
+        rules.number(found, "no").join(last, "batch_id").select(
+            "batch_id", "path", (F.col("last_seq") + F.col("no")).alias("seq"), (F.col("level") + 1).alias("level")
+        ).write.parquet(f"{folder}/nodes/turn={turn}")
+        frontier = spark.read.schema(NODES).parquet(f"{folder}/nodes/turn={turn}")
         if frontier.isEmpty():
-            break
-        if max_levels is not None and level >= max_levels:
+            return told("nodes", NODES), told("focus", FOCUS)
+        if max_levels is not None and turn >= max_levels:
             raise RuntimeError(f"closure still grows after {max_levels} levels")
-        levels.append(frontier)
-        if len(levels) >= MERGE_LEVELS:
-            levels, steps = [checkpointed(union(levels))], [checkpointed(union(steps))]
-    return Closure(cut_lineage(union(levels)), cut_lineage(union(steps)))
-
-
-def focused_endpoint_refs(frontier: DataFrame, files: DataFrame, by_endpoint: DataFrame, focus: DataFrame) -> DataFrame:
-    """Endpoint references of the frontier files, inside the exports focused when their turn comes."""
-    source = frontier.join(files, "path")
-    blocks = source.select(
-        "batch_id", "path", "seq", F.posexplode(F.concat(
-            F.array(F.struct(F.lit(None).cast("string").alias("symbol"), F.col("content").alias("text"))),
-            export_blocks(F.col("content")),
-        )).alias("block_no", "b"),
-    ).select("batch_id", "path", "seq", "block_no", "b.symbol", endpoint_literals(F.col("b.text")).alias("endpoints"))
-    marked = blocks.join(focus, ["batch_id", "symbol"], "left").withColumn("hit", F.coalesce(F.col("first_seq") <= F.col("seq"), F.lit(False)))
-    any_hit = F.max("hit").over(W.partitionBy("batch_id", "path"))
-    chosen = marked.withColumn("any_hit", any_hit).where("(any_hit and hit) or (not any_hit and block_no = 0)")
-    named = chosen.select("batch_id", "path", "seq", "block_no", F.posexplode("endpoints").alias("pos", "symbol")).groupBy(
-        "batch_id", "path", "seq", "symbol").agg(F.min(F.col("block_no").cast("long") * 1_000_000 + F.col("pos")).alias("pos"))
-    parts = F.filter(F.split("symbol", "/"), lambda p: p != "")
-    tries = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "/").alias("endpoint")))
-    hits = named.select("batch_id", "path", "seq", "symbol", "pos", F.inline(tries)).join(
-        by_endpoint.select("endpoint", F.col("path").alias("dst")).distinct(), "endpoint"
-    )
-    best = hits.withColumn("longest", F.max("n").over(W.partitionBy("batch_id", "path", "symbol"))).where("n = longest")
-    return best.select(
-        "batch_id", "seq", F.col("path").alias("src"), "dst", F.lit("http_endpoint_to_controller").alias("kind"), "symbol",
-        F.struct(F.lit(2).alias("step"), "pos", F.col("dst").alias("name")).alias("ref_pos"),
-    )
+        rules.called(frontier).write.parquet(f"{folder}/focus/turn={turn}")
+
+
+def _edges(rules: _Rules, nodes: DataFrame, focus: DataFrame) -> DataFrame:
+    """References of all visited files at once: whether an export counts for a file depends on places alone."""
+    first = focus.groupBy("batch_id", "export").agg(F.min("first_seq").alias("first_seq"))
+    return rules.step(nodes, first).select("batch_id", *REF)
+
+
+def _setting(index: CodeIndex, scope: DataFrame | None, repos: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    if scope is None:
+        return None, None
+    return cut_lineage(file_owners(index.facts.select("path"), repos)), cut_lineage(scope)
+
+
+def closure(index: CodeIndex, seeds: DataFrame, max_levels: int | None = None, scope: DataFrame | None = None,
+            repos: DataFrame | None = None) -> Closure:
+    """Breadth-first closure of the references of many batches at once.
+
+    ``seeds``: batch_id, path, seed_no.  ``scope`` (batch_id, repo_path) and ``repos`` (name, path) keep a batch inside
+    its repositories; without them all files are open to every batch.  ``max_levels`` ends a longer loop by an error.
+    """
+    owners, scope = _setting(index, scope, repos)
+    rules = _Rules.of(index, owners, scope)
+    frontier = _first_level(rules, index, seeds)
+    nodes, focus = _derive(rules, frontier, frontier, max_levels)
+    return Closure(nodes, cut_lineage(_edges(rules, nodes, focus)), index, owners, scope)
+
+
+def _differing(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    """(path): the values of ``name`` in rows that stand in one of two tables only."""
+    both = before.withColumn("_n", F.lit(1)).unionByName(after.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*before.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0").select(F.col(name).alias("path")).distinct()
+
+
+def updated_closure(old: Closure, index: CodeIndex, seeds: DataFrame, max_levels: int | None = None, scope: DataFrame | None = None,
+                    repos: DataFrame | None = None) -> Closure:
+    """The closure over a refreshed index, equal to one computed from nothing.
+
+    A batch is touched from the lowest level on which a visited file has other references, exports or calls than before:
+    files up to that level were found through unchanged references and keep their places; all behind it are deleted and
+    derived again.  Other seeds start a batch anew, another scope keeps its seeds.  Untouched batches keep their rows.
+    """
+    owners, scope = _setting(index, scope, repos)
+    rules, former = _Rules.of(index, owners, scope), _Rules.of(old.index, old.owners, old.scope)
+    pairs = [(former.refs, rules.refs, "src"), (former.endpoints, rules.endpoints, "path"), (former.blocks, rules.blocks, "path"), (former.symbols, rules.symbols, "path")]
+    dirty = _differing(*pairs[0])
+    for pair in pairs[1:]:
+        dirty = dirty.unionByName(_differing(*pair))
+    cuts = old.nodes.join(dirty.distinct(), "path", "left_semi").groupBy("batch_id").agg(F.min("level").alias("cut"))
+    if scope is not None and old.scope is not None:
+        other = _differing(old.scope.distinct(), scope.distinct(), "batch_id").select(F.col("path").alias("batch_id"), F.lit(0).alias("cut"))
+        cuts = cuts.unionByName(other)
+    seeded = _first_level(rules, index, seeds)
+    started = old.nodes.where("level = 0").select(*seeded.columns)
+    anew = _differing(started, seeded, "batch_id").select(F.col("path").alias("batch_id"), F.lit(-1).alias("cut"))
+    cuts = cut_lineage(cuts.unionByName(anew).groupBy("batch_id").agg(F.min("cut").alias("cut")))
+
+    kept = old.nodes.join(cuts, "batch_id").where("level <= cut")
+    begun = seeded.join(cuts.where("cut = -1"), "batch_id").withColumn("cut", F.lit(0))
+    state = cut_lineage(kept.unionByName(begun))
+    untouched = old.nodes.join(cuts, "batch_id", "left_anti").select(*seeded.columns)
+    nodes, focus = _derive(rules, state.drop("cut"), state.where("level = cut").drop("cut"), max_levels)
+    edges = old.edges.join(cuts, "batch_id", "left_anti").unionByName(_edges(rules, nodes, focus))
+    return Closure(cut_lineage(untouched.unionByName(nodes)), cut_lineage(edges), index, owners, scope)
 
 
 def closure_stats(c: Closure) -> DataFrame:

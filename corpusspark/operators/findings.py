@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.numbering import running
 from ..functions.text import has_cjk, slashes, strings, strip
 from .extract import file_reference
 from .quality import union
@@ -41,15 +42,20 @@ def flatten_findings(parsed: DataFrame) -> DataFrame:
 def valid_refs(refs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Distinct (batch_id, ref) that name an evidence id or lie inside a known range of their batch.
 
-    Ids match by equality.  A file reference is joined on (batch, path); the range test runs on that match.
+    Ids match by equality.  File references are an as-of join: along a file, ranges stand at their first line and
+    references at theirs; (s, e) lies inside a range exactly when the largest last line of the ranges that begin at s or
+    before reaches e.  That is one pass over each (batch, path), and a file with many ranges spans many tasks.
     """
     distinct = refs.select("batch_id", "ref").distinct()
     by_id = distinct.join(ranges.select("batch_id", F.col("evidence_id").alias("ref")).distinct(), ["batch_id", "ref"], "left_semi")
     parsed = distinct.withColumn("p", file_reference(F.col("ref"))).where("p is not null").select(
-        "batch_id", "ref", "p.path", F.col("p.first").alias("s"), F.col("p.last").alias("e")
-    )
-    known = ranges.where("first >= 1 and last >= first").select("batch_id", slashes(F.col("path")).alias("path"), "first", "last")
-    inside = parsed.join(known, ["batch_id", "path"]).where((F.col("first") <= F.col("s")) & (F.col("e") <= F.col("last")))
+        "batch_id", F.col("p.path").alias("path"), F.col("p.first").cast("long").alias("at"), F.lit(1).alias("kind"),
+        F.lit(None).cast("long").alias("reach"), "ref", F.col("p.last").cast("long").alias("e"))
+    known = ranges.where("first >= 1 and last >= first").select(
+        "batch_id", slashes(F.col("path")).alias("path"), F.col("first").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("last").cast("long").alias("reach"))
+    along = parsed.unionByName(known, allowMissingColumns=True)
+    covered = running(along, ["batch_id", "path"], ["at", "kind"], "reach", "covered", F.max)
+    inside = covered.where("kind = 1 and e <= covered")
     return by_id.unionByName(inside.select("batch_id", "ref")).distinct()
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.numbering import numbered
 from ..functions.sizing import at_most
 from ..functions.text import any_of, contains_any, file_name, file_suffix, lines_of, strip
 
@@ -54,8 +54,7 @@ def listed_files(files: DataFrame, limit: int | None = None) -> DataFrame:
         F.when(is_dependency_file(F.col("path")), F.lit("dependency")), F.when(is_config_file(F.col("path")), F.lit("config"))
     ))
     found = files.select("repo_id", "path", F.explode(kinds).alias("kind"))
-    order = W.partitionBy("repo_id", "kind").orderBy("path")
-    return at_most(found.withColumn("file_no", F.row_number().over(order)), "file_no", limit)
+    return at_most(numbered(found, ["repo_id", "kind"], "path", "file_no").withColumn("file_no", F.col("file_no").cast("int")), "file_no", limit)
 
 
 def nearest_symbol(lines: Column, line_no: Column, reach: int = 18) -> Column:
@@ -82,27 +81,24 @@ def entrypoints(files: DataFrame, limit: int | None = None) -> DataFrame:
         "line", F.array_position(F.transform("lines", lambda v: contains_any(v, V.ENTRYPOINT_PATTERNS)), True).cast("int")
     ).where("line > 0")
     found = marked.select("repo_id", "path", "line", nearest_symbol(F.col("lines"), F.col("line")).alias("symbol"))
-    order = W.partitionBy("repo_id").orderBy("path")
-    return at_most(found.withColumn("entry_no", F.row_number().over(order)), "entry_no", limit)
+    return at_most(numbered(found, ["repo_id"], "path", "entry_no").withColumn("entry_no", F.col("entry_no").cast("int")), "entry_no", limit)
 
 
 def candidate_modules(files: DataFrame, modules: int | None = None, per_module: int | None = None) -> DataFrame:
-    """(repo_id, module_no, module, paths): first two path parts below the repository.
+    """(repo_id, module_no, module, file_no, path): first two path parts below the repository, a row per different path.
 
-    ``modules`` and ``per_module`` cut by windows before anything is collected; by default all are listed.
+    Modules and files are numbered across partitions, so a repository that holds a third of all files is many tasks;
+    ``modules`` and ``per_module`` cut the numbers.
     """
     inner = F.substring("path", F.char_length("repo_path") + 2, F.char_length("path"))
     parts = F.split(inner, "/")
     keyed = files.where(F.size(parts) >= 2).select(
         "repo_id", "path", F.array_join(F.slice(parts, 1, 2), "/").alias("module")
-    )
-    names = keyed.select("repo_id", "module").distinct()
-    ranked = at_most(names.withColumn("module_no", F.row_number().over(W.partitionBy("repo_id").orderBy("module"))), "module_no", modules)
-    in_module = W.partitionBy("repo_id", "module").orderBy("path")
-    firsts = at_most(keyed.distinct().withColumn("rn", F.row_number().over(in_module)), "rn", per_module)
-    return firsts.join(ranked, ["repo_id", "module"]).groupBy("repo_id", "module_no", "module").agg(
-        F.array_sort(F.collect_list("path")).alias("paths")
-    )
+    ).distinct()
+    names = numbered(keyed.select("repo_id", "module").distinct(), ["repo_id"], "module", "module_no")
+    placed = at_most(numbered(keyed, ["repo_id", "module"], "path", "file_no"), "file_no", per_module)
+    ranked = placed.join(at_most(names, "module_no", modules), ["repo_id", "module"])
+    return ranked.select("repo_id", F.col("module_no").cast("int").alias("module_no"), "module", F.col("file_no").cast("int").alias("file_no"), "path")
 
 
 def snapshot_diff(previous: DataFrame, current: DataFrame, from_zero: bool = False) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.numbering import running
 from ..functions.sizing import at_most
 from ..functions.terms import is_strong_topic_term
 from ..functions.text import contains_any, drop_prefix, slashes, strings
+from ..session import cut_lineage
 from . import extract
 from .quality import CODE_FEATURES, GROUP
 from .search_strings import contained
@@ -85,26 +87,34 @@ def repo_keys(repos: DataFrame) -> DataFrame:
     )
 
 
-def prefixes(value: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(value), F.lit(1))), lambda n: F.substring(value, F.lit(1), n)
-    )
+def prefix_pairs(prefixes: DataFrame, values: DataFrame) -> DataFrame:
+    """(prefix, value) of the different strings of two tables where the one begins the other.
 
+    In sorted order the values that a prefix begins are one interval.  Its two ends are found by sorting prefixes and
+    values together and counting the values so far, and then only the pairs of the result are written out: no string is
+    cut into its prefixes, and work grows with the strings and the result, however many strings share a beginning.
+    """
+    v = values.select("value").where("value <> ''").distinct()
+    p = prefixes.select("prefix").where("prefix <> ''").distinct()
+    rows = v.select(F.col("value").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast("string").alias("prefix"))
+    for kind, end in ((0, F.lit("")), (2, F.lit("\U0010ffff"))):
+        rows = rows.unionByName(p.select(F.concat("prefix", end).alias("at"), F.lit(kind).alias("kind"), F.lit(0).alias("one"), "prefix"))
+    counted = cut_lineage(running(rows, [], ["at", "kind"], "one", "so_far"))
+    ends = counted.where("kind <> 1").groupBy("prefix").agg(F.min("so_far").alias("low"), F.max("so_far").alias("high")).where("high > low")
+    places = ends.select("prefix", F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("so_far"))
+    return places.join(counted.where("kind = 1").select("so_far", F.col("at").alias("value")), "so_far").select("prefix", "value")
 
-def paths_to_repos(paths: DataFrame, repos: DataFrame) -> DataFrame:
-    """(value, repo_id, root_id): a code path belongs to a repository when one is a prefix of the other.
 
-    Prefix tests become equality joins: the prefixes of the path against the repository paths, and the
-    path against the prefixes of the repository paths.
-    """
+def paths_to_repos(paths: DataFrame, repos: DataFrame) -> DataFrame:
+    """(value, repo_id, root_id): a code path belongs to a repository when one is a prefix of the other."""
     value = F.trim(slashes(F.col("value")), F.lit("/"))
     p = paths.select("value", value.alias("v")).where("v <> ''").distinct()
     r = repo_keys(repos).where("clean_path <> ''").select("root_id", "repo_id", "clean_path", "repo_name")
-    below = p.select("value", F.explode(prefixes(F.col("v"))).alias("k")).join(
-        r.select("root_id", "repo_id", F.explode(F.array_distinct(F.array("clean_path", "repo_name"))).alias("k")), "k"
-    )
-    above = p.withColumnRenamed("v", "k").join(r.select("root_id", "repo_id", F.explode(prefixes(F.col("clean_path"))).alias("k")), "k")
-    return below.select("value", "root_id", "repo_id").unionByName(above.select("value", "root_id", "repo_id")).distinct()
+    named = r.select("root_id", "repo_id", F.explode(F.array_distinct(F.array("clean_path", "repo_name"))).alias("k"))
+    below = prefix_pairs(named.select(F.col("k").alias("prefix")), p.select(F.col("v").alias("value"))).select(F.col("prefix").alias("k"), F.col("value").alias("v"))
+    above = prefix_pairs(p.select(F.col("v").alias("prefix")), r.select(F.col("clean_path").alias("value"))).select(F.col("prefix").alias("v"), F.col("value").alias("clean_path"))
+    found = below.join(named, "k").select("v", "root_id", "repo_id").unionByName(above.join(r, "clean_path").select("v", "root_id", "repo_id"))
+    return p.join(found.distinct(), "v").select("value", "root_id", "repo_id").distinct()
 
 
 def row_repositories(rows: DataFrame, repos: DataFrame) -> DataFrame:

@@ -11,13 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.numbering import numbered
 from ..functions.sizing import lookup_join
 from ..functions.terms import boundary_keys
 from ..functions.text import contains_any, drop_suffix, index_path, let, repo_path, strings, strip
-from .search_strings import contained
+from ..session import cut_lineage
+from .search_strings import found_in
 
 FLAG_COLUMNS = ["wants_code_knowledge", "wants_code_navigation", "wants_runtime_boundary", "wants_source",
                 "wants_data_dictionary"]
+#: Entries of a block, and how many times the limit a root must hold before block bounds pay.
+BLOCK, FEW = 16, 8
 CLASS_COLUMNS = ["c_features", "c_modules", "c_code_feature", "c_code_module", "c_boundary", "c_source", "c_dictionary"]
 
 
@@ -164,93 +168,111 @@ def prior_score() -> Column:
     )
 
 
-def best_by_prior(classified: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` best entries per (root, flag combination) when no word matches.
+def query_terms(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of a query log as numbers: (id, needle), and (query_id, tokens, whole) with the ids of each query's
+    tokens and of the query as a whole."""
+    q = targets.select("query_id", F.transform("tokens", lambda t: F.lower(t)).alias("tokens"), F.lower("lowered_query").alias("whole")).dropDuplicates(["query_id"])
+    words = q.select("query_id", F.explode("tokens").alias("needle"), F.lit("token").alias("kind")).unionByName(
+        q.select("query_id", F.col("whole").alias("needle"), F.lit("whole").alias("kind"))).where("needle <> ''")
+    needles = cut_lineage(words.select("needle").distinct().withColumn("id", F.monotonically_increasing_id()))
+    asked = words.join(needles, "needle").groupBy("query_id").agg(
+        F.collect_set(F.when(F.col("kind") == "token", F.col("id"))).alias("tokens"),
+        F.max(F.when(F.col("kind") == "whole", F.col("id"))).alias("whole"))
+    return needles, cut_lineage(asked)
 
-    The prior is constant within a page class, so the first ``limit`` paths of each (root, class) hold
-    every possible winner; both top-k cuts run before the shuffle.
-    """
-    narrow = classified.select("root_id", "entry_pos", "path", *CLASS_COLUMNS)
-    in_class = W.partitionBy("root_id", *CLASS_COLUMNS).orderBy("path", "entry_pos")
-    kept = narrow.withColumn("rn", F.row_number().over(in_class)).where(F.col("rn") <= limit).drop("rn")
-    combos = targets.select("root_id", *FLAG_COLUMNS).distinct()
-    in_combo = W.partitionBy("root_id", *FLAG_COLUMNS).orderBy(F.desc("prior"), "path", "entry_pos")
-    return (
-        kept.join(combos, "root_id")
-        .withColumn("prior", prior_score())
-        .where(F.col("prior") > 0)
-        .withColumn("rn", F.row_number().over(in_combo))
-        .where(F.col("rn") <= limit)
-        .drop("rn", "prior")
-    )
 
+def entry_terms(classified: DataFrame, needles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Each entry with the ids of the words in its title, summary and path; words of the path that name a module of the
+    root stand apart.  The texts are read once and go no further."""
+    keep = ["root_id", "entry_pos", "path", *CLASS_COLUMNS]
+    found = cut_lineage(found_in(needles, classified, ["l_title", "l_summary", "l_path"], keep=keep, value="id"))
+    named = aliases.join(needles, aliases["alias_key"] == needles["needle"]).select("root_id", "id")
+    in_path = found.select("root_id", "entry_pos", F.explode("l_path_found").alias("id"))
+    modules = lookup_join(in_path, named, ["root_id", "id"], spread=["entry_pos"]).groupBy("root_id", "entry_pos").agg(F.collect_set("id").alias("modules"))
+    path_modules = F.coalesce("modules", F.array().cast("array<long>"))
+    return cut_lineage(found.join(modules, ["root_id", "entry_pos"], "left").select(
+        *keep, F.col("l_title_found").alias("in_title"), F.col("l_summary_found").alias("in_summary"),
+        F.array_except("l_path_found", path_modules).alias("in_path"), path_modules.alias("in_path_modules")))
 
-def token_hits(classified: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, root_id, entry_pos, ...) with the fields of the entry that contain the needle."""
-    text = F.concat_ws("\n", "l_title", "l_summary", "l_path")
-    found = contained(needles, classified.withColumn("text", text), "text").drop("text")
-    hit = found.select(
-        "needle", "root_id", "entry_pos", "path", *CLASS_COLUMNS,
-        F.col("l_title").contains(F.col("needle")).alias("in_title"),
-        F.col("l_summary").contains(F.col("needle")).alias("in_summary"),
-        F.col("l_path").contains(F.col("needle")).alias("in_path"),
-    )
-    return hit.where("in_title or in_summary or in_path")
+
+TERM_COLUMNS = ["in_title", "in_summary", "in_path", "in_path_modules"]
 
 
-def query_needles(targets: DataFrame) -> DataFrame:
-    """(query_id, named_root, needle, kind): the tokens of each query and the query as a whole."""
-    q = targets.select("query_id", "tokens", "lowered_query").dropDuplicates(["query_id"])
-    words = q.select("query_id", F.explode("tokens").alias("needle"), F.lit("token").alias("kind"))
-    whole = q.select("query_id", F.col("lowered_query").alias("needle"), F.lit("whole").alias("kind"))
-    return words.unionByName(whole).withColumn("needle", F.lower("needle")).where("needle <> ''")
+def word_score() -> Column:
+    """Points of a query (tokens, whole) for the words of an entry, or a bound on those of a block's entries."""
+    weights = [V.W_TOKEN_TITLE, V.W_TOKEN_SUMMARY, V.W_TOKEN_PATH, V.W_MODULE_TOKEN_PATH]
+    shared = [F.coalesce(F.size(F.array_intersect("tokens", c)), F.lit(0)) * w for c, w in zip(TERM_COLUMNS, weights)]
+    whole = F.when(F.array_contains("in_title", F.col("whole")), V.W_QUERY_IN_TITLE).when(
+        F.array_contains("in_summary", F.col("whole")), V.W_QUERY_IN_SUMMARY).otherwise(0)
+    return sum(shared, whole)
 
 
-def top_candidates(entries: DataFrame, targets: DataFrame, aliases: DataFrame,
-                   default_limit: int = V.CANDIDATE_LIMIT) -> DataFrame:
+def score20() -> Column:
+    # An array that is null (a query without words) has size null or -1, never points.
+    return (F.when(F.col("tokens").isNull(), 0).otherwise(word_score()) + prior_score()) * 4
+
+
+def in_blocks(terms: DataFrame, size: int) -> DataFrame:
+    """Entries with a ``block``: at most ``size`` entries of one root and page class whose words are much alike.
+
+    Entries are ordered by the least hash of their words, so those that share most words come to stand together.
+    """
+    alike = F.coalesce(F.array_min(F.transform(F.concat("in_title", "in_summary"), lambda x: F.xxhash64(x))), F.lit(0).cast("long"))
+    kind = F.concat(*[F.col(c).cast("int").cast("string") for c in CLASS_COLUMNS])
+    placed = numbered(terms.withColumn("kind", kind).withColumn("alike", alike), ["root_id", "kind"], "alike", "no")
+    return cut_lineage(placed.withColumn("block", F.concat_ws(":", "kind", ((F.col("no") - 1) / size).cast("long"))).drop("kind", "alike", "no"))
+
+
+def pruned_scores(terms: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(query_id, root_id, entry_pos, path, score20) of all entries that can be among a query's ``k`` best of a root.
+
+    A block's bound is the score of an entry that held all words of the block's entries.  The blocks with the best bounds
+    that hold ``k`` entries together are scored first; their k-th score is a threshold that the final k-th score cannot
+    fall below, and blocks whose bound stays below it are never read.  A bound that equals it is read: ties go by path.
+    """
+    placed = in_blocks(terms, size)
+    block = ["root_id", "block", *CLASS_COLUMNS]
+    merged = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in TERM_COLUMNS]  # ``size`` entries at most
+    blocks = cut_lineage(placed.groupBy(*block).agg(F.count("*").alias("n"), *merged))
+    bounds = lookup_join(blocks, wanted, ["root_id"], spread=["block"]).select("query_id", "root_id", "block", "n", "k", score20().alias("bound")).where("bound > 0")
+    before = W.partitionBy("query_id", "root_id").orderBy(F.desc("bound"), "block").rowsBetween(W.unboundedPreceding, -1)
+    bounds = cut_lineage(bounds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        met = placed.join(chosen.select("query_id", "root_id", "block"), ["root_id", "block"])
+        return lookup_join(met, wanted, ["query_id", "root_id"], spread=["entry_pos"]).select(
+            "query_id", "root_id", "entry_pos", "path", "k", score20().alias("score20")).where("score20 > 0")
+
+    first = cut_lineage(scored(bounds.where("before < k")))
+    order = W.partitionBy("query_id", "root_id").orderBy(F.desc("score20"))
+    least = first.withColumn("at", F.row_number().over(order)).where("at = k").select("query_id", "root_id", F.col("score20").alias("least"))
+    rest = bounds.where("before >= k").join(least, ["query_id", "root_id"], "left").where("bound >= coalesce(least, 0)")
+    return first.unionByName(scored(rest))
+
+
+def top_candidates(entries: DataFrame, targets: DataFrame, aliases: DataFrame, default_limit: int = V.CANDIDATE_LIMIT,
+                   block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(query_id, root_id, pos, score20, entry columns): the best entries of every query in every root.
 
-    Exact without scoring all pairs: entries with a word hit come from the search-string join, entries
-    without one can only win by their prior and come from a short list per (root, flag combination).
+    A pass over the texts turns entries into sets of word ids, and a pair is scored by intersecting two sets, without a
+    row per word.  Roots of more than ``few`` times the limit are read through block bounds (:func:`pruned_scores`); in
+    smaller ones the result itself is a large part of the pairs, and all are scored.
     """
     targets = targets.withColumn(
         "k", F.when(F.coalesce("candidate_limit", F.lit(0)) > 0, F.col("candidate_limit")).otherwise(F.lit(default_limit))
     )
     longest = targets.agg(F.max("k")).first()[0] or default_limit
-    classified = classified_entries(entries)
-    needles = query_needles(targets)
-
-    vocabulary = needles.where("kind = 'token'").select(F.col("needle").alias("alias_key")).distinct()
-    module_tokens = aliases.join(vocabulary, "alias_key").select(
-        "root_id", F.col("alias_key").alias("needle"), F.lit(True).alias("is_module")
-    )
-    hits = token_hits(classified, needles.select("needle"))
-    hits = lookup_join(hits, module_tokens, ["root_id", "needle"], "left", spread=["entry_pos"])
-    weight = F.when(
-        F.col("kind") == "whole",
-        F.when(F.col("in_title"), V.W_QUERY_IN_TITLE).when(F.col("in_summary"), V.W_QUERY_IN_SUMMARY).otherwise(0),
-    ).otherwise(
-        F.when(F.col("in_title"), V.W_TOKEN_TITLE).otherwise(0)
-        + F.when(F.col("in_summary"), V.W_TOKEN_SUMMARY).otherwise(0)
-        + F.when(F.col("in_path"), F.when(F.coalesce("is_module", F.lit(False)), V.W_MODULE_TOKEN_PATH).otherwise(V.W_TOKEN_PATH)).otherwise(0)
-    )
-    by_query = lookup_join(hits, needles, ["needle"], spread=["root_id", "entry_pos"])
-    flags = targets.select("query_id", "root_id", "k", *FLAG_COLUMNS)
-    asked = by_query.join(flags.select("query_id", "root_id"), ["query_id", "root_id"], "left_semi")
-    scored = asked.groupBy("query_id", "root_id", "entry_pos", "path", *CLASS_COLUMNS).agg(F.sum(weight).alias("words"))
-
-    priors = flags.join(best_by_prior(classified, targets, longest), ["root_id", *FLAG_COLUMNS]).withColumn("words", F.lit(0).cast("long"))
-    word_rows = scored.join(flags, ["query_id", "root_id"])
-    columns = ["query_id", "root_id", "entry_pos", "path", "k", *CLASS_COLUMNS, *FLAG_COLUMNS, "words"]
-    merged = (
-        word_rows.select(*columns).unionByName(priors.select(*columns))
-        .groupBy(*columns[:-1]).agg(F.sum("words").alias("words"))
-        .withColumn("score20", (F.col("words") + prior_score()) * 4)
-        .where("score20 > 0")
-    )
+    needles, asked = query_terms(targets)
+    terms = entry_terms(classified_entries(entries), needles, aliases)
+    wanted = cut_lineage(targets.select("query_id", "root_id", "k", *FLAG_COLUMNS).join(asked, "query_id", "left"))
+    large = cut_lineage(terms.groupBy("root_id").agg(F.count("*").alias("n")).where(F.col("n") > few * longest).select("root_id"))
+    small = lookup_join(terms.join(large, "root_id", "left_anti"), wanted, ["root_id"], spread=["entry_pos"])
+    scores = small.select("query_id", "root_id", "entry_pos", "path", "k", score20().alias("score20")).where("score20 > 0")
+    if not large.isEmpty():
+        scores = scores.unionByName(pruned_scores(terms.join(large, "root_id", "left_semi"), wanted, block))
     order = W.partitionBy("query_id", "root_id").orderBy(F.desc("score20"), "path", "entry_pos")
     ranked = (
-        merged.withColumn("pos", F.row_number().over(order))
+        scores.withColumn("pos", F.row_number().over(order))
         .where((F.col("pos") <= longest) & (F.col("pos") <= F.col("k")))
         .select("query_id", "root_id", "entry_pos", "pos", "score20")
     )

@@ -1,61 +1,116 @@
-"""Which search strings occur in which texts: an equality join on a short piece, then the exact test."""
+"""Which search strings occur in which texts: one pass over each text finds all strings of a dictionary.
+
+The strings form an automaton (Aho-Corasick), so a text is read once however many strings there are and however short
+they are.  A dictionary of checked size is broadcast and texts stay where they are.  A larger one is cut into pieces;
+texts, cut into chunks of bounded bytes, meet every piece in a cell of its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from operator import itemgetter
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.sizing import BROADCAST_ROWS, fits
+
+#: Strings of a dictionary piece and bytes of text of a chunk when the dictionary is too large to be broadcast.
+PIECE_ROWS, CHUNK_BYTES = 200_000, 32 << 20
+SLICE_ROWS = 256
+_ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64()}
+
+
+class Dictionary:
+    """Automata of (key, string, value) rows, one per key."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.automata: dict[tuple, ahocorasick.Automaton] = {}
+        for *key, needle, value in rows:
+            self.automata.setdefault(tuple(key), ahocorasick.Automaton()).add_word(needle, value)
+        for automaton in self.automata.values():
+            automaton.make_automaton()
+
+    def found(self, key: tuple, text: str | None) -> list:
+        """The values of the different strings of that key in the text, sorted."""
+        automaton = self.automata.get(key)
+        return sorted(set(map(itemgetter(1), automaton.iter(text)))) if automaton and text else []
+
+
+def _scan(batch: pa.RecordBatch, dictionary: Dictionary, same: list[str], fields: list[str], keep: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(start, SLICE_ROWS)
+        keys = list(zip(*[part.column(c).to_pylist() for c in same])) if same else [()] * part.num_rows
+        lists = [pa.array(map(dictionary.found, keys, part.column(f).to_pylist()), pa.list_(kind)) for f in fields]
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *lists], [*keep, *[f"{f}_found" for f in fields]])
+
+
+def found_in(needles: DataFrame, texts: DataFrame, fields: list[str], keep: list[str] | None = None, same: list[str] | None = None,
+             value: str = "needle", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The columns ``keep`` of each text with arrays ``<field>_found``: the values of the strings that the field contains.
+
+    ``needles`` has different rows of a non-empty string column ``needle``, a column ``value`` (string or long) and the
+    columns ``same``, which must equal those of the text's row.  Null and empty fields contain nothing.
+    """
+    same, keep = same or [], texts.columns if keep is None else keep
+    narrow = texts.select(*dict.fromkeys([*keep, *same, *fields]))
+    entries = needles.select(*same, "needle", F.col(value).alias("_value"))
+    value_type = entries.schema["_value"].dataType
+    schema = T.StructType([*[narrow.schema[c] for c in keep], *[T.StructField(f"{f}_found", T.ArrayType(value_type)) for f in fields]])
+    kind = _ARROW[value_type]
+    if fits(entries, broadcast_rows):
+        rows = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in entries.collect()])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dictionary = Dictionary(rows.value)
+            for batch in batches:
+                yield from _scan(batch, dictionary, same, fields, keep, kind)
+
+        return narrow.mapInArrow(scan, schema)
+
+    count = entries.count()
+    size = narrow.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in fields), F.lit(64))), F.lit(0))).first()[0]
+    pieces, chunks = max(1, -(-count // PIECE_ROWS)), max(1, -(-size // CHUNK_BYTES))
+    row = F.xxhash64(*narrow.columns)
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = narrow.withColumn("_row", row).withColumn("_chunk", F.pmod("_row", F.lit(chunks)).cast("int")).withColumn("_piece", each(pieces))
+    right = entries.withColumn("_piece", F.pmod(F.xxhash64("needle"), F.lit(pieces)).cast("int")).withColumn("_chunk", each(chunks))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        dictionary = Dictionary(list(zip(*[b[c].to_pylist() for c in (*same, "needle", "_value")])))
+        parts = [p for batch in a.to_batches() for p in _scan(batch, dictionary, same, fields, [*keep, "_row"], kind)]
+        return pa.Table.from_batches(parts) if parts else pa.table({f.name: pa.array([], f.type) for f in target})
+
+    wide = T.StructType([*schema.fields[: len(keep)], T.StructField("_row", T.LongType()), *schema.fields[len(keep):]])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.sizing import BROADCAST_ROWS, SALTS, fits
-from ..functions.text import grams
-from ..session import cut_lineage
-
-GRAM = 3
-
-
-def anchors(needles: DataFrame, same: list[str]) -> DataFrame:
-    """One piece of at most three characters per search string, the one the fewest strings share."""
-    size = F.least(F.char_length("needle"), F.lit(GRAM))
-    pieces = needles.select(
-        *same, "needle",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.char_length("needle") - size + 1),
-                    lambda i: F.substring(F.col("needle"), i, size),
-                )
-            )
-        ).alias("gram"),
-    )
-    sharing = pieces.groupBy("gram").agg(F.count("*").alias("n"))
-    return (
-        pieces.join(sharing, "gram")
-        .groupBy(*same, "needle")
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    )
+    target = to_arrow_schema(wide)
+    met = left.groupBy("_piece", "_chunk").cogroup(right.groupBy("_piece", "_chunk")).applyInArrow(cell, wide)
+    if pieces == 1:
+        return met.drop("_row")
+    # Equal rows find the same strings in every piece, so each of them gets the union.
+    copies = F.count("*").alias("_copies")
+    each_piece = met.groupBy(*keep, "_row", *[f"{f}_found" for f in fields]).agg(copies)
+    whole = each_piece.groupBy(*keep, "_row").agg(
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{f}_found")))).alias(f"{f}_found") for f in fields],
+        (F.sum("_copies") / pieces).cast("long").alias("_copies"))
+    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*keep, *[f"{f}_found" for f in fields])
 
 
 def contained(needles: DataFrame, texts: DataFrame, text: str, same: list[str] | None = None,
               broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``texts`` with each distinct ``needle`` that the column ``text`` contains.
 
-    ``needles`` has a non-empty string column ``needle`` and the columns ``same``, which must equal those of the text's
-    row.  Only (same, hash of the text, piece) is exploded and, when the search strings do not fit into memory (their
-    rows and bytes are checked), shuffled by (same, piece, salt).  Texts are read again for the pairs that share a
-    piece, where the exact test decides.
+    ``needles`` has a string column ``needle`` (empty and null ones count for nothing) and the columns ``same``, which
+    must equal those of the text's row.
     """
     same = same or []
-    needles = needles.select(*same, "needle").where(F.char_length("needle") > 0).distinct()
-    sizes = needles.agg(F.array_sort(F.collect_set(F.least(F.char_length("needle"), F.lit(GRAM))))).first()[0]
-    keyed = cut_lineage(anchors(needles, same))
-    code = F.xxhash64(F.col(text))
-    pieces = F.array_distinct(F.concat(*[grams(F.col(text), s) for s in sizes or [GRAM]]))
-    exploded = texts.select(*same, code.alias("_code"), F.explode(pieces).alias("gram"))
-    if fits(keyed, broadcast_rows):
-        pairs = exploded.join(F.broadcast(keyed), [*same, "gram"])
-    else:
-        salted = exploded.withColumn("_salt", F.pmod("_code", F.lit(SALTS)).cast("int"))
-        copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = salted.join(copies, [*same, "gram", "_salt"])
-    pairs = pairs.select(*same, "_code", "needle").distinct()
-    found = texts.withColumn("_code", code).join(pairs, [*same, "_code"])
-    return found.where(F.col(text).contains(F.col("needle"))).select(*texts.columns, "needle")
+    distinct = needles.select(*same, "needle").where(F.char_length("needle") > 0).distinct()
+    found = found_in(distinct, texts, [text], same=same, broadcast_rows=broadcast_rows)
+    return found.withColumn("needle", F.explode(f"{text}_found")).drop(f"{text}_found")

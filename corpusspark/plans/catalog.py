@@ -14,10 +14,11 @@ from .. import adapters
 from ..functions import fixed_values as V
 from ..functions.text import joined, strings
 from ..operators import (
-    closure, extract, findings, inventory, links, lint, quality, query_features, reconcile, repos, rollup, scoring,
+    closure, extract, findings, inventory, links, lint, quality, query_features, reconcile, repos, rollup, scoring, selection,
 )
-from ..session import cut_lineage, data_stamp, ensure_checkpoint_dir
+from ..session import cut_lineage, data_stamp, ensure_checkpoint_dir, new_folder
 from ..sources import scan, sinks
+from ..sources.publish import published
 from ..streaming import jobs
 from .retrieval import Retrieval
 
@@ -112,6 +113,12 @@ def score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval(spark, sf_dir).top.select("query_id", "root_id", "pos", "path", "title", "score20")
 
 
+@register
+def hit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of every query in every searched root, with their scores in points."""
+    return scoring.index_hits(retrieval(spark, sf_dir).top).select("query_id", "root_id", "pos", "title", "path", "summary", "score", "source")
+
+
 @register
 def candidate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate columns with modules, signals and fits."""
@@ -244,6 +251,19 @@ def quality_of(spark: SparkSession, sf_dir: str) -> Quality:
     return _quality(spark.sparkContext.applicationId, data_stamp(spark, sf_dir), spark, sf_dir)
 
 
+@register
+def selection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate, linked pages too, with whether it became evidence."""
+    run = retrieval(spark, sf_dir)
+    return selection.selection_status(run.candidates, run.evidence).select("query_id", "root_id", "path", "source", "page_role", "score20", "selection_status")
+
+
+@register
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: what the bundle of a query cites, in the order of its evidence."""
+    return quality.citations(quality_of(spark, sf_dir).bundle)
+
+
 @register
 def evidence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gap of every query, each once."""
@@ -416,7 +436,20 @@ def entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def candidate_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate modules of every repository."""
-    return inventory.candidate_modules(repo_files(spark, sf_dir)).select("repo_id", "module_no", "module", *text_of("paths"))
+    return inventory.candidate_modules(repo_files(spark, sf_dir))
+
+
+@register
+def repository_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot rows of all repositories, published as the latest snapshot and read back; one without files stays."""
+    files = model(spark, sf_dir, "repo_files")
+    repositories = files.select("repo_id", F.col("repo_path").alias("path"), *[F.lit(None).cast("string").alias(c) for c in ("branch", "commit", "remote")]).distinct()
+    folder = new_folder(spark, "snapshots")
+    rows = inventory.snapshot(repositories, repo_files(spark, sf_dir), "current")
+    sinks.write_latest_snapshot(rows.limit(0), folder)
+    sinks.write_latest_snapshot(rows, folder)
+    pairs = F.transform(F.map_entries("language_summary"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return published(spark, folder).select("snapshot_id", "repo_id", "path", "tracked_files", joined(F.array_sort(pairs)).alias("languages"))
 
 
 @register
@@ -467,6 +500,25 @@ def closure_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure_of(spark, sf_dir).nodes.select("batch_id", "path", "level")
 
 
+@register
+def closure_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of an earlier state of the files, brought up to date by the table of changed files.
+
+    In the earlier state every 7th file (by checksum of its path) was empty, every 11th did not exist and every 13th had
+    a twin that is gone by now.
+    """
+    files, batches = model(spark, sf_dir, "code_files"), code_batches(spark, sf_dir)
+    code = F.crc32(F.col("path").cast("binary"))
+    twins = files.where(code % 13 == 2).withColumn("path", F.concat("path", F.lit(".old.vue")))
+    earlier = files.where(code % 11 != 3).withColumn("content", F.when(code % 7 == 1, F.lit("")).otherwise(F.col("content"))).unionByName(twins)
+    repos, seeds = code_repositories(files), closure.seed_files(batches)
+    scope = closure.batch_repositories(batches, seeds, repos)
+    index = closure.build_index(earlier)
+    before = closure.closure(index, seeds, scope=scope, repos=repos)
+    fresh = closure.refreshed_index(index, inventory.changed_files(earlier, files), files)
+    return closure.updated_closure(before, fresh, seeds, scope=scope, repos=repos).nodes.select("batch_id", "path", "level")
+
+
 @register
 def closure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: statistics of every batch's closure."""

@@ -50,15 +50,19 @@ def data_stamp(spark: SparkSession, folder: str) -> int:
     return hash(tuple(sorted(found)))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own inside the checkpoint folder, for tables that a job writes in several steps."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the checkpoint folder and go on from there.
 
     Lost executors then cost no recomputation of earlier stages, later plans stay small, and the planner
     knows the true size of the stage: it broadcasts small ones by itself and reads only the columns it needs.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid4().hex}"
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "stage")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

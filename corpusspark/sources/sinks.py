@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_name, file_stem
 from ..session import cut_lineage
+from .publish import publish
 
 
 def write_payload(df: DataFrame, folder: str, run_id: str, name: str, fmt: str = "json") -> str:
@@ -31,13 +32,14 @@ def append_ledger(entries: DataFrame, folder: str) -> None:
     entries.select("run_id", "kind", "artifact", "created_at").write.mode("append").parquet(folder)
 
 
-def write_verified_findings(findings: DataFrame, folder: str) -> None:
-    findings.write.mode("overwrite").partitionBy("batch_id").json(folder)
+def write_verified_findings(findings: DataFrame, folder: str) -> int:
+    """Publishes the verified findings, a partition per batch."""
+    return publish(findings, folder, ["batch_id"])
 
 
-def write_latest_snapshot(snapshot: DataFrame, folder: str) -> None:
-    """Replaces the latest snapshot.  The rows are written aside first, because they may be read from it."""
-    cut_lineage(snapshot).write.mode("overwrite").parquet(folder)
+def write_latest_snapshot(snapshot: DataFrame, folder: str) -> int:
+    """Replaces the latest snapshot in one step; its rows may be read from the one before."""
+    return publish(snapshot, folder)
 
 
 def register_sources(incoming: DataFrame, existing: DataFrame, roots: DataFrame) -> DataFrame:

@@ -13,11 +13,13 @@ ORACLES: dict[str, str] = {
     "query_plans": r.QUERY_PLANS,
     "page_roles": r.PAGE_ROLES,
     "score_topk": r.SCORE_TOPK,
+    "hit_list": r.HITS,
     "candidate_columns": r.CANDIDATES,
     "primary_pages": r.PRIMARIES,
     "links_extract": r.LINKS_EXTRACT,
     "link_expansion": r.EXPANSION,
     "evidence_budget": r.EVIDENCE,
+    "selection_status": r.STATUS,
     "omitted_reasons": r.OMITTED,
     "coverage_proof": r.COVERAGE,
     "page_extract": p.PAGE_EXTRACT,
@@ -32,10 +34,12 @@ ORACLES: dict[str, str] = {
     "listed_files": p.LISTED,
     "entrypoints": p.ENTRYPOINTS,
     "candidate_modules": p.MODULES,
+    "repository_snapshot": p.SNAPSHOT,
     "snapshot_diff": p.DIFF,
     "changed_files": p.CHANGED,
     "reference_edges": p.EDGES,
     "closure_reach": p.CLOSURE,
+    "closure_update": p.CLOSURE,
     "finding_field_issues": f.FIELD_ISSUES,
     "ref_range_check": f.REF_CHECK,
     "claim_contract": f.CLAIMS,
@@ -54,6 +58,7 @@ ORACLES: dict[str, str] = {
     "reconcile_queries": f.STRINGS,
     "maintenance_materials": f.MATERIALS,
     "run_ledger": f.LEDGER,
+    "citations": q.CITATIONS,
     "evidence_gaps": q.GAPS,
     "topic_coverage": q.TOPICS,
     "root_confidence": q.ROOT_CONFIDENCE,

@@ -137,9 +137,14 @@ cte("x_modules", """
 select repo_id, path, split_part(inner_path, '/', 1) || '/' || split_part(inner_path, '/', 2) as module
 from (select repo_id, path, substr(path, length(repo_path) + 2) as inner_path from x_files) i where contains(inner_path, '/')""")
 MODULES = query("""
-select repo_id, cast(module_no as int) as module_no, module, string_agg(path, '|' order by path) as paths from (
-  select *, dense_rank() over (partition by repo_id order by module) as module_no, row_number() over (partition by repo_id, module order by path) as rn from (select distinct repo_id, path, module from x_modules) d) r
-group by all""")
+select repo_id, cast(dense_rank() over (partition by repo_id order by module) as int) as module_no, module,
+       cast(row_number() over (partition by repo_id, module order by path) as int) as file_no, path
+from (select distinct repo_id, path, module from x_modules) d""")
+SNAPSHOT = query(f"""
+select 'current' as snapshot_id, r.repo_id, r.path, coalesce(c.tracked_files, 0) as tracked_files, coalesce(c.languages, '') as languages
+from (select distinct repo_id, repo_path as path from m_repo_files) r left join (
+  select repo_id, cast(sum(n) as bigint) as tracked_files, string_agg(lang || '=' || n, '|' order by lang || '=' || n) as languages
+  from (select repo_id, {LANG} as lang, count(*) as n from x_files group by all) c group by repo_id) c on c.repo_id = r.repo_id""")
 DIFF = query("select repo_id, path, coalesce(previous_commit, '') as previous_commit, current_commit from m_snapshots where coalesce(previous_commit, '') <> current_commit")
 CHANGED = query("""
 select coalesce(p.repo_id, c.repo_id) as repo_id, coalesce(p.path, c.path) as path, case when p.path is null then 'added' when c.path is null then 'removed' else 'modified' end as change

@@ -22,6 +22,7 @@ def gap(source: str, code: str, root="root_id", severity="'major'", operator="nu
 
 
 cte("x_bundle", "select e.*, p.text as content, p.ipath from x_evidence e join x_pages p on p.root_id = e.root_id and p.repo_path = e.path")
+CITATIONS = query("select query_id, root_id, evidence_pos, root_id || ':' || path as citation from x_bundle where content is not null")
 cte("x_shape", "select query_id, root_id, count(*) as n, max(page_role) as role, max(path) as path from x_bundle group by all")
 cte("x_cov2", "select c.*, coalesce(s.n, 0) as n, s.role, s.path as spath from x_coverage c left join x_shape s on s.query_id = c.query_id and s.root_id = c.root_id")
 cte("x_attr", f"""

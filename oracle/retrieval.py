@@ -185,6 +185,7 @@ left join x_token_points p on p.query_id = t.query_id and p.root_id = t.root_id
 cte("x_top", """
 select * from (select *, row_number() over (partition by query_id, root_id order by score20 desc, path, entry_pos) as pos from x_scored where score20 > 0) r
 where pos <= case when candidate_limit > 0 then candidate_limit else 80 end""")
+HITS = query("select query_id, root_id, pos, title, path, summary, score20 / 20.0::double as score, 'wiki/index.md' as source from x_top")
 SCORE_TOPK = query("select query_id, root_id, pos, path, title, cast(score20 as bigint) as score20 from x_top")
 
 # ---- candidates -----------------------------------------------------------------------------------------------------------
@@ -413,6 +414,9 @@ join x_ectx e using (query_id, root_id, path) where d.dup = 1
 qualify evidence_pos <= e.budget""")
 EVIDENCE = query("""
 select query_id, root_id, evidence_pos, path, page_role, module, cast(score20 as bigint) as score20, evidence_role, selection_reason from x_evidence""")
+STATUS = query("""
+select c.query_id, c.root_id, c.path, c.source, c.page_role, cast(c.score20 as bigint) as score20, case when e.path is null then 'omitted' else 'selected' end as selection_status
+from x_merged c left join x_evidence e on e.query_id = c.query_id and e.root_id = c.root_id and e.path = c.path""")
 cte("x_omitted", """
 select c.query_id, c.root_id, c.pos, c.path, c.title, c.score20, c.page_role, coalesce(c.page_modules[1], '') as module,
   case when len(modules) = 1 and len(page_modules) > 0 and not mq and not wants_cross_module then 'module_mismatch'
