@@ -36,41 +36,105 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: Elements that an implied end does not reach beyond.
 HOLDS = frozenset("ul ol dl table article section nav aside main header footer form div body".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I) for tag in RAW}
 _EMBEDDED_END = re.compile(rf"</({'|'.join(sorted(EMBEDDED))})(?=[\s/>])", re.I)
 
 
+class Above:
+    """An open element: the feature names it adds to those of the elements around it, and the nearest block-level tag.
+
+    Elements around are shared, never copied, so that a page's elements take room in proportion to the page at any depth.
+    """
+
+    __slots__ = ("outer", "new", "leaf", "score")
+
+    def __init__(self, outer: Above | None, new: list[str], leaf: str) -> None:
+        self.outer, self.new, self.leaf, self.score = outer, new, leaf, None
+
+    def names(self) -> list[str]:
+        node, found = self, []
+        while node:
+            found += node.new
+            node = node.outer
+        return found
+
+
 @dataclass
 class Block:
     text: str
-    above: tuple[str, ...]  # tags and attribute words of the ancestors, outermost first
+    above: Above | None  # the innermost open element
     linked: int  # characters inside links
 
 
+#: Elements whose tag says nothing about a block.
+_PLAIN = frozenset("html body b i em strong span".split())
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     words = [w.lower() for m in _NAME.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
     hidden = ("hidden",) if re.search(r"\bhidden\b|display\s*:\s*none", attributes) else ()
     return tuple(f".{w}" for w in words) + hidden
 
 
+class _Stack:
+    """The open elements, with the places of each tag: what a closing tag ends is found without a walk through them."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, list[str], Above]] = []
+        self.places: dict[str, list[int]] = {}
+        self.open_names: dict[str, int] = {}
+        self.opaque = 0
+
+    def top(self) -> Above | None:
+        return self.elements[-1][2] if self.elements else None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def push(self, tag: str, names: tuple[str, ...] = ()) -> None:
+        outer = self.top()
+        features = [f"up={x}" for x in dict.fromkeys((tag, *names)) if x not in _PLAIN]
+        new = [x for x in features if not self.open_names.get(x)]
+        for x in features:
+            self.open_names[x] = self.open_names.get(x, 0) + 1
+        leaf = "hidden" if "hidden" in names else tag if tag not in INLINE else outer.leaf if outer else "none"
+        self.places.setdefault(tag, []).append(len(self.elements))
+        self.opaque += tag in OPAQUE
+        self.elements.append((tag, features, Above(outer, new, leaf)))
+
+    def close(self, tags: tuple[str, ...], holds: frozenset[str]) -> None:
+        """Ends the innermost element of ``tags`` and all inside it, unless one of ``holds`` stands in between."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if at < 0 or any(self.places[h][-1] > at for h in holds if h not in tags and self.places.get(h)):
+            return
+        while len(self.elements) > at:
+            tag, features, _ = self.elements.pop()
+            self.places[tag].pop()
+            self.opaque -= tag in OPAQUE
+            for x in features:
+                self.open_names[x] -= 1
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; tags may be unclosed, crossed or cut off."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """Leaf blocks in page order; tags may be unclosed, crossed or cut off.  Time and room grow with the page's length, not
+    with its depth."""
+    stack = _Stack()
     out: list[Block] = []
     parts: list[str] = []
-    state = {"above": (), "linked": 0, "hidden": False}
+    state = {"above": None, "linked": 0, "worded": False}
+    close = stack.close
 
     def add(raw: str) -> None:
-        if state["hidden"] and any(tag in OPAQUE for tag, _ in stack):
+        if stack.opaque:
             return
         text = html.unescape(raw) if "&" in raw else raw
-        if not parts or not any(p.strip() for p in parts):
-            state["above"] = tuple(x for tag, names in stack for x in (tag, *names))
+        if not state["worded"]:
+            state["above"], state["worded"] = stack.top(), not text.isspace() and text != ""
         parts.append(text)
-        if any(tag == "a" for tag, _ in stack):
+        if stack.has("a"):
             state["linked"] += len(text)
 
     def flush() -> None:
@@ -79,15 +143,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 out.append(Block(text, state["above"], state["linked"]))
             parts.clear()
-            state["linked"] = 0
-
-    def close(tags: tuple[str, ...], holds: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in holds:
-                return
+        state["linked"], state["worded"] = 0, False
 
     at = 0
     last = {tag: -1 for tag in EMBEDDED}  # where the page closes such an element for the last time
@@ -116,18 +172,17 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 close((tag,), frozenset())
         elif tag in RAW:
-            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea") and not any(t in ("svg", "math") for t, _ in stack):
+            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea") and not (stack.has("svg") or stack.has("math")):
                 at = _END[tag].search(page, at).start()
         elif tag in OPAQUE:
             if not attributes.endswith("/") and (tag not in EMBEDDED or last[tag] >= at):
-                state["hidden"] = True
-                stack.append((tag, ()))
+                stack.push(tag)
         elif tag not in VOID and not (attributes.endswith("/") and tag in INLINE):
             if tag not in INLINE:
                 close(("p",), HOLDS | OPAQUE)
                 if tag in ENDS:
                     close(ENDS[tag], HOLDS - {"div"} | OPAQUE if tag not in ("tr", "td", "th") else frozenset(["table"]) | OPAQUE)
-            stack.append((tag, _names(attributes) if attributes else ()))
+            stack.push(tag, _names(attributes) if attributes else ())
     if at < len(page):
         add(page[at:])
     flush()
@@ -143,9 +198,8 @@ def _bucket(feature: str) -> int:
 
 @dataclass
 class Features:
-    """Feature buckets of blocks; those of ancestor chains are kept, as pages repeat them."""
+    """Feature buckets of blocks, and the score of what stands above them."""
 
-    known: dict[tuple[str, ...], list[int]] = field(default_factory=dict)
     named: dict[str, int] = field(default_factory=dict)
 
     def one(self, name: str) -> int:
@@ -155,23 +209,31 @@ class Features:
             self.named[name] = _bucket(name)
         return self.named[name]
 
-    def above(self, chain: tuple[str, ...]) -> list[int]:
-        if chain not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            tags = [x for x in chain if x[0] != "."]
-            names = {f"up={x}" for x in chain if x not in ("html", "body", "b", "i", "em", "strong", "span")}
-            names.add(f"leaf={next((t for t in reversed(tags) if t not in INLINE), 'none')}")
-            self.known[chain] = [self.one(x) for x in sorted(names)]
-        return self.known[chain]
-
-    def block(self, b: Block, place: int, count: int) -> list[int]:
+    def own(self, b: Block, place: int, count: int) -> list[int]:
         n = len(b.text)
-        own = [f"len={min(n.bit_length(), 10)}", f"link={min(4, 4 * b.linked // n)}", f"place={4 * place // count}",
-               f"end={b.text[-1] if b.text[-1] in '.!?:;,' else 'x'}", f"stops={min(3, b.text.count('. ') + b.text.count(', '))}"]
+        names = [f"leaf={b.above.leaf if b.above else 'none'}", f"len={min(n.bit_length(), 10)}", f"link={min(4, 4 * b.linked // n)}", f"place={4 * place // count}",
+                 f"end={b.text[-1] if b.text[-1] in '.!?:;,' else 'x'}", f"stops={min(3, b.text.count('. ') + b.text.count(', '))}"]
         if "©" in b.text:
-            own.append("copyright")
-        return [*self.above(b.above), *[self.one(x) for x in own]]
+            names.append("copyright")
+        return [self.one(x) for x in names]
+
+    def block(self, b: Block, place: int, count: int) -> list[int]:
+        return [*[self.one(x) for x in (b.above.names() if b.above else [])], *self.own(b, place, count)]
+
+    def above(self, weight: list[float], node: Above | None) -> float:
+        """The weights of all elements above a block; each element is scored once per page."""
+        unknown = []
+        while node and node.score is None:
+            unknown.append(node)
+            node = node.outer
+        score = node.score if node else 0.0
+        for node in reversed(unknown):
+            score += sum(weight[self.one(x)] for x in node.new)
+            node.score = score
+        return score
+
+    def scores(self, weight: list[float], blocks: list[Block]) -> list[float]:
+        return [self.above(weight, b.above) + sum(weight[x] for x in self.own(b, i, len(blocks))) for i, b in enumerate(blocks)]
 
 
 @dataclass
@@ -182,6 +244,9 @@ class Field:
     step: np.ndarray
     first: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.weights = self.weight.tolist()
+
     def viterbi(self, scores: list[float]) -> list[int]:
         (a00, a01), (a10, a11) = self.step.tolist()
         best0, best1 = float(self.first[0]), float(self.first[1]) + scores[0]
@@ -262,15 +327,15 @@ def main_text(model: Field, features: Features, page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    weight = model.weight
-    scores = [float(weight[features.block(b, i, len(blocks))].sum()) for i, b in enumerate(blocks)]
-    return " ".join(b.text for b, label in zip(blocks, model.viterbi(scores), strict=True) if label)
+    labels = model.viterbi(features.scores(model.weights, blocks))
+    return " ".join(b.text for b, label in zip(blocks, labels, strict=True) if label)
 
 
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) per row of ``pages`` (page_id, url, html).
 
-    Null or empty html, and pages without main text, give an empty text.  Repeated rows and null ids are rows like any
+    Null or empty html, and pages without main text, give an empty text.  Very long and very deep pages (any number of
+    unclosed elements) are read whole, in time and room that grow with their length.  Repeated rows and null ids are rows like any
     other; further columns are ignored.
     """
     field_ = model or train_on_layouts()
