@@ -120,8 +120,8 @@ drawn AS (
   SELECT doc_id, source, coalesce(source, '') AS s, ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 counted AS (
-  SELECT doc_id, source, len(list_filter(upto, lambda c: c <= u))::INT AS copies FROM drawn JOIN lists USING (s)),
-many AS (SELECT doc_id, source, copies, unnest(range(1, copies + 1))::INT AS copy FROM counted WHERE copies > 0)
+  SELECT doc_id, source, len(list_filter(upto, lambda c: c <= u))::BIGINT AS copies FROM drawn JOIN lists USING (s)),
+many AS (SELECT doc_id, source, copies, unnest(range(1, copies + 1))::BIGINT AS copy FROM counted WHERE copies > 0)
 SELECT doc_id, source, copy, copies,
        ('0x' || substr(md5('order0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 15))::BIGINT AS order_key
 FROM many
