@@ -1,14 +1,20 @@
 """Similarity join on word shingles by a MinHash LSH forest, followed by exact verification.
 
-A text's set holds its different runs of five words.  Each of the forest's trees labels a text by MinHash values; texts
-that share a label's prefix meet.  The prefix is shortened from the full label until the share of pairs at the threshold
-that meet in some tree reaches the target recall.  Texts with equal sets are one entry, so copies cost nothing further.
-
-Work is laid out in cells.  A prefix shared by up to ``BLOCK`` entries is one cell; one shared by more is cut into
-blocks, a cell per pair of blocks, so a group of near copies of any size is many tasks of bounded size.  A pair counts
-in the first tree where it meets.  The first pass over the cells sees only signatures and names the entries that have a
-likely partner there; the second gets their texts and compares the sets exactly.  Cells return counts and one root per
-linked entry, never pairs.
+A text's set holds its different runs of five words.  Each of the forest's trees labels a text by ``DEPTH`` MinHash values.
+The labels of a tree, sorted, are its prefix trie: neighbours in that order share the longest prefixes, and one sorted pass
+tells for every label how deep it has company (:func:`_reach`); labels without any drop out there.  Texts with equal sets
+are one entry, so copies cost nothing further.
+
+Matching starts at whole labels and shortens the prefix step by step.  A step compares only entries that share the shorter
+prefix and did not share the longer one in any tree.  After each step an entry's likely partners tell how many more it
+should still have: it leaves the search once that number is below ``1 - recall``; two entries that have left are not
+compared again.  Entries that still lack partners go on, down to the prefix that finds a pair at the threshold itself with
+the target recall.  So groups of close copies, which fill the large nodes, are settled by long prefixes.
+
+Work is laid out in cells.  A node with up to ``BLOCK`` entries is one cell; a larger one is cut into blocks, a cell
+per pair of blocks, so a group of near copies of any size is many tasks of bounded size.  A pair counts in the first tree
+where it meets.  The steps see only signatures and name the entries that have a likely partner; in the end those get
+their texts, and the sets are compared exactly.  Cells return counts and one root per linked entry, never pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ from .common import free_name, join_groups, small_batches, trim_memory
 from .components import smallest_in_component
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-TREES, DEPTH = 32, 10
+TREES, DEPTH, STEP = 32, 10, 2
 BLOCK = 256
+#: An entry's least similar partner is taken to be this many standard deviations less similar than its signature says.
+DOUBT = 3.0
 #: Signatures are compared with this many standard deviations to spare before the exact test.
 SPARE = 5.0
 SLICE, KNOWN_WORDS, PAIRS = 1 << 20, 400_000, 1 << 16
@@ -48,6 +56,12 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, reca
     return length
 
 
+def prefix_steps(threshold: float, recall: float) -> list[int]:
+    """Prefix lengths in the order they are matched: the whole label first, the shortest that can be needed last."""
+    last = prefix_length(threshold, recall=recall)
+    return [*range(DEPTH, last, -STEP), last]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -188,37 +202,83 @@ def _bytes(table: pa.Table, column: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def _likely(table: pa.Table, length: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of the same cell that meet here first and whose signatures agree in ``least`` places or more."""
-    cells, tree, side = (table.column(c).to_numpy() for c in ("cell", "tree", "side"))
-    cross, sketch = table.column("cross").to_numpy(), _bytes(table, "sketch")
+def _reach(steps: list[int]):
+    """For labels in sorted order: the longest of ``steps`` at which a label shares its prefix with a neighbour.
+
+    Labels without company at the last step go no further.  The first and last label of a task may have it in the next
+    task and stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row so far, not yet given
+        before: np.ndarray | None = None
+
+        def told(part: pa.RecordBatch, labels: np.ndarray, left: np.ndarray | None, right: np.ndarray | None) -> pa.RecordBatch:
+            around = np.concatenate([labels[:1] if left is None else left[None], labels, labels[-1:] if right is None else right[None]])
+            common = np.logical_and.accumulate(around[1:] == around[:-1], 1).sum(1) - 1  # the first byte is the tree
+            reach = np.maximum(common[:-1], common[1:])
+            reach = np.array([max((s for s in steps if s <= r), default=0) for r in range(DEPTH + 1)], np.int32)[np.clip(reach, 0, DEPTH)]
+            kept = reach > 0
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(reach)], [*part.schema.names, "reach"]).filter(pa.array(kept))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = _bytes(pa.Table.from_batches([batch]), "label")
+            if held is not None:
+                yield told(held, _bytes(pa.Table.from_batches([held]), "label"), before, labels[0])
+                before = _bytes(pa.Table.from_batches([held]), "label")[-1]
+            if batch.num_rows > 1:
+                yield told(batch.slice(0, batch.num_rows - 1), labels[:-1], before, labels[-1])
+                before = labels[-2]
+            held = batch.slice(batch.num_rows - 1)
+        if held is not None:
+            yield told(held, _bytes(pa.Table.from_batches([held]), "label"), before, None)
+
+    return run
+
+
+def _likely(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs of the same cell that meet here first, not both settled, and whose signatures agree in ``least`` places or
+    more, with that number."""
+    cells, tree, side, depth, upper = (table.column(c).to_numpy() for c in ("cell", "tree", "side", "depth", "upper"))
+    cross, open_ = (table.column(c).to_numpy() for c in ("cross", "open"))
+    sketch = _bytes(table, "sketch")
     reach = np.searchsorted(cells, cells, side="right") - np.arange(len(cells))  # rows of the cell from here on
     step, left = 1, np.flatnonzero(reach > 1)
     while len(left):
-        first = left[~cross[left] | (side[left] != side[left + step])]
+        right = left + step
+        first = left[(~cross[left] | (side[left] != side[right])) & (open_[left] | open_[right])]
         for a in range(0, len(first), PAIRS):
             i = first[a : a + PAIRS]
             same = sketch[i] == sketch[i + step]
-            enough = same.sum(1) >= least
-            i, same = i[enough], same[enough]
-            meets = same.reshape(len(i), TREES, length).all(2)
-            i = i[meets.argmax(1) == tree[i]]
-            if len(i):
-                yield i, i + step
+            agree = same.sum(1)
+            enough = agree >= least
+            i, same, agree = i[enough], same[enough], agree[enough]
+            common = np.logical_and.accumulate(same.reshape(len(i), TREES, DEPTH), 2).sum(2)
+            meets = common >= depth[i][:, None]
+            new = (common.max(1, initial=0) < upper[i]) & (meets.argmax(1) == tree[i])
+            if new.any():
+                yield i[new], i[new] + step, agree[new]
         step += 1
         left = left[reach[left] > step]
 
 
-def _named(length: int, least: int):
-    """First pass: the rows of each cell that have a likely partner in it."""
+CELL = "key binary, cell long, tree int, side int, cross boolean, depth int, upper int, open boolean, sketch binary"
+
+
+def _named(least: int):
+    """A step over the cells: the rows that have a likely partner, their partners there and the least agreement."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_cells(batches):
-            needed = np.zeros(table.num_rows, bool)
-            for i, j in _likely(table, length, least):
-                needed[i] = needed[j] = True
-            kept = table.filter(pa.array(needed))
-            yield from kept.to_batches()
+            partners, agree = np.zeros(table.num_rows, np.int64), np.full(table.num_rows, TREES * DEPTH, np.int32)
+            for i, j, same in _likely(table, least):
+                for r in (i, j):
+                    np.add.at(partners, r, 1)
+                    np.minimum.at(agree, r, same.astype(np.int32))
+            told = table.append_column("partners", pa.array(partners)).append_column("agree", pa.array(agree))
+            yield from told.filter(pa.array(partners > 0)).to_batches()
 
     return run
 
@@ -242,8 +302,8 @@ def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return product[np.searchsorted(rows, i), np.searchsorted(rows, j)].astype(np.int64)
 
 
-def _verified(length: int, least: int, threshold: float):
-    """Second pass: exact similarity.  Per linked row its links in this cell and the smallest key it is joined to."""
+def _verified(least: int, threshold: float):
+    """The last pass: exact similarity.  Per linked row its links in this cell and the smallest key it is joined to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -263,7 +323,7 @@ def _verified(length: int, least: int, threshold: float):
                     r = root[r]
                 return r
 
-            for i, j in _by_cell(cells, _likely(table, length, least)):
+            for i, j in _by_cell(cells, _likely(table, least)):
                 both = _shared(sets, i, j)
                 near = both >= threshold * (size[i] + size[j] - both) - 1e-9
                 i, j = i[near], j[near]
@@ -285,7 +345,7 @@ def _verified(length: int, least: int, threshold: float):
     return run
 
 
-def _by_cell(cells: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_cell(cells: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs again, those of a cell together: positions only, at most BLOCK * BLOCK of a cell."""
     found = list(pairs)
     if not found:
@@ -303,32 +363,72 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _forest(entries: DataFrame, steps: list[int]) -> DataFrame:
+    """(key, label, reach): the sorted tries.  A label is its tree (one byte) and the entry's values there; only labels with
+    company at the last step remain."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    label = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(sketch, tree * {DEPTH} + 1, {DEPTH})"))
+    labels = entries.select("key", "sketch", tree).select("key", label.alias("label"))
+    return cut_lineage(labels.repartitionByRange("label", "key").sortWithinPartitions("label", "key").mapInArrow(
+        _reach(steps), "key binary, label binary, reach int"))
+
+
+def _matched(entries: DataFrame, forest: DataFrame, steps: list[int], threshold: float, recall: float, deviation: float, least: int) -> DataFrame:
+    """Rows of the cells (``CELL``) with likely partners, over all steps; see the module's text."""
+    settled, found, upper = None, [], DEPTH + 1
+    for depth in steps:
+        met = forest.filter(F.col("reach") >= depth).select(
+            "key", F.conv(F.hex(F.substring("label", 1, 1)), 16, 10).cast("int").alias("tree"),
+            F.xxhash64(F.substring("label", 1, depth + 1)).alias("bucket"), F.substring("label", 1, upper + 1).alias("child"))
+        if settled is None:
+            met = met.withColumn("open", F.lit(True))
+        else:
+            met = met.join(settled.withColumn("_settled", F.lit(True)), "key", "left").withColumn("open", F.col("_settled").isNull()).drop("_settled")
+        met = cut_lineage(met)
+        nodes = met.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("any_open"), F.min("child").alias("a"), F.max("child").alias("b"))
+        # at whole labels a node is one child, and its entries are what is compared
+        worth = F.col("any_open") & (F.col("n") > 1) & (F.lit(True) if depth == DEPTH else F.col("a") != F.col("b"))
+        many = cut_lineage(nodes.filter(worth).select("bucket", "n"))
+        parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+        placed = join_groups(met.drop("child"), many, "bucket", "n", met.count()).select(
+            "key", "tree", "open", "bucket", parts.alias("parts"), F.pmod(F.xxhash64(F.lit(7), "key"), parts).cast("int").alias("side"))
+        # the two blocks of a cell mark their own rows: a pair of different blocks is cross in both, a block alone in neither
+        laid = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+            F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"), F.lit(depth)).alias("cell"), "tree", "side",
+            (F.col("side") != F.col("other")).alias("cross"), F.lit(depth).alias("depth"), F.lit(upper).alias("upper"), "open", "key")
+        cells = laid.join(entries.select("key", "sketch"), "key").repartition("cell").sortWithinPartitions("cell")
+        found.append(cut_lineage(cells.select(*[c.split()[0] for c in CELL.split(", ")]).mapInArrow(_named(least), f"{CELL}, partners long, agree int")))
+        if depth == steps[-1]:
+            break
+        told = found[0]
+        for part in found[1:]:
+            told = told.unionByName(part)
+        similar = F.greatest(F.lit(threshold), F.col("agree") / (TREES * DEPTH) - DOUBT * deviation)
+        chance = 1 - F.pow(1 - F.pow(similar, F.lit(depth)), F.lit(TREES))
+        settled = cut_lineage(told.groupBy("key").agg(F.sum("partners").alias("partners"), F.min("agree").alias("agree")).filter(
+            F.col("partners") * (1 / chance - 1) < 1 - recall).select("key"))
+        upper = depth
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.drop("partners", "agree")
+
+
 def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, best, size, n_links, n_copies) per row with words, and the doc_id of every other row.
 
     best (u, doc_id, digest) is the class's first row: the smallest id, null ids last, then the smallest digest.  size
     counts the class's rows.
     """
-    length = prefix_length(threshold, recall=recall)
-    size, deviation = TREES * length, (threshold * (1 - threshold) / (TREES * length)) ** 0.5
+    steps, size = prefix_steps(threshold, recall), TREES * DEPTH
+    deviation = (threshold * (1 - threshold) / size) ** 0.5
     least = int(np.ceil((threshold - SPARE * deviation) * size))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut_lineage(rows.withColumn("digest", _digest(F.col("text"))).mapInArrow(_sketch(size), "doc_id long, digest binary, key binary, sketch binary"))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "digest"))
     entries = cut_lineage(sketched.filter("key IS NOT NULL").groupBy("key").agg(
         first_row.alias("best"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies")))
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    met = entries.select("key", "sketch", tree).select(
-        "key", "tree", F.xxhash64("tree", F.expr(f"substring(sketch, tree * {length} + 1, {length})")).alias("bucket"))
-    many = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    placed = met.join(many, "bucket").select("key", "tree", "bucket", parts.alias("parts"), F.pmod(F.xxhash64(F.lit(7), "key"), parts).cast("int").alias("side"))
-    laid = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "tree", "side", (F.col("side") != F.col("other")).alias("cross"), "key")
-    # the two blocks of a cell mark their own rows: a pair of different blocks is cross in both, a block alone in neither
-    first = laid.join(entries.select("key", "sketch"), "key").repartition("cell").sortWithinPartitions("cell")
-    columns = "key binary, cell long, tree int, side int, cross boolean, sketch binary"
-    needed = cut_lineage(first.select("key", "cell", "tree", "side", "cross", "sketch").mapInArrow(_named(length, least), columns))
+    needed = _matched(entries, _forest(entries, steps), steps, threshold, recall, deviation, least)
     # an entry's text is found by its digest, one text per digest; only texts that are needed are shuffled: a filter of
     # bounded size says which may be, the join decides
     wanted = cut_lineage(needed.select("key").distinct().join(entries.select("key", F.col("best.digest").alias("digest")), "key"))
@@ -338,8 +438,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, r
     texts = maybe.groupBy("digest").agg(F.first("text").alias("text"))
     joined = needed.join(wanted, "key").join(texts, "digest")
     second = joined.repartition("cell").sortWithinPartitions("cell", "key")
-    linked = cut_lineage(second.select("key", "cell", "tree", "side", "cross", "sketch", "text").mapInArrow(
-        _verified(length, least, threshold), "key binary, root binary, links long"))
+    linked = cut_lineage(second.select(*[c.split()[0] for c in CELL.split(", ")], "text").mapInArrow(
+        _verified(least, threshold), "key binary, root binary, links long"))
     totals = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     roots = smallest_in_component(linked.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = entries.select("key", "best", "n_copies").join(totals, "key", "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn(
