@@ -24,8 +24,9 @@ BUCKETS = 1 << 13
 NGRAMS = (2, 3, 4)
 #: Characters of text handled at once, fixed-point factor of counts, smoothing, sharpness of the score, least lead.
 SLICE, FIXED, SMOOTH, SHARP, LEAD = 1 << 20, 1 << 16, 0.5, 4.0, 0.25
-#: Texts farther from all codewords than the farthest clean labelled text, and this much more, fit no language.
-SLACK = 1.05
+#: A text fits no language when its nearest codeword is farther than this many times what 90 % of the labelled texts of
+#: its length class stay within.  Classes by code points; those with fewer rows than ``CLASS_ROWS`` use all classes' value.
+SLACK, USUAL, LENGTHS, CLASS_ROWS = 1.75, 0.9, (30, 100, 400, 2000), 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of the lower-cased UTF-8 text: ASCII letters and all of longer characters stay, the rest is a blank.
@@ -207,37 +208,62 @@ def _nearest(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     return far, lang
 
 
-def farthest_clean(rows: DataFrame, model: Model) -> float:
-    """The largest loss among all rows (text, lang), held out or not, that decode to their own lang; infinity without any."""
+_BINS = 1 << 12
 
-    def worst(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most = -np.inf
+
+def _length_class(texts: list[str | None]) -> np.ndarray:
+    return np.searchsorted(np.array(LENGTHS), [len(t or "") for t in texts], side="right")
+
+
+def usual_losses(rows: DataFrame, model: Model) -> np.ndarray:
+    """Per length class the loss that ``USUAL`` of all rows (text, lang), held out or not, that decode to their own lang
+    stay within.
+
+    Counted over every labelled row in bins of the loss's logarithm, so that a few odd rows, however odd, move nothing; only
+    the counts come to the driver.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(LENGTHS) + 1) * _BINS, np.int64)
         names = np.array([*model.langs, None], object)
         for batch in batches:
-            far, lang = _nearest(model, batch["text"].tolist())
-            clean = far[(names[lang] == batch["lang"].to_numpy()) & np.isfinite(far)]
-            most = max(most, clean.max(initial=-np.inf))
+            texts = batch["text"].tolist()
+            far, lang = _nearest(model, texts)
+            clean = (names[lang] == batch["lang"].to_numpy()) & np.isfinite(far)
+            bins = np.clip((np.log(np.where(clean, far, 1.0)) + 4) / 8 * _BINS, 0, _BINS - 1).astype(int)  # a loss is between e^-4 and e^4
+            sums += np.bincount((_length_class(texts) * _BINS + bins)[clean], minlength=len(sums))
         trim_memory()
-        if np.isfinite(most):
-            yield pd.DataFrame({"far": [most]})
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"bin": at, "n": sums[at]})
 
-    found = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInPandas(worst, "far double").agg(F.max("far")).first()[0]
-    return np.inf if found is None else found
+    used = rows.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    told = used.mapInPandas(counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(LENGTHS) + 1, _BINS))
+    counts.reshape(-1)[told["bin"].to_numpy(int)] = told["n"].to_numpy(float)
+    every = counts.sum(0)
+    if not every.sum():
+        return np.full(len(counts), np.inf)
+    used_counts = np.where(counts.sum(1, keepdims=True) >= CLASS_ROWS, counts, every)
+    upto = np.cumsum(used_counts, 1)
+    place = (upto >= USUAL * upto[:, -1:]).argmax(1)
+    return np.exp((place + 1) / _BINS * 8 - 4)
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows that fit a learned language, with all their columns.
 
-    Texts without a letter go, and texts whose nearest codeword is farther than that of any clean labelled row
-    (:func:`farthest_clean`, with ``SLACK``).  When fewer than two languages could be learned, only the former go.
+    Texts without a letter go, and texts much farther from every codeword than labelled texts of their length usually are
+    (:func:`usual_losses`, ``SLACK`` times): other languages, encoded data, code.  When fewer than two languages could be
+    learned, only the former go.
     """
     rows = docs.select(is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(rows.filter(~F.col("held_out")))
-    limit = SLACK * farthest_clean(rows, model) if len(model.langs) > 1 else np.inf
+    limits = SLACK * usual_losses(rows, model) if len(model.langs) > 1 else np.full(len(LENGTHS) + 1, np.inf)
 
     @F.pandas_udf("boolean")
     def fits(text: pd.Series) -> pd.Series:
-        far, _ = _nearest(model, text.tolist())
-        return pd.Series(np.isfinite(far) & (far <= limit))
+        texts = text.tolist()
+        far, _ = _nearest(model, texts)
+        return pd.Series(np.isfinite(far) & (far <= limits[_length_class(texts)]))
 
     return docs.filter(fits(F.col(text_col)))
