@@ -374,6 +374,11 @@ def _in_scope(step: DataFrame, scope: DataFrame | None) -> DataFrame:
     return step.join(allowed, ["batch_id", "owner"], "left").where((F.col("kind") == "js_relative_import") | F.coalesce("_allowed", F.lit(False))).drop("_allowed", "owner")
 
 
+def in_scope(step: DataFrame, owners: DataFrame, scope: DataFrame) -> DataFrame:
+    """The references a batch may follow; ``owners`` (path, owner) and ``scope`` (batch_id, repo_path)."""
+    return _in_scope(_placed(step, owners), scope).select(*step.columns)
+
+
 @dataclass(frozen=True)
 class _Rules:
     """The index with the repository of each target, written once per evaluation."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.numbering import running
 from ..functions.text import has_cjk, slashes, strings, strip
+from ..session import new_folder
 from .extract import file_reference
 from .quality import union
 
@@ -187,34 +188,31 @@ def coding_context_issues(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     ])
 
 
-def _nesting(line: Column) -> Column:
-    """How deep objects and lists stand in each other."""
-    brackets = F.regexp_extract_all(F.regexp_replace(line, r'"(?:[^"\\\\]|\\\\.)*"', ""), F.lit(r"[\[\]{}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(a: Column, c: Column) -> Column:
-        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
-
-    return F.aggregate(brackets, start, step, lambda a: a["most"])
-
-
 def human_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, value): every text of the JSON column ``line`` that is the value of a field for people, or an element
-    of such a field's list, at any depth.  One explosion per level; the number of levels comes from the data."""
+    of such a field's list, at any depth.
+
+    A loop over the levels: a turn opens the objects and lists of the turn before and appends what they hold to a table.
+    Each turn's plan is the same, whatever the depth, and only "is anything left to open" reaches the driver.
+    """
     spark = rows.sparkSession
-    depth = rows.agg(F.max(_nesting(F.col("line")))).first()[0] or 0
-    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json("line").alias("v"), F.lit(False).alias("human"))
     names, kept = ", ".join(f"'{n}'" for n in V.HUMAN_TEXT_FIELDS), ", ".join(keys)
-    found = []
-    for _ in range(depth):
-        level = spark.sql(f"""
+    folder, turn = new_folder(spark, "texts"), 0
+    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json("line").alias("v"), F.lit(False).alias("human")).where(
+        "v IS NOT NULL AND schema_of_variant(v) RLIKE '^(ARRAY|OBJECT)'")
+    schema = level.schema
+    while True:
+        spark.sql(f"""
             SELECT {kept}, CASE WHEN e.key IS NULL THEN path || '[' || e.pos || ']' WHEN path = '' THEN e.key ELSE path || '.' || e.key END AS path,
                    e.value AS v, CASE WHEN e.key IS NULL THEN human AND NOT startswith(schema_of_variant(e.value), 'ARRAY') ELSE e.key IN ({names}) END AS human
-            FROM (SELECT * FROM {{level}} WHERE v IS NOT NULL AND schema_of_variant(v) RLIKE '^(ARRAY|OBJECT)') w, LATERAL variant_explode(w.v) e""", level=level)
-        found.append(level.where("human AND schema_of_variant(v) = 'STRING'").select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value")))
-    empty = rows.where(F.lit(False)).select(*keys, F.lit("").alias("path"), F.lit("").alias("value"))
-    return union([empty, *found])
+            FROM {{level}} w, LATERAL variant_explode(w.v) e""", level=level).write.parquet(f"{folder}/turn={turn}")
+        opened = spark.read.schema(schema).parquet(f"{folder}/turn={turn}")
+        level = opened.where("schema_of_variant(v) RLIKE '^(ARRAY|OBJECT)'")
+        if level.isEmpty():
+            break
+        turn += 1
+    every = spark.read.schema(schema).parquet(folder)
+    return every.where("human AND schema_of_variant(v) = 'STRING'").select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value"))
 
 
 def language_issues(findings: DataFrame) -> DataFrame:

@@ -1,59 +1,89 @@
-"""Pipe tables of Markdown documents as rows."""
+"""Pipe tables of Markdown documents as rows, folded out of each text where it stands."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import LINE_BREAK, WHITESPACE
+
+_BREAK, _RULE = re.compile(LINE_BREAK), re.compile(":?-{3,}:?")
+SLICE_ROWS = 256
+
 
-from ..functions.text import lines_of, strip
+def _cells(line: str) -> list[str]:
+    return [c.strip(WHITESPACE) for c in line.strip(WHITESPACE).strip("|").split("|")]
 
 
-def cells_of(line: Column) -> Column:
-    return F.transform(F.split(F.trim(strip(line), F.lit("|")), r"\|"), strip)
+def _is_table(line: str) -> bool:
+    s = line.strip(WHITESPACE)
+    return s.startswith("|") and s.endswith("|") and s.count("|") >= 2
 
 
-def is_table_line(line: Column) -> Column:
-    s = strip(line)
-    return s.startswith("|") & s.endswith("|") & (F.regexp_count(s, F.lit(r"\|")) >= 2)
+def _is_rule(line: str) -> bool:
+    return "---" in line and all(_RULE.fullmatch(c) for c in _cells(line))
 
 
-def is_separator(line: Column) -> Column:
-    return F.forall(cells_of(line), lambda c: c.rlike("^:?-{3,}:?$"))
+def rows_of(text: str) -> list[tuple[int, list[str], list[str]]]:
+    """(line of the header, header cells, cells) of all table rows, in one pass over the lines.
+
+    A table starts at the first line of a run of table lines that a separator follows; a row counts when it has as many
+    cells as the header.  A separator without pipes ends the run of its header, and the run after it holds the rows.
+    """
+    lines = _BREAK.split(text)
+    if lines[-1] == "":
+        lines.pop()
+    out: list[tuple[int, list[str], list[str]]] = []
+    table = [_is_table(x) for x in lines]
+    at, handed = 0, -1  # ``handed``: a header whose rows are in the run that begins two lines below it
+    while at < len(lines):
+        if not table[at]:
+            at += 1
+            continue
+        end = at
+        while end < len(lines) and table[end]:
+            end += 1
+        own = next((j for j in range(at, end) if j + 1 < len(lines) and _is_rule(lines[j + 1])), -1)
+        header = handed if 0 <= handed == at - 2 else own
+        if header >= 0:
+            names = _cells(lines[header])
+            for line in lines[max(at, header + 2) : end]:
+                cells = _cells(line)
+                if len(cells) == len(names):
+                    out.append((header, names, cells))
+        handed = own if own == end - 1 else -1
+        at = end
+    return out
 
 
 def table_rows(documents: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, row_index, table_line, headers, cells): rows of all tables in reading order.
+    """(key, row_index, table_line, headers, cells): rows of all tables in reading order; see :func:`rows_of`.
 
-    A table starts at the first line of a run of table lines that a separator follows; a row counts when
-    it has as many cells as the header.  Only documents with a separator line are exploded, and the lines
-    of a document arrive together because a document is one row.
+    Texts stay in their task and only the extracted rows leave it: nothing is shuffled.
     """
-    lines = documents.where(F.col(text).rlike(r"(?m)^[ \t|]*:?-{3,}")).select(
-        *key, F.posexplode(lines_of(F.col(text))).alias("line_no", "line")
-    )
-    order = W.partitionBy(*key).orderBy("line_no")
-    marked = lines.withColumn("is_table", is_table_line(F.col("line"))).withColumn("is_sep", is_separator(F.col("line")))
-    marked = (
-        marked.withColumn("next_sep", F.coalesce(F.lead("is_sep").over(order), F.lit(False)))
-        .withColumn("next_table", F.coalesce(F.lead("is_table").over(order), F.lit(False)))
-        .withColumn("block", F.sum((~F.col("is_table")).cast("int")).over(order))
-    )
-    block = W.partitionBy(*key, "block")
-    marked = marked.withColumn("own_header", F.min(F.when(F.col("is_table") & F.col("next_sep"), F.col("line_no"))).over(block))
-    # A separator without pipes ends the run of its header; the run after it holds the rows.
-    opens_next = (F.col("line_no") == F.col("own_header")) & ~F.col("next_table")
-    marked = marked.withColumn("handed", F.lag(F.when(opens_next, F.col("line_no")), 2).over(order))
-    marked = marked.withColumn("from_before", F.min(F.when(F.col("is_table"), F.col("handed"))).over(block))
-    marked = marked.withColumn("header", F.coalesce("from_before", "own_header"))
-    table = marked.where(F.col("is_table") & F.col("header").isNotNull())
-    headers = marked.where(F.col("is_table") & F.col("next_sep")).select(
-        *key, F.col("line_no").alias("header"), cells_of(F.col("line")).alias("headers")
-    )
-    rows = table.where(F.col("line_no") > F.col("header") + 1).select(*key, "line_no", "header", cells_of(F.col("line")).alias("cells"))
-    kept = rows.join(headers, [*key, "header"]).where(F.size("cells") == F.size("headers"))
-    numbered = F.row_number().over(W.partitionBy(*key).orderBy("line_no"))
-    return kept.select(*key, numbered.alias("row_index"), F.col("header").alias("table_line"), "headers", "cells")
+    held = documents.where(F.col(text).rlike(r"(?m)^[ \t|]*:?-{3,}")).select(*key, F.col(text).alias("_text"))
+    cells = T.ArrayType(T.StringType())
+    schema = T.StructType([*held.schema.fields[:-1], T.StructField("row_index", T.IntegerType()), T.StructField("table_line", T.IntegerType()),
+                           T.StructField("headers", cells), T.StructField("cells", cells)])
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                found = [(i, n, *row) for i, t in enumerate(part.column("_text").to_pylist()) for n, row in enumerate(rows_of(t), 1)]
+                if found:
+                    at, *columns = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c).take(pa.array(at, pa.int32())) for c in key], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                        [*key, "row_index", "table_line", "headers", "cells"])
+
+    return held.mapInArrow(fold, schema)
 
 
 def cell_named(names: list[str], headers: str = "headers", cells: str = "cells") -> Column:

@@ -18,6 +18,7 @@ from ..operators import (
 )
 from ..session import cut_lineage, data_stamp, ensure_checkpoint_dir, new_folder
 from ..sources import scan, sinks
+from ..sources.folders import filesystem, read_folders
 from ..sources.publish import published
 from ..streaming import jobs
 from .retrieval import Retrieval
@@ -785,6 +786,35 @@ def maintenance_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- sinks and streams ---------------------------------------------------------------------------------------------------------------------
+def _file_writer(folder: str):
+    """(root_id, path, html) -> a text file per row below ``folder``, written by the task that holds the row."""
+
+    def write(batches):
+        fs, base = filesystem(folder)
+        for batch in batches:
+            for root, path, html in zip(*[batch.column(c).to_pylist() for c in ("root_id", "path", "html")]):
+                name = f"{base}/{root}/{path}"
+                fs.create_dir(name.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(name) as out:
+                    out.write((html or "").encode())
+            yield batch.select(["path"])
+
+    return write
+
+
+@register
+def scanned_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files of five roots and scanned back; folders of dependencies are not opened."""
+    number = F.col("page_id").cast("string")
+    p = adapters.read(spark, sf_dir, "pages").select(
+        F.concat(F.lit("h"), (F.col("page_id") % 5).cast("string")).alias("root_id"),
+        F.concat(F.lit("wiki/d"), (F.col("page_id") % 3).cast("string"), F.when(F.col("page_id") % 23 == 7, "/node_modules").otherwise(""), F.lit("/p"), number, F.lit(".md")).alias("path"), "html")
+    folder = new_folder(spark, "files")
+    p.mapInArrow(_file_writer(folder), "path string").count()
+    found = read_folders(spark, {f"h{i}": f"{folder}/h{i}" for i in range(5)}, "*.md")
+    return found.select(F.col("id").alias("root_id"), "path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 @register
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows, appended by a file stream over the event table."""

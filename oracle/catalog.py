@@ -40,6 +40,8 @@ ORACLES: dict[str, str] = {
     "reference_edges": p.EDGES,
     "closure_reach": p.CLOSURE,
     "closure_update": p.CLOSURE,
+    "closure_stats": p.CLOSURE_STATS,
+    "scanned_folders": p.SCANNED,
     "finding_field_issues": f.FIELD_ISSUES,
     "ref_range_check": f.REF_CHECK,
     "claim_contract": f.CLAIMS,

@@ -187,3 +187,24 @@ select batch_id, path, cast(min(level) as int) as level from x_walk group by bat
 
 
 CLOSURE = closure_sql()
+
+
+def closure_stats_sql() -> str:
+    """Counts over the walk: its files and levels, and the references of visited files that their batch may follow."""
+    head, tail = CLOSURE.rsplit("select batch_id, path, cast(min(level) as int)", 1)
+    return f"""{head.rstrip()},
+x_reached as (select batch_id, path, cast(min(level) as int){tail}),
+x_followed as (
+  select r.batch_id, e.kind from x_reached r join x_edges e on e.src = r.path join m_code_batches b on b.batch_id = r.batch_id
+  where b.other is not null or starts_with(e.dst, 'repos/web/') or e.kind = 'js_relative_import'),
+x_counts as (select batch_id, count(*) as n, string_agg(distinct kind, '|' order by kind) as kinds from x_followed group by batch_id)
+select r.batch_id, count(*) as file_count, max(r.level) as levels, coalesce(any_value(c.n), 0) as reference_count, coalesce(any_value(c.kinds), '') as followed_reference_kinds,
+  '{V.CLOSURE_POLICY}' as expansion_policy, '{V.CLOSURE_STOPPED}' as stopped_reason
+from x_reached r left join x_counts c on c.batch_id = r.batch_id group by r.batch_id"""
+
+
+CLOSURE_STATS = closure_stats_sql()
+SCANNED = query("""
+select 'h' || cast(page_id % 5 as varchar) as root_id, 'wiki/d' || cast(page_id % 3 as varchar) || '/p' || cast(page_id as varchar) || '.md' as path,
+  cast(strlen(coalesce(html, '')) as bigint) as length, sha256(coalesce(html, '')) as sha256
+from pages where page_id % 23 <> 7""")
