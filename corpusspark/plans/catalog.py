@@ -447,8 +447,8 @@ def repository_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     repositories = files.select("repo_id", F.col("repo_path").alias("path"), *[F.lit(None).cast("string").alias(c) for c in ("branch", "commit", "remote")]).distinct()
     folder = new_folder(spark, "snapshots")
     rows = inventory.snapshot(repositories, repo_files(spark, sf_dir), "current")
-    sinks.write_latest_snapshot(rows.limit(0), folder)
-    sinks.write_latest_snapshot(rows, folder)
+    sinks.publish_snapshot(rows.limit(0), folder)
+    sinks.publish_snapshot(rows, folder)
     pairs = F.transform(F.map_entries("language_summary"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return published(spark, folder).select("snapshot_id", "repo_id", "path", "tracked_files", joined(F.array_sort(pairs)).alias("languages"))
 
@@ -628,6 +628,15 @@ def batch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("batch", F.concat_ws("-", F.lit("B1"), "batch_id")).withColumn("pos", F.substring("finding_id", 3, 20).cast("long"))
 
 
+@register
+def published_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified findings without blocking gaps, published by batch and read back."""
+    kept = findings.verified_findings(findings_table(spark, sf_dir), verified_ids(spark, sf_dir))
+    folder = new_folder(spark, "findings")
+    sinks.publish_findings(kept.select("batch_id", "finding_id", "knowledge_level", "evidence_refs"), folder)
+    return published(spark, folder).select("batch_id", "finding_id", "knowledge_level", F.size("evidence_refs").alias("n_refs"))
+
+
 @register
 def batch_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: planned against verified batches."""

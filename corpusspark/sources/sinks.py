@@ -32,13 +32,22 @@ def append_ledger(entries: DataFrame, folder: str) -> None:
     entries.select("run_id", "kind", "artifact", "created_at").write.mode("append").parquet(folder)
 
 
-def write_verified_findings(findings: DataFrame, folder: str) -> int:
-    """Publishes the verified findings, a partition per batch."""
+def write_verified_findings(findings: DataFrame, folder: str) -> None:
+    findings.write.mode("overwrite").partitionBy("batch_id").json(folder)
+
+
+def write_latest_snapshot(snapshot: DataFrame, folder: str) -> None:
+    """Replaces the latest snapshot in a plain folder.  The rows are written aside first, because they may be read from it."""
+    cut_lineage(snapshot).write.mode("overwrite").parquet(folder)
+
+
+def publish_findings(findings: DataFrame, folder: str) -> int:
+    """Publishes the verified findings, a partition per batch; readers see all of them or those before."""
     return publish(findings, folder, ["batch_id"])
 
 
-def write_latest_snapshot(snapshot: DataFrame, folder: str) -> int:
-    """Replaces the latest snapshot in one step; its rows may be read from the one before."""
+def publish_snapshot(snapshot: DataFrame, folder: str) -> int:
+    """Replaces the latest snapshot in one step for readers of :func:`publish.published`; its rows may be read from the one before."""
     return publish(snapshot, folder)
 
 

@@ -50,6 +50,7 @@ ORACLES: dict[str, str] = {
     "bundle_consistency": f.BUNDLE,
     "plan_issues": f.PLAN,
     "batch_acceptance": f.ACCEPT,
+    "published_findings": f.PUBLISHED,
     "batch_completion": f.COMPLETION,
     "batch_rollup": f.ROLLUP,
     "target_pages": f.TARGETS,

@@ -112,6 +112,7 @@ select batch_id, error = '' as passed, error, n_verified from (
 # ---- rollup -----------------------------------------------------------------------------------------------------------
 cte("x_published", """
 select f.*, 'B1-' || f.batch_id as batch, json_extract_string(j, '$.title') as title from x_find f join x_verified v using (batch_id, finding_id) where json_array_length(j, '$.blocking_gaps') = 0""")
+PUBLISHED = query("select batch_id, finding_id, level as knowledge_level, cast(json_array_length(j, '$.evidence_refs') as int) as n_refs from x_published")
 COMPLETION = query("""
 select coalesce(p.batch, v.batch) as batch, case when p.batch is null then 'orphan_verified' when v.n is null then 'verified_findings_missing' when v.n = 0 then 'verified_findings_empty' else 'complete' end as state
 from (select 'B1-' || batch_id as batch from m_plan_batches where n % 6 <> 4) p full outer join (
