@@ -201,7 +201,7 @@ TERM_COLUMNS = ["in_title", "in_summary", "in_path", "in_path_modules"]
 def word_score() -> Column:
     """Points of a query (tokens, whole) for the words of an entry, or a bound on those of a block's entries."""
     weights = [V.W_TOKEN_TITLE, V.W_TOKEN_SUMMARY, V.W_TOKEN_PATH, V.W_MODULE_TOKEN_PATH]
-    shared = [F.coalesce(F.size(F.array_intersect("tokens", c)), F.lit(0)) * w for c, w in zip(TERM_COLUMNS, weights)]
+    shared = [F.coalesce(F.size(F.array_intersect(c, "tokens")), F.lit(0)) * w for c, w in zip(TERM_COLUMNS, weights)]
     whole = F.when(F.array_contains("in_title", F.col("whole")), V.W_QUERY_IN_TITLE).when(
         F.array_contains("in_summary", F.col("whole")), V.W_QUERY_IN_SUMMARY).otherwise(0)
     return sum(shared, whole)

@@ -7,11 +7,13 @@ texts, cut into chunks of bounded bytes, meet every piece in a cell of its own.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ from ..functions.sizing import BROADCAST_ROWS, fits
 #: Strings of a dictionary piece and bytes of text of a chunk when the dictionary is too large to be broadcast.
 PIECE_ROWS, CHUNK_BYTES = 200_000, 32 << 20
 SLICE_ROWS = 256
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64()}
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from ..functions.text import LINE_BREAK, WHITESPACE
 
 _BREAK, _RULE = re.compile(LINE_BREAK), re.compile(":?-{3,}:?")
 SLICE_ROWS = 256
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
 
 def _cells(line: str) -> list[str]:

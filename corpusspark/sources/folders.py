@@ -9,11 +9,13 @@ listed at all.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -22,6 +24,7 @@ from ..functions import fixed_values as V
 PARTITION_BYTES = 32 << 20
 #: Bytes read at once while lines are looked for.
 CHUNK = 1 << 20
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
