@@ -263,6 +263,7 @@ def _claims() -> str:
 # A labelled document asks for changes: a request document with a shard table and an output table.
 CHANGE_REQUESTS = """
 select 'r' || cast(d.doc_id as string) as request_id, d.doc_id, d.source as root_id,
+  split_part(d.text, chr(10), -1) as task, case when d.doc_id % 3 = 0 then 'state/handoffs/r' || cast(d.doc_id as string) || '/handoff/request.md' end as source_path,
   case when d.doc_id % 9 <> 4 then '# Knowledge Manager 维护请求' else '# other' end || chr(10) || '- knowledge_id: ' || d.source || chr(10) || '- team_run_id: run-' || cast(d.doc_id % 50 as string) || chr(10)
   || '- manifest: handoff/manifest.json' || chr(10) || chr(10)
   || '| 分片 | 主题 | 来源批次 |' || chr(10) || '| --- | --- | --- |' || chr(10)
@@ -277,6 +278,26 @@ select 'r' || cast(d.doc_id as string) as request_id, d.doc_id, d.source as root
 from {documents} d join {labels} l on d.doc_id = l.doc_id
 """
 
+# Files beside the requests that came as files: manifests (some broken, some missing) and quality reports of their handoffs.
+HANDOFF_FILES = """
+select root_id, at || 'manifest.json' as path,
+  case when doc_id % 5 = 0 then '{{"schema_version": ' else
+  '{{"schema_version": "team.handoff_manifest.v1", "knowledge_manager_request": "handoff/km.md", "handoff_quality": "quality.json", "knowledge_id": "'
+  || case when doc_id % 2 = 0 then root_id || '-m' else '' end || '", "run_id": "m-' || cast(doc_id % 50 as string) || '", "human_readable_output_language": "zh-CN", "shards": [{{'
+  || '"path": "handoff/shards/M1.md", "topic": "' || topic || '", "source_batch": "B1-m", "verified_findings": "batches/b1/findings.jsonl", "analysis": "batches/b1/analysis.md", '
+  || '"evidence": "", "source_summary_path": "wiki/s2.md", "source_summary_blueprint": "handoff/source/M1.md", "candidate_wiki_pages": ["wiki/entities/code/features/data-policy_'
+  || cast(doc_id % 40 as string) || '.md", "", "wiki/entities/code/modules/alt_' || cast(doc_id % 7 as string) || '.md"], "primary_wiki_pages": ["wiki/entities/code/features/data-policy_' || cast(doc_id % 40 as string)
+  || '.md"], "page_blueprints": ["handoff/m1.md", "plan/m2.md"], "knowledge_levels": ["feature_implementation"]}}]}}' end as text
+from (select d.doc_id, d.source as root_id, translate(split_part(d.text, chr(10), 1), '|`"' || chr(9) || chr(13) || chr(92), '') as topic,
+        'state/handoffs/r' || cast(d.doc_id as string) || case when d.doc_id % 2 = 0 then '/handoff/' else '/handoff/handoff/' end as at
+      from {documents} d join {labels} l on d.doc_id = l.doc_id where d.doc_id % 3 = 0 and d.doc_id % 7 <> 0) m
+union all
+select d.source, 'state/handoffs/r' || cast(d.doc_id as string) || case when d.doc_id % 2 = 0 then '/handoff/' else '/handoff/handoff/' end || 'quality.json',
+  case when d.doc_id % 9 = 0 then '{{"schema_version": "team.other.v1"}}'
+    else '{{"schema_version": "team.handoff_quality.v1", "passed": ' || case when d.doc_id % 4 = 2 then 'true, "issues": []}}' else 'false, "issues": ["a", "b"]}}' end end
+from {documents} d join {labels} l on d.doc_id = l.doc_id where d.doc_id % 3 = 0 and d.doc_id % 7 <> 0 and d.doc_id % 12 <> 0
+"""
+
 PLAN_BATCHES = """
 select source as batch_id, 's' || source as slug, n_docs, cast(substr(source, 4) as bigint) as n
 from (select source, count(*) as n_docs from {documents} group by source) x

@@ -702,43 +702,66 @@ class Reconciliation:
     """Change requests -> search strings -> retrieval in the root of each request."""
 
     documents: DataFrame
+    files: DataFrame
     roots: DataFrame
     entries: DataFrame
+    pages: DataFrame
 
     @cached_property
-    def detected(self) -> DataFrame:
-        return cut_lineage(reconcile.requests(self.documents).where("detected"))
+    def handoffs(self) -> DataFrame:
+        return cut_lineage(reconcile.handoffs(self.documents, self.files))
 
     @cached_property
     def shards(self) -> DataFrame:
-        return cut_lineage(reconcile.request_shards(self.documents).join(self.detected.select("request_id"), "request_id", "left_semi"))
+        return cut_lineage(reconcile.handoff_shards(self.documents, self.handoffs))
 
     @cached_property
     def outputs(self) -> DataFrame:
-        return cut_lineage(reconcile.request_outputs(self.documents).join(self.detected.select("request_id"), "request_id", "left_semi"))
+        return cut_lineage(reconcile.handoff_outputs(self.documents, self.handoffs))
 
     @cached_property
     def strings(self) -> DataFrame:
         return cut_lineage(reconcile.search_strings(self.shards, self.outputs))
 
     @cached_property
-    def found(self) -> DataFrame:
-        """(request_id, query_no, pos, path, title): index pages found for each search string."""
-        log = self.strings.join(self.documents.select("request_id", "root_id"), "request_id").select(
+    def run(self) -> Retrieval:
+        """Retrieval for the task of every request (query_no 0) and for the search strings of its handoff."""
+        asked = self.documents.select("request_id", "root_id", F.lit(0).alias("query_no"), F.coalesce("task", F.lit("")).alias("query")).unionByName(
+            self.strings.join(self.documents.select("request_id", "root_id"), "request_id").select("request_id", "root_id", "query_no", "query"))
+        log = asked.select(
             F.concat_ws("#", "request_id", F.col("query_no").cast("string")).alias("query_id"), "query", F.col("root_id").alias("named_root"),
             F.lit("focused").alias("mode"), F.lit(0).alias("candidate_limit"), F.lit(0).alias("evidence_budget"), F.lit(False).alias("include_source"),
             F.lit(False).alias("include_cross_module"), *[F.lit(None).cast("string").alias(c) for c in ("plan_operator", "plan_scope", "plan_subject")],
         )
         # The retrieval of a request runs without the code preference of a named root.
-        run = Retrieval(self.roots.withColumn("is_code_root", F.lit(False)), self.entries, log)
-        parts = F.split("query_id", "#")
-        return cut_lineage(run.top.select(
-            parts[0].alias("request_id"), parts[1].cast("int").alias("query_no"), "pos", F.concat(F.lit("wiki/"), F.col("path")).alias("path"), "title"))
+        return Retrieval(self.roots.withColumn("is_code_root", F.lit(False)), self.entries, log, self.pages)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """(request_id, query_no, pos, path, title): candidates of each query, from the index and by links of primary pages."""
+        return cut_lineage(self.run.candidates.select(*request_query(), "pos", "path", "title"))
+
+    @cached_property
+    def consulted(self) -> DataFrame:
+        """(request_id, query_no, pos, path): the index page of the root, then the primary pages that exist."""
+        index = self.run.targets.join(self.run.index.select("root_id").distinct(), "root_id", "left_semi").select(
+            *request_query(), F.lit(0).alias("pos"), F.lit("wiki/index.md").alias("path"))
+        there = self.pages.select("root_id", F.col("repo_path").alias("path")).distinct()
+        read = self.run.primaries.join(there, ["root_id", "path"], "left_semi").select(*request_query(), F.col("primary_pos").alias("pos"), "path")
+        return cut_lineage(index.unionByName(read))
+
+
+def request_query() -> list[Column]:
+    parts = F.split("query_id", "#")
+    return [parts[0].alias("request_id"), parts[1].cast("int").alias("query_no")]
 
 
 @lru_cache(maxsize=4)
 def _reconciliation(application: str, stamp: int, spark: SparkSession, sf_dir: str) -> Reconciliation:
-    return Reconciliation(model(spark, sf_dir, "change_requests"), model(spark, sf_dir, "roots"), entries(spark, sf_dir))
+    return Reconciliation(
+        model(spark, sf_dir, "change_requests"), model(spark, sf_dir, "handoff_files"), model(spark, sf_dir, "roots"), entries(spark, sf_dir),
+        cut_lineage(pages(spark, sf_dir)),
+    )
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> Reconciliation:
@@ -770,7 +793,7 @@ def reconcile_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2, M3: paths every change request may touch."""
     r = reconciliation(spark, sf_dir)
-    return reconcile.path_candidates(r.found, r.outputs)
+    return reconcile.path_candidates(r.found, r.outputs, r.handoffs.where("detected"))
 
 
 @register
@@ -780,18 +803,44 @@ def reconcile_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.title_candidates(r.found, r.shards)
 
 
+@register
+def reconcile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: matched and consulted pages over all queries of every change request."""
+    r = reconciliation(spark, sf_dir)
+    return reconcile.consulted_and_matched(r.found, r.consulted)
+
+
 @register
 def reconcile_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: confidence of the reconciliation."""
     r = reconciliation(spark, sf_dir)
-    return reconcile.reconciliation_confidence(r.detected, r.found)
+    return reconcile.reconciliation_confidence(r.documents, r.found)
+
+
+@register
+def handoff_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change request with its manifest, or without one, and the quality report of the handoff."""
+    return reconciliation(spark, sf_dir).handoffs.drop("m", "source_path")
+
+
+@register
+def handoff_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of every detected handoff."""
+    return reconciliation(spark, sf_dir).shards.select(*[c for c in reconcile.SHARD if c != "page_blueprints"], *text_of("page_blueprints"))
+
+
+@register
+def handoff_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output pages of every detected handoff; alternates are the candidates that are not primary."""
+    lists = ("candidate_pages", "primary_pages", "alternate_pages", "knowledge_levels", "page_blueprints")
+    return reconciliation(spark, sf_dir).outputs.select(*[c for c in reconcile.OUTPUT if c not in lists], *text_of(*lists))
 
 
 @register
 def maintenance_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: material list of every change request."""
     r = reconciliation(spark, sf_dir)
-    return reconcile.materials(r.detected, r.shards, r.outputs)
+    return reconcile.materials(r.handoffs, r.shards, r.outputs)
 
 
 # ---- sinks and streams ---------------------------------------------------------------------------------------------------------------------

@@ -71,5 +71,9 @@ ORACLES: dict[str, str] = {
     "repo_targets": q.TARGETS,
     "reconcile_candidates": q.RECONCILE,
     "reconcile_titles": q.TITLES,
+    "reconcile_pages": q.RECONCILED_PAGES,
+    "handoff_descriptors": f.HANDOFFS,
+    "handoff_shards": f.SHARDS,
+    "handoff_outputs": f.OUTS,
     "reconcile_confidence": q.CONFIDENCE,
 }

@@ -148,18 +148,50 @@ select request_id, true as provided, 'inline' as kind, sha256(text) as sha256, d
 OUTPUTS = query("""
 select request_id, cast((case when quality = 1 then 2 else 1 end) + 2 as int) as row_index, 'handoff/shards/H1.md' as shard, 'wiki/s1.md' as source_summary, array_to_string(pages, '|') as candidate_pages, pages[1] as primary_pages,
   case when doc_id % 2 = 0 then '' else pages[2] end as alternate_pages, case when doc_id % 2 = 0 then 'feature_implementation' else 'code_map' end as knowledge_levels, case when doc_id % 2 = 0 then 'handoff/b1.md|handoff/b2.md' else '' end as page_blueprints from x_req""")
+# Effective handoff of a request: its readable manifest, else its tables.
+cte("x_eff", """
+select x.request_id, x.doc_id, x.root_id, x.detected, mf, x.quality, x.task,
+  case when x.doc_id % 3 = 0 then 'state/handoffs/r' || x.doc_id || '/handoff/request.md' end as source_path,
+  'state/handoffs/r' || x.doc_id || case when x.doc_id % 2 = 0 then '/handoff/' else '/handoff/handoff/' end as mdir,
+  case when mf then 'm-' || (x.doc_id % 50) else 'run-' || (x.doc_id % 50) end as run,
+  case when mf then [translate(split_part(d.text, chr(10), 1), '|`"' || chr(9) || chr(13) || chr(92), '')] when x.quality = 1 then [topic1, topic2] else [topic1] end as topics,
+  case when mf then ['wiki/entities/code/features/data-policy_' || (x.doc_id % 40) || '.md', 'wiki/entities/code/modules/alt_' || (x.doc_id % 7) || '.md'] else pages end as pages,
+  case when mf then 'wiki/s2.md' else 'wiki/s1.md' end as summary
+from (select q.*, c.task, q.doc_id % 3 = 0 and q.doc_id % 7 <> 0 and q.doc_id % 5 <> 0 as mf from x_req q join m_change_requests c using (request_id)) x join documents d on d.doc_id = x.doc_id""")
+HANDOFFS = query("""
+select request_id, root_id, detected, case when mf then 'manifest' else 'request' end as route, coalesce(source_path, '') as request_path, case when mf then source_path else '' end as manager_request_path,
+  case when mf then mdir || 'manifest.json' else 'handoff/manifest.json' end as manifest_path, case when not mf then '' when doc_id % 12 = 0 then 'quality.json' else mdir || 'quality.json' end as quality_path,
+  case when not mf then null when doc_id % 12 = 0 then 'missing' when doc_id % 9 = 0 then 'unreadable' else 'detected' end as quality_status,
+  case when mf and doc_id % 12 <> 0 and doc_id % 9 <> 0 then doc_id % 4 = 2 end as quality_passed, cast(case when mf and doc_id % 12 <> 0 and doc_id % 9 <> 0 and doc_id % 4 <> 2 then 2 else 0 end as int) as quality_issues,
+  case when mf and doc_id % 2 = 0 then root_id || '-m' else root_id end as knowledge_id, run as run_id, case when mf then 'zh-CN' else '' end as language from x_eff""")
+cte("x_shards", """
+select request_id, 0 as row_index, 'handoff/shards/M1.md' as shard, topics[1] as topic, 'B1-m' as source_batch, 'batches/b1/findings.jsonl' as verified_findings, 'batches/b1/analysis.md' as analysis, '' as evidence,
+  'wiki/s2.md' as source_summary, 'handoff/source/M1.md' as source_summary_blueprint, 'handoff/m1.md|plan/m2.md' as page_blueprints, run from x_eff where detected and mf
+union all select request_id, 1, 'handoff/shards/H1.md', topics[1], 'B1-x', '', '', '', 'wiki/sources/code/team-runs/r' || (doc_id % 3) || '.md', 'handoff/source/H1.md', '', run from x_eff where detected and not mf
+union all select request_id, 2, 'handoff/shards/H2.md', topics[2], 'B2-y', '', '', '', '', '', '', run from x_eff where detected and not mf and quality = 1""")
+SHARDS = query("select * exclude (run, row_index), cast(row_index as int) as row_index from x_shards")
+cte("x_outs", """
+select request_id, 0 as row_index, 'handoff/shards/M1.md' as shard, summary as source_summary, 'handoff/source/M1.md' as source_summary_blueprint, array_to_string(pages, '|') as candidate_pages, pages[1] as primary_pages,
+  pages[2] as alternate_pages, 'feature_implementation' as knowledge_levels, 'handoff/m1.md|plan/m2.md' as page_blueprints, run from x_eff where detected and mf
+union all select request_id, case when quality = 1 then 4 else 3 end, 'handoff/shards/H1.md', summary, 'handoff/source/H1.md', array_to_string(pages, '|'), pages[1], case when doc_id % 2 = 0 then '' else pages[2] end,
+  case when doc_id % 2 = 0 then 'feature_implementation' else 'code_map' end, case when doc_id % 2 = 0 then 'handoff/b1.md|handoff/b2.md' else '' end, run from x_eff where detected and not mf""")
+OUTS = query("select * exclude (run, row_index), cast(row_index as int) as row_index from x_outs")
 cte("x_strings0", r"""
-select request_id, root_id, topic1 as query, 1 as o from x_req where detected union all select request_id, root_id, topic2, 2 from x_req where detected and quality = 1
-union all select request_id, root_id, pages[1], 3 from x_req where detected union all select request_id, root_id, trim(regexp_replace(regexp_replace(regexp_replace(pages[1], '[.]md$', ''), '^wiki/entities/code/(features|modules)/', ''), '[-_/]+', ' ', 'g')), 4 from x_req where detected
-union all select request_id, root_id, pages[2], 5 from x_req where detected and len(pages) > 1 union all select request_id, root_id, trim(regexp_replace(regexp_replace(regexp_replace(pages[2], '[.]md$', ''), '^wiki/entities/code/(features|modules)/', ''), '[-_/]+', ' ', 'g')), 6 from x_req where detected and len(pages) > 1""")
+select request_id, root_id, trim(unnest(topics)) as query, (1, generate_subscripts(topics, 1), 0) as o from x_eff where detected
+union all select request_id, root_id, unnest(pages), (2, generate_subscripts(pages, 1), 0) from x_eff where detected
+union all select request_id, root_id, trim(regexp_replace(regexp_replace(regexp_replace(page, '[.]md$', ''), '^wiki/entities/code/(features|modules)/', ''), '[-_/]+', ' ', 'g')), (2, i, 1)
+  from (select request_id, root_id, unnest(pages) as page, generate_subscripts(pages, 1) as i from x_eff where detected) u""")
 cte("x_strings", "select request_id, root_id, query, cast(row_number() over (partition by request_id order by o) as int) as query_no from (select request_id, root_id, query, min(o) as o from x_strings0 where query <> '' group by all) g")
 STRINGS = query("select request_id, query_no, query from x_strings")
+cte("x_materials0", """
+select request_id, source_path as v, null as run, (0, 0, 0, 0) as o from x_eff where source_path is not null
+union all select request_id, case when mf then mdir || 'manifest.json' else 'handoff/manifest.json' end, run, (1, 0, 0, 0) from x_eff where detected
+union all select request_id, source_path, run, (1, 0, 1, 0) from x_eff where detected and source_path is not null
+union all select request_id, case when doc_id % 12 = 0 then 'quality.json' else mdir || 'quality.json' end, run, (1, 0, 2, 0) from x_eff where mf
+union all select request_id, unnest([shard, verified_findings, analysis, evidence, source_summary_blueprint] || string_split(page_blueprints, '|')), run, (2, row_index, generate_subscripts([shard, verified_findings, analysis, evidence, source_summary_blueprint] || string_split(page_blueprints, '|'), 1), 0) from x_shards
+union all select request_id, unnest([source_summary_blueprint] || string_split(page_blueprints, '|')), run, (3, row_index, generate_subscripts([source_summary_blueprint] || string_split(page_blueprints, '|'), 1), 0) from x_outs""")
 cte("x_materials", """
-select request_id, 'state/code-runs/run-' || (doc_id % 50) || '/handoff/manifest.json' as material, 1 as o from x_req where detected
-union all select request_id, 'state/code-runs/run-' || (doc_id % 50) || '/handoff/shards/H1.md', 2 from x_req where detected
-union all select request_id, 'state/code-runs/run-' || (doc_id % 50) || '/handoff/source/H1.md', 3 from x_req where detected
-union all select request_id, 'state/code-runs/run-' || (doc_id % 50) || '/handoff/shards/H2.md', 4 from x_req where detected and quality = 1
-union all select request_id, 'state/code-runs/run-' || (doc_id % 50) || '/handoff/b' || b || '.md', 5 + b from x_req, (select unnest([1, 2]) as b) n where detected and doc_id % 2 = 0""")
+select request_id, case when run is not null and regexp_matches(v, '^(handoff|batches|plan|verifier)/') then 'state/code-runs/' || run || '/' || v else v end as material, min(o) as o from x_materials0 where v <> '' group by all""")
 MATERIALS = query("select request_id, cast(row_number() over (partition by request_id order by o) as int) as material_no, material from x_materials")
 LEDGER = """
 select event_type || '-' || strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || event_id as run_id, event_type as kind, 'state/runs/' || event_type || '/' || event_id || '.json' as artifact,

@@ -195,17 +195,26 @@ from (select *, row_number() over (partition by query_id, root_id order by score
 # ---- reconciliation: the same retrieval over the search strings of the requests --------------------------------------------------------------
 LOG = """
 select request_id || '#' || query_no as query_id, query, root_id as named_root, 'focused' as mode, 0 as candidate_limit, 0 as evidence_budget, false as include_source, false as include_cross_module,
-  cast(null as varchar) as plan_operator, cast(null as varchar) as plan_scope, cast(null as varchar) as plan_subject from x_strings"""
+  cast(null as varchar) as plan_operator, cast(null as varchar) as plan_scope, cast(null as varchar) as plan_subject
+from (select request_id, query_no, query, root_id from x_strings union all select request_id, 0, coalesce(task, ''), root_id from x_eff) s"""
 OVERRIDE = {"m_queries": LOG, "m_roots": CTES["m_roots"].replace("n % 5 = 4 as is_code_root", "false as is_code_root")}
-cte("x_found", "select split_part(query_id, '#', 1) as request_id, cast(split_part(query_id, '#', 2) as int) as query_no, pos, 'wiki/' || path as path, title from x_top")
+cte("x_found", "select split_part(query_id, '#', 1) as request_id, cast(split_part(query_id, '#', 2) as int) as query_no, pos, path, title from x_merged")
+cte("x_consulted", """
+select split_part(query_id, '#', 1) as request_id, cast(split_part(query_id, '#', 2) as int) as query_no, 0 as pos, 'wiki/index.md' as path from x_targets where root_id in (select root_id from m_index_entries)
+union all select split_part(p.query_id, '#', 1), cast(split_part(p.query_id, '#', 2) as int), p.primary_pos, p.path from x_primaries p where (p.root_id, p.path) in (select (root_id, repo_path) from x_pages)""")
 RECONCILE = query("""
 select request_id, cast(row_number() over (partition by request_id order by o) as int) as path_no, path from (select request_id, path, min(o) as o from (
-  select request_id, path, (0, cast(query_no as bigint), cast(pos as bigint)) as o from x_found
-  union all select request_id, unnest(pages || ['wiki/s1.md']), (1, 0, cast(generate_subscripts(pages || ['wiki/s1.md'], 1) as bigint)) from x_req where detected
-  union all select request_id, unnest(['wiki/entities/code/features/**', 'wiki/entities/code/modules/**', 'wiki/sources/code/*-runs/**']), (2, 0, cast(unnest([1, 2, 3]) as bigint)) from x_req where detected) u group by request_id, path) g""", OVERRIDE)
+  select request_id, path, (0, 0, cast(pos as bigint)) as o from x_found where query_no = 0
+  union all select request_id, unnest(pages || [summary]), (1, 0, cast(generate_subscripts(pages || [summary], 1) as bigint)) from x_eff where detected
+  union all select request_id, unnest(['wiki/entities/code/features/**', 'wiki/entities/code/modules/**', 'wiki/sources/code/*-runs/**']), (2, 0, cast(unnest([1, 2, 3]) as bigint)) from x_eff where detected) u group by request_id, path) g""", OVERRIDE)
 TITLES = query("""
 select request_id, cast(row_number() over (partition by request_id order by o) as int) as title_no, title from (select request_id, title, min(o) as o from (
-  select request_id, title, (0, cast(query_no as bigint), cast(pos as bigint)) as o from x_found
-  union all select request_id, topic1, (1, 1, 0) from x_req where detected union all select request_id, topic2, (1, 2, 0) from x_req where detected and quality = 1) u where title <> '' group by request_id, title) g""", OVERRIDE)
+  select request_id, title, (0, 0, cast(pos as bigint)) as o from x_found where query_no = 0
+  union all select request_id, unnest(topics), (1, 0, cast(generate_subscripts(topics, 1) as bigint)) from x_eff where detected) u where title <> '' group by request_id, title) g""", OVERRIDE)
+RECONCILED_PAGES = query("""
+select request_id, kind, cast(row_number() over (partition by request_id, kind order by o) as int) as page_no, path from (select request_id, kind, path, min(o) as o from (
+  select request_id, 'matched' as kind, path, (0, query_no, pos) as o from x_found
+  union all select request_id, 'consulted', path, (0, query_no, pos) from x_consulted
+  union all select request_id, 'consulted', path, (1, query_no, pos) from x_found) u group by all) g""", OVERRIDE)
 CONFIDENCE = query("""
-select r.request_id, coalesce(f.n, 0) as n_matched, case when f.n > 0 then 0.6::double else 0.35::double end as confidence from x_req r left join (select request_id, count(distinct path) as n from x_found group by request_id) f using (request_id) where detected""", OVERRIDE)
+select r.request_id, coalesce(f.n, 0) as n_matched, case when f.n > 0 then 0.6::double else 0.35::double end as confidence from x_eff r left join (select request_id, count(distinct path) as n from x_found group by request_id) f using (request_id)""", OVERRIDE)

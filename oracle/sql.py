@@ -11,7 +11,7 @@ from corpusspark.functions.terms import longest_first
 CTES: dict[str, str] = {}
 
 for _name in ("roots", "index_entries", "index_lines", "page_texts", "queries", "user_queries", "files_present", "repo_files", "snapshots",
-              "file_versions", "code_files", "code_batches", "root_repos", "evidence_ranges", "findings_json", "plan_batches", "change_requests"):
+              "file_versions", "code_files", "code_batches", "root_repos", "evidence_ranges", "findings_json", "plan_batches", "change_requests", "handoff_files"):
     CTES["m_" + _name] = adapters.duckdb_sql(_name)
 
 

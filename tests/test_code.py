@@ -84,3 +84,42 @@ def test_manifest_and_artifacts(spark):
     assert row["alternate_pages"] == ["b"] and row["shard"] == "s1"
     paths = spark.createDataFrame([("handoff/x",), ("无",), ("wiki/y",), ("z",)], "v string").select(reconcile.artifact_path(F.col("v"), F.lit("r9"))).collect()
     assert [p[0] for p in paths] == ["state/code-runs/r9/handoff/x", "", "wiki/y", "z"]
+
+
+def test_handoff_routes(spark):
+    manifest = '{"schema_version":"t.handoff_manifest.v1","run_id":"%s","knowledge_id":"%s","handoff_quality":"quality.json","shards":[null,{"path":"s","candidate_wiki_pages":["a","","b"],"primary_wiki_pages":["a"]}]}'
+    text = "# Knowledge Manager 维护请求\n- knowledge_id: k\n- run_id: r1\n- manifest: {}\n"
+    rows = [
+        ("beside", "x", "a/b/request.md", text.format("manifest.json")), ("above", "x", "a/b/c/request.md", text.format("m2.json")),
+        ("root", "x", "q/request.md", text.format("top.json")), ("climbs", "x", "a/b/c/request.md", text.format("../manifest.json")),
+        ("inline", "x", None, text.format("top.json")), ("broken", "x", "a/request.md", text.format("broken.json")),
+        ("other root", "y", "a/b/request.md", text.format("manifest.json")), ("absolute", "x", "a/request.md", text.format("/top.json")),
+        ("itself", "x", "z/manifest.json", manifest % ("r9", "")), ("nothing", "x", None, "no marker"), ("null", "x", None, None),
+    ]
+    documents = spark.createDataFrame(rows, "request_id string, root_id string, source_path string, text string")
+    files = spark.createDataFrame([
+        ("x", "a/b/manifest.json", manifest % ("r2", "m")), ("x", "a/b/m2.json", manifest % ("", "")), ("x", "top.json", manifest % ("r4", "")),
+        ("x", "manifest.json", manifest % ("far", "")), ("x", "a/broken.json", "{"), ("x", "broken.json", manifest % ("never", "")),
+        ("x", "a/b/quality.json", '{"schema_version":"t.handoff_quality.v1","passed":true,"issues":["i"]}'), ("x", "quality.json", "{}"),
+    ], "root_id string, path string, text string")
+    found = reconcile.handoffs(documents, files)
+    got = {r["request_id"]: r for r in found.collect()}
+    assert {k: (r["route"], r["manifest_path"], r["run_id"]) for k, r in got.items() if r["detected"]} == {
+        "beside": ("manifest", "a/b/manifest.json", "r2"), "above": ("manifest", "a/b/m2.json", "r1"), "root": ("manifest", "top.json", "r4"),
+        "climbs": ("manifest", "a/b/manifest.json", "r2"), "inline": ("request", "top.json", "r1"), "broken": ("request", "broken.json", "r1"),
+        "other root": ("request", "manifest.json", "r1"), "absolute": ("request", "/top.json", "r1"), "itself": ("manifest", "z/manifest.json", "r9")}
+    assert not got["nothing"]["detected"] and not got["null"]["detected"]
+    assert (got["beside"]["quality_status"], got["beside"]["quality_passed"], got["beside"]["quality_issues"]) == ("detected", True, 1)
+    assert (got["root"]["quality_status"], got["root"]["quality_path"]) == ("unreadable", "quality.json")
+    assert got["beside"]["knowledge_id"] == "m" and got["above"]["knowledge_id"] == "k" and got["itself"]["manager_request_path"] == ""
+    shard = reconcile.handoff_outputs(documents, found).where("request_id = 'beside'").collect()
+    assert [(r["candidate_pages"], r["alternate_pages"]) for r in shard] == [(["a", "b"], ["b"])]
+    assert {r["material"] for r in reconcile.materials(found, reconcile.handoff_shards(documents, found), reconcile.handoff_outputs(documents, found)).where("request_id = 'beside'").collect()} == {
+        "a/b/request.md", "a/b/manifest.json", "a/b/quality.json", "s"}
+
+
+def test_consulted_and_matched(spark):
+    found = spark.createDataFrame([("r", 1, 1, "b"), ("r", 0, 2, "a"), ("r", 0, 1, "c")], "request_id string, query_no int, pos int, path string")
+    read = spark.createDataFrame([("r", 0, 0, "index"), ("r", 1, 0, "index"), ("r", 1, 1, "b")], "request_id string, query_no int, pos int, path string")
+    rows = reconcile.consulted_and_matched(found, read).orderBy("kind", "page_no").collect()
+    assert [(r["kind"], r["path"]) for r in rows] == [("consulted", p) for p in ("index", "b", "c", "a")] + [("matched", p) for p in ("c", "a", "b")]
