@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered, running
 from ..functions.text import file_name, file_stem
 from ..session import cut_lineage
 from .publish import publish
@@ -54,13 +55,13 @@ def publish_snapshot(snapshot: DataFrame, folder: str) -> int:
 def register_sources(incoming: DataFrame, existing: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, arrival, name, in_raw) -> the same rows with ``raw_path`` and ``copied``.
 
-    Only enabled, writable roots take sources.  A source that already lies in the raw folder stays; another
-    one gets the i-th free name ``stem``, ``stem-2``, ``stem-3`` ... below ``raw/imports``.  With e_1 < e_2 ...
+    Only enabled, writable roots take sources; rows without a name are left out.  A source that already lies in the raw
+    folder stays; another one gets the i-th free name ``stem``, ``stem-2``, ``stem-3`` ... below ``raw/imports``.  With e_1 < e_2 ...
     the taken numbers, the i-th free one is i + #{j : e_j - j < i}: a running count, not a search.
     """
     writable = roots.where("enabled and mode = 'read_write'").select("root_id")
     taken = existing.select("root_id", "path")
-    pending = incoming.join(writable, "root_id", "left_semi")
+    pending = incoming.where("name is not null").join(writable, "root_id", "left_semi")
     kept = pending.where("in_raw").select("*", F.concat(F.lit("raw/"), F.col("name")).alias("raw_path"), F.lit(False).alias("copied"))
     done = [kept]
     pending = pending.where("not in_raw")
@@ -83,11 +84,11 @@ def register_sources(incoming: DataFrame, existing: DataFrame, roots: DataFrame)
 
 
 def _free_names(pending: DataFrame, taken: DataFrame) -> DataFrame:
+    """Numbers and running counts come from range partitions, so one name of a third of all sources is many tasks."""
     base = file_name(F.col("name"))
     stem = file_stem(F.col("name"))
     rows = pending.withColumn("stem", stem).withColumn("suffix", F.substring(base, F.char_length(stem) + 1, F.char_length(base)))
     key = ["root_id", "stem", "suffix"]
-    numbered = rows.withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy("arrival")).cast("long"))
     names = taken.where(F.col("path").rlike("^raw/imports/[^/]+$")).select("root_id", file_name(F.col("path")).alias("n"))
     t_stem = file_stem(F.col("n"))
     t = names.withColumn("s", t_stem).withColumn("suffix", F.substring("n", F.char_length(t_stem) + 1, F.char_length("n")))
@@ -95,13 +96,9 @@ def _free_names(pending: DataFrame, taken: DataFrame) -> DataFrame:
     used = t.select("root_id", F.col("s").alias("stem"), "suffix", F.lit(1).cast("long").alias("e")).unionByName(
         t.where(count >= 2).select("root_id", F.regexp_replace("s", r"-[0-9]+$", "").alias("stem"), "suffix", count.alias("e"))
     ).distinct().join(rows.select(*key).distinct(), key, "left_semi")
-    rank = F.row_number().over(W.partitionBy(*key).orderBy("e"))
-    gaps = used.select(*key, (F.col("e") - rank).alias("v"))
-    both = numbered.select(*key, F.col("i").alias("v"), F.lit(0).alias("kind")).unionByName(gaps.withColumn("kind", F.lit(1)))
-    before = F.sum("kind").over(W.partitionBy(*key).orderBy("v", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    shift = both.withColumn("before", before).where("kind = 0").select(*key, F.col("v").alias("i"), "before")
+    gaps = numbered(used, key, "e", "j").select(*key, (F.col("e") - F.col("j")).alias("v"), F.lit(1).alias("kind"))
+    wanted = numbered(rows, key, "arrival", "i").select("*", F.col("i").alias("v"), F.lit(0).alias("kind"))
+    placed = running(wanted.unionByName(gaps, allowMissingColumns=True), key, ["v", "kind"], "kind", "before").where("kind = 0")
     number = F.col("i") + F.col("before")
     free = F.concat("stem", F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise(F.lit("")), F.col("suffix"))
-    return numbered.join(shift, [*key, "i"]).select(
-        *pending.columns, F.concat(F.lit("raw/imports/"), free).alias("raw_path"), F.lit(True).alias("copied")
-    )
+    return placed.select(*pending.columns, F.concat(F.lit("raw/imports/"), free).alias("raw_path"), F.lit(True).alias("copied"))

@@ -61,6 +61,7 @@ ORACLES: dict[str, str] = {
     "reconcile_queries": f.STRINGS,
     "maintenance_materials": f.MATERIALS,
     "run_ledger": f.LEDGER,
+    "source_registration": f.REGISTERED,
     "citations": q.CITATIONS,
     "evidence_gaps": q.GAPS,
     "topic_coverage": q.TOPICS,

@@ -196,3 +196,25 @@ MATERIALS = query("select request_id, cast(row_number() over (partition by reque
 LEDGER = """
 select event_type || '-' || strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || event_id as run_id, event_type as kind, 'state/runs/' || event_type || '/' || event_id || '.json' as artifact,
   strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as created_at from events"""
+
+# The i-th free name of a stem is the i-th number that no file has, found by listing numbers.
+cte("x_incoming", r"""
+select 'src' || (page_id % 20) as root_id, page_id, list_last(string_split(regexp_replace(url, '[?#].*$', ''), '/')) as base from pages""")
+cte("x_arrivals", """
+select root_id, page_id as arrival, base || '.html' as name, page_id % 9 = 0 as in_raw, case when base = '' then '.html' else base end as stem, case when base = '' then '' else '.html' end as suffix
+from x_incoming where base is not null and root_id in (select root_id from m_roots where enabled and mode = 'read_write')""")
+cte("x_taken_stems", """
+select root_id, case when stem = '' then '.html' else stem end as stem, case when stem = '' then '' else '.html' end as suffix
+from (select root_id, base || case when page_id % 2 = 0 then '-3' else '' end as stem from x_incoming where page_id % 3 = 0) t""")
+cte("x_taken", r"""
+select root_id, stem, suffix, 1 as e from x_taken_stems
+union select root_id, regexp_replace(stem, '-[0-9]+$', ''), suffix, cast(regexp_extract(stem, '-([1-9][0-9]*)$', 1) as bigint) from x_taken_stems where regexp_matches(stem, '-([2-9]|[1-9][0-9]+)$')""")
+cte("x_wanted", "select *, row_number() over (partition by root_id, stem, suffix order by arrival) as i from x_arrivals where not in_raw")
+cte("x_numbers", """
+select root_id, stem, suffix, e, row_number() over (partition by root_id, stem, suffix order by e) as i from (
+  select w.root_id, w.stem, w.suffix, unnest(range(1, w.n + coalesce(t.n, 0) + 1)) as e
+  from (select root_id, stem, suffix, count(*) as n from x_wanted group by all) w left join (select root_id, stem, suffix, count(*) as n from x_taken group by all) t using (root_id, stem, suffix)) u
+anti join x_taken using (root_id, stem, suffix, e)""")
+REGISTERED = query("""
+select root_id, arrival, name, in_raw, 'raw/' || name as raw_path, false as copied from x_arrivals where in_raw
+union all select root_id, arrival, name, in_raw, 'raw/imports/' || stem || case when e > 1 then '-' || e else '' end || suffix, true from x_wanted join x_numbers using (root_id, stem, suffix, i)""")
