@@ -14,7 +14,7 @@ from .. import adapters
 from ..functions import fixed_values as V
 from ..functions.text import joined, strings
 from ..operators import (
-    closure, extract, findings, inventory, links, lint, quality, query_features, reconcile, repos, rollup, scoring, selection,
+    closure, extract, findings, hash_tree, inventory, links, lint, quality, query_features, reconcile, repos, rollup, scoring, selection,
 )
 from ..session import cut_lineage, data_stamp, ensure_checkpoint_dir, new_folder
 from ..sources import scan, sinks
@@ -468,6 +468,50 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.changed_files(v.where("version = 'previous'"), v.where("version = 'current'"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """File hashes of the previous and the current version, in folders of two levels."""
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    v = model(spark, sf_dir, "file_versions").withColumn("path", F.concat(F.lit("a"), (number % 7).cast("string"), F.lit("/b"), (number % 11).cast("string"), F.lit("/"), "path"))
+    return tuple(cut_lineage(hash_tree.file_hashes(v.where(F.col("version") == name))) for name in ("previous", "current"))
+
+
+def _tree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    return hash_tree.file_changes(before, after, hash_tree.differing_folders(hash_tree.tree(before), hash_tree.tree(after)))
+
+
+@register
+def snapshot_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash tree over the folders of every repository."""
+    return hash_tree.tree(_versions(spark, sf_dir)[1]).select(*hash_tree.KEY, "n_files", hash_tree.digest().alias("hash"), hash_tree.digest("own").alias("own"))
+
+
+@register
+def snapshot_tree_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previous hash tree brought to the current version by the changed files alone."""
+    before, after = _versions(spark, sf_dir)
+    found = hash_tree.updated_tree(cut_lineage(hash_tree.tree(before)), _tree_changes(before, after))
+    return found.select(*hash_tree.KEY, "n_files", hash_tree.digest().alias("hash"), hash_tree.digest("own").alias("own"))
+
+
+@register
+def snapshot_tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files, found by descending the hash trees of two versions."""
+    return _tree_changes(*_versions(spark, sf_dir)).select("repo_id", "path", hash_tree.change_kind().alias("change"))
+
+
+@register
+def snapshot_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot rows with the roots of the hash trees as commits, published one after the other and compared."""
+    folder = new_folder(spark, "snapshots")
+    both = []
+    for name, hashes in zip(("previous", "current"), _versions(spark, sf_dir)):
+        roots = hash_tree.commits(hash_tree.tree(hashes))
+        repositories = roots.select("repo_id", F.concat(F.lit("repos/"), "repo_id").alias("path"), "commit", *[F.lit(None).cast("string").alias(c) for c in ("branch", "remote")])
+        sinks.publish_snapshot(inventory.snapshot(repositories, hashes, name), folder)
+        both.append(published(spark, folder))
+    return inventory.snapshot_diff(*both)
+
+
 # ---- references and closure ----------------------------------------------------------------------------------------------
 @register
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,10 @@ ORACLES: dict[str, str] = {
     "repository_snapshot": p.SNAPSHOT,
     "snapshot_diff": p.DIFF,
     "changed_files": p.CHANGED,
+    "snapshot_tree": p.TREE,
+    "snapshot_tree_update": p.TREE,
+    "snapshot_tree_changes": p.TREE_CHANGES,
+    "snapshot_repositories": p.ROOTS,
     "reference_edges": p.EDGES,
     "closure_reach": p.CLOSURE,
     "closure_update": p.CLOSURE,

@@ -151,6 +151,30 @@ select coalesce(p.repo_id, c.repo_id) as repo_id, coalesce(p.path, c.path) as pa
 from (select * from m_file_versions where version = 'previous') p full outer join (select * from m_file_versions where version = 'current') c on p.repo_id = c.repo_id and p.path = c.path
 where p.content is distinct from c.content""")
 
+# ---- hash trees: the folders of a file are its own, the one above and the root ---------------------------------------------------
+cte("x_vfiles", """
+select version, repo_id, 'a' || (n % 7) || '/b' || (n % 11) || '/' || path as path, 'a' || (n % 7) as f1, 'a' || (n % 7) || '/b' || (n % 11) as f2, coalesce(sha256(content), '') as sha
+from (select *, cast(regexp_extract(path, '([0-9]+)', 1) as bigint) as n from m_file_versions) v""")
+XORS = ", ".join(f"bit_xor(cast('0x' || substr(h, {1 + 15 * i}, 15) as bigint)) as h{i}, coalesce(bit_xor(cast('0x' || substr(h, {1 + 15 * i}, 15) as bigint)) filter (folder = f2), 0) as o{i}" for i in range(4))
+
+
+def _hex(kind: str) -> str:
+    return " || ".join(f"lpad(lower(to_hex({kind}{i})), 15, '0')" for i in range(4))
+
+
+cte("x_nodes", f"""
+select version, repo_id, folder, count(*) as n_files, {XORS}
+from (select *, sha256(path || chr(10) || sha) as h, unnest(['', f1, f2]) as folder from x_vfiles) f group by version, repo_id, folder""")
+TREE = query(f"select repo_id, folder, n_files, {_hex('h')} as hash, {_hex('o')} as own from x_nodes where version = 'current'")
+TREE_CHANGES = query("""
+select coalesce(p.repo_id, c.repo_id) as repo_id, coalesce(p.path, c.path) as path, case when p.path is null then 'added' when c.path is null then 'removed' else 'modified' end as change
+from (select * from x_vfiles where version = 'previous') p full outer join (select * from x_vfiles where version = 'current') c on p.repo_id = c.repo_id and p.path = c.path
+where p.sha is distinct from c.sha""")
+ROOTS = query(f"""
+select repo_id, 'repos/' || repo_id as path, coalesce(p.commit, '') as previous_commit, c.commit as current_commit
+from (select repo_id, {_hex('h')} as commit from x_nodes where version = 'current' and folder = '') c left join (select repo_id, {_hex('h')} as commit from x_nodes where version = 'previous' and folder = '') p using (repo_id)
+where p.commit is distinct from c.commit""")
+
 # ---- references: edges from the rows the files were made of -----------------------------------------------------------------
 VIEW, SERVICE, IMPL = "'repos/web/src/views/C' || {0} || '.vue'", "'repos/app/src/main/java/Supplier' || {0} || 'Service.java'", "'repos/app/src/main/java/impl/Supplier' || {0} || 'ServiceImpl.java'"
 CONTROLLER, API = "'repos/app/src/main/java/Nation' || {0} || 'Controller.java'", "'repos/web/src/api/n' || {0} || '.js'"
