@@ -58,6 +58,8 @@ ORACLES: dict[str, str] = {
     "batch_completion": f.COMPLETION,
     "batch_rollup": f.ROLLUP,
     "target_pages": f.TARGETS,
+    "target_descriptors": f.DESCRIPTORS,
+    "section_values": f.SECTION_VALUES,
     "duplicate_bodies": f.DUPLICATES,
     "acceptance_issues": f.ACCEPTANCE,
     "request_descriptors": f.REQUESTS,

@@ -129,6 +129,40 @@ union all select batch, 'candidate', 'wiki/entities/code/' || case when bool_and
 union all select batch, 'primary', case when coalesce(page, '') <> '' then page else 'wiki/entities/code/' || case when level = 'code_map' then 'modules/' else 'features/' end || lower(substr(batch, 4)) || '.md' end, (finding_pos, 0) from x_pages0""")
 TARGETS = query("""
 select batch, kind, cast(row_number() over (partition by batch, kind order by o) as int) as page_no, page from (select batch, kind, page, min(o) as o from x_pages1 group by all) g""")
+cte("x_targets", "select batch, kind, cast(row_number() over (partition by batch, kind order by o) as int) as page_no, page from (select batch, kind, page, min(o) as o from x_pages1 group by all) g")
+cte("x_shape", """
+select b.batch, coalesce(p.n, 0) as n_primary, coalesce(p.n_blueprints, 0) as n_blueprints from (select 'B1-' || batch_id as batch from m_plan_batches) b
+left join (select batch, count(*) as n, count(*) filter (page_no <> 3) as n_blueprints from x_targets where kind = 'primary' group by batch) p using (batch)""")
+DESCRIPTORS = query("""
+select 'B1-' || batch_id as batch, 'shard_field_missing' as code, 'topic' as item from m_plan_batches where n % 6 = 1
+union all select 'B1-' || batch_id, 'source_summary_path_invalid', 'elsewhere.md' from m_plan_batches where n % 4 = 2
+union all select 'B1-' || batch_id, 'shard_artifact_missing', case n % 10 when 7 then 'analysis/' else 'evidence/' end || 'B1-' || batch_id from m_plan_batches where n % 10 in (3, 7)
+union all select batch, 'candidate_pages_missing', null from x_shape where batch not in (select batch from x_targets where kind = 'candidate')
+union all select batch, 'candidate_page_invalid', page from x_targets where kind = 'candidate' and not (page like 'wiki/entities/code/%' and page like '%.md')
+union all select batch, case when n_blueprints = 0 then 'page_blueprints_missing' when n_primary = 0 then 'primary_pages_missing' else 'page_blueprints_not_limited_to_primary_pages' end, n_blueprints || '/' || n_primary
+  from x_shape where n_blueprints = 0 or n_primary = 0 or n_blueprints <> n_primary""")
+# Lists of a finding become rows of a section; entries of the coding context without a summary are left out.
+cte("x_lists", """
+select finding_id, '代码定位' as section, unnest(from_json(j->'$.evidence_refs', '["varchar"]')) as value, generate_subscripts(from_json(j->'$.evidence_refs', '["varchar"]'), 1) as o from x_published
+union all select finding_id, '现有实现', json_extract_string(j, '$.current_state'), 1 from x_published
+union all select finding_id, '缺口与继续探索', unnest(from_json(j->'$.non_blocking_gaps', '["json"]'))::varchar, generate_subscripts(from_json(j->'$.non_blocking_gaps', '["json"]'), 1) from x_published
+union all select finding_id, '缺口与继续探索', unnest(from_json(j->'$.exploration_hints', '["varchar"]')), 1000 + generate_subscripts(from_json(j->'$.exploration_hints', '["varchar"]'), 1) from x_published""")
+cte("x_structs", """
+select finding_id, '实现链' as section, json_extract_string(e, '$.item') || ' = ' || json_extract_string(e, '$.status') as value, from_json(e->'$.evidence_refs', '["varchar"]') as refs, o
+from (select finding_id, unnest(from_json(j->'$.coverage_claims', '["json"]')) as e, generate_subscripts(from_json(j->'$.coverage_claims', '["json"]'), 1) as o from x_published) c
+union all select finding_id, section, json_extract_string(e, '$.summary'), from_json(e->'$.evidence_refs', '["varchar"]'), o
+from (select finding_id, section, unnest(entries) as e, generate_subscripts(entries, 1) as o from (
+  select finding_id, unnest(['复用边界', '改动点', '暂不应改动', '数据/权限/运行约束', '测试/验证路径']) as section,
+    unnest([from_json(json_extract(j, '$.coding_context.' || f), '["json"]') for f in ['reuse_points', 'change_points', 'do_not_change_without_extra_exploration', 'data_contracts', 'verification_entrypoints']]) as entries
+  from x_published) l) c where json_extract_string(e, '$.summary') <> ''""")
+cte("x_values", """
+select *, row_number() over (partition by finding_id, section order by o) - 1 as value_no from (
+  select finding_id, section, trim(case when value like '"%' then value::json->>'$' else value end) as value, o from x_lists where value <> ''
+  union all select finding_id, section, case when len(refs) > 0 then value || ' | ' || array_to_string(refs, ', ') else value end, o from x_structs) v""")
+SECTION_VALUES = query("""
+select t.batch, t.page, s.section, v.finding_id, v.finding_pos, cast(v.value_no as int) as value_no, v.value
+from x_targets t cross join (select unnest(['现有实现', '代码定位', '实现链', '复用边界', '改动点', '暂不应改动', '数据/权限/运行约束', '测试/验证路径', 'PRD 设计影响', '缺口与继续探索']) as section) s
+left join (select p.batch, p.finding_pos, v.* from x_values v join x_published p using (finding_id)) v on v.batch = t.batch and v.section = s.section where t.kind = 'primary'""")
 DUPLICATES = query(r"""
 select source, path, first_path as duplicate_of from (
   select source, path, min(path) over (partition by source, body) as first_path from (
