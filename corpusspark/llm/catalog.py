@@ -71,10 +71,11 @@ outcomes AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k FROM parsed LEFT JOIN outcomes ON page_id = doc_id GROUP BY host),
 named AS (
-  SELECT host, n, k, list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')) AS p FROM counted),
+  SELECT host, n, k, list_reverse(string_split(bare, '.')) AS p, bare, regexp_matches(bare, '^[0-9]+([.][0-9]+){{3}}$') OR starts_with(bare, '[') AS address
+  FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM counted)),
 hosts AS (
-  SELECT host, n, k, CASE WHEN two IN ({_TWO}) THEN two ELSE p[1] END AS suffix,
-         CASE WHEN two IN ({_TWO}) AND len(p) > 2 THEN p[3] || '.' || two ELSE two END AS domain
+  SELECT host, n, k, CASE WHEN address THEN '{url_reputation.ADDRESS}' WHEN two IN ({_TWO}) THEN two ELSE p[1] END AS suffix,
+         CASE WHEN address THEN bare WHEN two IN ({_TWO}) AND len(p) > 2 THEN p[3] || '.' || two ELSE two END AS domain
   FROM (SELECT *, CASE WHEN len(p) > 1 THEN p[2] || '.' || p[1] ELSE p[1] END AS two FROM named)),
 domains AS (SELECT domain, suffix, {_SUMS} FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, {_SUMS} FROM domains GROUP BY suffix),

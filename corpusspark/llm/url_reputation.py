@@ -19,8 +19,10 @@ Z = 1.645
 MAX_BAD = 0.5
 #: Prior strength where a level has too few members to estimate one, and the range of estimates.
 STRENGTH, LEAST, MOST = 10.0, 1.0, 10000.0
-#: Suffixes of two labels; others have one.
+#: Suffixes of two labels that hold without a suffix table; others have one label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn", "co.za")
+#: The suffix that all hosts share which are addresses; each of them is a registered domain of its own.
+ADDRESS = "(address)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,13 +35,54 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """Suffix: the last label, or two of the listed ones; registered domain: one label more (the host, if there is none)."""
-    bare = F.regexp_replace(host, r":[0-9]*$", "")
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(host, r":[0-9]*$", "")
+
+
+def is_address(bare: Column) -> Column:
+    """Dotted numbers, or an address in brackets."""
+    return bare.rlike(r"^[0-9]+([.][0-9]+){3}$") | bare.startswith("[")
+
+
+def suffix_and_domain(host: Column, listed: Column | None = None) -> tuple[Column, Column]:
+    """Suffix: ``listed``, else the last label, or two of the fixed ones; registered domain: one label more (the host, if there is none).
+
+    An address has no labels: its suffix is ADDRESS and its domain is the address.
+    """
+    bare = bare_host(host)
     two = F.substring_index(bare, ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
-    return (F.when(long, two).otherwise(F.substring_index(bare, ".", -1)),
-            F.when(long, F.substring_index(bare, ".", -3)).otherwise(two))
+    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
+    suffix = suffix if listed is None else F.coalesce(listed, suffix)
+    labels = F.split(bare, "[.]")
+    # A suffix of n labels leaves the last n + 1 of the host.
+    kept = F.least(F.size(F.split(suffix, "[.]")) + 1, F.size(labels))
+    domain = F.array_join(F.slice(labels, -kept, kept), ".")
+    address = is_address(bare)
+    return F.when(address, F.lit(ADDRESS)).otherwise(suffix), F.when(address, bare).otherwise(domain)
+
+
+def listed_suffixes(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts (host, ...) with ``listed``: the suffix that a table of rules (suffix) gives, null where none fits.
+
+    The tails of a host's labels become rows that meet the rules by equality.  A rule is a suffix (``com.mx``), a suffix below
+    any label (``*.ck``) or an exception (``!www.ck``, whose suffix is one label shorter).  The longest fitting rule holds, and
+    an exception before any other.  Null and repeated rules count for nothing.
+    """
+    labels = F.split(bare_host(F.col("host")), "[.]")
+    n = F.size(labels)
+    tails = hosts.select("host").distinct().where(~is_address(bare_host(F.col("host")))).select(
+        "host", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, -i, i), "."))).alias("tail"))
+    below = F.expr("substring(tail, instr(tail, '.') + 1)")
+    has_more = F.col("tail").contains(".")
+    kinds = F.array_compact(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("tail").alias("rule")),
+        F.when(has_more, F.struct(F.lit(0).alias("kind"), F.concat(F.lit("*."), below).alias("rule"))),
+        F.struct(F.lit(1).alias("kind"), F.concat(F.lit("!"), F.col("tail")).alias("rule"))))
+    asked = tails.select("host", "tail", below.alias("below"), F.explode(kinds).alias("k")).select("host", "tail", "below", "k.kind", "k.rule")
+    rules = suffixes.where("suffix is not null").select(F.translate("suffix", UPPER, LOWER).alias("rule")).distinct()
+    found = asked.join(rules, "rule").groupBy("host").agg(F.max_by(
+        F.when(F.col("kind") == 1, F.col("below")).otherwise(F.col("tail")), F.struct("kind", F.length("tail"))).alias("listed"))
+    return hosts.join(found, "host", "left")
 
 
 def rule_match(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -74,9 +117,11 @@ def _posterior(mean: str, strength: str) -> Column:
     return (F.col("k") + F.col(mean) * F.col(strength)) / (F.col("n") + F.col(strength))
 
 
-def reputations(hosts: DataFrame, z: float = Z) -> DataFrame:
+def reputations(hosts: DataFrame, z: float = Z, suffix_rules: DataFrame | None = None) -> DataFrame:
     """(host, pages, n, k) -> the same with bad_bound.  Hosts, domains and suffixes are joined as tables of any size."""
-    suffix, domain = suffix_and_domain(F.col("host"))
+    if suffix_rules is not None:
+        hosts = listed_suffixes(hosts, suffix_rules)
+    suffix, domain = suffix_and_domain(F.col("host"), None if suffix_rules is None else F.col("listed"))
     hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
     domains = cut_lineage(_sums(hosts, "domain", "suffix").withColumn("host_strength", _strength()).withColumnRenamed("members", "hosts"))
     suffixes = _sums(domains.select("suffix", "n", "k"), "suffix").withColumn("domain_strength", _strength()).withColumnRenamed("members", "domains")
@@ -94,12 +139,14 @@ def reputations(hosts: DataFrame, z: float = Z) -> DataFrame:
     return scored.select("host", "pages", "n", "k", (mean - z * deviation).alias("bad_bound"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], z: float = Z, max_bad: float = MAX_BAD) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], z: float = Z, max_bad: float = MAX_BAD,
+                suffix_rules: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, host_labelled, host_bad, bad_bound.
 
     ``pages`` (page_id, url), ``labels`` (doc_id, quality, toxic) with doc_id naming the page; several labels of one
     page count as its worst, null marks as good.  Null urls, or urls without ``://``, have empty host and path and are
     judged as one host.  Null page ids have no label.  Repeated pages count and are returned each time.
+    ``suffix_rules`` (suffix) are rules of public suffixes, see :func:`listed_suffixes`; without them a short fixed list holds.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -108,7 +155,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     hosts = cut_lineage(parsed.select("page_id", "host").join(outcomes, "page_id", "left").groupBy("host").agg(
         F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")))
     total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    known = cut_lineage(reputations(hosts, z))
+    known = cut_lineage(reputations(hosts, z, suffix_rules))
     rule, ruled = rule_match(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
     return join_groups(parsed, known, "host", "pages", total).select(

@@ -317,6 +317,27 @@ def test_shards_cut_few_groups(spark):
     assert (out.groupby("group").shard.nunique() > 1).sum() < 60  # hashing alone would cut 297 of 300
 
 
+def test_suffix_rules_and_addresses(spark):
+    hosts = ["a.b.com.mx", "com.mx", "x.shop.ck", "q.x.shop.ck", "www.ck", "m.www.ck", "n.co.uk:80", "10.0.0.1:8080", "[::1]", "", "one", "A.B", "deep.a.b.c.d"]
+    rules = spark.createDataFrame([(r,) for r in ("com.mx", "mx", "*.ck", "!www.ck", "B.C.D", "d", None, "d")], "suffix string")
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    listed = url_reputation.listed_suffixes(table, rules)
+    got = {r[0]: (r[1], r[2]) for r in listed.select("host", *url_reputation.suffix_and_domain(F.col("host"), F.col("listed"))).collect()}
+    assert got == {
+        "a.b.com.mx": ("com.mx", "b.com.mx"), "com.mx": ("com.mx", "com.mx"), "x.shop.ck": ("shop.ck", "x.shop.ck"), "q.x.shop.ck": ("shop.ck", "x.shop.ck"),
+        "www.ck": ("ck", "www.ck"), "m.www.ck": ("ck", "www.ck"), "n.co.uk:80": ("co.uk", "n.co.uk"), "10.0.0.1:8080": ("(address)", "10.0.0.1"),
+        "[::1]": ("(address)", "[::1]"), "": ("", ""), "one": ("one", "one"), "A.B": ("B", "A.B"), "deep.a.b.c.d": ("b.c.d", "a.b.c.d")}
+    plain = {r[0]: (r[1], r[2]) for r in table.select("host", *url_reputation.suffix_and_domain(F.col("host"))).collect()}
+    assert plain["a.b.com.mx"] == ("mx", "com.mx") and plain["10.0.0.1:8080"] == ("(address)", "10.0.0.1") and plain["n.co.uk:80"] == ("co.uk", "n.co.uk")
+    # Hosts of one site below a listed suffix borrow from each other; without the rules they borrow from all of com.mx.
+    urls = [(i, f"http://h{i % 9}.bad.com.mx/") for i in range(90)] + [(100 + i, f"http://h{i}.s{i}.com.mx/") for i in range(60)] + [(500, "http://new.bad.com.mx/")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(90)] + [(100 + i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    verdict = lambda r: url_reputation.filter_urls(pages, labels, [], suffix_rules=r).where("page_id = 500").first()["verdict"]
+    assert verdict(rules) == "block"
+    assert url_reputation.filter_urls(pages, labels, [], suffix_rules=rules.limit(0)).count() == len(urls)
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/")]
 
 
