@@ -6,22 +6,25 @@ three quarters of its source's score, which is exact in twentieths).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fixed_values as V
-from ..functions.numbering import numbered
 from ..functions.sizing import lookup_join
 from ..functions.terms import boundary_keys
 from ..functions.text import contains_any, drop_suffix, index_path, let, repo_path, strings, strip
 from ..session import cut_lineage
+from .pair_scores import scored_cell
 from .search_strings import found_in
 
 FLAG_COLUMNS = ["wants_code_knowledge", "wants_code_navigation", "wants_runtime_boundary", "wants_source",
                 "wants_data_dictionary"]
-#: Entries of a block, and how many times the limit a root must hold before block bounds pay.
-BLOCK, FEW = 16, 8
+#: Entries and queries of a cell of pairs, and how many times the limit a root may hold and still be one cell.
+BLOCK, QUERIES, FEW = 16_384, 16_384, 8
 CLASS_COLUMNS = ["c_features", "c_modules", "c_code_feature", "c_code_module", "c_boundary", "c_source", "c_dictionary"]
 
 
@@ -195,68 +198,72 @@ def entry_terms(classified: DataFrame, needles: DataFrame, aliases: DataFrame) -
         F.array_except("l_path_found", path_modules).alias("in_path"), path_modules.alias("in_path_modules")))
 
 
-TERM_COLUMNS = ["in_title", "in_summary", "in_path", "in_path_modules"]
+FIELDS = [("in_title", V.W_TOKEN_TITLE), ("in_summary", V.W_TOKEN_SUMMARY), ("in_path", V.W_TOKEN_PATH), ("in_path_modules", V.W_MODULE_TOKEN_PATH)]
+WHOLE = [("in_title", V.W_QUERY_IN_TITLE), ("in_summary", V.W_QUERY_IN_SUMMARY)]
 
 
 def word_score() -> Column:
-    """Points of a query (tokens, whole) for the words of an entry, or a bound on those of a block's entries."""
-    weights = [V.W_TOKEN_TITLE, V.W_TOKEN_SUMMARY, V.W_TOKEN_PATH, V.W_MODULE_TOKEN_PATH]
-    shared = [F.coalesce(F.size(F.array_intersect(c, "tokens")), F.lit(0)) * w for c, w in zip(TERM_COLUMNS, weights)]
-    whole = F.when(F.array_contains("in_title", F.col("whole")), V.W_QUERY_IN_TITLE).when(
-        F.array_contains("in_summary", F.col("whole")), V.W_QUERY_IN_SUMMARY).otherwise(0)
+    """Points of a query (tokens, whole) for the words of an entry."""
+    shared = [F.coalesce(F.size(F.array_intersect(c, "tokens")), F.lit(0)) * points for c, points in FIELDS]
+    whole = F.lit(0)
+    for name, points in reversed(WHOLE):
+        whole = F.when(F.array_contains(name, F.col("whole")), points).otherwise(whole)
     return sum(shared, whole)
 
 
 def score20() -> Column:
+    """Score of one joined pair; :func:`pruned_scores` gives the same for all pairs of a cell at once."""
     # An array that is null (a query without words) has size null or -1, never points.
     return (F.when(F.col("tokens").isNull(), 0).otherwise(word_score()) + prior_score()) * 4
 
 
-def in_blocks(terms: DataFrame, size: int) -> DataFrame:
-    """Entries with a ``block``: at most ``size`` entries of one root and page class whose words are much alike.
-
-    Entries are ordered by the least hash of their words, so those that share most words come to stand together.
-    """
-    alike = F.coalesce(F.array_min(F.transform(F.concat("in_title", "in_summary"), lambda x: F.xxhash64(x))), F.lit(0).cast("long"))
-    kind = F.concat(*[F.col(c).cast("int").cast("string") for c in CLASS_COLUMNS])
-    placed = numbered(terms.withColumn("kind", kind).withColumn("alike", alike), ["root_id", "kind"], "alike", "no")
-    return cut_lineage(placed.withColumn("block", F.concat_ws(":", "kind", ((F.col("no") - 1) / size).cast("long"))).drop("kind", "alike", "no"))
+def _spelled(columns: list[str]) -> Column:
+    """The values of some boolean columns, null included, as one text."""
+    return F.concat(*[F.coalesce(F.col(c).cast("int").cast("string"), F.lit("-")) for c in columns])
 
 
-def pruned_scores(terms: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(query_id, root_id, entry_pos, path, score20) of all entries that can be among a query's ``k`` best of a root.
+def pruned_scores(terms: DataFrame, wanted: DataFrame, size: int, few: int = 0) -> DataFrame:
+    """(query_id, root_id, k, entry_pos, path, score20) of all entries that can be among a query's ``k`` best of a root.
 
-    A block's bound is the score of an entry that held all words of the block's entries.  The blocks with the best bounds
-    that hold ``k`` entries together are scored first; their k-th score is a threshold that the final k-th score cannot
-    fall below, and blocks whose bound stays below it are never read.  A bound that equals it is read: ties go by path.
+    The entries and the queries of a root are dealt into cells of about ``size`` entries (one cell for at most ``few`` of
+    them) and ``QUERIES`` queries.  A cell scores all its pairs and keeps the ``k`` best of every query.
     """
-    placed = in_blocks(terms, size)
-    block = ["root_id", "block", *CLASS_COLUMNS]
-    merged = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in TERM_COLUMNS]  # ``size`` entries at most
-    blocks = cut_lineage(placed.groupBy(*block).agg(F.count("*").alias("n"), *merged))
-    bounds = lookup_join(blocks, wanted, ["root_id"], spread=["block"]).select("query_id", "root_id", "block", "n", "k", score20().alias("bound")).where("bound > 0")
-    before = W.partitionBy("query_id", "root_id").orderBy(F.desc("bound"), "block").rowsBetween(W.unboundedPreceding, -1)
-    bounds = cut_lineage(bounds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
-
-    def scored(chosen: DataFrame) -> DataFrame:
-        met = placed.join(chosen.select("query_id", "root_id", "block"), ["root_id", "block"])
-        return lookup_join(met, wanted, ["query_id", "root_id"], spread=["entry_pos"]).select(
-            "query_id", "root_id", "entry_pos", "path", "k", score20().alias("score20")).where("score20 > 0")
-
-    first = cut_lineage(scored(bounds.where("before < k")))
-    order = W.partitionBy("query_id", "root_id").orderBy(F.desc("score20"))
-    least = first.withColumn("at", F.row_number().over(order)).where("at = k").select("query_id", "root_id", F.col("score20").alias("least"))
-    rest = bounds.where("before >= k").join(least, ["query_id", "root_id"], "left").where("bound >= coalesce(least, 0)")
-    return first.unionByName(scored(rest))
+    e = terms.where("root_id is not null").withColumn("kind", _spelled(CLASS_COLUMNS))
+    q = wanted.where("root_id is not null").withColumn("flags", _spelled(FLAG_COLUMNS))
+    # Classes and flags are booleans, so there are few combinations of them however large the tables are.
+    kinds, flags = e.select("kind", *CLASS_COLUMNS).distinct(), q.select("flags", *FLAG_COLUMNS).distinct()
+    priors = {(r["kind"], r["flags"]): r["prior"] for r in kinds.crossJoin(flags).select("kind", "flags", prior_score().alias("prior")).collect()}
+
+    def pieces(rows: DataFrame, name: str, each: int, whole: int = 0) -> DataFrame:
+        n = F.count("*")
+        return rows.groupBy("root_id").agg(F.when(n <= whole, 1).otherwise(F.ceil(n / each)).cast("int").alias(name))
+
+    cells = cut_lineage(pieces(e, "n_chunks", size, few).join(pieces(q, "n_parts", QUERIES), "root_id"))
+    place = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lists = [name for name, _ in FIELDS]
+    left = e.join(cells, "root_id").select("root_id", place("n_chunks", "entry_pos", "path").alias("chunk"), every("n_parts").alias("part"), "entry_pos", "path", "kind", *lists)
+    no_words = F.array().cast("array<long>")
+    right = q.join(cells, "root_id").select(
+        "root_id", every("n_chunks").alias("chunk"), place("n_parts", "query_id").alias("part"), "query_id", "k", "flags",
+        F.coalesce("tokens", no_words).alias("tokens"), F.when(F.col("tokens").isNotNull(), F.col("whole")).alias("whole"))
+    schema = T.StructType([*right.select("query_id", "root_id", "k").schema, *left.select("entry_pos", "path").schema, T.StructField("score", T.IntegerType())])
+    target = to_arrow_schema(schema)
+
+    def scored(a: pa.Table, b: pa.Table) -> pa.Table:
+        return scored_cell(a, b, FIELDS, WHOLE, priors, target)
+
+    cell = ["root_id", "chunk", "part"]
+    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(scored, schema)
+    return met.withColumn("score20", F.col("score") * 4).drop("score")
 
 
 def top_candidates(entries: DataFrame, targets: DataFrame, aliases: DataFrame, default_limit: int = V.CANDIDATE_LIMIT,
                    block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(query_id, root_id, pos, score20, entry columns): the best entries of every query in every root.
 
-    A pass over the texts turns entries into sets of word ids, and a pair is scored by intersecting two sets, without a
-    row per word.  Roots of more than ``few`` times the limit are read through block bounds (:func:`pruned_scores`); in
-    smaller ones the result itself is a large part of the pairs, and all are scored.
+    A pass over the texts turns entries into sets of word ids.  The pairs of a root are scored in cells
+    (:func:`pruned_scores`) of ``block`` entries, or all entries of a root of at most ``few`` times the limit.
     """
     targets = targets.withColumn(
         "k", F.when(F.coalesce("candidate_limit", F.lit(0)) > 0, F.col("candidate_limit")).otherwise(F.lit(default_limit))
@@ -265,11 +272,7 @@ def top_candidates(entries: DataFrame, targets: DataFrame, aliases: DataFrame, d
     needles, asked = query_terms(targets)
     terms = entry_terms(classified_entries(entries), needles, aliases)
     wanted = cut_lineage(targets.select("query_id", "root_id", "k", *FLAG_COLUMNS).join(asked, "query_id", "left"))
-    large = cut_lineage(terms.groupBy("root_id").agg(F.count("*").alias("n")).where(F.col("n") > few * longest).select("root_id"))
-    small = lookup_join(terms.join(large, "root_id", "left_anti"), wanted, ["root_id"], spread=["entry_pos"])
-    scores = small.select("query_id", "root_id", "entry_pos", "path", "k", score20().alias("score20")).where("score20 > 0")
-    if not large.isEmpty():
-        scores = scores.unionByName(pruned_scores(terms.join(large, "root_id", "left_semi"), wanted, block))
+    scores = pruned_scores(terms, wanted, block, few * longest)
     order = W.partitionBy("query_id", "root_id").orderBy(F.desc("score20"), "path", "entry_pos")
     ranked = (
         scores.withColumn("pos", F.row_number().over(order))
