@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import CJK, grams, strings, strip
+from .text import CJK, grams, let, strings, strip
 
 RUN = f"[a-zA-Z0-9_-]+|[{CJK}]+"
 WORD_RUN = f"[A-Za-z][A-Za-z0-9_-]*|[{CJK}]+"
@@ -102,8 +102,6 @@ def boundary_keys(lowered: Column) -> Column:
     An alias key (a-z, 0-9, ``_``, ``-``) stands in a text "with boundaries" exactly when it is one of
     these pieces, so the substring test becomes an equality join on the key.
     """
-    runs = F.regexp_extract_all(lowered, F.lit("([a-z0-9_-]+)"), F.lit(1))
-
     def pieces(run: Column) -> Column:
         size = F.char_length(run)
         positions = F.sequence(F.lit(1), size)
@@ -116,17 +114,19 @@ def boundary_keys(lowered: Column) -> Column:
             lambda i: F.substring(run, i, F.lit(1)).rlike("[a-z]") & ((i == 1) | ~alnum(F.greatest(i - 1, F.lit(1)))),
         )
         ends = F.filter(positions, lambda i: (i == size) | ~alnum(i + 1))
-        return F.when(
-            run.rlike("[_-]"),
-            F.flatten(
-                F.transform(
-                    starts,
-                    lambda s: F.transform(
-                        F.filter(ends, lambda e: e > s),
-                        lambda e: F.substring(run, s, e - s + 1),
-                    ),
-                )
-            ),
-        ).otherwise(F.array(run))
-
-    return F.array_distinct(F.flatten(F.transform(runs, pieces)))
+        return F.flatten(
+            F.transform(
+                starts,
+                lambda s: F.transform(
+                    F.filter(ends, lambda e: e > s),
+                    lambda e: F.substring(run, s, e - s + 1),
+                ),
+            )
+        )
+
+    def of_runs(runs: Column) -> Column:
+        cut = lambda run: run.contains("_") | run.contains("-")
+        return F.concat(F.filter(runs, lambda run: ~cut(run)), F.flatten(F.transform(F.filter(runs, lambda run: cut(run) & run.rlike("[a-z]")), pieces)))
+
+    # The different runs of a text are far fewer than its runs, and only those with a boundary inside have pieces.
+    return F.array_distinct(let(F.array_distinct(F.regexp_extract_all(lowered, F.lit("([a-z0-9_-]+)"), F.lit(1))), of_runs))

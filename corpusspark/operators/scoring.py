@@ -114,8 +114,9 @@ def page_modules(pages: DataFrame, aliases: DataFrame, texts: bool = True) -> Da
 
     if texts:
         keys = F.concat(path_keys, standing_in("title", 1), standing_in("summary", 2))
-    exploded = pages.select("root_id", "path", F.inline(keys)).dropDuplicates(["root_id", "path", "alias_key", "step", "pos"])
-    matched = exploded.join(aliases.select("root_id", "alias_key", "module", "alias_rank"), ["root_id", "alias_key"])
+    # Most words name no module, so words meet the aliases before anything is shuffled or made distinct.
+    exploded = pages.select("root_id", "path", F.inline(keys))
+    matched = lookup_join(exploded, aliases.select("root_id", "alias_key", "module", "alias_rank"), ["root_id", "alias_key"], spread=["path"])
     order = F.struct(
         "step",
         F.when(F.col("step") == 0, F.col("pos").cast("long")).otherwise(F.col("alias_rank.entry_pos").cast("long")).alias("a"),
@@ -298,7 +299,7 @@ def narrow_hits(ranked: DataFrame, entries: DataFrame, targets: DataFrame) -> Da
     asked = targets.where(topical & (F.size("code_topic_terms") > 0)).groupBy("query_id", "root_id").agg(
         F.array_distinct(F.flatten(F.collect_list("code_topic_terms"))).alias("topic_terms"))
     text = F.lower(F.concat_ws(" ", "title", "summary", repo_path(F.col("path"))))
-    found = F.filter(F.coalesce("topic_terms", strings([])), lambda t: text.contains(F.lower(t)))
+    found = F.when(F.size("topic_terms") > 0, let(text, lambda whole: F.filter("topic_terms", lambda t: whole.contains(F.lower(t))))).otherwise(strings([]))
     return with_entries(ranked.join(asked, ["query_id", "root_id"], "left"), entries).withColumn("topic_found", found).drop("topic_terms", "summary")
 
 
@@ -311,16 +312,18 @@ def candidate_columns(top: DataFrame, targets: DataFrame, aliases: DataFrame, en
         "query_id", "root_id", "modules", "wants_source", "wants_data_dictionary", "wants_regulation",
         "wants_code_navigation", "wants_code_knowledge",
     )
-    c = (
-        top.join(modules, ["root_id", "path"], "left")
-        .withColumn("page_modules", F.coalesce("page_modules", strings([])))
-        .join(context, ["query_id", "root_id"])
-        .withColumn("page_role", page_role(F.col("path")))
+    # What depends on the page alone is computed once per page, however many queries hit it.
+    path = F.col("path")
+    known_pages = (
+        hit.select("root_id", "path").distinct().join(modules, ["root_id", "path"], "left")
+        .withColumn("page_modules", F.coalesce("page_modules", strings([]))).withColumn("page_role", page_role(path))
+        .select("root_id", "path", "page_modules", "page_role", repo_path(path).alias("repo_path"), is_code_feature(path).alias("code_feature"), is_code_module(path).alias("code_module"))
     )
+    c = top.join(known_pages, ["root_id", "path"]).join(context, ["query_id", "root_id"])
     role = F.col("page_role")
     overlap = F.arrays_overlap("page_modules", "modules")
     asked, known = F.size("modules") > 0, F.size("page_modules") > 0
-    code_feature, code_module = is_code_feature(F.col("path")), is_code_module(F.col("path"))
+    code_feature, code_module = F.col("code_feature"), F.col("code_module")
     signals = F.array_compact(
         F.array(
             F.when(asked & overlap, F.lit("module_match")),
@@ -342,7 +345,7 @@ def candidate_columns(top: DataFrame, targets: DataFrame, aliases: DataFrame, en
     )
     policy = F.when(role != "source", "normal").when(F.col("wants_source"), "requested").otherwise("provenance_only")
     return c.select(
-        "query_id", "root_id", "pos", repo_path(F.col("path")).alias("path"), "title",
+        "query_id", "root_id", "pos", F.col("repo_path").alias("path"), "title",
         page_type(role).alias("type"), "page_role",
         F.coalesce(F.try_element_at("page_modules", F.lit(1)), F.lit("")).alias("module"), "page_modules",
         "topic_found", "score20", signals.alias("signals"), intent_fit.alias("intent_fit"),
