@@ -10,7 +10,7 @@ from ..functions import fixed_values as V
 from ..functions.numbering import running
 from ..functions.sizing import at_most
 from ..functions.terms import is_strong_topic_term
-from ..functions.text import contains_any, drop_prefix, slashes, strings
+from ..functions.text import contains_any, drop_prefix, let, slashes, strings
 from ..session import cut_lineage
 from . import extract
 from .quality import CODE_FEATURES, GROUP
@@ -39,30 +39,38 @@ def code_map_rows(bundle: DataFrame) -> DataFrame:
 
 def row_relevance(terms: Column, modules: Column) -> Column:
     """Module points plus topic points; rows without a topic term or without a strong one do not count."""
-    text, product = F.lower("row_values"), F.lower("product_module")
-    capability, judgement = F.lower("capability"), F.lower("judgement")
-    whole = F.concat_ws(" ", product, capability, judgement)
-    asked = F.filter(modules, lambda m: m != "")
-    module_points = F.aggregate(
-        asked, F.lit(0),
-        lambda acc, m: acc + F.when(product.contains(m), 14).when(capability.contains(m), 8).when(judgement.contains(m), 4)
-        .when(whole.contains(m), 4).otherwise(0),
-    )
+    lowered = F.struct(*[F.lower(c).alias(c) for c in ("row_values", "product_module", "capability", "judgement")])
     alias_table = F.create_map(*[x for k, v in V.CODE_MAP_TERM_ALIASES.items() for x in (F.lit(k), strings(v))])
+    strong = lambda t: is_strong_topic_term(t, include_compounds=False)
 
-    def matches(term: Column) -> Column:
+    def module_points(row: Column, asked: Column) -> Column:
+        product, capability, judgement = row["product_module"], row["capability"], row["judgement"]
+        return let(F.concat_ws(" ", product, capability, judgement), lambda whole: F.aggregate(
+            asked, F.lit(0),
+            lambda acc, m: acc + F.when(product.contains(m), 14).when(capability.contains(m), 8).when(judgement.contains(m), 4)
+            .when(whole.contains(m), 4).otherwise(0),
+        ))
+
+    def matches(text: Column, term: Column) -> Column:
         other = F.coalesce(F.try_element_at(alias_table, term), strings([]))
         return text.contains(term) | F.exists(other, lambda v: text.contains(v))
 
-    used = F.filter(F.transform(terms, F.lower), lambda t: (t != "") & ~F.array_contains(asked, t))
-    matched = F.filter(used, matches)
-    topic_points = F.aggregate(
-        matched, F.lit(0),
-        lambda acc, t: acc + F.when(F.char_length(t) >= 6, 12).when(F.char_length(t) >= 4, 7).otherwise(3),
-    )
-    strong = lambda t: is_strong_topic_term(t, include_compounds=False)
-    blocked = F.exists(used, strong) & ~F.exists(matched, strong) & (F.size(matched) < 2)
-    return F.when((topic_points > 0) & ~blocked, module_points + topic_points).otherwise(0)
+    def points(row: Column, asked: Column, used: Column, matched: Column) -> Column:
+        topic_points = F.aggregate(
+            matched, F.lit(0),
+            lambda acc, t: acc + F.when(F.char_length(t) >= 6, 12).when(F.char_length(t) >= 4, 7).otherwise(3),
+        )
+        blocked = F.exists(used, strong) & ~F.exists(matched, strong) & (F.size(matched) < 2)
+        return let(topic_points, lambda n: F.when((n > 0) & ~blocked, module_points(row, asked) + n).otherwise(0))
+
+    def of_terms(row: Column, asked: Column, used: Column) -> Column:
+        return let(F.filter(used, lambda t: matches(row["row_values"], t)), lambda matched: points(row, asked, used, matched))
+
+    def of_modules(row: Column, asked: Column) -> Column:
+        used = F.filter(F.transform(terms, F.lower), lambda t: (t != "") & ~F.array_contains(asked, t))
+        return let(used, lambda u: of_terms(row, asked, u))
+
+    return let(lowered, lambda row: let(F.filter(modules, lambda m: m != ""), lambda asked: of_modules(row, asked)))
 
 
 def code_map_matches(bundle: DataFrame, rows: DataFrame, asks: DataFrame, key: list[str], limit: int | None = None) -> DataFrame:
@@ -70,8 +78,10 @@ def code_map_matches(bundle: DataFrame, rows: DataFrame, asks: DataFrame, key: l
     held = bundle.where("content is not null").select(
         "query_id", F.col("root_id").alias("page_root"), F.col("path").alias("page_path")
     ).distinct()
+    # Few narrow rows cost much work each, so they are dealt by number, not by their bytes.
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = (
-        asks.join(held, "query_id").join(rows, ["page_root", "page_path"])
+        asks.join(held.repartition(parts, "query_id", "page_root", "page_path"), "query_id").join(rows, ["page_root", "page_path"])
         .withColumn("relevance", row_relevance(F.col("terms"), F.col("ask_modules"))).where("relevance > 0")
     )
     order = W.partitionBy(*key).orderBy(F.desc("relevance"), "page_path", "row_index", "page_root")
