@@ -4,8 +4,8 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from corpusspark.operators import query_features, repos, scoring
-from corpusspark.plans.catalog import Quality
+from corpusspark.operators import query_features, reconcile, repos, scoring
+from corpusspark.plans.catalog import Quality, Reconciliation
 from corpusspark.sources import scan
 
 
@@ -53,3 +53,17 @@ def test_relevance_is_dealt_by_number(spark):
     found = repos.code_map_matches(bundle, rows, asks, ["query_id"])
     assert [(r.row_index, r.relevance) for r in found.collect()] == [(0, 14 + 7 + 3)]
     assert "RepartitionByExpression" in optimized(found)
+
+
+def test_handoffs_build_no_pages_and_parse_tables_once(spark):
+    text = "\n".join(["# Knowledge Manager 维护请求", "", "| 分片 | 主题 | 来源批次 |", "| --- | --- | --- |", "| h/1.md | topic | B1 |", "",
+                      "| 分片 | Source summary | 候选正式代码页 | 知识层级 |", "| --- | --- | --- | --- |", "| h/1.md | wiki/s.md | wiki/a.md, wiki/b.md | code_map |"])
+    documents = spark.createDataFrame([("r1", "r", None, text, "task")], "request_id string, root_id string, source_path string, text string, task string")
+    files = spark.createDataFrame([], "root_id string, path string, text string")
+    pages = spark.range(1).select(F.raise_error(F.lit("read")).alias("root_id"), *[F.lit("").alias(c) for c in ("repo_path", "title", "page_type", "body")])
+    r = Reconciliation(documents, files, None, None, pages)
+    assert [tuple(x) for x in r.strings.orderBy("query_no").select("query_no", "query").collect()][:2] == [(1, "topic"), (2, "wiki/a.md")]
+    assert [x.material for x in reconcile.materials(r.handoffs, r.shards, r.outputs).collect()] == ["h/1.md"]
+    for kept in (r.tables, r.shards, r.outputs):
+        assert kept.inputFiles()
+    assert "MapInArrow" not in optimized(reconcile.handoff_outputs(documents, r.handoffs, r.tables))
