@@ -105,7 +105,6 @@ def import_refs(facts: DataFrame) -> DataFrame:
     inside = F.concat_ws("/", F.regexp_extract("src", r"^((?:.*/)?src)/", 1), F.regexp_replace("symbol", "^~?@/", ""))
     has_src = F.col("src").rlike(r"(^|/)src/")
     base = F.when(F.col("symbol").startswith("."), F.concat_ws("/", parent_path(F.col("src")), "symbol")).when(alias & has_src, inside)
-    tries = F.posexplode(F.transform(strings(V.IMPORT_EXTENSIONS), lambda e: F.concat(F.col("base"), e)))
     based = named.withColumn("base", canonical_path(base))
     # Files outside a source folder use the source folder of their closest ancestor that has one.
     all_parts = F.split("path", "/")
@@ -122,11 +121,13 @@ def import_refs(facts: DataFrame) -> DataFrame:
         "src", "pos", "symbol").agg(F.max_by("ancestor", "depth").alias("ancestor"))
     outside = outside.select("src", "pos", "symbol", canonical_path(
         F.concat_ws("/", "ancestor", F.lit("src"), F.regexp_replace("symbol", "^~?@/", ""))).alias("base"))
-    probes = based.where("base is not null").unionByName(outside).select(
-        "src", "pos", "symbol", tries.alias("try_no", "dst")
-    )
-    hits = probes.join(all_files.select(F.col("path").alias("dst")).distinct(), "dst")
-    firsts = hits.groupBy("src", "pos", "symbol").agg(F.min_by("dst", "try_no").alias("dst"))
+    # A file stands under every base that an extension leads to it from, so an import asks once, not once per extension.
+    left = F.filter(F.transform(strings(V.IMPORT_EXTENSIONS), lambda e, i: F.struct(
+        i.alias("try_no"), F.when(F.endswith("path", e), F.substring(F.col("path"), F.lit(1), F.char_length("path") - F.char_length(e))).alias("base"))),
+        lambda x: x["base"].isNotNull())
+    known = all_files.distinct().select(F.col("path").alias("dst"), F.inline(left))
+    hits = based.where("base is not null").unionByName(outside).join(known, "base")
+    firsts = hits.groupBy("src", "pos", "symbol").agg(F.min(F.struct("try_no", "dst")).alias("f")).select("src", "pos", "symbol", F.col("f.dst").alias("dst"))
     kind = F.when(F.col("symbol").rlike("^~?@/"), "js_alias_import").otherwise("js_relative_import")
     return firsts.select("src", "dst", kind.alias("kind"), "symbol", F.struct(F.lit(0).alias("step"), F.col("pos").cast("long").alias("pos"), F.lit("").alias("name")).alias("ref_pos"))
 
@@ -424,7 +425,8 @@ class _Rules:
         """1, 2, 3 ... per batch by the column ``o``; a batch finds at most as many files as there are."""
         if self.few:
             return rows.withColumn(name, F.row_number().over(W.partitionBy("batch_id").orderBy("o")))
-        return numbered(rows, ["batch_id"], "o", name)
+        # Range partitions are sampled first, which would compute the turn's joins a second time.
+        return numbered(cut_lineage(rows), ["batch_id"], "o", name)
 
 
 def _first_level(rules: _Rules, index: CodeIndex, seeds: DataFrame) -> DataFrame:
