@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from corpusspark.operators import query_features, reconcile, repos, scoring
+from corpusspark.operators import closure, query_features, reconcile, repos, scoring, selection
 from corpusspark.plans.catalog import Quality, Reconciliation
 from corpusspark.sources import scan
 
@@ -67,3 +67,32 @@ def test_handoffs_build_no_pages_and_parse_tables_once(spark):
     for kept in (r.tables, r.shards, r.outputs):
         assert kept.inputFiles()
     assert "MapInArrow" not in optimized(reconcile.handoff_outputs(documents, r.handoffs, r.tables))
+
+
+def test_titles_are_kept_for_the_own_query_of_a_request_only(spark):
+    r = Reconciliation(None, None, None, None, None)
+    r.__dict__["run"] = SimpleNamespace(merged=spark.createDataFrame(
+        [("r1#0", 1, "a.md", "A"), ("r1#2", 1, "b.md", "B")], "query_id string, pos int, path string, title string"))
+    assert {tuple(x) for x in r.found.select("request_id", "query_no", "pos", "path").collect()} == {("r1", 0, 1, "a.md"), ("r1", 2, 1, "b.md")}
+    assert "title" not in r.found.columns
+    assert [tuple(x) for x in r.titled.collect()] == [("r1", 0, 1, "a.md", "A")]
+
+
+def test_merged_candidates_are_shuffled_once(spark):
+    schema = "query_id string, root_id string, path string, pos int, title string"
+    index = spark.createDataFrame([("q", "r", "b", 1, "B"), ("q", "r", "a", 2, "A"), ("q2", "r", "a", 1, "A")], schema)
+    linked = spark.createDataFrame([("q", "r", "a", 1, "linked"), ("q", "r", "c", 2, "C"), ("q", None, "c", 3, "C")], schema)
+    merged = selection.merge_candidates(index, linked)
+    assert {tuple(x) for x in merged.collect()} == {
+        ("q", "r", "b", 1, "B"), ("q", "r", "a", 2, "A"), ("q", "r", "c", 3, "C"), ("q2", "r", "a", 1, "A"), ("q", None, "c", 1, "C")}
+    assert merged._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert optimized(merged).count("RepartitionByExpression") == 1
+
+
+def test_an_import_is_looked_up_once_for_all_extensions(spark):
+    facts = spark.createDataFrame([("w/src/a.vue", ["./b", "@/c", "./none", "./d.js"]), ("w/src/b.vue", []), ("w/src/b.ts", []), ("w/src/c/index.js", []), ("w/src/d.js", []),
+                                   ("w/x.vue", ["@/b"])], "path string, imports array<string>")
+    refs = closure.import_refs(facts)
+    assert {(r.src, r.dst, r.symbol) for r in refs.collect()} == {
+        ("w/src/a.vue", "w/src/b.ts", "./b"), ("w/src/a.vue", "w/src/c/index.js", "@/c"), ("w/src/a.vue", "w/src/d.js", "./d.js"), ("w/x.vue", "w/src/b.ts", "@/b")}
+    assert not any("Generate posexplode" in line and "try_no" in line for line in optimized(refs).splitlines())
