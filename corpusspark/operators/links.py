@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import canonical_path, drop_prefix, file_stem, parent_path, slashes, strings, strip
+from ..session import cut_lineage
 
 WIKILINK = r"\[\[[^\]]+\]\]"
 MARKDOWN_LINK = r"(?<!!)\[[^\]]+\]\([^)]+\)"
@@ -106,6 +107,12 @@ def resolve_links(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.select(*edges.columns, dst.alias("dst"))
 
 
+def pages_named(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """The pages whose (root_id, repo_path) stands in ``names``, written as a filter: it goes below the columns that are built
+    from a page's text, where a semi join would stay above them and build the texts of all pages."""
+    return pages.where(F.struct("root_id", "repo_path").isin(names.select("root_id", "repo_path")))
+
+
 def expand_relationships(primaries: DataFrame, pages: DataFrame, limit: int = V.LINK_LIMIT) -> DataFrame:
     """One hop from the primary pages: the first ``limit`` distinct (page, target) links per query and root.
 
@@ -113,7 +120,7 @@ def expand_relationships(primaries: DataFrame, pages: DataFrame, limit: int = V.
     page however many queries chose it.
     """
     chosen = primaries.select("root_id", F.col("path").alias("repo_path")).distinct()
-    bodies = pages.join(chosen, ["root_id", "repo_path"], "left_semi").select("root_id", "repo_path", "body")
+    bodies = pages_named(pages, chosen).select("root_id", "repo_path", "body")
     edges = extract_links(bodies)
     by_target = edges.groupBy("root_id", "src", "target").agg(
         F.min("link_pos").alias("link_pos"),
@@ -121,7 +128,8 @@ def expand_relationships(primaries: DataFrame, pages: DataFrame, limit: int = V.
     )
     p = primaries.select("query_id", "root_id", F.col("path").alias("src"), "primary_pos", F.col("score20").alias("src_score20"))
     order = W.partitionBy("query_id", "root_id").orderBy("primary_pos", "link_pos")
-    cut = (
+    # Written once: the names that are looked up are read from it again, and the page texts are not.
+    cut = cut_lineage(
         p.join(by_target, ["root_id", "src"])
         .withColumn("link_no", F.row_number().over(order))
         .where(F.col("link_no") <= limit)

@@ -45,13 +45,18 @@ def intents(df: DataFrame) -> DataFrame:
     return df.withColumn("intents", F.array_compact(F.array(*values)))
 
 
+def enabled_roots(roots: DataFrame) -> DataFrame:
+    """The roots that queries can search."""
+    return roots.where("enabled").select("root_id", "priority", "is_code_root")
+
+
 def query_targets(flagged: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per query and searched root: the named root, or every enabled root.
 
     The registry is joined by a scope key ('*' for all roots) and is broadcast only when counting it
     shows that it fits; beyond that the queries of a scope are spread over salts.
     """
-    enabled = roots.where("enabled").select("root_id", "priority", "is_code_root")
+    enabled = enabled_roots(roots)
     scopes = enabled.withColumn("scope", F.col("root_id")).unionByName(enabled.withColumn("scope", F.lit("*")))
     q = flagged.withColumn("scope", F.coalesce("named_root", F.lit("*")))
     joined = lookup_join(q, scopes, ["scope"], spread=["query_id"]).drop("scope")

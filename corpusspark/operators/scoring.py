@@ -78,8 +78,10 @@ def module_alias_values(path: Column, title: Column, summary: Column) -> Column:
     segments = F.filter(F.transform(F.split(index_path(path), "/"), lambda p: drop_suffix(p, ".md")), is_segment)
 
     def of_text(text: Column) -> Column:
-        upper = F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])([A-Z][A-Z0-9_-]{1,11})(?![A-Za-z0-9])"), F.lit(1))
-        pairs = F.regexp_extract_all(text, F.lit("(?U)\\b([A-Z][A-Za-z0-9]+(?:/[A-Z][A-Za-z0-9]+)+)\\b"), F.lit(1))
+        # The next character is tested first: most places of a text fail there.
+        upper = F.regexp_extract_all(text, F.lit("(?=[A-Z])(?<![A-Za-z0-9])([A-Z][A-Z0-9_-]{1,11})(?![A-Za-z0-9])"), F.lit(1))
+        pairs = F.when(text.contains("/"), F.regexp_extract_all(
+            text, F.lit("(?U)(?=[A-Z])\\b([A-Z][A-Za-z0-9]+(?:/[A-Z][A-Za-z0-9]+)+)\\b"), F.lit(1))).otherwise(strings([]))
         parts = F.flatten(F.transform(pairs, lambda p: F.split(p, "/")))
         return F.filter(F.concat(upper, parts), lambda v: ~F.lower(v).isin(V.NON_MODULE_TOKENS))
 
@@ -117,15 +119,16 @@ def page_modules(pages: DataFrame, aliases: DataFrame, texts: bool = True) -> Da
     # Most words name no module, so words meet the aliases before anything is shuffled or made distinct.
     exploded = pages.select("root_id", "path", F.inline(keys))
     matched = lookup_join(exploded, aliases.select("root_id", "alias_key", "module", "alias_rank"), ["root_id", "alias_key"], spread=["path"])
-    order = F.struct(
+    place = [
         "step",
         F.when(F.col("step") == 0, F.col("pos").cast("long")).otherwise(F.col("alias_rank.entry_pos").cast("long")).alias("a"),
         F.when(F.col("step") == 0, F.lit(0)).otherwise(F.col("alias_rank.value_pos")).alias("b"),
-    )
-    firsts = matched.groupBy("root_id", "path", "module").agg(F.min(order).alias("o"))
-    return firsts.groupBy("root_id", "path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o", "module"))), lambda x: x["module"]).alias("page_modules")
-    )
+    ]
+    # The first place of a module counts.  One shuffle brings the different places of a page together, and they are sorted there;
+    # a flat struct, for the order of one inside another is built anew for each two that are compared.
+    found = F.sort_array(F.collect_set(F.struct(*place, "module")))
+    return matched.groupBy("root_id", "path").agg(found.alias("found")).select(
+        "root_id", "path", F.array_distinct(F.transform("found", lambda x: x["module"])).alias("page_modules"))
 
 
 # ---- scoring -------------------------------------------------------------------------------------------
@@ -320,8 +323,9 @@ def candidate_columns(top: DataFrame, targets: DataFrame, aliases: DataFrame, en
         .select("root_id", "path", "page_modules", "page_role", repo_path(path).alias("repo_path"), is_code_feature(path).alias("code_feature"), is_code_module(path).alias("code_module"))
     )
     c = top.join(known_pages, ["root_id", "path"]).join(context, ["query_id", "root_id"])
-    role = F.col("page_role")
-    overlap = F.arrays_overlap("page_modules", "modules")
+    # Lists of modules are long, so they are compared once.
+    c = c.withColumn("overlap", F.arrays_overlap("page_modules", "modules"))
+    role, overlap = F.col("page_role"), F.col("overlap")
     asked, known = F.size("modules") > 0, F.size("page_modules") > 0
     code_feature, code_module = F.col("code_feature"), F.col("code_module")
     signals = F.array_compact(

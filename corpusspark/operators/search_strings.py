@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from operator import itemgetter
 
 import ahocorasick
@@ -23,31 +24,59 @@ from ..functions.sizing import BROADCAST_ROWS, fits
 #: Strings of a dictionary piece and bytes of text of a chunk when the dictionary is too large to be broadcast.
 PIECE_ROWS, CHUNK_BYTES = 200_000, 32 << 20
 SLICE_ROWS = 256
+#: Length of short strings, and how many of them are looked for one by one.
+SHORT, FEW_SHORT = 2, 256
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64()}
 
 
+class Strings:
+    """The (string, value) rows of one key: an automaton, and beside it the short strings if they are few.
+
+    Short strings occur all over a text and the automaton stops at each place, where looking for one stops at the first place.
+    """
+
+    def __init__(self, rows: list[tuple]) -> None:
+        short = {needle: value for needle, value in rows if len(needle) <= SHORT}
+        self.short = list(short.items()) if len(short) <= FEW_SHORT else []
+        self.automaton = ahocorasick.Automaton()
+        for needle, value in rows:
+            if not self.short or needle not in short:
+                self.automaton.add_word(needle, value)
+        self.automaton.make_automaton()
+
+    def found(self, text: str) -> list:
+        values = set(map(itemgetter(1), self.automaton.iter(text))) if len(self.automaton) else set()
+        values.update([value for needle, value in self.short if needle in text])
+        return sorted(values)
+
+
 class Dictionary:
-    """Automata of (key, string, value) rows, one per key."""
+    """Strings of (key, string, value) rows by key."""
 
     def __init__(self, rows: list[tuple]) -> None:
-        self.automata: dict[tuple, ahocorasick.Automaton] = {}
+        by_key: dict[tuple, list[tuple]] = {}
         for *key, needle, value in rows:
-            self.automata.setdefault(tuple(key), ahocorasick.Automaton()).add_word(needle, value)
-        for automaton in self.automata.values():
-            automaton.make_automaton()
+            by_key.setdefault(tuple(key), []).append((needle, value))
+        self.strings = {key: Strings(of_key) for key, of_key in by_key.items()}
 
     def found(self, key: tuple, text: str | None) -> list:
         """The values of the different strings of that key in the text, sorted."""
-        automaton = self.automata.get(key)
-        return sorted(set(map(itemgetter(1), automaton.iter(text)))) if automaton and text else []
+        strings = self.strings.get(key)
+        return strings.found(text) if strings and text else []
+
+
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    """The lists as a column; their values are converted in one go."""
+    offsets = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(list(chain.from_iterable(rows)), kind))
 
 
 def _scan(batch: pa.RecordBatch, dictionary: Dictionary, same: list[str], fields: list[str], keep: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, SLICE_ROWS):
         part = batch.slice(start, SLICE_ROWS)
         keys = list(zip(*[part.column(c).to_pylist() for c in same])) if same else [()] * part.num_rows
-        lists = [pa.array(map(dictionary.found, keys, part.column(f).to_pylist()), pa.list_(kind)) for f in fields]
+        lists = [_lists(list(map(dictionary.found, keys, part.column(f).to_pylist())), kind) for f in fields]
         yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *lists], [*keep, *[f"{f}_found" for f in fields]])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import drop_prefix, strings
+from .links import pages_named
 from .scoring import is_code_feature, is_code_module, is_repository_map, page_modules, page_role, repo_path
 
 GROUP = ["query_id", "root_id"]
@@ -185,7 +186,7 @@ def linked_candidates(expansion: DataFrame, pages: DataFrame, aliases: DataFrame
     """Candidate rows for the resolved links: three quarters of the source page's score."""
     resolved = expansion.where("dst is not null")
     wanted = resolved.select("root_id", F.col("dst").alias("repo_path")).distinct()
-    found = pages.join(wanted, ["root_id", "repo_path"], "left_semi").select(
+    found = pages_named(pages, wanted).select(
         "root_id", F.col("repo_path").alias("dst"), "title", "page_type"
     )
     modules = page_modules(wanted.select("root_id", F.col("repo_path").alias("path")), aliases, texts=False).select(

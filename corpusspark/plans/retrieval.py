@@ -30,8 +30,13 @@ class Retrieval:
 
     @cached_property
     def index(self) -> DataFrame:
-        """The index entries as a narrow table: aliases, scoring and the final lookup all read it."""
-        return cut_lineage(self.entries)
+        """The index entries as a narrow table: aliases, scoring and the final lookup all read it.
+
+        Roots that are not enabled are searched by no query.  The filter goes below the columns parsed from the lines, and the
+        roots are written, so that the planner broadcasts a short list of them and the lines stay where they are.
+        """
+        searched = cut_lineage(query_features.enabled_roots(self.roots).select("root_id"))
+        return cut_lineage(self.entries.where(F.col("root_id").isin(searched)))
 
     @cached_property
     def aliases(self) -> DataFrame:

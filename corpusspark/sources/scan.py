@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
-from ..functions.text import any_of, slashes, strip
+from ..functions.text import any_of, contains_any, let, slashes, strip
 
-INDEX_LINE = r"^\s*-\s*\[([^\]]+)\]\(([^)]+)\)\s*[—-]\s*(.*)$"
+INDEX_HEAD = r"^\s*-\s*\[([^\]]+)\]\(([^)]+)\)\s*[—-]\s*"
+INDEX_LINE = INDEX_HEAD + "(.*)$"
+#: Characters that a dot of a pattern does not match.
+LINE_BREAKS = ("\n", "\r", "\x85", "\u2028", "\u2029")
 
 FINDING_SCHEMA = T.StructType([
     T.StructField("finding_id", T.StringType()), T.StructField("batch_id", T.StringType()),
@@ -64,8 +67,17 @@ def parse_index(lines: DataFrame) -> DataFrame:
     """``- [title](path) — summary`` lines; links to the web and to anchors are no entries."""
 
     def parsed(line: Column) -> Column:
-        part = lambda n: F.regexp_extract(line, "(?U)" + INDEX_LINE, n)
-        return F.struct(part(1).alias("title"), part(2).alias("path"), part(3).alias("summary"))
+        part = lambda text, n: F.regexp_extract(text, "(?U)" + INDEX_LINE, n)
+
+        def of_head(head: Column) -> Column:
+            rest = F.substring(line, F.char_length(head) + 1, F.char_length(line))
+            # The summary is all that follows the head, unless a line break stands in it: then the whole line must match.
+            return let(rest, lambda rest: F.when(contains_any(rest, LINE_BREAKS), F.struct(
+                part(line, 1).alias("title"), part(line, 2).alias("path"), part(line, 3).alias("summary"))).otherwise(F.struct(
+                    part(head, 1).alias("title"), part(head, 2).alias("path"), rest.alias("summary"))))
+
+        # Summaries are whole texts, so patterns read them once, and then the head only.
+        return let(F.regexp_extract(line, "(?U)" + INDEX_HEAD, 0), of_head)
 
     # A generator reads the line once; a filter and a projection would each copy its whole expression into the plan.
     # No part 2 is empty, so an empty one says that the line does not match.
